@@ -33,6 +33,13 @@ class Scratch:
             df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_parts(self, df: DataFrame, name: str, part: str) -> DataFrame:
+        """Like save, with a folder for each value of the column ``part``, so that drop() can take one of them."""
+        path = f"{self.root}/{name}"
+        with eager(self.spark):
+            df.write.option("compression", "zstd").partitionBy(part).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def save_bucketed(self, df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
         """Like save, but bucketed by key, so that joins on it leave this side where it is."""
         table = f"weftline_{name}_{uuid.uuid4().hex}"

@@ -61,6 +61,18 @@ class Level:
         return Level(np.concatenate([x.data, y.data]), np.concatenate([x.sizes, y.sizes]), order, x.length)
 
 
+def narrow(order: np.ndarray) -> bytes:
+    """Three bytes a number where they are enough, else four; a last byte says which."""
+    size = 3 if len(order) == 0 or int(order.max()) < 1 << 24 else 4
+    return order.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size].tobytes() + bytes([size])
+
+
+def widen(data: bytes) -> np.ndarray:
+    out = np.zeros(((len(data) - 1) // data[-1], 4), np.uint8)
+    out[:, : data[-1]] = np.frombuffer(data, np.uint8)[:-1].reshape(-1, data[-1])
+    return out.view("<u4").ravel().astype(np.int64)
+
+
 def scan_batch(table: pa.Table, length: int, merge_with: list[int], keep: bool) -> pa.Table:
     """One bucket: flag the batch's windows against its own smaller ids and all levels; carry levels upward."""
     kinds = table.column("kind").to_pylist()
@@ -69,7 +81,8 @@ def scan_batch(table: pa.Table, length: int, merge_with: list[int], keep: bool)
     levels = {}
     for i, k in enumerate(kinds):
         if k is not None:
-            levels[k] = Level(*(np.frombuffer(table.column(c)[i].as_py(), t) for c, t in (("data", np.uint8), ("sizes", np.int32), ("starts", np.int32))), length)
+            data, sizes, order = (table.column(c)[i].as_py() for c in ("data", "sizes", "starts"))
+            levels[k] = Level(np.frombuffer(data, np.uint8), np.frombuffer(sizes, np.int32), widen(order), length)
     out, batch = [], None
     if fresh.num_rows:
         g = windows.gather(fresh)
@@ -103,7 +116,7 @@ def scan_batch(table: pa.Table, length: int, merge_with: list[int], keep: bool)
             if k in levels:
                 batch = Level.merge(levels[k], batch) if batch is not None else levels[k]
         if batch is not None:
-            out.append({"kind": "level", "key": bucket, "a": batch.data.tobytes(), "b": batch.sizes.astype(np.int32).tobytes(), "c": batch.order.astype(np.int32).tobytes()})
+            out.append({"kind": "level", "key": bucket, "a": batch.data.tobytes(), "b": batch.sizes.astype(np.int32).tobytes(), "c": narrow(batch.order)})
     return windows.to_table(out, STEP_SCHEMA)
 
 
@@ -150,11 +163,11 @@ def suffix_array_dedup(docs: DataFrame, length: int = 50, batches: int = 4, with
         fresh = windows.shared_segments(plan, blocks.filter(F.col("batch") == t), bits).withColumn("kind", F.lit(None).cast("int"))
         for k, (_, level) in levels.items():
             fresh = fresh.unionByName(level.select(F.col("key").cast("int").alias("bucket"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("docs"), F.col("c").alias("starts"), F.col("b").alias("sizes"), F.col("a").alias("data"), F.lit(k).alias("kind")))
-        out = scratch.save(fresh.groupBy("bucket").applyInArrow(_step(length, carried, keep), STEP_SCHEMA), f"step{t}")
+        out = scratch.save_parts(fresh.groupBy("bucket").applyInArrow(_step(length, carried, keep), STEP_SCHEMA), f"step{t}", "kind")
         found = out.filter("kind = 'run'").select(F.col("key").alias("block"), F.col("a").alias("starts"), F.col("b").alias("counts"))
         runs = found if runs is None else runs.unionByName(found)
         for k in carried:
-            del levels[k]
+            scratch.drop(f"step{levels.pop(k)[0]}/kind=level")
         levels[len(carried)] = (t, out.filter("kind = 'level'"))
     result = windows.paint(plan, blocks, runs, _finish(plan, with_text), KEPT if with_text else RESULT)
     n = F.octet_length("text").cast("long")

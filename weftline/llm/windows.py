@@ -156,8 +156,8 @@ def shared_keys(plan: Plan, blocks: DataFrame) -> DataFrame:
         bucket = table.column("bucket")[0].as_py()
         parts = [np.frombuffer(x, U) for x in table.column("bits").to_pylist()]
         every = np.sort(np.concatenate(parts))
-        again = np.unique(every[1:][every[1:] == every[:-1]])
-        rows = [{"block": b, "bucket": bucket, "bits": np.packbits(np.isin(p, again, kind="sort")).tobytes()} for b, p in zip(table.column("block").to_pylist(), parts, strict=True)]
+        again = np.append(every[1:][every[1:] == every[:-1]], U(2**64 - 1))  # sorted; the last entry ends searches
+        rows = [{"block": b, "bucket": bucket, "bits": np.packbits(again[np.searchsorted(again, p)] == p).tobytes()} for b, p in zip(table.column("block").to_pylist(), parts, strict=True)]
         return to_table(rows, BITS_SCHEMA)
 
     return blocks.select("block", "ids", "sizes", "data").mapInArrow(emit, "bucket int, block long, bits binary").groupBy("bucket").applyInArrow(meet, BITS_SCHEMA)
