@@ -29,8 +29,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 LENGTH = 2048
 END = 1
 BUCKETS = 256
-#: Distinct words that a task's table holds before it starts anew.
-MAX_WORDS = 300_000
+#: Distinct pieces that a worker's table holds (about 60 MB) before it starts anew.
+MAX_WORDS = 1_500_000
 
 _tables: dict[str, WordTable] = {}
 
@@ -41,9 +41,46 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+_DIGIT = np.isin(np.arange(256), list(range(48, 58)))
+#: 0 white space, 1 letters, 2 digits, 3 marks, 4 beyond ASCII.
+KIND = np.where(~scan.NOT_SPACE, 0, np.where(_LETTER, 1, np.where(_DIGIT, 2, np.where(np.arange(256) < 128, 3, 4)))).astype(np.uint8)
+
+
+def units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of text whose tokens don't depend on each other: lowered bytes, starts and ends.
+
+    The tokenizer normalises to NFC, lowers, drops white space, cuts at changes between letters, digits and marks, and merges
+    within what is left. So white space always ends a piece, and a change between ASCII letters, digits and marks does,
+    except in words with an apostrophe (contractions) or "<|" (special tokens); those stay whole. ASCII letters may be lowered
+    beforehand where no byte beyond ASCII (which might compose with them) is in the word and no "<|".
+    """
+    n = len(buf)
+    starts, ends = scan.spans(KIND[buf] > 0, offsets)
+    if n == 0:
+        return buf, starts, ends
+    kind = KIND[buf]
+    word = np.searchsorted(starts, np.flatnonzero((buf[:-1] == 60) & (buf[1:] == 124)), side="right") - 1
+    special = np.zeros(len(starts) + 1, bool)
+    special[word] = True
+    whole = special.copy()
+    whole[np.searchsorted(starts, np.flatnonzero(buf == 39), side="right") - 1] = True
+    mixed = special.copy()
+    mixed[np.searchsorted(starts, np.flatnonzero(buf >= 128), side="right") - 1] = True
+    of_byte = np.repeat(np.arange(len(starts)), ends - starts)
+    at = np.flatnonzero(kind > 0)
+    low = buf.copy()
+    plain = at[~mixed[of_byte]]
+    low[plain] = scan.LOWER[buf[plain]]
+    change = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & (kind[1:] < 4) & (kind[:-1] < 4)
+    cut = np.flatnonzero(change) + 1
+    cut = cut[~whole[np.searchsorted(starts, cut, side="right") - 1]]
+    cut = np.setdiff1d(cut, starts, assume_unique=True)
+    return low, np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+
+
 class WordTable:
-    """Token ids of words seen so far. The tokenizer drops white space and merges within words only, so that a text's ids are
-    those of its words (runs of other than ASCII white space) in turn."""
+    """Token ids of the pieces of text seen so far."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,25 +94,25 @@ class WordTable:
         self.ids = np.zeros(0, np.uint32)
 
     def add(self, hashes: np.ndarray, words: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        """hashes: sorted, none of them in the table yet."""
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.array([len(x) for x in encoded], np.int64)
         starts = len(self.ids) + np.cumsum(sizes) - sizes
         self.ids = np.concatenate([self.ids, np.array([i for x in encoded for i in x], np.uint32)])
-        every = np.concatenate([self.hashes, hashes])
-        order = np.argsort(every)
-        self.hashes, self.starts, self.sizes = every[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.sizes, sizes])[order]
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.starts, self.sizes = np.insert(self.hashes, at, hashes), np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, with the end id after each text, and offsets per text."""
-        starts, ends = scan.spans(scan.NOT_SPACE[buf], offsets)
-        hashes = scan.span_hashes(buf, starts, ends)
+        low, starts, ends = units(buf, offsets)
+        hashes = scan.span_hashes(low, starts, ends)
         unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.hashes) + len(unique) > MAX_WORDS:
             self.clear()
         at = np.minimum(np.searchsorted(self.hashes, unique), max(0, len(self.hashes) - 1))
         new = np.ones(len(unique), bool) if not len(self.hashes) else self.hashes[at] != unique
         if new.any():
-            self.add(unique[new], [buf[starts[i] : ends[i]].tobytes().decode("utf-8") for i in first[new].tolist()])
+            self.add(unique[new], [low[starts[i] : ends[i]].tobytes().decode("utf-8") for i in first[new].tolist()])
         at = np.searchsorted(self.hashes, unique)[which]
         sizes = self.sizes[at]
         words_at = np.searchsorted(starts, offsets)
