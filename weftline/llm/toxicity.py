@@ -104,6 +104,8 @@ def train(texts: DataFrame, max_vocabulary: int = MAX_VOCABULARY) -> Model:
     odds = F.log((F.col("k") + 0.5) / (F.lit(k) - F.col("k") + 0.5)) - F.log((F.col("n") - F.col("k") + 0.5) / (F.lit(n - k) - F.col("n") + F.col("k") + 0.5))
     spread = F.sqrt(1 / (F.col("k") + 0.5) + 1 / (F.col("n") - F.col("k") + 0.5))
     best = counts.select("word", odds.alias("odds"), F.abs(odds / spread).alias("z")).orderBy(F.desc("z"), "word").limit(max_vocabulary).toPandas()
+    if not len(best):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
     vocabulary = best["word"].to_numpy(np.int64).astype(np.uint64)
     order = np.argsort(vocabulary)
     vocabulary, start = vocabulary[order], np.clip(best["odds"].to_numpy(np.float64)[order], -3, 3)
