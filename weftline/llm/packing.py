@@ -14,6 +14,7 @@ repeated doc_id are numbered). An empty table gives an empty result. Other colum
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +30,10 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 LENGTH = 2048
 END = 1
 BUCKETS = 256
-#: Distinct pieces that a worker's table holds (about 60 MB) before it starts anew.
-MAX_WORDS = 1_500_000
+#: Distinct pieces that a worker's table holds (about 30 MB) before it starts anew.
+MAX_WORDS = 800_000
+#: Pieces that are encoded at once; the tokenizer's objects take about 2 kB each meanwhile.
+ENCODED_AT_ONCE = 4096
 
 _tables: dict[str, WordTable] = {}
 
@@ -83,6 +86,7 @@ class WordTable:
     """Token ids of the pieces of text seen so far."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel; threads each keep memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -95,10 +99,14 @@ class WordTable:
 
     def add(self, hashes: np.ndarray, words: list[str]) -> None:
         """hashes: sorted, none of them in the table yet."""
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in encoded], np.int64)
+        parts, counts = [self.ids], []
+        for a in range(0, len(words), ENCODED_AT_ONCE):
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words[a : a + ENCODED_AT_ONCE], add_special_tokens=False)]
+            counts += [len(x) for x in encoded]
+            parts.append(np.fromiter((i for x in encoded for i in x), np.uint32))
+        sizes = np.array(counts, np.int64)
         starts = len(self.ids) + np.cumsum(sizes) - sizes
-        self.ids = np.concatenate([self.ids, np.array([i for x in encoded for i in x], np.uint32)])
+        self.ids = np.concatenate(parts)
         at = np.searchsorted(self.hashes, hashes)
         self.hashes, self.starts, self.sizes = np.insert(self.hashes, at, hashes), np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
 
