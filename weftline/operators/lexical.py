@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from weftline.functions import text as T
 from weftline.operators.fusion import ranked
@@ -44,7 +45,7 @@ def marker_search(docs: DataFrame, markers: DataFrame) -> DataFrame:
     return found.groupBy("item_id").agg(F.first("marker").alias("marker"), F.count("doc_id").alias("n_docs"), F.countDistinct("source").alias("n_sources"), F.min("doc_id").alias("first_doc"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two strings by matching blocks."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
