@@ -41,7 +41,7 @@ def section_aggregate(chunks: DataFrame, section: Column) -> DataFrame:
     """Per query and section .5 max + .3 mean + .2 (chunks / most chunks of a section); the best chunk stands for it."""
     each = chunks.withColumn("section", section).groupBy("query_id", "section").agg(F.max("score").alias("top"), F.avg("score").alias("mean"), F.count("*").alias("n_chunks"), F.min_by("id", F.struct(-F.col("score"), F.col("id"))).alias("best_chunk"))
     most = F.max("n_chunks").over(Window.partitionBy("query_id"))
-    scored = each.withColumn("score", F.round(0.5 * F.col("top") + 0.3 * F.col("mean") + 0.2 * F.col("n_chunks") / most, 6)).drop("top", "mean")
+    scored = each.withColumn("score", F.round(0.5 * F.col("top") + 0.3 * F.col("mean") + 0.2 * F.col("n_chunks") / most, 11)).drop("top", "mean")
     return ranked(scored, ["query_id"], [F.desc("score"), F.col("section")])
 
 

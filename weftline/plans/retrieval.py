@@ -109,7 +109,7 @@ def pair_dedup_topk(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_top(20)}, g AS (SELECT query_id, label AS section, max(score) AS top, avg(score) AS mean, count(*) AS n_chunks, arg_min(id, (-score, id)) AS best_chunk FROM top GROUP BY ALL),
-x AS (SELECT query_id, section, n_chunks, best_chunk, round(0.5 * top + 0.3 * mean + 0.2 * n_chunks / max(n_chunks) OVER (PARTITION BY query_id), 6) AS score FROM g)
+x AS (SELECT query_id, section, n_chunks, best_chunk, round(0.5 * top + 0.3 * mean + 0.2 * n_chunks / max(n_chunks) OVER (PARTITION BY query_id), 11) AS score FROM g)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section) AS rank FROM x""")
 def section_aggregate(t: Tables) -> DataFrame:
     return fusion.section_aggregate(top(t, 20).select("query_id", "id", "score", "label"), F.col("label"))
