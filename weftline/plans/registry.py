@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import corpus, delta, evaluation, observability, retrieval  # noqa: F401  they register their queries
+from weftline.plans import corpus, delta, evaluation, observability, payloads, retrieval  # noqa: F401  they register their queries
 from weftline.plans.common import ORACLES, QUERIES
 
 
