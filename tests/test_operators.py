@@ -49,6 +49,13 @@ def test_vectors_search_and_ann_recall(spark):
     assert len(near & exact) / len(exact) >= 0.9
 
 
+def test_ann_recall_on_embeddings(spark):
+    from weftline.plans import registry
+
+    exact, near = ({(r.query_id, r.id) for r in registry.queries()[name](spark, "/root/testdata/sf0.01").collect()} for name in ("vector_topk", "ann_topk"))
+    assert len(near & exact) / len(exact) >= 0.9
+
+
 def test_hybrid_absent_lane(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, id long, rank int")
     b = spark.createDataFrame([(1, 11, 1)], "query_id long, id long, rank int")

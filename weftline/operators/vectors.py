@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,36 +83,97 @@ def vector_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def ann_topk(rows: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 6, id_col: str = "vec_id", vector: str = "embedding", sample: int = 20_000) -> DataFrame:
+def _cells_of(v: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest centres of each row, nearest first, 1024 rows at a time."""
+    parts = [v[at : at + 1024] @ centres.T for at in range(0, len(v), 1024)]
+    near = [np.argmax(p, axis=1)[:, None] if n == 1 else np.argsort(-p, axis=1, kind="stable")[:, :n] for p in parts]
+    return np.concatenate(near) if near else np.zeros((0, n), np.int64)
+
+
+def _unit(rows: list) -> np.ndarray:
+    m = np.array(rows, np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def ann_topk(rows: DataFrame, queries: DataFrame, k: int, cells: int | None = None, probes: int | None = None, id_col: str = "vec_id", vector: str = "embedding", sample: int = 20_000, recall: float = 0.95) -> DataFrame:
     """Like vector_topk through an inverted file: rows go to their nearest of ``cells`` centres, queries search ``probes`` cells.
 
-    Centres are fitted on at most ``sample`` rows (by hash of the id); all rows are indexed.
+    Centres are fitted on at most ``sample`` rows (by hash of the id); all rows are indexed. Without ``cells`` there are as many
+    as the root of the number of rows, at least 16 and at most a quarter of the sample. Without ``probes`` as many are searched
+    as find ``recall`` of the true neighbours of 256 of the queries in the sample, whose neighbours are farther than those among
+    all rows. Cells are scored block against block; the blocks of a cell above the mean size are dealt over several join keys.
     """
-    share = min(1.0, sample / max(1, rows.count()))
+    n_rows = rows.count()
+    share = min(1.0, sample / max(1, n_rows))
     known = rows.filter((F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000)) & F.col(vector).isNotNull())
-    m = np.array([r[0] for r in known.orderBy(id_col).select(vector).collect()], np.float64)
+    m = [r[0] for r in known.orderBy(id_col).select(vector).collect()]
     if not len(m):
         return vector_topk(rows, queries, k, id_col, vector).drop("group")
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    centres = m[np.linspace(0, len(m) - 1, min(cells, len(m))).astype(int)]
+    m = _unit(m)
+    count = min(cells or max(16, min(int(n_rows**0.5), len(m) // 4)), len(m))
+    centres = m[np.linspace(0, len(m) - 1, count).astype(int)]
     for _ in range(10):
-        near = np.argmax(m @ centres.T, axis=1)
+        near = _cells_of(m, centres, 1)[:, 0]
         sums = np.stack([m[near == c].sum(0) if (near == c).any() else centres[c] for c in range(len(centres))])
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    near = _cells_of(m, centres, 1)[:, 0]
+    asked = queries.filter(F.col(vector).isNotNull())
+    if probes is None:
+        some = [r[0] for r in asked.orderBy(F.xxhash64("query_id"), "query_id").limit(256).select(vector).collect()]
+        probes = count
+        if some:
+            some = _unit(some)
+            place = np.argsort(_cells_of(some, centres, count), axis=1)
+            true = np.stack([np.argsort(-np.round(m @ x, 6), kind="stable")[:k] for x in some])
+            places = np.sort(np.take_along_axis(place, near[true], 1), axis=None)
+            probes = int(places[int(np.ceil(recall * len(places))) - 1]) + 1
+    parts = np.ceil(np.bincount(near, minlength=count) * count / len(m)).clip(1).astype(np.int64)
+
+    def assign(n: int, prefix: str):
+        names = [f"{prefix}cell", f"{prefix}part", f"{prefix}ids", f"{prefix}rows"]
+
+        def blocks(held: list[pa.RecordBatch], at: int) -> pa.RecordBatch:
+            ids = np.concatenate([np.asarray(b.column("i")) for b in held]).astype(np.int64)
+            v = _unit([x for b in held for x in b.column("v").to_pylist()])
+            cell = _cells_of(v, centres, n)
+            owner, cell = np.repeat(np.arange(len(ids)), cell.shape[1]), cell.ravel()
+            order = np.argsort(cell, kind="stable")
+            found, cut = np.unique(cell[order], return_index=True)
+            out = []
+            for c, mine in zip(found.tolist(), np.split(owner[order], cut[1:]), strict=True):
+                for b in range(0, len(mine), BLOCK):
+                    part = mine[b : b + BLOCK]
+                    # a row block goes to one part of its cell, a query block to all of them
+                    for p in [(at + b // BLOCK) % parts[c]] if prefix == "r_" else range(parts[c]):
+                        out.append((c, int(p), ids[part].tobytes(), v[part].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=names)
 
-    def assign(n: int, name: str):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size, at = [], 0, TaskContext.get().partitionId()
             for batch in batches:
-                if batch.num_rows:
-                    v = np.array(batch.column("v").to_pylist(), np.float64)
-                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                    cell = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :n]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("i")), cell.shape[1])), pa.array(cell.ravel().astype(np.int32)), pa.array([x for x in v.tolist() for _ in range(cell.shape[1])])], names=[name, "cell", f"{name}_v"])
+                held, size = held + [batch] * (batch.num_rows > 0), size + batch.num_rows
+                if size >= 4 * BLOCK:
+                    yield blocks(held, at)
+                    held, size, at = [], 0, at + 1
+            if held:
+                yield blocks(held, at)
 
         return work
 
-    r = rows.filter(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(vector).alias("v")).mapInArrow(assign(1, "id"), "id long, cell int, id_v array<double>")
-    q = queries.select(F.col("query_id").cast("long").alias("i"), F.col(vector).alias("v")).mapInArrow(assign(probes, "query_id"), "query_id long, cell int, query_id_v array<double>")
-    scored = q.join(r, "cell").select("query_id", "id", F.round(dot(F.col("query_id_v"), F.col("id_v")), 6).alias("score"))
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(c)[i].as_py() for c, n in enumerate(batch.schema.names)}
+                qi, ri = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["r_ids"], np.int64)
+                scores = np.round(np.frombuffer(row["q_rows"]).reshape(len(qi), -1) @ np.frombuffer(row["r_rows"]).reshape(len(ri), -1).T, 6)
+                best = np.stack([np.lexsort((ri, -s))[:k] for s in scores])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, best.shape[1])), pa.array(ri[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", "id", "score"])
+
+    def packed(df: DataFrame, key: str, n: int, prefix: str) -> DataFrame:
+        schema = f"{prefix}cell int, {prefix}part int, {prefix}ids binary, {prefix}rows binary"
+        return df.select(F.col(key).cast("long").alias("i"), F.col(vector).alias("v")).mapInArrow(assign(n, prefix), schema)
+
+    r, q = packed(rows.filter(F.col(vector).isNotNull()), id_col, 1, "r_"), packed(asked, "query_id", probes, "q_")
+    pairs = q.join(r, (F.col("q_cell") == F.col("r_cell")) & (F.col("q_part") == F.col("r_part"))).select("q_ids", "q_rows", "r_ids", "r_rows")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return pairs.mapInArrow(score, "query_id long, id long, score double").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
