@@ -22,6 +22,13 @@ def text_functions(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.fold(s).alias("folded"), T.token_estimate(F.col("text"), 4.2).alias("tokens"), T.preview(F.col("text"), 60).alias("preview"), T.bounded_id(s, 40).alias("bounded"), T.match_key(F.col("source")).alias("match_key"), F.sha2("text", 256).alias("digest"))
 
 
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS s FROM documents)
+SELECT doc_id, {_FOLD.format("s")} AS folded, CASE WHEN length(s) <= 40 THEN s ELSE substr(s, 1, 31) || '_' || substr(sha1(s), 1, 8) END AS bounded FROM d""")
+def text_functions_whole(t: Tables) -> DataFrame:
+    s = F.coalesce("text", F.lit(""))
+    return t.documents.select("doc_id", T.fold(s).alias("folded"), T.bounded_id(s, 40).alias("bounded"))
+
+
 @query("""WITH k AS (SELECT doc_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(source || '/' || doc_id)) AS h FROM documents)
 SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || CASE WHEN substr(h, 17, 1) IN ('0','4','8','c') THEN '8' WHEN substr(h, 17, 1) IN ('1','5','9','d') THEN '9' WHEN substr(h, 17, 1) IN ('2','6','a','e') THEN 'a' ELSE 'b' END || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM k""")
 def stable_ids(t: Tables) -> DataFrame:
