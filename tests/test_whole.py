@@ -5,7 +5,10 @@ import re
 import unicodedata
 from types import SimpleNamespace
 
-from weftline.plans import corpus
+from pyspark.sql import functions as F
+
+from weftline.operators import evalmetrics
+from weftline.plans import corpus, evaluation
 
 
 def test_text_functions_reach_the_end(spark):
@@ -20,3 +23,23 @@ def test_text_functions_reach_the_end(spark):
 
     assert got == {i: want(x or "") for i, x in texts.items()}
     assert got[1][1] != got[2][1]
+
+
+def test_metrics_count_all_relevant_rows(spark):
+    vectors = {0: [1.0, 0.0], 1: [1.0, 0.1], 2: [1.0, 0.2], 3: [0.0, 1.0], 20: [0.1, 1.0]} | {30 + i: [-1.0, i / 10] for i in range(9)}
+    labels = {i: "b" if i in (1, 20) else "a" for i in vectors}
+    df = spark.createDataFrame([(i, v, labels[i]) for i, v in vectors.items()], "vec_id long, embedding array<double>, label string")
+    got = {r.query_id: r for r in evaluation.deterministic_metrics_whole(SimpleNamespace(embeddings=df)).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    for q in (0, 20):
+        found = sorted(vectors, key=lambda i: (-round(cos(vectors[q], vectors[i]), 6), i))[:10]
+        gold = {i for i in vectors if labels[i] == labels[q]}
+        hits = [i in gold for i in found]
+        assert (got[q].hits, got[q].recall, got[q].precision, got[q].hit_rate, got[q].mrr) == (sum(hits), round(sum(hits) / len(gold), 6), sum(hits) / 10, 1, round(1 / (hits.index(True) + 1), 6))
+    assert got[20].hits == 2
+
+
+def test_set_metrics(spark):
+    df = spark.createDataFrame([(1, [3, 4, 4], [9, 4, 3]), (2, [], [1]), (3, [1], [])], "i int, gold array<int>, found array<int>")
+    got = {r.i: tuple(r)[1:] for r in df.select("i", *[c.alias(n) for n, c in evalmetrics.set_metrics(F.col("gold"), F.col("found")).items()]).collect()}
+    assert got == {1: (2, 1.0, 2 / 3, 1, 0.5), 2: (0, None, 0.0, None, 0.0), 3: (0, 0.0, None, 0, 0.0)}

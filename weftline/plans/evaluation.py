@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators import evalmetrics as M
 from weftline.operators import fusion
 from weftline.plans.common import Tables, query
-from weftline.plans.retrieval import _top, top
+from weftline.plans.retrieval import _top, top, vec_queries
 
 _REL = f"{_top(50)}, r AS (SELECT query_id, id, rank, label = q_label AS relevant FROM top)"
 
@@ -18,6 +18,15 @@ def _relevant(t: Tables, k: int = 50) -> DataFrame:
     return top(t, k).select("query_id", "id", "rank", (F.col("label") == F.col("q_label")).alias("relevant"))
 
 
+def _gold_metrics(t: Tables, hit: Column, gold: str) -> DataFrame:
+    """Set metrics of the first ten, with relevance as a flag and the gold size from counts by label, which ``gold`` filters."""
+    sizes = t.embeddings.filter(gold).groupBy("label").agg(F.count("*").alias("n_gold"))
+    n_gold = vec_queries(t).select("query_id", F.col("q_label").alias("label")).join(sizes, "label").select("query_id", "n_gold")
+    relevant = F.col("relevant") & hit
+    found = _relevant(t, 10).groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(relevant).cast("int").alias("hits"), F.min(F.when(relevant, F.col("rank"))).alias("first"))
+    return found.join(n_gold, "query_id").select("query_id", "hits", F.round(F.col("hits") / F.col("n_gold"), 6).alias("recall"), F.round(F.col("hits") / F.col("n"), 6).alias("precision"), (F.col("hits") > 0).cast("int").alias("hit_rate"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
+
+
 @query(f"""WITH {_REL}, g AS (SELECT query_id, CAST(sum(CASE WHEN relevant AND rank <= 10 THEN 1 ELSE 0 END) AS BIGINT) AS hits, min(rank) FILTER (relevant) AS first_rank, sum(CASE WHEN relevant AND rank <= 10 THEN 1 / log2(rank + 1.0) ELSE 0 END) AS dcg FROM r GROUP BY query_id)
 SELECT query_id, hits, CAST(hits > 0 AS INT) AS recall_at_k, round(coalesce(1 / first_rank, 0), 6) AS mrr, round(CASE WHEN hits > 0 THEN dcg / list_sum(list_transform(range(1, hits + 1), lambda i: 1 / log2(i + 1.0))) ELSE 0 END, 6) AS ndcg, first_rank FROM g""")
 def retrieval_metrics(t: Tables) -> DataFrame:
@@ -29,11 +38,14 @@ f AS (SELECT query_id, list(id ORDER BY rank) AS found FROM r WHERE rank <= 10 G
 x AS (SELECT query_id, gold, found, len(list_intersect(found, gold)) AS hits, list_filter(range(1, len(found) + 1), lambda i: list_contains(gold, found[i])) AS places FROM f JOIN gold USING (query_id))
 SELECT query_id, CAST(hits AS INT) AS hits, round(hits / nullif(len(gold), 0), 6) AS recall, round(hits / nullif(len(found), 0), 6) AS precision, CAST(hits > 0 AS INT) AS hit_rate, round(coalesce(1 / places[1], 0), 6) AS mrr FROM x""")
 def deterministic_metrics(t: Tables) -> DataFrame:
-    gold = t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(t.embeddings.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("g"), "label"), "label").groupBy("query_id").agg(F.collect_list("g").alias("gold"))
-    found = _relevant(t, 10).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("f"))
-    both = found.join(gold, "query_id").withColumn("found", F.transform("f", lambda x: x["id"]))
-    m = M.set_metrics(F.col("gold"), F.col("found"))
-    return both.select("query_id", m["hits"].alias("hits"), *[F.round(m[c], 6).alias(c) for c in ("recall", "precision")], m["hit_rate"].alias("hit_rate"), F.round(m["mrr"], 6).alias("mrr"))
+    return _gold_metrics(t, F.col("id") % 10 == 0, "vec_id % 10 = 0")
+
+
+@query(f"""WITH {_REL}, n AS (SELECT label, count(*) AS n_gold FROM embeddings GROUP BY label), gold AS (SELECT vec_id AS query_id, n_gold FROM embeddings JOIN n USING (label) WHERE vec_id % 20 = 0),
+x AS (SELECT query_id, count(*) AS n, count(*) FILTER (relevant) AS hits, min(rank) FILTER (relevant) AS first_rank FROM r WHERE rank <= 10 GROUP BY 1)
+SELECT query_id, CAST(hits AS INT) AS hits, round(hits / n_gold, 6) AS recall, round(hits / n, 6) AS precision, CAST(hits > 0 AS INT) AS hit_rate, round(coalesce(1 / first_rank, 0), 6) AS mrr FROM x JOIN gold USING (query_id)""")
+def deterministic_metrics_whole(t: Tables) -> DataFrame:
+    return _gold_metrics(t, F.lit(True), "true")
 
 
 @query(f"""WITH {_REL}, c AS (SELECT unnest([('pool', 50), ('top20', 20), ('top12', 12), ('selected', 5)]) AS s), st AS (SELECT s[1] AS stage, s[2] AS k FROM c),
