@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import evalmetrics
 from weftline.plans import corpus, evaluation
+from weftline.plans import delta as plans_delta
 
 
 def test_text_functions_reach_the_end(spark):
@@ -43,3 +44,22 @@ def test_set_metrics(spark):
     df = spark.createDataFrame([(1, [3, 4, 4], [9, 4, 3]), (2, [], [1]), (3, [1], [])], "i int, gold array<int>, found array<int>")
     got = {r.i: tuple(r)[1:] for r in df.select("i", *[c.alias(n) for n, c in evalmetrics.set_metrics(F.col("gold"), F.col("found")).items()]).collect()}
     assert got == {1: (2, 1.0, 2 / 3, 1, 0.5), 2: (0, None, 0.0, None, 0.0), 3: (0, 0.0, None, 0, 0.0)}
+
+
+def test_snapshot_sees_every_row(spark):
+    def mark(lang, ids, vectors):
+        docs = spark.createDataFrame([(i, lang) for i in ids], "doc_id long, lang string")
+        vecs = spark.createDataFrame([(i, [1.0] if v else None) for i, v in vectors], "vec_id long, embedding array<double>")
+        return {r.name: tuple(r)[1:] for r in plans_delta.corpus_snapshot(SimpleNamespace(documents=docs, embeddings=vecs)).collect()}
+
+    def want(ids):
+        parts = {}
+        for i in sorted(ids):
+            parts.setdefault(i >> 16, []).append(str(i))
+        md5 = lambda x: hashlib.md5("\n".join(x).encode()).hexdigest()
+        return md5([f"{p}:{len(x)}:{md5(x)}" for p, x in sorted(parts.items())])
+
+    ids = [5, 70000, 3, 200000, 65535, 65536]
+    got = mark("en", ids, [(1, True), (2, False)])
+    assert got == {"documents": (6, 3, 200000, None, want(ids)), "embeddings": (2, 1, 2, 1, want([1, 2]))}
+    assert mark("en", [4, *ids[1:]], [(1, True), (2, False)])["documents"] != got["documents"]

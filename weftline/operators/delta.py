@@ -73,3 +73,15 @@ def validate(df: DataFrame, checks: dict[str, Column], key: str, order: list[Col
     again = F.row_number().over(Window.partitionBy(key).orderBy(*order)) > 1
     names = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in checks.items()]
     return df.withColumn("errors", F.array_compact(F.array(*names, F.when(again & F.col(key).isNotNull(), F.lit("duplicate")))))
+
+
+def snapshot(ids: DataFrame, bits: int = 16) -> DataFrame:
+    """name, n, lo, hi, vectors, mark of each table in ids (name, id long, filled boolean: has the row its vector?).
+
+    mark has two levels, so that no task holds more than the ids of one range of 2^bits: of each range the md5 of its ids in
+    order, one a line; then the md5 of the lines range:count:md5 in order of the ranges (id >> bits).
+    """
+    lines = lambda c: F.array_join(c, "\n")
+    part = ids.groupBy("name", F.shiftright("id", bits).alias("part")).agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum(F.col("filled").cast("long")).alias("vectors"), F.md5(lines(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")))).alias("mark"))
+    marks = F.transform(F.array_sort(F.collect_list(F.struct("part", "n", "mark"))), lambda x: F.concat_ws(":", x["part"].cast("string"), x["n"].cast("string"), x["mark"]))
+    return part.groupBy("name").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("vectors").alias("vectors"), F.md5(lines(marks)).alias("mark"))

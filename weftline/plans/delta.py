@@ -99,6 +99,14 @@ def corpus_fingerprint(t: Tables) -> DataFrame:
     return d.agg(F.lit("documents").alias("name"), F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), "\n")).alias("mark"))
 
 
+@query("""WITH ids AS (SELECT 'documents' AS name, doc_id AS id, CAST(NULL AS BOOLEAN) AS filled FROM documents UNION ALL SELECT 'embeddings', vec_id, embedding IS NOT NULL FROM embeddings),
+p AS (SELECT name, id >> 16 AS part, count(*) AS n, min(id) AS lo, max(id) AS hi, sum(CAST(filled AS BIGINT)) AS vectors, md5(string_agg(CAST(id AS VARCHAR), chr(10) ORDER BY id)) AS mark FROM ids GROUP BY 1, 2)
+SELECT name, CAST(sum(n) AS BIGINT) AS n, min(lo) AS lo, max(hi) AS hi, CAST(sum(vectors) AS BIGINT) AS vectors, md5(string_agg(part || ':' || n || ':' || mark, chr(10) ORDER BY part)) AS mark FROM p GROUP BY name""")
+def corpus_snapshot(t: Tables) -> DataFrame:
+    documents = t.documents.select(F.lit("documents").alias("name"), F.col("doc_id").cast("long").alias("id"), F.lit(None).cast("boolean").alias("filled"))
+    return D.snapshot(documents.unionByName(t.embeddings.select(F.lit("embeddings").alias("name"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").isNotNull().alias("filled"))))
+
+
 @query("WITH a AS (SELECT sha256(text) AS s, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), b AS (SELECT sha256(text) AS s, count(*) AS n FROM documents WHERE doc_id % 2 = 1 GROUP BY 1) SELECT CAST(sum(coalesce(a.n, 0)) AS BIGINT) AS n_left, CAST(sum(coalesce(b.n, 0)) AS BIGINT) AS n_right, CAST(sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) AS BIGINT) AS shared, round(sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) / sum(coalesce(a.n, 0)), 6) AS coverage FROM a FULL OUTER JOIN b USING (s)")
 def text_overlap(t: Tables) -> DataFrame:
     def side(r: int, n: str) -> DataFrame:
