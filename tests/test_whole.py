@@ -5,10 +5,11 @@ import re
 import unicodedata
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import evalmetrics
-from weftline.plans import corpus, evaluation
+from weftline.plans import common, corpus, evaluation, payloads, registry
 from weftline.plans import delta as plans_delta
 
 
@@ -63,3 +64,20 @@ def test_snapshot_sees_every_row(spark):
     got = mark("en", ids, [(1, True), (2, False)])
     assert got == {"documents": (6, 3, 200000, None, want(ids)), "embeddings": (2, 1, 2, 1, want([1, 2]))}
     assert mark("en", [4, *ids[1:]], [(1, True), (2, False)])["documents"] != got["documents"]
+
+
+def test_no_query_is_lost():
+    assert {"manifest_errors", "manifest_validation"} <= set(registry.queries()) & set(registry.oracles())
+
+    def manifest_errors(t):
+        return t.documents
+
+    with pytest.raises(ValueError, match="manifest_errors"):
+        common.query()(manifest_errors)
+
+
+def test_contents_of_a_long_order(spark):
+    lines = spark.range(1, 251).selectExpr("1L AS l_orderkey", "CAST(id AS INT) AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "'F' AS l_linestatus")
+    rows = payloads.contents_articles(SimpleNamespace(lineitem=lines)).collect()
+    assert sum(r.aliases.count("-") for r in rows) == 250
+    assert {r.version_id for r in rows} == {"LEGIARTI250-250", "LEGIARTI249-249", "LEGIARTI248-248"}

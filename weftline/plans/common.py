@@ -21,9 +21,12 @@ class Tables:
 
 
 def query(sql: str | None = None):
-    """Register f(tables) -> DataFrame under its name."""
+    """Register f(tables) -> DataFrame under its name, which must be new."""
 
     def register(f: Callable[[Tables], DataFrame]):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"query {f.__name__} is registered already")
+
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(Tables(spark, sf_dir))
 

@@ -77,7 +77,7 @@ def id_remap(t: Tables) -> DataFrame:
 
 @query("""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE source || (doc_id % 50) END AS uid, CASE WHEN doc_id % 8 = 0 THEN '' ELSE lang END AS lang FROM documents), y AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY doc_id) > 1 AND uid IS NOT NULL AS again FROM x)
 SELECT doc_id, list_filter([CASE WHEN uid IS NULL THEN 'uid' END, CASE WHEN NOT lang IN ('en', 'de', 'fr', 'es') THEN 'lang' END, CASE WHEN again THEN 'duplicate' END], lambda e: e IS NOT NULL) AS errors FROM y""")
-def manifest_validation(t: Tables) -> DataFrame:
+def manifest_errors(t: Tables) -> DataFrame:
     i = F.col("doc_id")
     x = t.documents.select("doc_id", F.when(i % 9 != 0, F.concat("source", (i % 50).cast("string"))).alias("uid"), F.when(i % 8 == 0, "").otherwise(F.col("lang")).alias("lang"))
     return D.validate(x, {"uid": F.col("uid").isNotNull(), "lang": F.col("lang").isin("en", "de", "fr", "es")}, "uid", [i]).select("doc_id", "errors")

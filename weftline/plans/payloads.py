@@ -46,7 +46,7 @@ def page_batch_totals(t: Tables) -> DataFrame:
 def contents_articles(t: Tables) -> DataFrame:
     node = F.struct(F.col("l_linenumber").alias("num"), F.concat(F.lit("LEGIARTI"), "l_partkey", F.lit("-"), "l_linenumber").alias("id"), F.concat(F.lit("LEGIARTI"), F.col("l_suppkey") % 3).alias("cid"), F.when(F.col("l_linestatus") == "O", "Vigueur").otherwise("ABROGE").alias("etat"))
     nodes = t.lineitem.groupBy(F.col("l_orderkey").alias("payload_id")).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
-    tree = F.struct(F.struct(F.slice("nodes", 1, 2).alias("articles")).alias("section"), F.slice("nodes", 3, 100).alias("articles"))
+    tree = F.struct(F.struct(F.slice("nodes", 1, 2).alias("articles")).alias("section"), F.slice("nodes", F.lit(3), F.greatest(F.size("nodes") - 2, F.lit(0))).alias("articles"))
     found = P.contents_articles(nodes.select("payload_id", F.to_json(tree).alias("payload")))
     return found.withColumn("aliases", F.array_join("aliases", ","))
 
