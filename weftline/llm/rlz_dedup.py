@@ -79,6 +79,9 @@ def parse(words: np.ndarray, offsets: np.ndarray, hit: np.ndarray, base: np.ndar
 
 def factor_block(table: pa.Table, length: int) -> pa.Table:
     """All segments of one reference block: runs of windows to remove, by document block."""
+    local = windows.local_runs(table)
+    if local is not None:
+        return windows.to_table(local, windows.RUN_SCHEMA)
     g = windows.gather(table)
     starts, ends = scan.spans(scan.NOT_SPACE[g.data], g.offsets)
     words, offsets = scan.span_hashes(g.data, starts, ends), np.searchsorted(starts, g.offsets)

@@ -75,6 +75,9 @@ def widen(data: bytes) -> np.ndarray:
 
 def scan_batch(table: pa.Table, length: int, merge_with: list[int], keep: bool) -> pa.Table:
     """One bucket: flag the batch's windows against its own smaller ids and all levels; carry levels upward."""
+    local = windows.local_runs(table)
+    if local is not None:
+        return windows.to_table([{"kind": "run", "key": r["block"], "a": r["starts"], "b": r["counts"], "c": None} for r in local], STEP_SCHEMA)
     kinds = table.column("kind").to_pylist()
     bucket = table.column("bucket")[0].as_py()
     fresh = table.filter(pa.array([k is None for k in kinds]))

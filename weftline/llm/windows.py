@@ -8,11 +8,12 @@ Three passes over the blocks (packed rows of a few MB of text, written once, buc
 
 1. minimisers, each once a block, go to buckets by hash; a bit for each comes back: does another block have it?
 2. segments whose minimiser occurs in more than one document go to the same buckets, text and all; what the caller's
-   function finds there (runs of windows that also start in a document of smaller id) comes back per block;
+   function finds there (runs of windows that also start in a document of smaller id) comes back per block. Copies within a
+   block stay out of the buckets, but for those of its least id: the others are to be removed in any case;
 3. each block paints its runs and yields its documents.
 
 Only minimisers of all text and the text of shared segments are shuffled; a common passage costs one minimiser a block in
-pass 1. Nothing is capped and no pair of documents is ever formed.
+pass 1 and its text once a block in pass 2. Nothing is capped and no pair of documents is ever formed.
 """
 
 from __future__ import annotations
@@ -164,7 +165,11 @@ def shared_keys(plan: Plan, blocks: DataFrame) -> DataFrame:
 
 
 def shared_segments(plan: Plan, blocks: DataFrame, bits: DataFrame) -> DataFrame:
-    """Segments whose key more than one document has, packed by bucket and block."""
+    """Segments whose key more than one document has, packed by bucket and block.
+
+    Of the equal segments of a block only those of its least id are packed. The others start in a smaller id's document within
+    the block, whatever other blocks hold: they are runs to remove, in a row of a negative bucket (see ``local_runs``).
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -184,11 +189,20 @@ def shared_segments(plan: Plan, blocks: DataFrame, bits: DataFrame) -> DataFrame
             shared[which[order][1:][twice]] = True
             keep = np.flatnonzero(shared[which])
             keep = keep[np.argsort(bucket_of(keys[keep], plan.buckets), kind="stable")]
-            cut = np.searchsorted(bucket_of(keys[keep], plan.buckets), np.arange(plan.buckets + 1))
             begin, end = first[keep], first[keep] + count[keep] + plan.length - 1
             if s.starts is not None:
                 begin, end = s.starts[begin], s.ends[end - 1]
+            number: dict[bytes, int] = {}
+            same = np.fromiter((number.setdefault(buf[x:y].tobytes(), len(number)) for x, y in zip(begin.tolist(), end.tolist(), strict=True)), np.int64, len(keep))
+            least = np.full(len(number), np.iinfo(np.int64).max)
+            np.minimum.at(least, same, ids[doc[keep]])
+            later = ids[doc[keep]] > least[same]
             rows = []
+            if later.any():
+                local = -1 - int(scan.mix(np.array([row["block"]], U))[0] >> U(33))
+                rows.append({"bucket": local, "block": row["block"], "docs": b"", "starts": first[keep[later]].astype(np.int32).tobytes(), "sizes": count[keep[later]].astype(np.int32).tobytes(), "data": b""})
+            keep, begin, end = keep[~later], begin[~later], end[~later]
+            cut = np.searchsorted(bucket_of(keys[keep], plan.buckets), np.arange(plan.buckets + 1))
             for b in np.flatnonzero(np.diff(cut)):
                 mine = slice(cut[b], cut[b + 1])
                 rows.append({
@@ -202,6 +216,13 @@ def shared_segments(plan: Plan, blocks: DataFrame, bits: DataFrame) -> DataFrame
     return joined.mapInArrow(emit, SEGMENT_SCHEMA)
 
 
+def local_runs(table: pa.Table) -> list[dict] | None:
+    """Of a negative bucket the runs that its blocks found by themselves; None for other buckets."""
+    if table.column("bucket")[0].as_py() >= 0:
+        return None
+    return [{"block": r["block"], "starts": r["starts"], "counts": r["sizes"]} for r in table.select(["block", "starts", "sizes"]).to_pylist()]
+
+
 @dataclass
 class Gathered:
     """What one bucket holds: symbols of all segments end to end and, per segment, block, document, first window, offsets."""
