@@ -51,15 +51,26 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+#: Tokens too common in labels and titles to make a candidate.
+STOP = "a au aux de des du et la le les un une dans pour sur fiche article juillet code general fonction publique".split()
+#: Join keys of one token, so that a hot one is no single task's.
+DEAL = 8
+
+
 def entity_link(labels: DataFrame, candidates: DataFrame, floor: float = 0.05) -> DataFrame:
-    """query_id, cand_id, score, ambiguous: the best candidate title of each label that shares a token with it.
+    """query_id, cand_id, score, ambiguous: the best candidate title of each label that equals it or shares a token with it.
 
-    Score: 1 if equal when folded, .92 if one contains the other, else the greater of .7 query and .3 title token coverage and
-    .85 string similarity. ambiguous: the second best is within ``floor``.
+    Both are folded. Tokens of one letter and those in STOP make no candidate, but count in the score: 1 if equal when folded,
+    .92 if one contains the other, else the greater of .7 query and .3 title token coverage and .85 string similarity.
+    ambiguous: the second best is within ``floor``.
     """
-    q, c = labels.withColumn("a", T.fold(F.col("label"))), candidates.withColumn("b", T.fold(F.col("title")))
-    tokens = lambda df, key, col: df.select(key, col, F.explode(F.array_distinct(F.filter(F.split(col, " "), lambda w: F.length(w) > 3))).alias("token"))
-    pairs = tokens(q, "query_id", "a").join(tokens(c, "cand_id", "b"), "token").select("query_id", "cand_id", "a", "b").distinct()
+    q, c = labels.select("query_id", T.fold(F.col("label")).alias("a")), candidates.select("cand_id", T.fold(F.col("title")).alias("b"))
+    tokens = lambda col: F.explode(F.array_distinct(F.filter(F.split(col, " "), lambda w: (F.length(w) > 1) & ~w.isin(STOP)))).alias("token")
+    dealt_q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
+    dealt_c = c.withColumn("part", F.pmod(F.xxhash64("cand_id"), F.lit(DEAL)).cast("int"))
+    asked, listed = dealt_q.select("*", tokens("a")), dealt_c.select("*", tokens("b"))
+    equal = dealt_q.filter("a <> ''").withColumn("k", F.col("a")).join(dealt_c.withColumn("k", F.col("b")), ["k", "part"])
+    pairs = asked.join(listed, ["token", "part"]).select("query_id", "cand_id", "a", "b").unionByName(equal.select("query_id", "cand_id", "a", "b")).distinct()
     ta, tb = F.array_distinct(F.split("a", " ")), F.array_distinct(F.split("b", " "))
     both = F.size(F.array_intersect(ta, tb))
     fuzzy = F.greatest(0.7 * both / F.size(ta) + 0.3 * both / F.size(tb), 0.85 * ratio("a", "b"))
