@@ -37,21 +37,7 @@ def keys(n: int, seed: int) -> np.ndarray:
 
 
 BYTE_KEYS = keys(256, 1)
-_BASE = int(keys(1, 2)[0]) | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: int, n: int, name: str) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        out = np.full(size, base, dtype=_U)
-        out[0] = 1
-        have = np.multiply.accumulate(out)
-        if size <= 4 * SLICE_BYTES:
-            _powers[name] = have
-    return have[:n]
+_tables: dict[str, np.ndarray] = {}
 
 
 def byte_table(ranges: list[tuple[int, int]], inside: bool) -> np.ndarray:
@@ -109,36 +95,77 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
+def _places(n: int, salt: int) -> np.ndarray:
+    """Random values of the places 0 .. n - 1, the same for any n."""
+    have = _tables.get(f"places{salt}")
+    if have is None or len(have) < n:
+        have = keys(max(n, 4096), 40 + salt)
+        if len(have) <= 4 * SLICE_BYTES:
+            _tables[f"places{salt}"] = have
+    return have[:n]
+
+
+def sum_at_places(values: np.ndarray, counts: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of ``counts`` values, end to end: the sum of a mixed value for each value and its place.
+
+    Two different runs agree only if sums of independent random values do, whatever their form: unlike a polynomial modulo
+    2^64, no arrangement of two symbols collides by itself.
+    """
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(values) + 1, _U)
+        ends = np.cumsum(counts)
+        place = np.arange(len(values)) - np.repeat(ends - counts, counts)
+        np.cumsum(mix(values + _places(int(counts.max(initial=0)), salt)[place]), out=total[1:])
+        return mix(total[ends] - total[ends - counts] + counts.astype(_U) * _U(_GOLD))
+
+
+#: The last bytes of a span: so many low bytes of a word of eight.
+_LOW_BYTES = np.array([0] + [(1 << (8 * k)) - 1 for k in range(1, 9)], dtype=_U)
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span (polynomial over random byte keys, then mixed with the length)."""
+    """A 64-bit hash of the bytes of each span; another salt gives an independent one. Eight bytes are one value."""
     if len(starts) == 0:
         return np.zeros(0, _U)
+    words = np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]).tobytes(), 0, (1,))
+    size = ends - starts
+    each = (size + 7) >> 3
+    last = np.cumsum(each)
+    at = np.arange(int(last[-1])) - np.repeat(last - each, each)
+    left = np.repeat(size, each) - 8 * at
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(buf) + 1, _U)
-        np.cumsum(BYTE_KEYS[buf] * _power(_BASE, len(buf), "base"), out=sums[1:])
-        h = (sums[ends] - sums[starts]) * _power(_INVERSE, len(buf), "inverse")[starts]
-        return mix(h + (ends - starts).astype(_U) * _U(_GOLD) + _U(salt))
+        values = words[np.repeat(starts, each) + 8 * at] & _LOW_BYTES[np.minimum(left, 8)]
+        return mix(sum_at_places(values, each, salt) + size.astype(_U) * _U(_GOLD))
 
 
 def window_hashes(h: np.ndarray, n: int, seed: int = 3) -> np.ndarray:
-    """Hash of h[i:i+n] for each i, by doubling; len(h) - n + 1 values (none if shorter)."""
+    """Hash of h[i:i+n] for each i, by doubling; len(h) - n + 1 values (none if shorter).
+
+    Each joining of two halves ends in a shift by which it is not linear, so that no pattern of two symbols collides by itself.
+    """
     if len(h) < n:
         return np.zeros(0, _U)
-    base = int(keys(1, seed)[0]) | 1
+    base = keys(64, seed) | _U(1)
+
+    def join(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
+        x = a * base[step] + b
+        x ^= x >> _U(29)
+        return x
+
     with np.errstate(over="ignore"):
-        out, done, block, size = None, 0, h, 1
+        out, done, block, size, level = None, 0, h, 1, 0
         while True:
             if n & size:
                 if out is None:
                     out = block
                 else:  # out covers the first `done`, block the next `size`
                     m = min(len(out), len(block) - done)
-                    out = out[:m] + block[done : done + m] * _U(pow(base, done, 1 << 64))
+                    out = join(out[:m], block[done : done + m], 32 + level)
                 done += size
             if done == n:
                 return mix(out[: len(h) - n + 1])
             m = len(block) - size
-            block, size = block[:m] + block[size:] * _U(pow(base, size, 1 << 64)), size * 2
+            block, size, level = join(block[:m], block[size:], level), size * 2, level + 1
 
 
 def slide_min(x: np.ndarray, n: int) -> np.ndarray:

@@ -244,15 +244,10 @@ def gather(table: pa.Table) -> Gathered:
 def collapse(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of segments (runs of symbols), one representative of each distinct one, and the representative's number for each.
 
-    Segments count as equal by two independent 64-bit hashes and their lengths.
+    Segments count as equal by two 64-bit hashes of independent random values.
     """
-    with np.errstate(over="ignore"):
-        keys = []
-        for seed in (11, 12):
-            sums = np.zeros(len(hashes) + 1, U)
-            np.cumsum(scan.mix(hashes + U(seed)) * scan._power(scan._BASE, len(hashes), "base"), out=sums[1:])
-            keys.append((sums[offsets[1:]] - sums[offsets[:-1]]) * scan._power(scan._INVERSE, len(hashes) + 1, "inverse")[offsets[:-1]])
-        both = scan.mix(keys[0] + np.diff(offsets).astype(U)) ^ scan.mix(keys[1])
+    keys = [scan.sum_at_places(hashes, np.diff(offsets), salt) for salt in (11, 12)]
+    both = keys[0]
     order = np.lexsort((keys[1], both))
     fresh = np.ones(len(order), bool)
     fresh[1:] = (both[order][1:] != both[order][:-1]) | (keys[1][order][1:] != keys[1][order][:-1])
