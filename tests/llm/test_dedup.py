@@ -126,7 +126,7 @@ def test_near_duplicates(spark, seed, size):
         docs.append((i, " ".join(w)))
     docs += [(200, None), (201, ""), (202, "One"), (203, "one"), (204, " \n")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    got = sorted(tuple(r) for r in near_duplicates(df, size, 80, block=7).collect())
+    got = sorted(tuple(r) for r in near_duplicates(df, size, 80, part=300).collect())
     assert got == components(docs, size, 80)
 
 
@@ -142,6 +142,59 @@ def test_links_beside_the_hub(spark):
         docs.append((i, " ".join(w)))
     docs.append((99, " ".join(original)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = sorted(tuple(r) for r in near_duplicates(df, 1, 80, block=8).collect())
+    got = sorted(tuple(r) for r in near_duplicates(df, 1, 80, part=700).collect())
     assert got == components(docs, 1, 80)
     assert {r[2] for r in got} == {0}
+
+
+def thue_morse(n, a, b):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join(b if x else a for x in bits[:n])
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2^64, whatever the base."""
+    x, y = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    df = spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")
+    assert sorted(r.component_id for r in near_duplicates(df, 2, 80).collect()) == [1, 2]
+    assert sorted(r.component_id for r in near_duplicates(df, 1, 80).collect()) == [1, 2]
+    lists = [(1, " ".join([x] * 60)), (2, " ".join([y] * 60)), (3, " ".join(thue_morse(1024, "a", "b"))), (4, " ".join(thue_morse(1024, "b", "a")))]
+    df = spark.createDataFrame(lists, "doc_id long, text string")
+    want = []
+    for d, w, g in brute(lists, lambda t: tuple(SPACE.findall(t)), 50):
+        want.append((d, len(w), sum(g)))
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in rlz_dedup(df, 50).collect()) == sorted(want)
+
+
+def test_rows_of_one_id_are_one_node(spark):
+    """An id with two texts links the copies of both; many equal rows of one id count once; clashing columns are not read."""
+    rng = random.Random(3)
+    one, two = ([f"{c}{rng.randint(0, 10**6)}" for _ in range(60)] for c in "xy")
+    rows = [(7, " ".join(one))] * 300 + [(7, " ".join(two)), (3, " ".join(one[:-1])), (9, " ".join(two + ["z"])), (11, "else")]
+    rows += [(20, " ".join(one[1:]))] * 200
+    df = spark.createDataFrame([(d, t, 1, "k") for d, t in rows], "doc_id long, text string, cid int, component string").repartition(3)
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(df, 1, 80).collect()}
+    assert got == {(7, 3, False), (3, 3, True), (9, 3, False), (20, 3, False), (11, 11, True)}
+    assert near_duplicates(df, 1, 80).count() == len(rows)
+
+
+def test_chains_and_recall(spark):
+    """Near copies that link in chains only, and a dense group most of whose pairs are below the threshold."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randint(0, 10**9)}"
+    chain, docs = [word() for _ in range(100)], []
+    for i in range(40):
+        docs.append((i, " ".join(chain)))
+        chain = chain[8:] + [word() for _ in range(8)]
+    base = [word() for _ in range(100)]
+    for i in range(200):
+        w = list(base)
+        for j in rng.sample(range(100), rng.randint(5, 18)):
+            w[j] = word()
+        docs.append((1000 - i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = components(docs, 1, 80)
+    for part in (400, 2_000_000):
+        assert sorted(tuple(r) for r in near_duplicates(df, 1, 80, part=part).collect()) == want

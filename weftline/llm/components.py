@@ -28,7 +28,7 @@ def small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int = 100) -> DataFrame:
-    """node, component (least node of its component) of all nodes that have an edge; edges: u, v (any order, no loops).
+    """node, component (least node of its component) of all nodes that have an edge but that least one; edges: u, v (any order).
 
     A node with very many neighbours costs no more than its edges: minima are summed up within tasks first, and its edges are
     joined to one row. Each round is written to the shared folder.

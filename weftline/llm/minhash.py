@@ -1,18 +1,25 @@
 """MinHash near-dedup: universal hash minima, banding, verification, connected components.
 
-1. Tasks cut texts into sets of word shingles and take ``bands * rows`` minima of them under universal hashes. Documents with
-   one set form a class; only its least document goes on.
-2. Classes that agree in all minima of a band meet in a bucket. Each is paired with the least class of its buckets; pairs
-   whose signatures agree well enough are confirmed on the full sets. Components of the confirmed links follow.
-3. Buckets that still hold more than one component may hide links that don't touch the least class. They are compared within
-   tasks, in blocks of at most ``block`` classes against one another: signatures first, then full sets, skipping what is
-   connected by then, so that a block yields a spanning set of links and never all its pairs. Components follow again.
+1. Tasks cut texts into sets of word shingles and take ``bands * rows`` minima of them under universal hashes. Rows with one
+   set form a class; only classes go on.
+2. Classes that agree in all minima of a band meet in a bucket. Each is paired with its bucket's hub, the class whose buckets
+   are the fullest (of many near copies that is the text they were made from, or the nearest to it); pairs whose signatures
+   agree well enough are confirmed on the full sets. Components of the confirmed links follow.
+3. Buckets that still hold more than one component may hide links that don't touch the hub. In each the classes outside its
+   largest component are compared with all others, in tasks of at most ``part`` shingles a side: an index from shingles to
+   sets counts the intersections of one set with all others exactly. Only links that join components leave the task.
+   Components follow again.
+
+Pairs never become rows. Rows of the third step are the classes of mixed buckets, once, as long as what lies outside the
+largest component fits one part; each further part of it meets all parts, so that the comparisons (not the rows) of a bucket
+of n classes of which k are outside the largest component are k * n. No method that finds every link does without them.
 
 At similarity 0.8, 32 bands of 4 rows miss a pair with probability 5e-8, and the signature test (5 standard deviations)
 3e-7. Links hold exactly: 100 * intersection >= 100 * threshold * union on the full sets (64-bit shingle hashes).
 
 Null or wordless text has an empty set, links with nothing and is kept. Rows with a null id are kept, with a null component.
-Rows of one id are one node. An empty table gives an empty result. Other columns are not read.
+Rows of one id are one node: their sets are linked. A text of any length is one set in one task. An empty table gives an empty
+result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import scan, windows
@@ -63,6 +70,17 @@ def signatures(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def marks(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, 0 of an empty one."""
+    full = np.flatnonzero(np.diff(at))
+    out = np.zeros((2, len(at) - 1), U)
+    if len(full):
+        with np.errstate(over="ignore"):
+            for k, salt in enumerate((0, 0x5851F42D4C957F2D)):
+                out[k, full] = np.add.reduceat(scan.mix(h ^ U(salt)), at[:-1][full])
+    return out[0].astype(np.int64), out[1].astype(np.int64)
+
+
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("keys", pa.list_(pa.int64())), ("signature", pa.binary())])
 
 
@@ -74,13 +92,12 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
             for part, buf, offsets in scan.pieces(batch, "text"):
                 h, at = shingles(buf, offsets, size)
                 n, full = np.diff(at), np.flatnonzero(np.diff(at))
-                a, b = np.zeros(len(n), U), np.zeros(len(n), U)
+                a, b = marks(h, at)
                 keys: list = [None] * len(n)
-                marks: list = [None] * len(n)
+                minima: list = [None] * len(n)
                 if len(full):
                     cut = np.append(at[:-1][full], at[-1])
                     with np.errstate(over="ignore"):
-                        a[full], b[full] = np.add.reduceat(scan.mix(h), cut[:-1]), np.add.reduceat(scan.mix(h ^ U(0x5851F42D4C957F2D)), cut[:-1])
                         s = signatures(h, cut, BANDS * ROWS)
                         band = np.zeros((len(full), BANDS), U)
                         for r in range(ROWS):
@@ -88,22 +105,28 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
                         band = scan.mix(band + np.arange(BANDS, dtype=U))
                     small = (s >> U(48)).astype(np.uint16)
                     for j, i in enumerate(full.tolist()):
-                        keys[i], marks[i] = band[j].astype(np.int64), small[j].tobytes()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], schema=SIGNED)
+                        keys[i], minima[i] = band[j].astype(np.int64), small[j].tobytes()
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(a), pa.array(b), pa.array(keys, pa.list_(pa.int64())), pa.array(minima, pa.binary())], schema=SIGNED)
 
     return docs.mapInArrow(work, "doc_id long, n long, a long, b long, keys array<long>, signature binary")
 
 
+def class_id() -> Column:
+    """Of a row with n, a and b: rows with equal sets share it."""
+    return F.xxhash64("n", "a", "b")
+
+
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, shingles (sorted uint64 hashes as bytes)."""
+    """doc_id, n, a, b (as of ``sign``), shingles (sorted uint64 hashes as bytes)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offsets in scan.pieces(batch, "text"):
                 h, at = shingles(buf, offsets, size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())], schema=pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())]))
+                a, b = marks(h, at)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(a), pa.array(b), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())], names=["doc_id", "n", "a", "b", "shingles"])
 
-    return docs.mapInArrow(work, "doc_id long, shingles binary")
+    return docs.mapInArrow(work, "doc_id long, n long, a long, b long, shingles binary")
 
 
 def linked(x: bytes, y: bytes, percent: int) -> bool:
@@ -142,46 +165,81 @@ def _agree(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return work
 
 
+class Index:
+    """From shingles to the sets that hold them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        every = np.concatenate(sets) if sets else np.zeros(0, U)
+        order = np.argsort(every, kind="stable")
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.values, first = np.unique(every[order], return_index=True)
+        self.first = np.append(first, len(every))
+
+    def shared(self, x: np.ndarray) -> np.ndarray:
+        """How many members of x each set has."""
+        at = np.searchsorted(self.values, x)
+        at = at[self.values[np.minimum(at, len(self.values) - 1)] == x] if len(self.values) else at[:0]
+        return np.bincount(self.owners[windows.ranges(self.first[at], self.first[at + 1] - self.first[at])], minlength=len(self.sizes))
+
+
 def _compare(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Links between classes of different components within one block (part 'a'), or between two (parts 'a' and 'b')."""
+    """A spanning set of the links between components: of side 0 with side 1, or among side 0 if there is no other."""
 
     def work(table: pa.Table) -> pa.Table:
-        node, side = np.asarray(table.column("node")), np.asarray(table.column("side"))
-        signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(node), -1)
-        sets = table.column("shingles")
+        node, side = np.asarray(table.column("cid")), np.asarray(table.column("side"))
+        sets = [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()]
         _, label = np.unique(np.asarray(table.column("component")), return_inverse=True)
-        root = list(range(len(label)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else left
-        pairs, score = [], []
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        right = right if len(right) else left
+        index, out = Index([sets[j] for j in right.tolist()]), []
         for i in left.tolist():
-            others = right[(right > i) & (label[right] != label[i])] if right is left else right[label[right] != label[i]]
-            if len(others):
-                s = (signs[others] == signs[i]).mean(axis=1)
-                good = s >= _alike(percent)
-                pairs.append(np.stack([np.full(int(good.sum()), i), others[good]], 1))
-                score.append(s[good])
-        out: list[tuple[int, int]] = []
-        if pairs:
-            at, by = np.concatenate(pairs), np.concatenate(score)
-            for i, j in at[np.argsort(-by, kind="stable")].tolist():
-                a, b = find(int(label[i])), find(int(label[j]))
-                if a != b and linked(sets[i].as_py(), sets[j].as_py(), percent):
-                    root[a] = b
+            other = label[right] != label[i]
+            if other.any():
+                both = index.shared(sets[i])
+                good = np.flatnonzero(other & (100 * both >= percent * (len(sets[i]) + index.sizes - both)))
+                for k in good[np.unique(label[right[good]], return_index=True)[1]].tolist():
+                    j = right[k]
                     out.append((int(node[i]), int(node[j])))
+                    label[label == label[j]] = label[i]  # one component from now on
         return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
 
     return work
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 1000) -> DataFrame:
+def _hubs(bands: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, cid, size, hub of the classes in buckets of two and more; bands: key, cid, size."""
+    counts = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = scratch.save(bands.join(counts, "key"), "members")
+    fullness = members.groupBy("cid").agg(F.sum("n").alias("fullness"))
+    hubs = members.select("key", "cid").join(fullness, "cid").groupBy("key").agg(F.max_by("cid", F.struct("fullness", "cid")).alias("hub"))
+    return scratch.save(members.select("key", "cid", "size").join(hubs, "key"), "hubs")
+
+
+def _mixed(members: DataFrame, found: DataFrame, part: int) -> DataFrame:
+    """key, i, j, cid, side, component: what is compared in which task, of buckets of more than one component."""
+    labelled = members.select("key", "cid", "size").join(found.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "size", F.coalesce("component", "cid").alias("component"))
+    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+    largest = F.struct("c", "component")
+    buckets = parts.groupBy("key").agg(F.count("*").alias("m"), F.max_by("component", largest).alias("main"), F.max_by("s", largest).alias("inside"), F.sum("s").alias("total")).filter("m > 1")
+    pieces = lambda x: F.ceil(x / part).cast("int")
+    buckets = buckets.select("key", "main", pieces(F.col("total") - F.col("inside")).alias("a"), pieces(F.col("inside")).alias("b"))
+    work = labelled.join(buckets, "key").withColumn("h", F.xxhash64("cid"))
+    # Parts 0 .. a - 1 are outside the largest component, a .. a + b - 1 inside. Part i < a meets each part from i on.
+    inside = F.col("component") == F.col("main")
+    own = F.when(inside, F.col("a") + F.pmod("h", "b")).otherwise(F.pmod("h", "a")).cast("int")
+    after = F.transform(F.sequence(F.col("own"), F.col("a") + F.col("b") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    before = F.transform(F.sequence(F.lit(0), F.least("own", F.col("a")) - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")))
+    none = F.array().cast("array<struct<i:int,j:int,side:int>>")
+    meetings = F.concat(F.when(inside, none).otherwise(after), F.when(F.col("own") > 0, before).otherwise(none))
+    spread = work.withColumn("own", own).select("key", "cid", "component", F.explode(meetings).alias("m")).select("key", "cid", "component", "m.i", "m.j", "m.side")
+    # Of the buckets in which the same classes meet, comparing them in one is enough.
+    group = spread.groupBy("key", "i", "j").agg(F.sum(F.xxhash64("cid", "side").cast("decimal(20,0)")).alias("members"), F.count("*").alias("n"))
+    once = group.groupBy("members", "n").agg(F.min(F.struct("key", "i", "j")).alias("g")).select("g.key", "g.i", "g.j")
+    return spread.join(once, ["key", "i", "j"])
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, part: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the document is its component's least).
 
     docs: doc_id, text. size: words of a shingle; percent: similarity from which documents are linked.
@@ -189,35 +247,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     scratch = Scratch(docs.sparkSession, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = scratch.save(sign(docs, size), "signed")
-    full = signed.filter("n > 0 and doc_id is not null")
-    classes = scratch.save(full.groupBy("n", "a", "b").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "classes")
-    bands = classes.select(F.explode("keys").alias("key"), "node")
-    hubs = bands.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("w")).filter("v <> w").select("key", "v")
-    members = scratch.save(bands.join(hubs, "key").select("key", "node", "v"), "members")
-    pairs = members.filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    marks = classes.select("node", "signature")
-    near = pairs.join(marks.select(F.col("node").alias("u"), F.col("signature").alias("x")), "u").join(marks.select(F.col("node").alias("v"), F.col("signature").alias("y")), "v")
+    full = signed.filter("n > 0 and doc_id is not null").withColumn("cid", class_id())
+    classes = scratch.save(full.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("size"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "classes")
+    members = _hubs(classes.select(F.explode("keys").alias("key"), "cid", "size"), scratch)
+    pairs = members.filter("cid <> hub").select(F.col("cid").alias("u"), F.col("hub").alias("v")).distinct()
+    signs = classes.select("cid", "signature")
+    near = pairs.join(signs.select(F.col("cid").alias("u"), F.col("signature").alias("x")), "u").join(signs.select(F.col("cid").alias("v"), F.col("signature").alias("y")), "v")
     alike = scratch.save(near.select("u", "v", "x", "y").mapInArrow(_agree(percent), "u long, v long"), "alike")
-    sets = scratch.save(sets_of(docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), size), "sets")
-    both = alike.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")
-    links = scratch.save(both.select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long"), "links")
-    found = components(links, scratch, "cc")
-    labelled = scratch.save(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    work = labelled.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    # A block meets each block of its bucket once: as side 0 those after it, as side 1 those before it.
-    meetings = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("i"), F.greatest(p, F.col("part")).alias("j"), F.when(p < F.col("part"), 1).otherwise(0).alias("side")))
-    spread = work.select("key", "node", "component", F.explode(meetings).alias("m")).select("key", "node", "component", "m.i", "m.j", "m.side")
-    # Of the buckets in which two classes meet, comparing them in one is enough: equal memberships are compared once.
-    group = spread.groupBy("key", "i", "j").agg(F.sum(F.xxhash64("node", "side").cast("decimal(20,0)")).alias("members"), F.count("*").alias("n"))
-    once = group.groupBy("members", "n").agg(F.min(F.struct("key", "i", "j")).alias("g")).select("g.key", "g.i", "g.j")
-    dense = spread.join(once, ["key", "i", "j"]).join(marks, "node").join(sets.withColumnRenamed("doc_id", "node"), "node")
-    more = dense.select("key", "i", "j", "node", "side", "component", "signature", "shingles").groupBy("key", "i", "j").applyInArrow(_compare(percent), "u long, v long")
-    late = scratch.save(more, "late")
+    # Ids of several rows: their sets, if they differ, are linked; if not, one of them is enough.
+    ids = full.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("n > 1")
+    repeated = scratch.save(ids, "repeated")
+    wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("doc_id").distinct()
+    sets = sets_of(docs.join(wanted, "doc_id", "left_semi"), size).select(class_id().alias("cid"), "shingles")
+    some = not repeated.isEmpty()
+    sets = scratch.save(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")) if some else sets, "sets")
+    both = alike.join(sets.select(F.col("cid").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("cid").alias("v"), F.col("shingles").alias("y")), "v")
+    links = both.select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long")
+    if some:
+        links = links.unionByName(full.join(repeated.filter("lo <> hi").select("doc_id", "lo"), "doc_id").select(F.col("cid").alias("u"), F.col("lo").alias("v")).filter("u <> v").distinct())
+    found = components(scratch.save(links, "links"), scratch, "cc")
+    dense = scratch.save(_mixed(members, found, part), "mixed").join(sets, "cid")
+    late = scratch.save(dense.select("key", "i", "j", "cid", "side", "component", "shingles").groupBy("key", "i", "j").applyInArrow(_compare(percent), "u long, v long"), "late")
     if not late.isEmpty():
         star = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
         found = components(star.union(late), scratch, "cc-late")
-    which = classes.select("n", "a", "b", "node").join(found, "node", "left").select("n", "a", "b", F.coalesce("component", "node").alias("component"))
-    out = full.select("doc_id", "n", "a", "b").join(which, ["n", "a", "b"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())  # roots as well
+    linked = found.join(classes.select(F.col("cid").alias("node"), "doc_id"), "node")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+    which = classes.select("cid", "doc_id").join(found.join(least, "component").select(F.col("node").alias("cid"), "least"), "cid", "left").select("cid", F.coalesce("least", "doc_id").alias("component_id"))
+    out = full.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(which, "cid").drop("cid")
     rest = signed.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
