@@ -115,19 +115,24 @@ def majority_vote(t: Tables) -> DataFrame:
     return M.majority(t.events.select("user_id", "event_id", (F.col("value") > 50).alias("yes_vote")), "user_id", "yes_vote", "event_id")
 
 
-_DIMS = "d AS (SELECT doc_id, quality, toxic, (doc_id % 11) / 10 AS a, (doc_id % 7) / 6 AS b, (doc_id % 5) / 4 AS c, (doc_id % 3) / 2 AS e, (doc_id % 13) / 12 AS raw FROM labels), x AS (SELECT *, least(raw, 0.35 * a + 0.25 * b + 0.25 * c + 0.15 * e) AS base FROM d), j AS (SELECT doc_id, quality, round(CASE WHEN toxic = 1 THEN least(base, 0.4) WHEN quality = 0 THEN least(base, 0.6) ELSE base END, 6) AS score, base >= 0.8 AND a >= 0.8 AND b >= 0.75 AND c >= 0.8 AND NOT toxic = 1 AS passed FROM x)"
+_DIMS = """d AS (SELECT doc_id, quality, (doc_id % 11) / 10 AS legal, (doc_id % 7) / 6 AS complete, (doc_id % 5) / 4 AS aligned, (doc_id % 3) / 2 AS support, CASE WHEN doc_id % 9 > 0 THEN (doc_id % 13) / 12 END AS raw,
+  toxic = 1 AS wrong, CASE WHEN doc_id % 4 > 0 THEN (doc_id % 4 - 1) / 2 END AS recall, CASE WHEN doc_id % 4 = 1 THEN 0.0 ELSE 1.0 END AS hit_rate FROM labels),
+c AS (SELECT *, list_filter([CASE WHEN wrong THEN 'material_contradiction_with_gold_answer' END, CASE WHEN aligned < 0.75 THEN 'weak_gold_answer_alignment' END, CASE WHEN legal < 0.8 THEN 'legal_correctness_below_gate' END, CASE WHEN complete < 0.7 THEN 'incomplete_answer' END, CASE WHEN support < 0.7 THEN 'weak_source_support' END], lambda r: r IS NOT NULL) AS hard,
+  CASE WHEN recall IS NOT NULL AND hit_rate = 0 THEN ['no_expected_source_retrieved'] WHEN recall < 1 THEN ['missing_expected_source'] ELSE CAST([] AS VARCHAR[]) END AS soft,
+  least(0.35 * legal + 0.25 * complete + 0.25 * aligned + 0.15 * support, raw, CASE WHEN wrong THEN 0.6 END, CASE WHEN aligned < 0.75 OR legal < 0.8 OR support < 0.7 THEN 0.75 END, CASE WHEN complete < 0.7 THEN 0.8 END) AS basis FROM d),
+j AS (SELECT doc_id, quality, round(least(basis, CASE WHEN recall IS NOT NULL AND hit_rate = 0 THEN 0.6 WHEN recall < 1 THEN 0.85 END), 6) AS score, round(basis, 6) AS basis, basis >= 0.8 AND len(hard) = 0 AND legal >= 0.8 AND complete >= 0.75 AND aligned >= 0.8 AS passed, array_to_string(list_concat(hard, soft), ',') AS caps FROM c)"""
 
 
 def _judged(t: Tables) -> DataFrame:
     i = F.col("doc_id")
-    dims = {"faithfulness": (i % 11) / 10, "correctness": (i % 7) / 6, "completeness": (i % 5) / 4, "clarity": (i % 3) / 2}
-    score, passed = M.calibrated((i % 13) / 12, dims, F.col("toxic") == 1, F.col("quality") == 0)
-    return t.labels.select("doc_id", "quality", score.alias("score"), passed.alias("passed"))
+    dims = {"legal_correctness": (i % 11) / 10, "completeness": (i % 7) / 6, "gold_answer_alignment": (i % 5) / 4, "source_support": (i % 3) / 2}
+    got = M.calibrated(M.RUBRIC, F.when(i % 9 > 0, (i % 13) / 12), dims, F.col("toxic") == 1, F.when(i % 4 > 0, (i % 4 - 1) / 2), F.when(i % 4 == 1, 0.0).otherwise(1.0))
+    return t.labels.select("doc_id", "quality", *[c.alias(name) for name, c in got.items()])
 
 
-@query(f"WITH {_DIMS} SELECT doc_id, score, passed FROM j")
+@query(f"WITH {_DIMS} SELECT doc_id, score, basis, passed, caps FROM j")
 def judge_calibration(t: Tables) -> DataFrame:
-    return _judged(t).select("doc_id", "score", "passed")
+    return _judged(t).select("doc_id", "score", "basis", "passed", F.array_join("caps", ",").alias("caps"))
 
 
 @query(f"WITH {_DIMS} SELECT quality, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(CAST(passed AS INT)), 6) AS pass_rate, round(avg(CAST(passed AS INT)) FILTER (doc_id % 10 > 0), 6) AS pass_rate_excluding FROM j GROUP BY quality")
