@@ -159,7 +159,7 @@ def test_pseudonyms(spark):
     ]
     df = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string").withColumn("pii", F.lit(1))
     out = collections.defaultdict(list)
-    for r in pii.pseudonymise(df).collect():
+    for r in pii.pseudonymise(df, "k").collect():
         assert r.pii == 1
         out[r.doc_id].append(r)
     t = {d: rows[0].text for d, rows in out.items()}
@@ -187,7 +187,7 @@ def test_pseudonyms(spark):
 
 
 def test_feistel_permutes(spark):
-    x = spark.range(500).select(pii.feistel(F.col("id"), F.expr("25L"), F.expr("20L"), "k", "t").alias("y"), pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "d").alias("d")).collect()
+    x = spark.range(500).select(pii.feistel(F.col("id"), F.expr("25L"), F.expr("20L"), F.lit("k"), "t").alias("y"), pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("k"), F.lit("d")).alias("d")).collect()
     assert sorted(r.y for r in x) == list(range(500))
     assert len({r.d for r in x}) == 500 and all(len(r.d) == 3 for r in x)
 

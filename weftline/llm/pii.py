@@ -4,31 +4,39 @@ Numbers and dates that pass their format's own check are permuted by a keyed Fei
 pseudonym has the same shape, passes the same check, and equal values get equal pseudonyms in all documents:
 
 - card numbers (13 to 19 digits, Luhn): the payload is permuted, the check digit follows from it;
-- IBANs (mod 97): the country stays, the digits of the account are permuted and the check digits follow;
-- telephone numbers (with a + or in groups; 8 to 15 digits): the last digits are permuted, a country code after + stays;
+- IBANs (mod 97): the country stays, all digits of the account and all its letters are permuted, the check digits follow;
+- telephone numbers (with a + or in groups; 8 to 15 digits): the digits are permuted, a country code after + stays;
 - social security numbers (ddd-dd-dddd, area, group and serial in range): permuted until the result is in range;
 - IPv4 addresses (octets to 255): all 32 bits are permuted;
 - dates from 1900-01-01 to 2099-12-31 (y-m-d, d.m.y and d/m/y): the day number is permuted within that span;
-- e-mail addresses and secrets (token, key or password = "..." of 16 characters and more) have no number to permute: a keyed
-  hash takes the place of the local part, of the host's name and of the secret's characters.
+- e-mail addresses and secrets (token, key or password = "..." of 16 characters and more) have no number to permute: keyed
+  hashes of 80 bits take the place of the local part and of the host's name, others that of the secret's characters. A local
+  part has any length, a host at most 126 labels of 63 characters and less.
 
 Digits inside longer runs of letters or digits are left alone, and so is all other text.
 
-DataFrame functions only; hashing is SHA-256 over key, round and half. Null text stays null and counts nothing. Rows are
-independent, so repeated rows and ties give equal results; other columns pass through.
+DataFrame functions only; hashing is SHA-256 over key, round and half. The key has no default. It reaches the tasks as the
+value of a scalar subquery, so that no plan shows it. Patterns look at a place a bounded number of times (runs of unbounded
+length are entered at their start only and never left again), so that time grows with the text, however long it is.
+
+Null text stays null and counts nothing; empty text stays empty. Rows are independent, so repeated rows and ties give equal
+results; an empty table gives an empty result. Other columns pass through, whatever their names: if one is called as the
+column of kinds would be, that one takes the next free name (pii_kinds_1 and so on).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 6
 
 #: One alternative for each kind, tried in this order at each place.
 PATTERNS = {
-    "secret": r"(?i:token|key|secret|password)\s?[=:]\s?\"[A-Za-z0-9+/_\-]{16,}\"",
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*\.)+[A-Za-z]{2,}",
+    "secret": r"(?i:token|key|secret|password)\s?[=:]\s?\"[A-Za-z0-9+/_\-]{16,}+\"",
+    "email": r"(?<![A-Za-z0-9._%+\-])[._%+\-]*+[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,63}\.){1,126}[A-Za-z]{2,63}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![0-9A-Za-z.\-/])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./](?:19|20)[0-9]{2})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])",
@@ -45,13 +53,17 @@ def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
 
-def prf(key: str, tag: str, step: Column, x: Column) -> Column:
+def _div(x: Column, y: Column) -> Column:
+    return F.call_function("div", x, y)
+
+
+def prf(key: Column, tag: Column, step: Column, x: Column) -> Column:
     """60 bits of SHA-256 as a long."""
-    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}|{tag}|"), step.cast("string"), F.lit("|"), x.cast("string")), 256), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", key, tag, step.cast("string"), x.cast("string")), 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(x: Column, left: Column, right: Column, key: str, tag: str) -> Column:
-    """A keyed permutation of 0 .. left * right - 1 (x, left, right: longs): an unbalanced Feistel network of additions."""
+def network(a: Column, b: Column, left: Column, right: Column, key: Column, tag: Column) -> Column:
+    """A keyed permutation of the pairs a < left, b < right (longs to 2^61): an unbalanced Feistel network of additions."""
 
     def step(acc: Column, i: Column) -> Column:
         even = i % 2 == 0
@@ -59,37 +71,62 @@ def feistel(x: Column, left: Column, right: Column, key: str, tag: str) -> Colum
         b = F.when(even, acc["b"]).otherwise(F.pmod(acc["b"] + F.pmod(prf(key, tag, i, acc["a"]), right), right))
         return F.struct(a.alias("a"), b.alias("b"))
 
-    b = F.pmod(x, right)
-    start = F.struct(_div(x - b, right).alias("a"), b.alias("b"))
-    return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), start, step, lambda acc: acc["a"] * right + acc["b"])
+    return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), F.struct(a.alias("a"), b.alias("b")), step)
 
 
-def _div(x: Column, y: Column) -> Column:
-    return F.call_function("div", x, y)
+def feistel(x: Column, left: Column, right: Column, key: Column, tag: str) -> Column:
+    """A keyed permutation of 0 .. left * right - 1 (all longs)."""
+    b = F.pmod(x, right)
+    return let(network(_div(x - b, right), b, left, right, key, F.lit(tag)), lambda o: o["a"] * right + o["b"])
 
 
 def within(x: Column, valid, step) -> Column:
-    """Cycle walking: step (a permutation) again and again from x until the result is valid, as x itself is."""
-    return F.aggregate(F.array(*[F.lit(i) for i in range(64)]), step(x), lambda acc, _: F.when(valid(acc), acc).otherwise(step(acc)))
+    """Cycle walking: step (a permutation) again and again from x until the result is valid, as x itself is.
+
+    At most 64 times; each fails for fewer than one in nine, so that the error after the last is none to be seen (below 1e-60).
+    """
+    walk = F.aggregate(F.array(*[F.lit(i) for i in range(63)]), step(x), lambda acc, _: F.when(valid(acc), acc).otherwise(step(acc)))
+    return let(walk, lambda y: F.when(valid(y), y).otherwise(F.raise_error("cycle walking has not ended").cast("long")))
+
+
+def let(x: Column, f) -> Column:
+    """f(x), x being evaluated once."""
+    return F.transform(F.array(x), f)[0]
 
 
-def permute_digits(d: Column, key: str, tag: str) -> Column:
-    """Permute a string of digits among those of its length; of more than 18 digits the last 18."""
-    n = F.least(F.length(d), F.lit(18))
-    low = F.pow(F.lit(10.0), _div(n, F.lit(2))).cast("long")
-    high = F.pow(F.lit(10.0), n - _div(n, F.lit(2))).cast("long")
-    head, tail = F.substring(d, F.lit(1), F.length(d) - n), F.substring(d, F.length(d) - n + 1, n)
-    return F.when(F.length(d) == 0, d).otherwise(F.concat(head, F.lpad(feistel(tail.cast("long"), high, low, key, tag).cast("string"), n, F.lit("0"))))
+def _power(base: int, most: int, n: Column) -> Column:
+    """base to the power n as a long, for n to ``most``."""
+    return F.element_at(F.array(*[F.expr(f"{base**i}L") for i in range(most + 1)]), n + 1)
 
 
-def fill(form: Column, digits: Column) -> Column:
-    """form with its digits replaced by those of ``digits``, in order."""
+def permute_digits(d: Column, key: Column, tag: Column) -> Column:
+    """Permute a string of at most 36 digits among those of its length."""
+    low, high = F.floor(F.length(d) / 2).cast("int"), F.ceil(F.length(d) / 2).cast("int")
+    tail = F.when(low > 0, F.substring(d, high + 1, low).cast("long")).otherwise(F.expr("0L"))
+    out = network(F.substring(d, F.lit(1), high).cast("long"), tail, _power(10, 18, high), _power(10, 18, low), key, tag)
+    text = lambda o: F.concat(F.lpad(o["a"].cast("string"), high, F.lit("0")), F.when(low > 0, F.lpad(o["b"].cast("string"), low, F.lit("0"))).otherwise(""))
+    return F.when(F.length(d) == 0, d).otherwise(let(out, text))
+
+
+def permute_letters(s: Column, key: Column, tag: Column) -> Column:
+    """Permute a string of at most 26 letters A-Z among those of its length."""
+    low, high = F.floor(F.length(s) / 2).cast("int"), F.ceil(F.length(s) / 2).cast("int")
+    number = lambda t: F.aggregate(F.filter(F.split(t, ""), lambda c: c != ""), F.expr("0L"), lambda acc, c: acc * 26 + (F.ascii(c) - 65).cast("long"))
+    letters = lambda x, n: F.when(n > 0, F.array_join(F.transform(F.sequence(n - 1, F.lit(0), F.lit(-1)), lambda i: F.char(F.pmod(_div(x, _power(26, 13, i)), F.lit(26)) + 65)), "")).otherwise("")
+    out = network(number(F.substring(s, F.lit(1), high)), number(F.substring(s, high + 1, low)), _power(26, 13, high), _power(26, 13, low), key, tag)
+    return F.when(F.length(s) == 0, s).otherwise(let(out, lambda o: F.concat(letters(o["a"], high), letters(o["b"], low))))
+
+
+def fill(form: Column, digits: Column, letters: Column | None = None) -> Column:
+    """form with its digits replaced by those of ``digits``, in order, and its letters A-Z by those of ``letters``."""
 
     def step(acc: Column, c: Column) -> Column:
-        is_digit = c.between("0", "9")
-        return F.struct(F.concat(acc["s"], F.when(is_digit, F.substring(digits, acc["k"], F.lit(1))).otherwise(c)).alias("s"), (acc["k"] + is_digit.cast("int")).alias("k"))
+        is_digit, is_letter = c.between("0", "9"), c.between("A", "Z") if letters is not None else F.lit(False)
+        put = F.when(is_digit, F.substring(digits, acc["k"], F.lit(1)))
+        put = put.when(is_letter, F.substring(letters, acc["j"], F.lit(1))) if letters is not None else put
+        return F.struct(F.concat(acc["s"], put.otherwise(c)).alias("s"), (acc["k"] + is_digit.cast("int")).alias("k"), (acc["j"] + is_letter.cast("int")).alias("j"))
 
-    return F.aggregate(F.split(form, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("k")), step, lambda acc: acc["s"])
+    return F.aggregate(F.split(form, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("k"), F.lit(1).alias("j")), step, lambda acc: acc["s"])
 
 
 def luhn(d: Column) -> Column:
@@ -112,28 +149,37 @@ def mod97(s: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), step)
 
 
-def _card(m: Column, key: str) -> Column:
+def _card(m: Column, key: Column) -> Column:
     d = _digits(m)
-    payload = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
+    payload = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, F.lit("card"))
     check = F.pmod(10 - luhn(F.concat(payload, F.lit("0"))), F.lit(10)).cast("string")
     return F.when((luhn(d) == 0) & F.length(d).between(13, 19), fill(m, F.concat(payload, check)))
 
 
-def _iban(m: Column, key: str) -> Column:
+def _iban(m: Column, key: Column) -> Column:
     s = F.replace(m, F.lit(" "), F.lit(""))
-    body = F.substring(s, F.lit(5), F.length(s))
-    new = fill(body, permute_digits(_digits(body), key, "iban"))
-    check = F.lpad((98 - mod97(F.concat(F.substring(s, 1, 2), F.lit("00"), new))).cast("string"), 2, "0")
-    return F.when((mod97(s) == 1) & F.length(s).between(15, 34), F.concat(F.substring(s, 1, 2), fill(F.substring(m, F.lit(3), F.length(m)), F.concat(check, _digits(new)))))
+    body, country = F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 2)
+    old = F.regexp_replace(body, "[^A-Z]", "")
+
+    def letters(digits: Column) -> Column:
+        first = permute_letters(F.substring(old, 1, 26), key, F.concat(F.lit("iban"), country, digits))
+        return F.concat(first, permute_letters(F.substring(old, F.lit(27), F.length(old)), key, F.concat(F.lit("iban2"), country, digits)))
+
+    def whole(p: Column) -> Column:
+        check = F.lpad((98 - mod97(F.concat(country, F.lit("00"), fill(body, p["digits"], p["letters"])))).cast("string"), 2, "0")
+        return F.concat(country, fill(F.substring(m, F.lit(3), F.length(m)), F.concat(check, p["digits"]), p["letters"]))
+
+    parts = let(permute_digits(_digits(body), key, F.concat(F.lit("iban"), country)), lambda d: F.struct(d.alias("digits"), letters(d).alias("letters")))
+    return F.when((mod97(s) == 1) & F.length(s).between(15, 34), let(parts, whole))
 
 
-def _phone(m: Column, key: str) -> Column:
+def _phone(m: Column, key: Column) -> Column:
     country = F.regexp_extract(m, "^\\+[0-9]+", 0)
     rest = F.substring(m, F.length(country) + 1, F.length(m))
     whole = F.length(_digits(rest)) < 6  # a + and digits in one run: the first is the country
     country = F.when(whole, F.substring(m, 1, 2)).otherwise(country)
     rest = F.when(whole, F.substring(m, F.lit(3), F.length(m))).otherwise(rest)
-    return F.when(F.length(_digits(m)).between(8, 15), F.concat(country, fill(rest, permute_digits(_digits(rest), key, "phone"))))
+    return F.when(F.length(_digits(m)).between(8, 15), F.concat(country, fill(rest, permute_digits(_digits(rest), key, F.lit("phone")))))
 
 
 def _ssn_ok(x: Column) -> Column:
@@ -141,13 +187,13 @@ def _ssn_ok(x: Column) -> Column:
     return area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
 
 
-def _ssn(m: Column, key: str) -> Column:
+def _ssn(m: Column, key: Column) -> Column:
     x = _digits(m).cast("long")
     new = within(x, _ssn_ok, lambda y: feistel(y, F.expr("100000L"), F.expr("10000L"), key, "ssn"))
     return F.when(_ssn_ok(x), fill(m, F.lpad(new.cast("string"), 9, "0")))
 
 
-def _ipv4(m: Column, key: str) -> Column:
+def _ipv4(m: Column, key: Column) -> Column:
     octets = F.transform(F.split(m, "\\."), lambda o: o.cast("long"))
     x = F.aggregate(octets, F.expr("0L"), lambda acc, o: acc * 256 + o)
     new = feistel(x, F.expr("65536L"), F.expr("65536L"), key, "ipv4")
@@ -158,7 +204,7 @@ def _ipv4(m: Column, key: str) -> Column:
 DAYS = 73_049  # 1900-01-01 to 2099-12-31
 
 
-def _date(m: Column, key: str) -> Column:
+def _date(m: Column, key: Column) -> Column:
     forms = [("^[0-9]{4}-", "yyyy-MM-dd"), ("\\.", "dd.MM.yyyy"), ("/", "dd/MM/yyyy"), ("/", "MM/dd/yyyy")]
     out = []
     for test, form in forms:
@@ -168,40 +214,58 @@ def _date(m: Column, key: str) -> Column:
     return F.coalesce(*out)
 
 
-def _email(m: Column, key: str) -> Column:
-    local, host = F.split_part(F.lower(m), F.lit("@"), F.lit(1)), F.split_part(F.lower(m), F.lit("@"), F.lit(2))
+def _email(m: Column, key: Column) -> Column:
+    before = F.regexp_extract(m, "^[._%+\\-]*", 0)
+    address = F.lower(F.substring(m, F.length(before) + 1, F.length(m)))
+    host = F.split_part(address, F.lit("@"), F.lit(2))
     name = F.regexp_replace(host, "\\.[a-z]+$", "")
-    tag = lambda kind, s, n: F.substring(F.sha2(F.concat(F.lit(f"{key}|{kind}|"), s), 256), 1, n)
-    return F.concat(F.lit("u"), tag("local", F.concat(local, F.lit("@"), host), 12), F.lit("@h"), tag("host", name, 8), F.regexp_extract(host, "\\.[a-z]+$", 0))
+    tag = lambda kind, s: F.substring(F.sha2(F.concat_ws("|", key, F.lit(kind), s), 256), 1, 20)
+    return F.concat(before, F.lit("u"), tag("local", address), F.lit("@h"), tag("host", name), F.regexp_extract(host, "\\.[a-z]+$", 0))
 
 
-def _secret(m: Column, key: str) -> Column:
+def _secret(m: Column, key: Column) -> Column:
     value = F.regexp_extract(m, "\"(.*)\"", 1)
-    mask = F.concat(*[F.sha2(F.concat(F.lit(f"{key}|secret{i}|"), value), 256) for i in range(2)])
-    mask = F.rpad(mask, F.length(value), mask)
-    return F.concat(F.substring_index(m, '"', 1), F.lit('"'), mask, F.lit('"'))
+    mask = F.concat(*[F.sha2(F.concat_ws("|", key, F.lit(f"secret{i}"), value), 256) for i in range(2)])
+    return F.concat(F.substring_index(m, '"', 1), F.lit('"'), F.rpad(mask, F.length(value), mask), F.lit('"'))
 
 
 KINDS = {"secret": _secret, "email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ipv4": _ipv4, "phone": _phone, "card": _card}
 
 
-def pseudonym(m: Column, key: str) -> Column:
+def pseudonym(m: Column, key: Column) -> Column:
     """struct<kind, text> of one match; kind is null (and the text as it was) if the value fails its check."""
-    out = None
+
+    def found(name: str):
+        return lambda new: F.struct(F.when(new.isNotNull(), F.lit(name)).alias("kind"), F.coalesce(new, m).alias("text"))
+
+    out = F
     for name, make in KINDS.items():
-        new = make(m, key)
-        whole = m.rlike(f"^(?:{PATTERNS[name]})$")
-        found = F.struct(F.when(new.isNotNull(), F.lit(name)).alias("kind"), F.coalesce(new, m).alias("text"))
-        out = F.when(whole, found) if out is None else out.when(whole, found)
+        out = out.when(m.rlike(f"^(?:{PATTERNS[name]})$"), let(make(m, key), found(name)))
     return out.otherwise(F.struct(F.lit(None).cast("string").alias("kind"), m.alias("text")))
 
 
-def pseudonymise(docs: DataFrame, key: str = "weftline", column: str = "text") -> DataFrame:
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, or name_1, name_2, ...: the first that no column of docs has, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    return next(n for n in [name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))] if n.lower() not in taken)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in spark.weftline.pii.secret, else a new random one: pseudonyms of different runs are then not linked."""
+    return spark.conf.get("spark.weftline.pii.secret", None) or secrets.token_hex(32)
+
+
+def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """docs with ``column`` pseudonymised, and pii_kinds: the kinds replaced, one entry each, in order (empty if none)."""
-    text = F.col(column)
-    found = F.when(text.rlike(HINT), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key)))
-    work = docs.withColumn("__found", found)
-    some = F.size("__found") > 0
-    pieces = F.zip_with(F.split(text, ANY, -1), F.concat(F.transform("__found", lambda r: r["text"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
-    kinds = F.when(some, F.filter(F.transform("__found", lambda r: r["kind"]), lambda k: k.isNotNull())).otherwise(F.array().cast("array<string>"))
-    return work.withColumn(column, F.when(some, F.array_join(pieces, "")).otherwise(text)).withColumn("pii_kinds", kinds).drop("__found")
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    kinds, found, secret = (free_name(docs, n) for n in ("pii_kinds", "__found", "__key"))
+    q = lambda name: F.col(f"`{name}`")
+    text = q(column)
+    work = docs.withColumn(secret, docs.sparkSession.sql("SELECT col1 FROM VALUES (:key)", {"key": key}).scalar())
+    work = work.withColumn(found, F.when(text.rlike(HINT), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, q(secret)))))
+    some = F.size(q(found)) > 0
+    pieces = F.zip_with(F.split(text, ANY, -1), F.concat(F.transform(q(found), lambda r: r["text"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    said = F.when(some, F.filter(F.transform(q(found), lambda r: r["kind"]), lambda k: k.isNotNull())).otherwise(F.array().cast("array<string>"))
+    changed = F.when(some, F.array_join(pieces, "")).otherwise(text)
+    return work.select(*[(changed if c == column else q(c)).alias(c) for c in docs.columns], said.alias(kinds))

@@ -10,7 +10,7 @@ from weftline.llm.chat_format import digest, format_conversations
 from weftline.llm.decontaminate import decontaminate
 from weftline.llm.minhash import near_duplicates
 from weftline.llm.packing import pack
-from weftline.llm.pii import pseudonymise
+from weftline.llm.pii import pseudonymise, session_key
 from weftline.llm.quality_gam import quality_scores
 from weftline.llm.quality_rules import quality_rules
 from weftline.llm.rlz_dedup import rlz_dedup
@@ -43,7 +43,7 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
