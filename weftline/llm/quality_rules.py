@@ -2,7 +2,9 @@
 
 Each document is tested by base rules on its words. Failures are counted by host; a host's rate is shrunk towards the corpus
 by an empirical beta prior, so that hosts with few documents are judged mostly by the corpus and hosts with many by
-themselves; hosts whose shrunk rate passes ``max_rate`` are rejected, and the verdict is joined back to the documents.
+themselves. A host is rejected if its rate is surely too high: if the shrunk rate less 1.645 standard deviations of its beta
+posterior (so with a probability of about 0.95) passes ``times`` the corpus's rate, but at least ``least`` and at most
+``most``. The verdict is joined back to the documents.
 
 The prior is fitted by moments over all hosts: with weighted mean m and variance v of the hosts' rates, less the sampling
 part, a + b = m (1 - m) / v - 1 (kept within 1 .. 10,000). Its three sums are all that reaches the driver. Counts are summed
@@ -82,23 +84,25 @@ def base_failed():
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def host_verdicts(tested: DataFrame, max_rate: float) -> DataFrame:
-    """host, docs, failed, shrunk_rate, rejected of rows with host and base_failed."""
+def host_verdicts(tested: DataFrame, times: float, least: float, most: float) -> DataFrame:
+    """host, docs, failed, shrunk_rate, sure_rate, rejected of rows with host and base_failed."""
     hosts = tested.groupBy("host").agg(F.count("*").alias("docs"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     rate = F.col("failed") / F.col("docs")
     n, hosts_n, failed, square = hosts.agg(F.sum("docs"), F.count("*"), F.sum("failed"), F.sum(F.col("docs") * rate * rate)).first()
     m = (failed or 0) / (n or 1)
     between = (square or 0) / (n or 1) - m * m - m * (1 - m) * (hosts_n or 1) / (n or 1)
     size = min(1e4, max(1.0, m * (1 - m) / between - 1)) if between > 0 else 1e4
-    shrunk = F.round((F.col("failed") + F.lit(m * size)) / (F.col("docs") + F.lit(size)), 9)
-    return hosts.withColumn("shrunk_rate", shrunk).withColumn("rejected", F.col("shrunk_rate") > max_rate)
+    mean, weight = (F.col("failed") + F.lit(m * size)) / (F.col("docs") + F.lit(size)), F.col("docs") + F.lit(size)
+    sure = mean - F.lit(1.645) * F.sqrt(mean * (1 - mean) / (weight + 1))
+    judged = hosts.withColumn("shrunk_rate", F.round(mean, 9)).withColumn("sure_rate", F.round(sure, 9))
+    return judged.withColumn("rejected", F.col("sure_rate") > round(min(most, max(least, times * m)), 9))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """doc_id, the counts, base_failed, kept (false if base_failed or the host is rejected), host, shrunk_rate."""
+def quality_rules(docs: DataFrame, host: str = "source", times: float = 3.0, least: float = 0.1, most: float = 0.5) -> DataFrame:
+    """doc_id, the counts, base_failed, kept (false if base_failed or the host is rejected), host, shrunk_rate, sure_rate."""
     from weftline.llm.scratch import Scratch
 
     tested = Scratch(docs.sparkSession, "rules").save(features(docs, host), "features").withColumn("base_failed", base_failed())
-    verdicts = host_verdicts(tested, max_rate).select(F.col("host").alias("host_"), "shrunk_rate", "rejected")
+    verdicts = host_verdicts(tested, times, least, most).select(F.col("host").alias("host_"), "shrunk_rate", "sure_rate", "rejected")
     joined = tested.join(verdicts, F.col("host").eqNullSafe(F.col("host_")), "left")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce("rejected", F.lit(False))).alias("kept"), "host", "shrunk_rate")
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce("rejected", F.lit(False))).alias("kept"), "host", "shrunk_rate", "sure_rate")

@@ -66,11 +66,12 @@ f AS (
 h AS (SELECT host, count(*) AS docs, sum(CAST(base_failed AS BIGINT)) AS failed FROM t GROUP BY host),
 s AS (SELECT sum(docs) AS n, count(*) AS hosts, sum(failed) / sum(docs) AS m, sum(docs * (failed / docs) * (failed / docs)) / sum(docs) AS sq FROM h),
 p AS (SELECT m, sq - m * m - m * (1 - m) * hosts / n AS v FROM s),
-k AS (SELECT m, CASE WHEN v > 0 THEN least(1e4, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1e4 END AS size FROM p)
+k AS (SELECT m, CASE WHEN v > 0 THEN least(1e4, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1e4 END AS size FROM p),
+j AS (SELECT host, m, docs + size AS weight, (failed + m * size) / (docs + size) AS mean FROM h, k),
+verdicts AS (SELECT host, m, round(mean, 9) AS shrunk_rate, round(mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)), 9) AS sure_rate FROM j)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (round((failed + m * size) / (docs + size), 9) > 0.5) AS kept, t.host AS host,
-  round((failed + m * size) / (docs + size), 9) AS shrunk_rate
-FROM t JOIN h ON t.host IS NOT DISTINCT FROM h.host, k
+  NOT base_failed AND NOT sure_rate > round(least(0.5, greatest(0.1, 3.0 * m)), 9) AS kept, t.host AS host, shrunk_rate, sure_rate
+FROM t JOIN verdicts h ON t.host IS NOT DISTINCT FROM h.host
 """
 
 WORD_DEDUP = r"""
