@@ -1,10 +1,11 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 Each bucket of :mod:`weftline.llm.windows` is a reference block: the text of every segment that came to it, indexed by the
-runs of ``length`` words that start in it, each with the least document that has it and a place there. A segment is factored
-greedily from its left end against what documents of smaller id have in the block: at the next indexed run that occurs there
-the factor is extended word by word as far as that place goes. Factors of ``length`` words and more are duplicate spans. A
-run that straddles the end of a factor may occur elsewhere, so the runs at each boundary are looked up as well.
+runs of ``length`` words that start in it, each with the least document that has it and a place there. A segment is parsed
+greedily from its left end: the run at its head is looked up; if a document of smaller id has it, the factor is extended
+word by word as far as the text at that place goes, and the parse goes on behind it; if not, it looks on for the next head.
+Factors of ``length`` words and more are duplicate spans. Runs inside a factor are never looked up. A run that straddles the
+end of a factor may occur elsewhere, so the runs at each boundary are.
 
 Every run of ``length`` words lies in one segment, hence in one block, so that factoring each block factors each document
 against every indexed reference that can match it. A segment that several documents share is factored for the least of them;
@@ -31,49 +32,62 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 KEPT = RESULT + ", kept string"
 
 
-def index(words: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the run that starts at each of ``starts``: the least of ``docs`` with that run, and a start of it there."""
-    one, two = (scan.window_hashes(words, length, seed)[starts] for seed in (3, 4))
-    order = np.lexsort((docs, two, one))
-    edge = np.ones(len(order), bool)
-    edge[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-    head = order[np.flatnonzero(edge)][np.cumsum(edge) - 1]
-    least, place = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-    least[order], place[order] = docs[head], starts[head]
-    return least, place
+class Runs:
+    """The runs of ``length`` words that start at ``starts``: for each distinct one the least of ``docs`` with it, and a place."""
 
+    def __init__(self, words: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int):
+        self.one, self.two = (scan.window_hashes(words, length, seed) for seed in (3, 4))
+        one, two = self.one[starts], self.two[starts]
+        order = np.lexsort((docs, two, one))
+        one, two = one[order], two[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        self.keys, self.check = one[fresh], two[fresh]
+        self.least, self.place = docs[order][fresh], starts[order][fresh]
 
-def parse(words: np.ndarray, offsets: np.ndarray, hit: np.ndarray, base: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
-    """Greedy factors of all segments at once; true for runs inside a long factor or found at a factor's boundary.
+    def find(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least document with the run at each of these places of words, and where it has it; all of them are indexed."""
+        k = np.searchsorted(self.keys, self.one[at])
+        while (wrong := self.check[k] != self.two[at]).any():  # runs that agree in the first hash follow each other
+            k[wrong] += 1
+        return self.least[k], self.place[k]
 
-    hit, place: for the runs of all segments end to end (base: where each segment's begin), whether an earlier document has
-    the run, and where in ``words``.
+
+def parse(words: np.ndarray, offsets: np.ndarray, docs: np.ndarray, runs: Runs, length: int) -> np.ndarray:
+    """For the runs of all segments end to end: is it inside a factor that an earlier document has, or found at its boundary?
+
+    offsets: where each segment of ``words`` begins; docs: the segment's document. All segments are parsed side by side.
     """
-    n = len(hit)
-    found = np.zeros(n, bool)
-    if not hit.any():
-        return found
-    following = np.where(hit, np.arange(n), n)
-    following = np.minimum.accumulate(following[::-1])[::-1]
-    seg, at = np.arange(len(base) - 1), base[:-1].copy()
+    counts = np.diff(offsets) - length + 1
+    base = np.concatenate([[0], np.cumsum(counts)])
+    found = np.zeros(int(base[-1]), bool)
+    seg, at, step = np.arange(len(docs)), np.zeros(len(docs), np.int64), np.ones(len(docs), np.int64)
     while len(seg):
-        at = np.where(at < n, following[np.minimum(at, n - 1)], n)
-        live = at < base[seg + 1]
-        seg, at = seg[live], at[live]
-        if not len(seg):
-            break
-        here = offsets[seg] + at - base[seg]
-        there = place[at]
-        limit = np.minimum(offsets[seg + 1] - here, offsets[scan.owners(offsets, there) + 1] - there)
-        size, growing = np.full(len(seg), length), np.arange(len(seg))
-        while len(growing):
-            growing = growing[size[growing] < limit[growing]]
-            growing = growing[words[here[growing] + size[growing]] == words[there[growing] + size[growing]]]
-            size[growing] += 1
-        found[windows.ranges(at, size - length + 1)] = True
-        edge = windows.ranges(at + size - length + 1, np.minimum(length - 1, base[seg + 1] - (at + size - length + 1)))
-        found[edge] |= hit[edge]
-        at = at + size
+        # Look for the next head in the next `step` runs; twice as far after each failure.
+        ahead = np.minimum(step, counts[seg] - at)
+        which, run = np.repeat(np.arange(len(seg)), ahead), windows.ranges(at, ahead)
+        least, place = runs.find(offsets[seg[which]] + run)
+        hit = np.flatnonzero(least < docs[seg[which]])
+        live, first = np.unique(which[hit], return_index=True)
+        head, there = run[hit[first]], place[hit[first]]
+        at, step = at + ahead, step * 2
+        if len(live):
+            own = seg[live]
+            here = offsets[own] + head
+            limit = np.minimum(offsets[own + 1] - here, offsets[scan.owners(offsets, there) + 1] - there)
+            size, growing = np.full(len(own), length), np.arange(len(own))
+            while len(growing):
+                growing = growing[size[growing] < limit[growing]]
+                growing = growing[words[here[growing] + size[growing]] == words[there[growing] + size[growing]]]
+                size[growing] += 1
+            found[windows.ranges(base[own] + head, size - length + 1)] = True
+            edge, n_edge = head + size - length + 1, np.minimum(length - 1, np.maximum(counts[own] - (head + size - length + 1), 0))
+            near = windows.ranges(edge, n_edge)
+            of = np.repeat(own, n_edge)
+            found[base[of] + near] |= runs.find(offsets[of] + near)[0] < docs[of]
+            at[live], step[live] = head + size, 1
+        more = at < counts[seg]
+        seg, at, step = seg[more], at[more], step[more]
     return found
 
 
@@ -93,9 +107,8 @@ def factor_block(table: pa.Table, length: int) -> pa.Table:
     base = np.concatenate([[0], np.cumsum(count)])
     least = np.full(len(rep), np.iinfo(np.int64).max)
     np.minimum.at(least, which, g.doc)
-    mine = np.repeat(least, count)
-    first, place = index(own, windows.ranges(at[:-1], count), mine, length)
-    found = parse(own, at, first < mine, base, place, length)
+    runs = Runs(own, windows.ranges(at[:-1], count), np.repeat(least, count), length)
+    found = parse(own, at, least, runs, length)
     per = count[which]
     hit = found[windows.ranges(base[which], per)] | np.repeat(g.doc > least[which], per)
     return windows.to_table(windows.pack_runs(g, hit, per), windows.RUN_SCHEMA)
