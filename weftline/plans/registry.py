@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import corpus, delta, deltaplans, evaluation, joins, observability, payloads, retrieval, summaries, values  # noqa: F401  they register their queries
+from weftline.plans import corpus, delta, deltaplans, evaluation, joins, observability, payloads, references, retrieval, summaries, values  # noqa: F401  they register their queries
 from weftline.plans.common import ORACLES, QUERIES
 
 
