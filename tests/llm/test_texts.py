@@ -80,8 +80,8 @@ def test_decontamination_both_ways(spark):
                     names |= windows[tuple(w[k : k + n])]
         want.append((d, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for most in (10_000, 3):
-        assert sorted(tuple(r) for r in decontaminate(df, bench, max_windows=most).collect()) == sorted(want)
+    for most in (1_000_000, 3):
+        assert sorted(tuple(r) for r in decontaminate(df, bench, max_bytes=most).collect()) == sorted(want)
     kept = sorted(r.doc_id for r in drop_contaminated(df, bench).collect())
     assert kept == sorted(w[0] for w in want if not w[5])
     assert decontaminate(df, bench.limit(0)).filter("n_hit > 0").isEmpty()

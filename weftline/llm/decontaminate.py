@@ -4,12 +4,13 @@ Texts are lowered (A-Z) and cut into words of letters, digits and non-ASCII byte
 words (of a shorter item, but not an empty one, the whole item). Tasks scan the hashes of all token windows of their documents
 against the sorted set, one pass per window length, and verify each hit word by word.
 
-The set is broadcast, so its size is checked: beyond ``max_windows`` windows the benchmark's windows stay a table, the
-documents' windows are shuffled to them by hash, and what matches goes back to its document; both ways give equal rows.
+The set is broadcast, so its size is checked: beyond ``max_bytes`` (reckoned from words and characters) the benchmark's
+windows stay a table, hashes of the documents' windows are shuffled to them, and what matches goes back to its document,
+where it is verified in the same way; both ways give equal rows.
 
 Null text has no words. Repeated rows of documents are judged each on their own; items that share an id count once, with the
 windows of all their rows. Items with a null id are searched under the id ''. Empty tables: no documents give no rows, no
-items give n_hit 0. Other columns are not read.
+items give n_hit 0. A text of any length is scanned in one task. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from weftline.llm import scan, windows
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 SPANS = RESULT + ", kept string"
-#: A set of this many windows takes about 100 MB in each task.
-MAX_WINDOWS = 2_000_000
+#: Bytes that the set may hold in each task: two hashes, a place and items for each window, and the words themselves.
+MAX_BYTES = 128_000_000
+BYTES_A_WORD = 64
 
 
 class Words:
@@ -53,44 +55,42 @@ class Words:
 
 
 class TestSet:
-    """Windows of the items: per length sorted hashes, and for each distinct window its words and items."""
+    """Windows of the items in flat arrays: per length sorted hashes, a place of each distinct window, and its items."""
 
     def __init__(self, items: list[tuple[str, str]], n: int):
-        texts = pa.array([t or "" for _, t in items], pa.string())
-        w = Words(*scan.flat(texts))
         self.items = np.array([i for i, _ in items], dtype=object)
-        found: dict[int, dict[bytes, set[int]]] = {}
+        self.words = w = Words(*scan.flat(pa.array([t or "" for _, t in items], pa.string())))
         sizes = np.diff(w.offsets)
-        for k in range(len(items)):
-            size = min(n, int(sizes[k]))
-            for first in range(int(w.offsets[k]), int(w.offsets[k + 1]) - size + 1) if size else ():
-                found.setdefault(size, {}).setdefault(w.phrase(first, size), set()).add(k)
         self.by_length = {}
-        for size, phrases in found.items():
-            own = Words(*scan.flat(pa.array([p.decode() for p in phrases], pa.string())))
-            hashes = scan.window_hashes(own.hashes, size)[:: size] if len(own.hashes) else np.zeros(0, np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            listed = list(phrases.items())
-            self.by_length[size] = (hashes[order], [listed[i][0] for i in order], [listed[i][1] for i in order])
+        for size in np.unique(np.minimum(sizes[sizes > 0], n)).tolist():
+            mine = np.flatnonzero(np.minimum(sizes, n) == size)
+            each = sizes[mine] - size + 1
+            first, owner = windows.ranges(w.offsets[:-1][mine], each), np.repeat(mine, each)
+            hashes, check = (scan.window_hashes(w.hashes, size, seed)[first] for seed in (3, 4))
+            order = np.lexsort((owner, check, hashes))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (np.diff(hashes[order]) != 0) | (np.diff(check[order]) != 0)
+            at = np.flatnonzero(fresh)
+            self.by_length[size] = (hashes[order][at], first[order][at], np.append(at, len(order)), owner[order].astype(np.int32))
 
     def scan(self, w: Words) -> tuple[np.ndarray, dict[int, set[int]]]:
         """Which words are hit, and the items found in each text."""
         starts, ends, items = [], [], {}
-        for size, (hashes, phrases, owners) in self.by_length.items():
-            own = scan.window_hashes(w.hashes, size)
-            if not len(own):
+        for size, (hashes, places, at, owners) in self.by_length.items():
+            first = w.valid(size)
+            if not len(first):
                 continue
-            low = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-            for first in np.flatnonzero(hashes[low] == own).tolist():
-                text = int(scan.owners(w.offsets, np.array([first]))[0])
-                if first + size > w.offsets[text + 1]:
-                    continue
-                k, phrase = int(low[first]), w.phrase(first, size)
-                while k < len(hashes) and hashes[k] == own[first]:
-                    if phrases[k] == phrase:
-                        starts.append(first)
-                        ends.append(first + size)
-                        items.setdefault(text, set()).update(owners[k])
+            own = scan.window_hashes(w.hashes, size)[first]
+            low = np.searchsorted(hashes, own)
+            found = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == own)
+            texts = scan.owners(w.offsets, first[found])
+            for i, text in zip(found.tolist(), texts.tolist(), strict=True):
+                k, phrase = int(low[i]), w.phrase(int(first[i]), size)
+                while k < len(hashes) and hashes[k] == own[i]:
+                    if self.words.phrase(int(places[k]), size) == phrase:
+                        starts.append(int(first[i]))
+                        ends.append(int(first[i]) + size)
+                        items.setdefault(text, set()).update(owners[at[k] : at[k + 1]].tolist())
                     k += 1
         return scan.cover(len(w.hashes), np.array(starts, np.int64), np.array(ends, np.int64)), items
 
@@ -112,17 +112,17 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def test_set(benchmark: DataFrame, n: int, max_windows: int) -> Broadcast | None:
-    """The broadcast set, or None if the benchmark has more than ``max_windows`` words (or 40 times as many characters)."""
+def test_set(benchmark: DataFrame, n: int, max_bytes: int) -> Broadcast | None:
+    """The broadcast set, or None if the benchmark's would be larger than max_bytes."""
     words = F.size(F.regexp_extract_all("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0)))
-    n_words, chars = _items(benchmark).select(F.sum(words), F.sum(F.length("text"))).first()
-    if (n_words or 0) > max_windows or (chars or 0) > 40 * max_windows:
+    n_words, n_bytes = _items(benchmark).select(F.sum(words), F.sum(F.octet_length("text"))).first()
+    if BYTES_A_WORD * (n_words or 0) + 2 * (n_bytes or 0) > max_bytes:
         return None
     rows = [tuple(r) for r in _items(benchmark).distinct().collect()]
     return benchmark.sparkSession.sparkContext.broadcast(TestSet(rows, n))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: float = 0.05, with_text: bool = False, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: float = 0.05, with_text: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside a benchmark window), n_items, items_sha256, contaminated.
 
     docs: doc_id, text; benchmark: item_id, text. contaminated: n_hit > 0 and n_hit >= share * n_words. with_text adds
@@ -131,7 +131,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: flo
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     items = _items(benchmark)
     schema = SPANS if with_text else RESULT
-    test = test_set(benchmark, n, max_windows)
+    test = test_set(benchmark, n, max_bytes)
     if test is None:
         return _by_shuffle(docs, items, n, share, with_text, schema)
 
@@ -146,11 +146,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: flo
     return docs.mapInArrow(work, schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: float = 0.05, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: float = 0.05, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated."""
-    test = test_set(benchmark, n, max_windows)
+    test = test_set(benchmark, n, max_bytes)
     if test is None:
-        bad = decontaminate(docs, benchmark, n, share, max_windows=max_windows).filter("contaminated").select("doc_id")
+        bad = decontaminate(docs, benchmark, n, share, max_bytes=max_bytes).filter("contaminated").select("doc_id")
         return docs.join(bad.distinct(), "doc_id", "left_anti").select(docs.columns)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,48 +165,53 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13, share:
 
 
 def _windows(n: int):
-    """Windows of n words (or, of items, the whole item if it is shorter) as rows id, first, size, hash, phrase."""
+    """Windows of n words of items (of a shorter one all of it) as rows id, size, hash, phrase."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offsets in scan.pieces(batch, "text"):
                 w, ids, rows = Words(buf, offsets), part.column("id").to_pylist(), []
-                for k in range(part.num_rows):
-                    size = min(n, int(w.offsets[k + 1] - w.offsets[k]))
-                    rows += [{"id": ids[k], "size": size, "phrase": w.phrase(f, size).decode()} for f in range(int(w.offsets[k]), int(w.offsets[k + 1]) - size + 1)] if size else []
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("id", pa.string()), ("size", pa.int32()), ("phrase", pa.string())]))
+                sizes = np.minimum(np.diff(w.offsets), n)
+                hashes = {size: scan.window_hashes(w.hashes, size) for size in np.unique(sizes[sizes > 0]).tolist()}
+                for k, size in enumerate(sizes.tolist()):
+                    rows += [{"id": ids[k], "size": size, "hash": int(hashes[size][f].astype(np.int64)), "phrase": w.phrase(f, size).decode()} for f in range(int(w.offsets[k]), int(w.offsets[k + 1]) - size + 1)] if size else []
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("id", pa.string()), ("size", pa.int32()), ("hash", pa.int64()), ("phrase", pa.string())]))
 
     return work
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, n: int, share: float, with_text: bool, schema: str) -> DataFrame:
-    """The same for a benchmark of any size: windows meet by hash, matches go back to their document's row."""
-    tests = items.select(F.col("item_id").alias("id"), "text").mapInArrow(_windows(n), "id string, size int, phrase string").distinct()
-    sizes = [r[0] for r in tests.select("size").distinct().collect()]
+    """The same for a benchmark of any size: windows meet by hash, matches go back to their document's row and are verified."""
+    tests = items.select(F.col("item_id").alias("id"), "text").mapInArrow(_windows(n), "id string, size int, hash long, phrase string").distinct()
+    sizes = [r[0] for r in tests.select("size").distinct().collect()]  # n at most
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).withColumn("copies", F.lit(1))
     each = rows.groupBy("row", "doc_id", "text").agg(F.count("*").alias("copies"))  # repeated rows are scanned once
 
     def scan_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offsets in scan.pieces(batch, "text"):
-                w, ids = Words(buf, offsets), part.column("row").to_pylist()
+                w, ids = Words(buf, offsets), np.asarray(part.column("row"))
                 for size in sizes:
                     first = w.valid(size)
-                    for a in range(0, len(first), 20_000):
-                        yield pa.RecordBatch.from_pylist([{"row": ids[int(t)], "first": int(f - w.offsets[t]), "size": size, "phrase": w.phrase(int(f), size).decode()} for f, t in zip(first[a : a + 20_000], scan.owners(w.offsets, first[a : a + 20_000]), strict=True)], schema=pa.schema([("row", pa.int64()), ("first", pa.int32()), ("size", pa.int32()), ("phrase", pa.string())]))
+                    if len(first):
+                        text = scan.owners(w.offsets, first)
+                        hashes = scan.window_hashes(w.hashes, size)[first].astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array((first - w.offsets[text]).astype(np.int32)), pa.array(np.full(len(first), size, np.int32)), pa.array(hashes)], names=["row", "first", "size", "hash"])
 
-    seen = each.select("row", "text").mapInArrow(scan_docs, "row long, first int, size int, phrase string")
-    grouped = tests.groupBy("size", "phrase").agg(F.collect_set("id").alias("ids"))
-    hits = seen.join(grouped, ["size", "phrase"]).groupBy("row").agg(F.collect_set(F.struct("first", "size")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("names"))
-    joined = each.join(hits, "row", "left").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    seen = each.select("row", "text").mapInArrow(scan_docs, "row long, first int, size int, hash long")
+    grouped = tests.groupBy("size", "hash", "phrase").agg(F.collect_set("id").alias("ids"))
+    hits = seen.join(grouped, ["size", "hash"]).groupBy("row").agg(F.collect_list(F.struct("first", "size", "phrase", "ids")).alias("spans"))
+    joined = each.join(hits, "row", "left").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offsets in scan.pieces(batch, "text"):
-                w = Words(buf, offsets)
-                found = [(int(w.offsets[k]) + s["first"], s["size"]) for k, spans in enumerate(part.column("spans").to_pylist()) for s in spans or []]
-                at = np.array(found, np.int64).reshape(-1, 2)
-                names = [sorted(x or []) for x in part.column("names").to_pylist()]
-                yield _rows(part.column("doc_id"), w, scan.cover(len(w.hashes), at[:, 0], at.sum(axis=1)), names, share, (buf, offsets) if with_text else None)
-
-    return joined.select("doc_id", "text", "spans", "names").mapInArrow(finish, schema)
+                w, at, names = Words(buf, offsets), [], []
+                for k, spans in enumerate(part.column("spans").to_pylist()):
+                    good = [s for s in spans or [] if w.phrase(int(w.offsets[k]) + s["first"], s["size"]) == s["phrase"].encode()]
+                    at += [(int(w.offsets[k]) + s["first"], s["size"]) for s in good]
+                    names.append(sorted({i for s in good for i in s["ids"]}))
+                runs = np.array(at, np.int64).reshape(-1, 2)
+                yield _rows(part.column("doc_id"), w, scan.cover(len(w.hashes), runs[:, 0], runs.sum(axis=1)), names, share, (buf, offsets) if with_text else None)
+
+    return joined.select("doc_id", "text", "spans").mapInArrow(finish, schema)
