@@ -3,13 +3,14 @@
 1. Tasks tokenise whole documents and cut each into full pieces of ``length`` ids and a rest. Only the pieces' measures go on.
 2. The histogram of piece lengths (at most ``length`` rows, whatever the corpus) is packed on the driver: lengths are placed
    longest first into the open packing pattern with the fewest ids that still fits, and pattern counts are updated.
-3. Patterns become intervals of ranks per length. Pieces are ranked within their length (counts per length and hash bucket,
-   running sums over the buckets, then ranks inside a bucket, so that no length is one task) and joined to the intervals.
+3. Patterns become intervals of ranks per length. A piece's rank within its length is its number among those of its task, as
+   counted while they were cut, and the counts of the tasks before it; ranks are joined to the intervals. No piece is sorted.
 
 The histogram decides all, so the work on the driver doesn't grow with the corpus; ranks and sequence ids are longs.
 
-Null text counts as empty and is one piece of the end id alone. Repeated rows are packed each on their own (ids within a
-repeated doc_id are numbered). An empty table gives an empty result. Other columns are not read.
+Null text counts as empty and is one piece of the end id alone. Repeated rows and rows without an id are packed each on their
+own. A text of any length is tokenised in one task. An empty table gives an empty result. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,16 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import scan, windows
 from weftline.llm.scratch import Scratch
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, nth long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, nth long"
 LENGTH = 2048
 END = 1
-BUCKETS = 256
 #: Distinct pieces that a worker's table holds (about 30 MB) before it starts anew.
 MAX_WORDS = 800_000
 #: Pieces that are encoded at once; the tokenizer's objects take about 2 kB each meanwhile.
@@ -139,7 +140,7 @@ def measure(docs: DataFrame, path: str, length: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _tables:
             _tables[path] = WordTable(path)
-        table, nth = _tables[path], 0
+        table, seen, task = _tables[path], np.zeros(length + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             for part, buf, offsets in scan.pieces(batch, "text"):
                 ids, cuts = table.encode(buf, offsets)
@@ -151,9 +152,12 @@ def measure(docs: DataFrame, path: str, length: int) -> DataFrame:
                 data, at = memoryview(ids.astype("<u4").tobytes()), cuts[doc] + start
                 crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), size.tolist(), strict=True)]
                 names = part.column("doc_id").take(pa.array(doc))
-                bucket = (scan.mix(np.asarray(names.fill_null(0)).astype(np.uint64) * np.uint64(31) + start.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([names, pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(sizes[doc]), pa.array(bucket), pa.array(np.arange(nth, nth + len(doc)))], schema=windows.arrow_schema(PIECES))
-                nth += len(doc)
+                order = np.argsort(size, kind="stable")
+                first = np.searchsorted(size[order], size[order])
+                nth = np.empty(len(size), np.int64)
+                nth[order] = np.arange(len(size)) - first + seen[size[order]]
+                seen += np.bincount(size, minlength=length + 1)
+                yield pa.RecordBatch.from_arrays([names, pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(sizes[doc]), pa.array(np.full(len(doc), task, np.int32)), pa.array(nth)], schema=windows.arrow_schema(PIECES))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, PIECES)
 
@@ -220,13 +224,12 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     pieces = scratch.save(measure(docs, path or tokenizer_path(), length), "pieces")
-    counts = scratch.save(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "counts")
+    counts = scratch.save(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "counts")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     table = spark.sparkContext.broadcast(intervals(pack_histogram(histogram, length)))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "nth")
-    ranked = pieces.withColumn("place", F.row_number().over(order)).join(base, ["length", "bucket"])
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ranked = pieces.join(base, ["length", "task"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,4 +243,4 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
             columns = [batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], schema=windows.arrow_schema(PACKED))
 
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("place") - 1).cast("long").alias("rank")).mapInArrow(place, PACKED)
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("nth")).cast("long").alias("rank")).mapInArrow(place, PACKED)
