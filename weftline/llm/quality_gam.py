@@ -9,8 +9,9 @@ The measures of all documents are taken in one pass and written; the model is fi
 bounded sample of labelled rows (``max_labelled``), and scoring reads measures only.
 
 Null text counts as empty and gets a score like any other. Rows with a null id are scored and count as held out. Without
-labelled rows of both kinds every score is the share of label 1 (0.5 if there is none). Repeated rows are scored each. An
-empty table gives an empty result. Other columns are not read.
+labelled rows of both kinds every score is the share of label 1 (0.5 if there is none). Repeated rows are scored each; of
+several rows of a labelled id the one with the least measures is learnt from. A text of any length is measured in one task. An
+empty table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -173,7 +174,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     measured = Scratch(spark, "gam").save(texts.mapInArrow(measure, _MEASURED), "measures")
-    known = measured.join(F.broadcast(training_rows(labels, label, max_labelled)), "doc_id").orderBy("doc_id", *FEATURES).toPandas()
+    rows = measured.join(F.broadcast(training_rows(labels, label, max_labelled)), "doc_id")
+    known = rows.groupBy("doc_id").agg(F.min(F.struct(*FEATURES, "y")).alias("m")).orderBy("doc_id").select("m.*").toPandas()  # max_labelled rows
     model = spark.sparkContext.broadcast(fit(known[FEATURES].to_numpy(np.float64), known["y"].to_numpy(np.float64)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
