@@ -5,9 +5,11 @@ A template names, for each role, the strings before and after its text and wheth
 their texts end to end are the formatted conversation. Control strings inside texts and roles are escaped, and reading back
 undoes it: '&' becomes '&amp;', '<|' becomes '&lt;|', and a line break in a role '&#10;'.
 
-DataFrame functions only. Null roles and texts count as empty. Turns of one number are ordered by role, then text. Rows with
-a null conv_id form one conversation with a null id. A turn that the machine doesn't accept is still written (nothing is
-lost); ``valid`` is false and ``bad_turn`` says where the first one stands. Other columns are not read.
+DataFrame functions only. Null roles and texts count as empty. Turns of one number are ordered by role, then text, and repeated
+rows are turns each. Nothing says that rows without a conv_id belong together: each is a conversation of one turn, with a null
+id. An empty table gives an empty result. A turn that the machine doesn't accept is still written (nothing is
+lost); ``valid`` is false and ``bad_turn`` says where the first one stands. A conversation of any length is one row, as its formatted text is. Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -57,7 +59,8 @@ def format_conversations(turns: DataFrame, template: Template = CHAT) -> DataFra
     turns: conv_id, turn, role, text. segments: array<struct<text, loss>>, in order; formatted: their texts end to end.
     """
     rows = turns.select("conv_id", F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")).alias("t"))
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    chats = rows.groupBy("conv_id", alone.alias("alone")).agg(F.sort_array(F.collect_list("t")).alias("turns"))
     roles = F.transform("turns", lambda t: t["role"])
     before = F.concat(F.array(F.lit("")), F.slice(roles, 1, F.greatest(F.size(roles) - 1, F.lit(0))))
     wrong = F.transform(F.arrays_zip(before.alias("a"), roles.alias("b")), lambda p: ~accepts(template, p["a"], p["b"]))
