@@ -21,7 +21,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:  # local runs and tests; a cluster names its shared folder
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="weftline-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root = spark, f"{base.rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
@@ -41,11 +43,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def save_bucketed(self, df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
-        """Like save, but bucketed by key, so that joins on it leave this side where it is."""
+        """Like save, but bucketed by key, so that joins on it leave this side where it is. The table leaves the catalogue at once."""
         table = f"weftline_{name}_{uuid.uuid4().hex}"
         with eager(self.spark):
             df.write.option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(buckets, key).saveAsTable(table)
-        return self.spark.table(table)
+        out = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE {table}")  # an external one: its files stay
+        return out
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
