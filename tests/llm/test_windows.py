@@ -1,4 +1,4 @@
-"""Equal segments of a block are packed once, whatever the number of documents that share them."""
+"""Equal segments that a task holds are packed once, whatever the number of documents that share them."""
 
 import numpy as np
 import pytest

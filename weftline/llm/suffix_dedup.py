@@ -77,7 +77,7 @@ def scan_batch(table: pa.Table, length: int, merge_with: list[int], keep: bool)
     """One bucket: flag the batch's windows against its own smaller ids and all levels; carry levels upward."""
     local = windows.local_runs(table)
     if local is not None:
-        return windows.to_table([{"kind": "run", "key": r["block"], "a": r["starts"], "b": r["counts"], "c": None} for r in local], STEP_SCHEMA)
+        return windows.to_table([{"kind": "run", "key": r["chunk"], "a": r["starts"], "b": r["counts"], "c": r["blocks"]} for r in local], STEP_SCHEMA)
     kinds = table.column("kind").to_pylist()
     bucket = table.column("bucket")[0].as_py()
     fresh = table.filter(pa.array([k is None for k in kinds]))
@@ -89,7 +89,7 @@ def scan_batch(table: pa.Table, length: int, merge_with: list[int], keep: bool)
     out, batch = [], None
     if fresh.num_rows:
         g = windows.gather(fresh)
-        rep, which = windows.collapse(scan.BYTE_KEYS[g.data], g.offsets)
+        rep, which = windows.collapse_bytes(g.data, g.offsets)
         begin, size = g.offsets[rep], np.diff(g.offsets)[rep]
         data = g.data[windows.ranges(begin, size)]
         ends = np.cumsum(size)
@@ -112,7 +112,7 @@ def scan_batch(table: pa.Table, length: int, merge_with: list[int], keep: bool)
         per = count[which]
         base = np.cumsum(count) - count
         hit = of_window[windows.ranges(base[which], per)] < np.repeat(g.doc, per)
-        out = [{"kind": "run", "key": r["block"], "a": r["starts"], "b": r["counts"], "c": None} for r in windows.pack_runs(g, hit, per)]
+        out = [{"kind": "run", "key": r["chunk"], "a": r["starts"], "b": r["counts"], "c": r["blocks"]} for r in windows.pack_runs(g, hit, per)]
         batch.order = starts[order][edge]
     if keep:
         for k in merge_with:
@@ -165,9 +165,9 @@ def suffix_array_dedup(docs: DataFrame, length: int = 50, batches: int = 4, with
         keep = t < len(edges)
         fresh = windows.shared_segments(plan, blocks.filter(F.col("batch") == t), bits).withColumn("kind", F.lit(None).cast("int"))
         for k, (_, level) in levels.items():
-            fresh = fresh.unionByName(level.select(F.col("key").cast("int").alias("bucket"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("docs"), F.col("c").alias("starts"), F.col("b").alias("sizes"), F.col("a").alias("data"), F.lit(k).alias("kind")))
+            fresh = fresh.unionByName(level.select(F.col("key").cast("int").alias("bucket"), F.lit(None).cast("binary").alias("blocks"), F.lit(None).cast("binary").alias("docs"), F.col("c").alias("starts"), F.col("b").alias("sizes"), F.col("a").alias("data"), F.lit(k).alias("kind")))
         out = scratch.save_parts(fresh.groupBy("bucket").applyInArrow(_step(length, carried, keep), STEP_SCHEMA), f"step{t}", "kind")
-        found = out.filter("kind = 'run'").select(F.col("key").alias("block"), F.col("a").alias("starts"), F.col("b").alias("counts"))
+        found = out.filter("kind = 'run'").select(F.col("key").alias("chunk"), F.col("c").alias("blocks"), F.col("a").alias("starts"), F.col("b").alias("counts"))
         runs = found if runs is None else runs.unionByName(found)
         for k in carried:
             scratch.drop(f"step{levels.pop(k)[0]}/kind=level")

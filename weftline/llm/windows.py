@@ -4,16 +4,18 @@ A window of ``length`` symbols is routed by its minimiser: the least hash among
 symbols. Equal windows have equal minimisers, and neighbouring windows mostly share theirs, so a text falls into *segments*
 (runs of neighbouring windows with one minimiser) of little more than one window each, about one for every 16 symbols.
 
-Three passes over the blocks (packed rows of a few MB of text, written once, bucketed by block):
+Three passes over the blocks (packed rows of 2 MB of text, written once; 32 blocks in a row are a chunk, by which the table is
+bucketed, so that what comes back to a chunk is joined where its blocks are):
 
 1. minimisers, each once a block, go to buckets by hash; a bit for each comes back: does another block have it?
 2. segments whose minimiser occurs in more than one document go to the same buckets, text and all; what the caller's
-   function finds there (runs of windows that also start in a document of smaller id) comes back per block. Copies within a
-   block stay out of the buckets, but for those of its least id: the others are to be removed in any case;
+   function finds there (runs of windows that also start in a document of smaller id) comes back per chunk. Of equal
+   segments within ``HELD`` bytes of a task only those of the least id go out: the others are to be removed in any case;
 3. each block paints its runs and yields its documents.
 
-Only minimisers of all text and the text of shared segments are shuffled; a common passage costs one minimiser a block in
-pass 1 and its text once a block in pass 2. Nothing is capped and no pair of documents is ever formed.
+Rows are packed by task and bucket, not by block and bucket, so that their number follows the text. Only minimisers of all
+text and the text of shared segments are shuffled; a common passage costs one minimiser a block in pass 1 and its text once a
+task in pass 2. Nothing is capped and no pair of documents is ever formed.
 """
 
 from __future__ import annotations
@@ -31,10 +33,15 @@ from weftline.llm import scan
 from weftline.llm.scratch import Scratch
 
 U = np.uint64
-BLOCK_SCHEMA = "block long, batch int, n_bytes long, ids binary, sizes binary, data binary"
-SEGMENT_SCHEMA = "bucket int, block long, docs binary, starts binary, sizes binary, data binary"
-BITS_SCHEMA = "block long, bucket int, bits binary"
-RUN_SCHEMA = "block long, starts binary, counts binary"
+BLOCK_SCHEMA = "chunk long, block long, batch int, n_bytes long, ids binary, sizes binary, data binary"
+KEY_SCHEMA = "bucket int, chunk long, blocks binary, counts binary, keys binary"
+BITS_SCHEMA = "chunk long, bucket int, blocks binary, counts binary, bits binary"
+SEGMENT_SCHEMA = "bucket int, blocks binary, docs binary, starts binary, sizes binary, data binary"
+RUN_SCHEMA = "chunk long, blocks binary, starts binary, counts binary"
+#: A chunk is 2^CHUNK blocks in a row.
+CHUNK = 5
+#: Bytes of keys or segments that a task holds before it sends them out.
+HELD = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -113,12 +120,12 @@ def make_blocks(scratch: Scratch, docs: DataFrame, edges: list[int]) -> DataFram
                     mine = np.flatnonzero(which == b)
                     sizes = np.diff(offsets)[mine]
                     data = b"".join(buf[offsets[i] : offsets[i + 1]].tobytes() for i in mine)
-                    rows.append({"block": number, "batch": int(b), "n_bytes": len(data), "ids": ids[mine].tobytes(), "sizes": sizes.tobytes(), "data": data})
+                    rows.append({"chunk": number >> CHUNK, "block": number, "batch": int(b), "n_bytes": len(data), "ids": ids[mine].tobytes(), "sizes": sizes.tobytes(), "data": data})
                     number += 1
                 yield to_batch(rows, BLOCK_SCHEMA)
 
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    return scratch.save_bucketed(docs.select("doc_id", "text").mapInArrow(pack, BLOCK_SCHEMA), "blocks", max(12, int(total // 16_000_000)), "block")
+    return scratch.save_bucketed(docs.select("doc_id", "text").mapInArrow(pack, BLOCK_SCHEMA), "blocks", max(12, int(total // 32_000_000)), "chunk")
 
 
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
@@ -143,35 +150,100 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def shared_keys(plan: Plan, blocks: DataFrame) -> DataFrame:
-    """Per block and bucket a bit for each of the block's distinct keys, in order: does another block have it?"""
+    """Per chunk and bucket a bit for each of its blocks' distinct keys, in order: does another block have it?"""
+
+    def packed(held: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for chunk in dict.fromkeys(c for c, _, _ in held):
+            mine = [(b, keys) for c, b, keys in held if c == chunk]
+            names, every = np.array([b for b, _ in mine], np.int64), np.concatenate([k for _, k in mine])
+            owner, bucket = np.repeat(np.arange(len(mine)), [len(k) for _, k in mine]), bucket_of(every, plan.buckets)
+            order = np.argsort(bucket, kind="stable")
+            full, cut = np.unique(bucket[order], return_index=True)
+            rows = []
+            for b, part in zip(full.tolist(), np.split(order, cut[1:]) if len(order) else [], strict=True):
+                who, counts = np.unique(owner[part], return_counts=True)
+                rows.append({"bucket": b, "chunk": chunk, "blocks": names[who].tobytes(), "counts": counts.astype(np.int32).tobytes(), "keys": every[part].tobytes()})
+            if rows:
+                yield to_batch(rows, KEY_SCHEMA)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for row in rows_of(batches):
             _, buf, offsets = unblock(row)
-            keys = np.unique(segments(plan, symbols(plan, buf, offsets))[2])
-            at = np.searchsorted(bucket_of(keys, plan.buckets), np.arange(plan.buckets + 1))
-            full = np.flatnonzero(np.diff(at))
-            yield to_batch([{"bucket": int(b), "block": row["block"], "bits": keys[at[b] : at[b + 1]].tobytes()} for b in full], "bucket int, block long, bits binary")
+            held.append((row["chunk"], row["block"], np.unique(segments(plan, symbols(plan, buf, offsets))[2])))
+            size += 8 * len(held[-1][2])
+            if size > HELD:
+                yield from packed(held)
+                held, size = [], 0
+        yield from packed(held)
 
     def meet(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        parts = [np.frombuffer(x, U) for x in table.column("bits").to_pylist()]
+        parts = [np.frombuffer(x, U) for x in table.column("keys").to_pylist()]
         every = np.sort(np.concatenate(parts))
         again = np.append(every[1:][every[1:] == every[:-1]], U(2**64 - 1))  # sorted; the last entry ends searches
-        rows = [{"block": b, "bucket": bucket, "bits": np.packbits(again[np.searchsorted(again, p)] == p).tobytes()} for b, p in zip(table.column("block").to_pylist(), parts, strict=True)]
-        return to_table(rows, BITS_SCHEMA)
+        bits = [np.packbits(again[np.searchsorted(again, p)] == p).tobytes() for p in parts]
+        return table.select(["chunk", "bucket", "blocks", "counts"]).append_column("bits", pa.array(bits, pa.binary()))
+
+    return blocks.select("chunk", "block", "ids", "sizes", "data").mapInArrow(emit, KEY_SCHEMA).groupBy("bucket").applyInArrow(meet, BITS_SCHEMA)
+
+
+class Found:
+    """What came back to a chunk, by block; parsed once for all blocks of the chunk that follow each other."""
+
+    def __init__(self, parse: Callable[[list[dict]], dict]):
+        self.parse, self.chunk, self.by_block = parse, None, {}
 
-    return blocks.select("block", "ids", "sizes", "data").mapInArrow(emit, "bucket int, block long, bits binary").groupBy("bucket").applyInArrow(meet, BITS_SCHEMA)
+    def of(self, row: dict):
+        if row["chunk"] != self.chunk:
+            self.chunk, self.by_block = row["chunk"], self.parse(row["found"] or [])
+        return self.by_block.get(row["block"])
+
+
+def _bits_by_block(found: list[dict]) -> dict[int, list[tuple[int, np.ndarray]]]:
+    out: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for x in found:
+        counts = np.frombuffer(x["counts"], np.int32)
+        bits = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=int(counts.sum())).astype(bool)
+        for block, part in zip(np.frombuffer(x["blocks"], np.int64).tolist(), np.split(bits, np.cumsum(counts)[:-1]), strict=True):
+            out.setdefault(block, []).append((x["bucket"], part))
+    return out
 
 
 def shared_segments(plan: Plan, blocks: DataFrame, bits: DataFrame) -> DataFrame:
-    """Segments whose key more than one document has, packed by bucket and block.
+    """Segments whose key more than one document has, packed by bucket.
 
-    Of the equal segments of a block only those of its least id are packed. The others start in a smaller id's document within
-    the block, whatever other blocks hold: they are runs to remove, in a row of a negative bucket (see ``local_runs``).
+    Of the equal segments that a task holds only those of the least id are packed. The others start in a smaller id's document,
+    whatever other tasks hold: they are runs to remove, in rows of a negative bucket (see ``local_runs``).
     """
 
+    def packed(held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        block = np.repeat([h[0] for h in held], [len(h[1]) for h in held])
+        keys, docs, first, count = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3, 4))
+        texts = [x for h in held for x in h[5]]
+        number: dict[bytes, int] = {}
+        same = np.fromiter((number.setdefault(x, len(number)) for x in texts), np.int64, len(texts))
+        least = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(least, same, docs)
+        later = docs > least[same]
+        rows = []
+        for b in np.unique(block[later]).tolist():
+            mine = later & (block == b)
+            local = -1 - int(scan.mix(np.array([b], U))[0] >> U(33))
+            rows.append({"bucket": local, "blocks": block[mine].tobytes(), "docs": b"", "starts": first[mine].astype(np.int32).tobytes(), "sizes": count[mine].astype(np.int32).tobytes(), "data": b""})
+        rest = np.flatnonzero(~later)
+        bucket = bucket_of(keys[rest], plan.buckets)
+        order = np.argsort(bucket, kind="stable")
+        full, cut = np.unique(bucket[order], return_index=True)
+        for b, part in zip(full.tolist(), np.split(rest[order], cut[1:]) if len(rest) else [], strict=True):
+            mine = [texts[i] for i in part.tolist()]
+            rows.append({"bucket": b, "blocks": block[part].tobytes(), "docs": docs[part].tobytes(), "starts": first[part].astype(np.int32).tobytes(), "sizes": np.array([len(x) for x in mine], np.int32).tobytes(), "data": b"".join(mine)})
+        if rows:
+            yield to_batch(rows, SEGMENT_SCHEMA)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back, held, size = Found(_bits_by_block), [], 0
         for row in rows_of(batches):
             ids, buf, offsets = unblock(row)
             s = symbols(plan, buf, offsets)
@@ -181,46 +253,34 @@ def shared_segments(plan: Plan, blocks: DataFrame, bits: DataFrame) -> DataFrame
                 continue
             at = np.searchsorted(bucket_of(unique, plan.buckets), np.arange(plan.buckets + 1))
             shared = np.zeros(len(unique), bool)
-            for x in row["found"] or []:
-                a, b = at[x["bucket"]], at[x["bucket"] + 1]
-                shared[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=int(b - a)).astype(bool)
+            for bucket, flags in back.of(row) or []:
+                shared[at[bucket] : at[bucket + 1]] = flags
             order = np.lexsort((ids[doc], which))  # a key of two ids within this block
             twice = (which[order][1:] == which[order][:-1]) & (ids[doc][order][1:] != ids[doc][order][:-1])
             shared[which[order][1:][twice]] = True
             keep = np.flatnonzero(shared[which])
-            keep = keep[np.argsort(bucket_of(keys[keep], plan.buckets), kind="stable")]
             begin, end = first[keep], first[keep] + count[keep] + plan.length - 1
             if s.starts is not None:
                 begin, end = s.starts[begin], s.ends[end - 1]
-            number: dict[bytes, int] = {}
-            same = np.fromiter((number.setdefault(buf[x:y].tobytes(), len(number)) for x, y in zip(begin.tolist(), end.tolist(), strict=True)), np.int64, len(keep))
-            least = np.full(len(number), np.iinfo(np.int64).max)
-            np.minimum.at(least, same, ids[doc[keep]])
-            later = ids[doc[keep]] > least[same]
-            rows = []
-            if later.any():
-                local = -1 - int(scan.mix(np.array([row["block"]], U))[0] >> U(33))
-                rows.append({"bucket": local, "block": row["block"], "docs": b"", "starts": first[keep[later]].astype(np.int32).tobytes(), "sizes": count[keep[later]].astype(np.int32).tobytes(), "data": b""})
-            keep, begin, end = keep[~later], begin[~later], end[~later]
-            cut = np.searchsorted(bucket_of(keys[keep], plan.buckets), np.arange(plan.buckets + 1))
-            for b in np.flatnonzero(np.diff(cut)):
-                mine = slice(cut[b], cut[b + 1])
-                rows.append({
-                    "bucket": int(b), "block": row["block"], "docs": ids[doc[keep[mine]]].tobytes(), "starts": first[keep[mine]].astype(np.int32).tobytes(), "sizes": (end[mine] - begin[mine]).astype(np.int32).tobytes(),
-                    "data": b"".join(memoryview(buf[x:y]) for x, y in zip(begin[mine].tolist(), end[mine].tolist(), strict=True)),
-                })
-            yield to_batch(rows, SEGMENT_SCHEMA)
-
-    found = bits.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("found"))
-    joined = blocks.select("block", "ids", "sizes", "data").join(found.hint("shuffle_hash"), "block", "left")
+            texts = [buf[x:y].tobytes() for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
+            held.append((row["block"], keys[keep], ids[doc[keep]], first[keep], count[keep], texts))
+            size += int((end - begin).sum())
+            if size > HELD:
+                yield from packed(held)
+                held, size = [], 0
+        yield from packed(held)
+
+    found = bits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blocks", "counts", "bits")).alias("found"))
+    joined = blocks.select("chunk", "block", "ids", "sizes", "data").join(found.hint("shuffle_hash"), "chunk", "left")
     return joined.mapInArrow(emit, SEGMENT_SCHEMA)
 
 
 def local_runs(table: pa.Table) -> list[dict] | None:
-    """Of a negative bucket the runs that its blocks found by themselves; None for other buckets."""
+    """Of a negative bucket the runs that a task found by itself; None for other buckets."""
     if table.column("bucket")[0].as_py() >= 0:
         return None
-    return [{"block": r["block"], "starts": r["starts"], "counts": r["sizes"]} for r in table.select(["block", "starts", "sizes"]).to_pylist()]
+    rows = table.select(["blocks", "starts", "sizes"]).to_pylist()
+    return [{"chunk": int(np.frombuffer(r["blocks"], np.int64)[0]) >> CHUNK, "blocks": r["blocks"], "starts": r["starts"], "counts": r["sizes"]} for r in rows]
 
 
 @dataclass
@@ -235,10 +295,9 @@ class Gathered:
 
 
 def gather(table: pa.Table) -> Gathered:
-    cols = {k: table.column(k).to_pylist() for k in ("block", "docs", "starts", "sizes", "data")}
-    sizes = np.frombuffer(b"".join(cols["sizes"]), np.int32).astype(np.int64)
-    each = [len(x) // 4 for x in cols["starts"]]
-    return Gathered(np.repeat(np.array(cols["block"], np.int64), each), np.frombuffer(b"".join(cols["docs"]), np.int64), np.frombuffer(b"".join(cols["starts"]), np.int32).astype(np.int64), np.frombuffer(b"".join(cols["data"]), np.uint8), np.concatenate([[0], np.cumsum(sizes)]))
+    joined = {k: b"".join(table.column(k).to_pylist()) for k in ("blocks", "docs", "starts", "sizes", "data")}
+    sizes = np.frombuffer(joined["sizes"], np.int32).astype(np.int64)
+    return Gathered(np.frombuffer(joined["blocks"], np.int64), np.frombuffer(joined["docs"], np.int64), np.frombuffer(joined["starts"], np.int32).astype(np.int64), np.frombuffer(joined["data"], np.uint8), np.concatenate([[0], np.cumsum(sizes)]))
 
 
 def collapse(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,14 +305,20 @@ def collapse(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
     Segments count as equal by two 64-bit hashes of independent random values.
     """
-    keys = [scan.sum_at_places(hashes, np.diff(offsets), salt) for salt in (11, 12)]
-    both = keys[0]
-    order = np.lexsort((keys[1], both))
+    return _groups(*(scan.sum_at_places(hashes, np.diff(offsets), salt) for salt in (11, 12)))
+
+
+def collapse_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of segments of bytes."""
+    return _groups(*(scan.span_hashes(data, offsets[:-1], offsets[1:], salt) for salt in (11, 12)))
+
+
+def _groups(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((two, one))
     fresh = np.ones(len(order), bool)
-    fresh[1:] = (both[order][1:] != both[order][:-1]) | (keys[1][order][1:] != keys[1][order][:-1])
-    number = np.cumsum(fresh) - 1
+    fresh[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
     which = np.empty(len(order), np.int64)
-    which[order] = number
+    which[order] = np.cumsum(fresh) - 1
     return order[fresh], which
 
 
@@ -274,23 +339,33 @@ def pack_runs(g: Gathered, hit: np.ndarray, counts: np.ndarray) -> list[dict]:
     s, e = scan.spans(hit, base)
     seg = scan.owners(base, s)
     at = g.start[seg] + s - base[seg]
-    order = np.argsort(g.block[seg], kind="stable")
-    blocks, cut = np.unique(g.block[seg][order], return_index=True)
-    at, n = at[order].astype(np.int32), (e - s)[order].astype(np.int32)
-    cut = np.append(cut, len(at))
-    return [{"block": int(b), "starts": at[cut[i] : cut[i + 1]].tobytes(), "counts": n[cut[i] : cut[i + 1]].tobytes()} for i, b in enumerate(blocks)]
+    block = g.block[seg]
+    order = np.argsort(block, kind="stable")
+    chunks, cut = np.unique(block[order] >> CHUNK, return_index=True)
+    rows = []
+    for chunk, part in zip(chunks.tolist(), np.split(order, cut[1:]), strict=True):
+        rows.append({"chunk": chunk, "blocks": block[part].tobytes(), "starts": at[part].astype(np.int32).tobytes(), "counts": (e - s)[part].astype(np.int32).tobytes()})
+    return rows
+
+
+def _runs_by_block(found: list[dict]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    block = np.frombuffer(b"".join(x["blocks"] for x in found), np.int64)
+    starts, counts = (np.frombuffer(b"".join(x[k] for x in found), np.int32).astype(np.int64) for k in ("starts", "counts"))
+    order = np.argsort(block, kind="stable")
+    names, cut = np.unique(block[order], return_index=True)
+    return {b: (starts[part], counts[part]) for b, part in zip(names.tolist(), np.split(order, cut[1:]), strict=True)} if len(names) else {}
 
 
 def paint(plan: Plan, blocks: DataFrame, runs: DataFrame, finish: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Symbols], pa.RecordBatch], schema: str) -> DataFrame:
     """finish(ids, text bytes, offsets, removed symbols, symbols) makes a block's output rows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = Found(_runs_by_block)
         for row in rows_of(batches):
             ids, buf, offsets = unblock(row)
             s = symbols(plan, buf, offsets)
-            a = np.frombuffer(b"".join(x["starts"] for x in row["runs"] or []), np.int32).astype(np.int64)
-            n = np.frombuffer(b"".join(x["counts"] for x in row["runs"] or []), np.int32).astype(np.int64)
+            a, n = back.of(row) or (np.zeros(0, np.int64),) * 2
             yield finish(ids, buf, offsets, scan.cover(len(s.hashes), a, a + n + plan.length - 1), s)
 
-    grouped = runs.groupBy("block").agg(F.collect_list(F.struct("starts", "counts")).alias("runs"))
-    return blocks.select("block", "ids", "sizes", "data").join(grouped.hint("shuffle_hash"), "block", "left").mapInArrow(emit, schema)
+    grouped = runs.groupBy("chunk").agg(F.collect_list(F.struct("blocks", "starts", "counts")).alias("found"))
+    return blocks.select("chunk", "block", "ids", "sizes", "data").join(grouped.hint("shuffle_hash"), "chunk", "left").mapInArrow(emit, schema)
