@@ -1,14 +1,22 @@
-"""Lexical search over posting tables, heading search, markers, entity links.
+"""Lexical search, heading search, markers, entity links.
 
 The score of a text is the number of distinct query tokens in it, then their total frequency; ties by id. A query matches if
 any of its tokens occurs; an empty query matches nothing.
+
+Queries whose tokens are few enough (``MAX_TOKENS``, counted first) are broadcast: tasks score blocks of texts against all
+queries by matrix products and yield k rows a query and block, so that a word that every text has costs no row. Beyond that
+postings are joined by token.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -16,6 +24,12 @@ from pyspark.sql.types import DoubleType
 from weftline.functions import text as T
 from weftline.operators.fusion import ranked
 
+#: Tokens of all queries that may be broadcast (about 100 bytes each while they are), and texts of a block.
+MAX_TOKENS = 500_000
+BLOCK = 1024
+#: Distinct tokens of the queries that are scored at once.
+WIDTH = 8192
+
 
 def postings(docs: DataFrame) -> DataFrame:
     """id, token, tf of docs (id, text)."""
@@ -26,23 +40,118 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.words(F.coalesce("text", F.lit(""))))).alias("token"))
 
 
+def _slices(asked: list[tuple[int, str]]) -> list[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """Queries in groups of at most WIDTH distinct tokens: ids, tokens, and a 0/1 matrix of tokens by queries."""
+    by_query: dict[int, list[str]] = {}
+    for q, token in asked:
+        by_query.setdefault(q, []).append(token)
+    groups: list[tuple[list[int], dict[str, int]]] = [([], {})]
+    for q, tokens in by_query.items():
+        if groups[-1][0] and len(groups[-1][1]) + len(tokens) > WIDTH:
+            groups.append(([], {}))
+        groups[-1][0].append(q)
+        for token in tokens:
+            groups[-1][1].setdefault(token, len(groups[-1][1]))
+    out = []
+    for ids, words in groups:
+        m = np.zeros((len(words), len(ids)), np.float32)
+        for j, q in enumerate(ids):
+            m[[words[t] for t in by_query[q]], j] = 1
+        out.append((np.array(ids, np.int64), pa.array(list(words), pa.string()), m))
+    return out
+
+
+def _scored(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame | None:
+    """query_id, id, matched, tf: of each block of texts at least its k best for each query; None if the queries are too many."""
+    tokens = query_tokens(queries.select(F.col("query_id").cast("long").alias("query_id"), "text"))
+    if tokens.count() > MAX_TOKENS:
+        return None
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in tokens.distinct().collect()])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = _slices(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                ids, lists = np.asarray(part.column("id")), part.column("words")
+                flat, owner = lists.flatten(), np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(lists)))
+                for names, words, asked in groups:
+                    if not len(words):
+                        continue
+                    code = pc.index_in(flat, value_set=words)
+                    known = np.asarray(code.is_valid())
+                    cell = owner[known] * len(words) + np.asarray(code.drop_null()).astype(np.int64)
+                    tf = np.bincount(cell, minlength=part.num_rows * len(words)).reshape(part.num_rows, -1).astype(np.float32)
+                    matched, total = ((tf > 0).astype(np.float32) @ asked).astype(np.int64), (tf @ asked).astype(np.int64)
+                    score = (matched << 40) + np.minimum(total, (1 << 40) - 1)
+                    for j, q in enumerate(names.tolist()):
+                        good = np.flatnonzero(matched[:, j])
+                        if len(good) > k:
+                            good = good[np.lexsort((ids[good], -score[good, j]))[:k]]
+                        if len(good):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(good), q)), pa.array(ids[good]), pa.array(matched[good, j]), pa.array(total[good, j])], names=["query_id", "id", "matched", "tf"])
+
+    rows = docs.select(F.col("id").cast("long").alias("id"), T.words(F.coalesce("text", F.lit(""))).alias("words"))
+    return rows.mapInArrow(work, "query_id long, id long, matched long, tf long")
+
+
 def lexical_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, id, matched, tf, rank."""
-    hits = query_tokens(queries).join(postings(docs), "token").groupBy("query_id", "id").agg(F.count("*").alias("matched"), F.sum("tf").alias("tf"))
+    """query_id, id, matched, tf, rank; docs: id (one row each), text; queries: query_id, text."""
+    hits = _scored(docs, queries, k)
+    if hits is None:
+        hits = query_tokens(queries).join(postings(docs), "token").groupBy("query_id", "id").agg(F.count("*").alias("matched"), F.sum("tf").alias("tf"))
     return ranked(hits, ["query_id"], [F.desc("matched"), F.desc("tf"), F.col("id")], k)
 
 
 def heading_topk(headings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, id, matched, rank; headings: id, text."""
-    tokens = headings.select("id", F.explode(F.array_distinct(T.words(F.coalesce("text", F.lit(""))))).alias("token"))
-    hits = query_tokens(queries).join(tokens, "token").groupBy("query_id", "id").agg(F.count("*").alias("matched"))
-    return ranked(hits, ["query_id"], [F.desc("matched"), F.col("id")], k)
+    once = headings.select("id", F.array_join(F.array_distinct(T.words(F.coalesce("text", F.lit("")))), " ").alias("text"))
+    hits = _scored(once, queries, k)
+    if hits is None:
+        hits = query_tokens(queries).join(postings(once), "token").groupBy("query_id", "id").agg(F.count("*").alias("matched"))
+    return ranked(hits.select("query_id", "id", "matched"), ["query_id"], [F.desc("matched"), F.col("id")], k)
 
 
-def marker_search(docs: DataFrame, markers: DataFrame) -> DataFrame:
-    """Of each marker how many docs and sources contain it, and the first; markers: item_id, marker; docs: doc_id, source, body."""
-    found = markers.join(docs, F.expr("contains(body, marker)"), "left")
-    return found.groupBy("item_id").agg(F.first("marker").alias("marker"), F.count("doc_id").alias("n_docs"), F.countDistinct("source").alias("n_sources"), F.min("doc_id").alias("first_doc"))
+def marker_search(docs: DataFrame, markers: DataFrame, most: int = 200_000) -> DataFrame:
+    """Of each marker how many docs and sources contain it, and the first; markers: item_id, marker; docs: doc_id, source, body.
+
+    The distinct markers (``most`` at most, else an error) are broadcast; each text is scanned once for all of them, and counts
+    by marker and source are all that leaves a task. An empty marker is in every text.
+    """
+    wanted = [r[0] for r in markers.select("marker").distinct().limit(most + 1).collect()]
+    if len(wanted) > most:
+        raise ValueError(f"more than {most} markers")
+    shared = docs.sparkSession.sparkContext.broadcast([m for m in wanted if m is not None])
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scan = _finder(shared.value)
+        for frame in frames:
+            pairs = [(m, s, d) for d, s, body in zip(frame["doc_id"], frame["source"], frame["body"], strict=True) for m in scan(body or "")]
+            found = pd.DataFrame(pairs, columns=["marker", "source", "doc_id"])
+            if len(found):
+                yield found.groupby(["marker", "source"], dropna=False, as_index=False).agg(n=("doc_id", "size"), doc=("doc_id", "min"))[["marker", "source", "n", "doc"]]
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "body").mapInPandas(work, "marker string, source string, n long, doc long")
+    counts = found.groupBy("marker").agg(F.sum("n").alias("n_docs"), F.countDistinct("source").alias("n_sources"), F.min("doc").alias("first_doc"))
+    zero = F.lit(0).cast("long")
+    return markers.join(counts, "marker", "left").select("item_id", "marker", F.coalesce("n_docs", zero).alias("n_docs"), F.coalesce("n_sources", zero).alias("n_sources"), "first_doc")
+
+
+def _finder(markers: list[str]):
+    """A function from a text to the markers in it."""
+    everywhere = [m for m in markers if m == ""]
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: everywhere + [m for m in markers if m and m in text]
+    machine = ahocorasick.Automaton()
+    for m in markers:
+        if m:
+            machine.add_word(m, m)
+    if not len(machine):
+        return lambda text: everywhere
+    machine.make_automaton()
+    return lambda text: everywhere + list({m for _, m in machine.iter(text)})
 
 
 @F.pandas_udf(DoubleType())
@@ -77,3 +186,34 @@ def entity_link(labels: DataFrame, candidates: DataFrame, floor: float = 0.05) -
     scored = pairs.withColumn("score", F.round(F.when(F.col("a") == F.col("b"), 1.0).when(F.expr("contains(a, b) or contains(b, a)"), 0.92).otherwise(fuzzy), 6))
     first = ranked(scored, ["query_id"], [F.desc("score"), F.col("cand_id")], 2)
     return first.groupBy("query_id").agg(F.min_by("cand_id", "rank").alias("cand_id"), F.max("score").alias("score"), ((F.count("*") > 1) & (F.min("score") >= F.max("score") - floor)).alias("ambiguous"))
+
+
+def heading_score(heading: str, path: str, query: str, stop: frozenset[str]) -> float:
+    """How well a heading or its path answers a query, all folded: 1 if one contains the other, or if three quarters of the
+    query's tokens are covered and .45 of the heading's; else the better of .7 and .3 of these and, from .72 on, the similarity
+    of the strings, .99 at most; 0 without a common token."""
+    names = [x for x in (heading, path) if x]
+    if not query or not names:
+        return 0.0
+    if any(x in query or query in x for x in names):
+        return 1.0
+    q, h = ({t for t in x.split() if len(t) > 1 and t not in stop} for x in (query, f"{heading} {path}"))
+    both = len(q & h)
+    if not both:
+        return 0.0
+    of_q, of_h = both / len(q), both / len(h)
+    if of_q >= 0.75 and of_h >= 0.45:
+        return 1.0
+    alike = max(SequenceMatcher(None, query, x).ratio() for x in names)
+    return min(0.99, max(0.7 * of_q + 0.3 * of_h, alike if alike >= 0.72 else 0.0))
+
+
+def heading_scores(pairs: DataFrame, stop: list[str] = STOP) -> DataFrame:
+    """pairs (heading, path, query and others) with ``score``."""
+    words = frozenset(stop)
+
+    @F.pandas_udf(DoubleType())
+    def score(h: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series([heading_score(a or "", b or "", c or "", words) for a, b, c in zip(h, p, q, strict=True)], dtype="float64")
+
+    return pairs.withColumn("score", F.round(score(T.fold(F.col("heading")), T.fold(F.col("path")), T.fold(F.col("query"))), 6))

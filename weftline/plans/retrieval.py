@@ -193,3 +193,11 @@ def resolver_cascade(t: Tables) -> DataFrame:
     kind = F.when(F.col("path") == F.col("heading"), 0).otherwise(1)
     w = Window.partitionBy("chunk_id").orderBy("kind", "section_id")
     return both.withColumn("kind", kind).withColumn("n", F.row_number().over(w)).filter("n = 1").select("chunk_id", "section_id", "kind")
+
+
+@query()
+def heading_scores(t: Tables) -> DataFrame:
+    """Scores of the five headings that share most tokens with each query."""
+    heads = t.documents.select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("heading"), "source")
+    pairs = _heading_lane(t, 5).join(heads, "id").join(_queries(t), "query_id").select("query_id", "id", "heading", F.concat_ws(" > ", "source", "heading").alias("path"), F.col("text").alias("query"))
+    return lexical.heading_scores(pairs).select("query_id", "id", "score")
