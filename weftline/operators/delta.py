@@ -85,3 +85,10 @@ def snapshot(ids: DataFrame, bits: int = 16) -> DataFrame:
     part = ids.groupBy("name", F.shiftright("id", bits).alias("part")).agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum(F.col("filled").cast("long")).alias("vectors"), F.md5(lines(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")))).alias("mark"))
     marks = F.transform(F.array_sort(F.collect_list(F.struct("part", "n", "mark"))), lambda x: F.concat_ws(":", x["part"].cast("string"), x["n"].cast("string"), x["mark"]))
     return part.groupBy("name").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("vectors").alias("vectors"), F.md5(lines(marks)).alias("mark"))
+
+
+def least_of(df: DataFrame, by: str, value: str, n: int, deal: int = 64) -> DataFrame:
+    """by, least: the n least values of each group in order. Each of ``deal`` parts of a group gives its n least first."""
+    part = F.pmod(F.xxhash64(value), F.lit(deal)).cast("int")
+    first = df.withColumn("__p", part).withColumn("__n", F.row_number().over(Window.partitionBy(by, "__p").orderBy(value))).filter(F.col("__n") <= n)
+    return first.groupBy(by).agg(F.slice(F.array_sort(F.collect_list(value)), 1, n).alias("least"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ranking import values_at
+
 
 def latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a total order."""
@@ -12,9 +14,14 @@ def latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 
 def stage_quantiles(df: DataFrame, stage: str, ms: str) -> DataFrame:
-    """Exact p50 and p95 of seconds, negative durations as 0."""
-    s = F.greatest(F.col(ms), F.lit(0.0)) / 1000
-    return df.groupBy(stage).agg(F.count("*").alias("n"), F.round(F.percentile(s, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(s, F.lit(0.95)), 6).alias("p95"))
+    """Exact p50 and p95 of seconds, negative durations as 0, between two values by their distance."""
+    rows = df.select(stage, (F.greatest(F.col(ms), F.lit(0.0)) / 1000).alias("s"))
+    at = {q: q * (F.col("n") - 1) for q in (0.5, 0.95)}
+    picks = {f"{end}{q}": f(p).cast("long") + 1 for q, p in at.items() for end, f in (("lo", F.floor), ("hi", F.ceil))}
+    x = values_at(rows, [stage], "s", picks)
+    between = {q: F.when(F.floor(p) == p, F.col(f"`lo{q}`")).otherwise((F.ceil(p) - p) * F.col(f"`lo{q}`") + (p - F.floor(p)) * F.col(f"`hi{q}`")) for q, p in at.items()}
+    counts = df.groupBy(stage).agg(F.count("*").alias("__n"))
+    return counts.join(x, stage, "left").select(stage, F.col("__n").alias("n"), F.round(between[0.5], 6).alias("p50"), F.round(between[0.95], 6).alias("p95"))
 
 
 def env_label(c: Column, default: str = "unknown") -> Column:

@@ -28,3 +28,20 @@ def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 def sample_rows(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """n rows at random, the same for one seed: those with the least hashes of seed and key."""
     return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
+def values_at(rows: DataFrame, by: list[str], value: str, picks: dict[str, Column]) -> DataFrame:
+    """by, n (values that aren't null) and, for each pick (a 1-based rank as a function of n), the value of that rank.
+
+    Exact, and no task holds a group: values are counted, dealt by range and summed up within each part; what comes before a
+    part is a sum over the parts.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    dealt = counts.repartitionByRange(*by, "__v").withColumn("__part", F.spark_partition_id())
+    parts = dealt.groupBy(*by, "__part").agg(F.sum("__c").alias("__s"))
+    group = Window.partitionBy(*by)
+    parts = parts.withColumn("__before", F.sum("__s").over(group.orderBy("__part")) - F.col("__s")).withColumn("n", F.sum("__s").over(group)).drop("__s")
+    last = F.sum("__c").over(Window.partitionBy(*by, "__part").orderBy("__v"))
+    placed = dealt.withColumn("__last", last).join(parts, [*by, "__part"]).withColumn("__last", F.col("__last") + F.col("__before"))
+    inside = lambda rank: (rank <= F.col("__last")) & (rank > F.col("__last") - F.col("__c"))
+    return placed.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(inside(rank), F.col("__v"))).alias(name) for name, rank in picks.items()])

@@ -14,12 +14,12 @@ from weftline.sources import markup as P
 _FOLD = "array_to_string(regexp_extract_all(lower(translate({0}, 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '[a-z0-9]+'), ' ')"
 
 
-@query(f"""WITH d AS (SELECT doc_id, source, substr(coalesce(text, ''), 1, 400) AS s, text FROM documents)
-SELECT doc_id, {_FOLD.format("s")} AS folded, CAST(floor(length(text) / 4.2) AS BIGINT) AS tokens, CASE WHEN length(text) > 60 THEN rtrim(substr(text, 1, 59)) || '…' ELSE text END AS preview,
+@query(f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS s, text FROM documents)
+SELECT doc_id, md5({_FOLD.format("s")}) AS folded, CAST(floor(length(text) / 4.2) AS BIGINT) AS tokens, CASE WHEN length(text) > 60 THEN rtrim(substr(text, 1, 59)) || '…' ELSE text END AS preview,
   CASE WHEN length(s) <= 40 THEN s ELSE substr(s, 1, 31) || '_' || substr(sha1(s), 1, 8) END AS bounded, upper(source) AS match_key, sha256(text) AS digest FROM d""")
 def text_functions(t: Tables) -> DataFrame:
-    s = F.substring(F.coalesce("text", F.lit("")), 1, 400)
-    return t.documents.select("doc_id", T.fold(s).alias("folded"), T.token_estimate(F.col("text"), 4.2).alias("tokens"), T.preview(F.col("text"), 60).alias("preview"), T.bounded_id(s, 40).alias("bounded"), T.match_key(F.col("source")).alias("match_key"), F.sha2("text", 256).alias("digest"))
+    s = F.coalesce("text", F.lit(""))
+    return t.documents.select("doc_id", F.md5(T.fold(s)).alias("folded"), T.token_estimate(F.col("text"), 4.2).alias("tokens"), T.preview(F.col("text"), 60).alias("preview"), T.bounded_id(s, 40).alias("bounded"), T.match_key(F.col("source")).alias("match_key"), F.sha2("text", 256).alias("digest"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS s FROM documents)

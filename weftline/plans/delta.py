@@ -33,9 +33,8 @@ def reconcile_plan(t: Tables) -> DataFrame:
 @query(f"WITH {_MANIFEST}, p AS (SELECT coalesce(m.uid, c.uid) AS uid, {_ACTION} AS action FROM m FULL OUTER JOIN c ON m.uid = c.uid) SELECT action, count(*) AS n, list(uid ORDER BY uid)[1:5] AS sample FROM p GROUP BY action")
 def plan_summary(t: Tables) -> DataFrame:
     plan = D.reconcile(_manifest(t), _corpus(t))
-    # A sample of five a group: the five least, by rank and not by gathering a group.
-    least = D.occurrence(plan, ["action"], [F.col("uid")]).withColumn("sampled", F.when(F.col("occurrence") < 5, F.col("uid")))
-    return least.groupBy("action").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("sampled")).alias("sample"))
+    counts = plan.groupBy("action").agg(F.count("*").alias("n"))
+    return counts.join(D.least_of(plan, "action", "uid", 5).withColumnRenamed("least", "sample"), "action")
 
 
 @query("WITH o AS (SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id % 3 > 0), n AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE upper(lang) END AS lang, 'new' AS source, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 5 > 0) SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.lang, o.lang) AS lang, coalesce(o.source, n.source) AS source, CASE WHEN n.doc_id IS NOT NULL THEN n.n_chars ELSE o.n_chars END AS n_chars FROM o FULL OUTER JOIN n ON o.doc_id = n.doc_id")
@@ -88,15 +87,19 @@ def latest_version(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("newest"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last_key"), F.count("*").alias("versions"))
 
 
-@query("SELECT p_brand, p_partkey FROM (SELECT p_brand, min(p_partkey) AS p_partkey, count(*) AS n FROM part WHERE p_size = 7 GROUP BY p_brand) WHERE n = 1")
+@query("""WITH k AS (SELECT p_brand, p_type, p_size, min(p_partkey) AS found FROM part WHERE p_partkey % 3 > 0 GROUP BY ALL HAVING count(*) = 1) SELECT p.p_partkey, CASE WHEN p.p_partkey % 2 = 0 THEN p.p_partkey ELSE found END AS link FROM part p LEFT JOIN k USING (p_brand, p_type, p_size)""")
 def unique_key_backfill(t: Tables) -> DataFrame:
-    return t.part.filter("p_size = 7").groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("n")).filter("n = 1").drop("n")
+    """Missing links filled from the rows of equal key, where that key has exactly one."""
+    key = ["p_brand", "p_type", "p_size"]
+    unique = t.part.filter("p_partkey % 3 > 0").groupBy(*key).agg(F.min("p_partkey").alias("found"), F.count("*").alias("n")).filter("n = 1").drop("n")
+    return t.part.join(unique, key, "left").select("p_partkey", F.coalesce(F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey")), F.col("found")).alias("link"))
 
 
-@query("SELECT 'documents' AS name, count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi, md5(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id)) AS mark FROM documents WHERE lang = 'es'")
+@query("""WITH p AS (SELECT lang AS name, doc_id >> 16 AS part, count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi, md5(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id)) AS mark FROM documents GROUP BY 1, 2)
+SELECT name, CAST(sum(n) AS BIGINT) AS n, min(lo) AS lo, max(hi) AS hi, md5(string_agg(part || ':' || n || ':' || mark, chr(10) ORDER BY part)) AS mark FROM p GROUP BY name""")
 def corpus_fingerprint(t: Tables) -> DataFrame:
-    d = t.documents.filter("lang = 'es'")
-    return d.agg(F.lit("documents").alias("name"), F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), "\n")).alias("mark"))
+    """The documents of each language."""
+    return D.snapshot(t.documents.select(F.col("lang").alias("name"), F.col("doc_id").cast("long").alias("id"), F.lit(None).cast("boolean").alias("filled"))).drop("vectors")
 
 
 @query("""WITH ids AS (SELECT 'documents' AS name, doc_id AS id, CAST(NULL AS BOOLEAN) AS filled FROM documents UNION ALL SELECT 'embeddings', vec_id, embedding IS NOT NULL FROM embeddings),

@@ -18,11 +18,11 @@ def _relevant(t: Tables, k: int = 50) -> DataFrame:
     return top(t, k).select("query_id", "id", "rank", (F.col("label") == F.col("q_label")).alias("relevant"))
 
 
-def _gold_metrics(t: Tables, hit: Column, gold: str) -> DataFrame:
-    """Set metrics of the first ten, with relevance as a flag and the gold size from counts by label, which ``gold`` filters."""
-    sizes = t.embeddings.filter(gold).groupBy("label").agg(F.count("*").alias("n_gold"))
+def _gold_metrics(t: Tables) -> DataFrame:
+    """Set metrics of the first ten, with relevance as a flag and the gold size from counts by label."""
+    sizes = t.embeddings.groupBy("label").agg(F.count("*").alias("n_gold"))
     n_gold = vec_queries(t).select("query_id", F.col("q_label").alias("label")).join(sizes, "label").select("query_id", "n_gold")
-    relevant = F.col("relevant") & hit
+    relevant = F.col("relevant")
     found = _relevant(t, 10).groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(relevant).cast("int").alias("hits"), F.min(F.when(relevant, F.col("rank"))).alias("first"))
     return found.join(n_gold, "query_id").select("query_id", "hits", F.round(F.col("hits") / F.col("n_gold"), 6).alias("recall"), F.round(F.col("hits") / F.col("n"), 6).alias("precision"), (F.col("hits") > 0).cast("int").alias("hit_rate"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
 
@@ -33,19 +33,29 @@ def retrieval_metrics(t: Tables) -> DataFrame:
     return M.ranking_metrics(_relevant(t), 10)
 
 
-@query(f"""WITH {_REL}, gold AS (SELECT a.vec_id AS query_id, list(b.vec_id) AS gold FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id % 10 = 0 WHERE a.vec_id % 20 = 0 GROUP BY 1),
-f AS (SELECT query_id, list(id ORDER BY rank) AS found FROM r WHERE rank <= 10 GROUP BY 1),
-x AS (SELECT query_id, gold, found, len(list_intersect(found, gold)) AS hits, list_filter(range(1, len(found) + 1), lambda i: list_contains(gold, found[i])) AS places FROM f JOIN gold USING (query_id))
-SELECT query_id, CAST(hits AS INT) AS hits, round(hits / nullif(len(gold), 0), 6) AS recall, round(hits / nullif(len(found), 0), 6) AS precision, CAST(hits > 0 AS INT) AS hit_rate, round(coalesce(1 / places[1], 0), 6) AS mrr FROM x""")
+@query(f"""WITH {_REL}, gold AS (SELECT DISTINCT label, vec_id // 2 AS doc FROM embeddings), sizes AS (SELECT label, count(*) AS n_gold FROM gold GROUP BY label), asked AS (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id % 20 = 0),
+f AS (SELECT query_id, id // 2 AS doc, min(rank) AS rank FROM r WHERE rank <= 10 GROUP BY ALL), o AS (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place, g.doc IS NOT NULL AS hit FROM f JOIN asked USING (query_id) LEFT JOIN gold g ON g.label = asked.label AND g.doc = f.doc),
+x AS (SELECT query_id, count(*) AS n, count(*) FILTER (hit) AS hits, min(place) FILTER (hit) AS first FROM o GROUP BY query_id)
+SELECT query_id, CAST(hits AS INT) AS hits, round(hits / n_gold, 6) AS recall, round(hits / n, 6) AS precision, CAST(hits > 0 AS INT) AS hit_rate, round(coalesce(1 / first, 0), 6) AS mrr FROM x JOIN asked USING (query_id) JOIN sizes USING (label)""")
 def deterministic_metrics(t: Tables) -> DataFrame:
-    return _gold_metrics(t, F.col("id") % 10 == 0, "vec_id % 10 = 0")
+    """Metrics by document where two ids are aliases of one: a document is relevant if any alias is, and found where its first is."""
+    from weftline.operators.fusion import ranked
+
+    gold = t.embeddings.select(F.col("label"), F.floor(F.col("vec_id") / 2).alias("doc")).distinct()
+    sizes = gold.groupBy("label").agg(F.count("*").alias("n_gold"))
+    asked = vec_queries(t).select("query_id", F.col("q_label").alias("label"))
+    found = _relevant(t, 10).groupBy("query_id", F.floor(F.col("id") / 2).alias("doc")).agg(F.min("rank").alias("rank"))
+    placed = ranked(found, ["query_id"], [F.col("rank")], name="place").join(asked, "query_id").join(gold.withColumn("hit", F.lit(True)), ["label", "doc"], "left")
+    hit = F.coalesce("hit", F.lit(False))
+    x = placed.groupBy("query_id", "label").agg(F.count("*").alias("n"), F.count_if(hit).cast("int").alias("hits"), F.min(F.when(hit, F.col("place"))).alias("first")).join(sizes, "label")
+    return x.select("query_id", "hits", F.round(F.col("hits") / F.col("n_gold"), 6).alias("recall"), F.round(F.col("hits") / F.col("n"), 6).alias("precision"), (F.col("hits") > 0).cast("int").alias("hit_rate"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
 
 
 @query(f"""WITH {_REL}, n AS (SELECT label, count(*) AS n_gold FROM embeddings GROUP BY label), gold AS (SELECT vec_id AS query_id, n_gold FROM embeddings JOIN n USING (label) WHERE vec_id % 20 = 0),
 x AS (SELECT query_id, count(*) AS n, count(*) FILTER (relevant) AS hits, min(rank) FILTER (relevant) AS first_rank FROM r WHERE rank <= 10 GROUP BY 1)
 SELECT query_id, CAST(hits AS INT) AS hits, round(hits / n_gold, 6) AS recall, round(hits / n, 6) AS precision, CAST(hits > 0 AS INT) AS hit_rate, round(coalesce(1 / first_rank, 0), 6) AS mrr FROM x JOIN gold USING (query_id)""")
 def deterministic_metrics_whole(t: Tables) -> DataFrame:
-    return _gold_metrics(t, F.lit(True), "true")
+    return _gold_metrics(t)
 
 
 @query(f"""WITH {_REL}, c AS (SELECT unnest([('pool', 50), ('top20', 20), ('top12', 12), ('selected', 5)]) AS s), st AS (SELECT s[1] AS stage, s[2] AS k FROM c),

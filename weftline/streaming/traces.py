@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,24 @@ def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def windowed_counts(spark: SparkSession, path: str) -> DataFrame:
-    """All hours of what is there now: the stream run to its end (complete output) into a table in memory."""
-    name = f"hours_{uuid.uuid4().hex}"
-    run = hourly(read_events(spark, path)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    """All hours of what is there now: the stream run to its end.
+
+    Each micro-batch writes the hours that it changed, with its number, to the folder in spark.checkpoint.dir; of each hour the
+    last such row holds. State and results stay with the executors, and a run that is begun again goes on where it was.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="weftline-")
+    root = f"{base.rstrip('/')}/weftline/hours-{uuid.uuid4().hex}"
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{root}/rows/run={batch}")
+
+    hours = hourly(read_events(spark, path))
+    run = hours.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").foreachBatch(save).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema(f"{hours.schema.simpleString()[7:-1].replace(':', ' ')}, batch int").parquet(f"{root}/rows/*")
+    last = rows.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("x"))
+    return last.select("start", "event_type", "x.n", "x.total")
