@@ -115,7 +115,7 @@ def test_sections():
 def test_chunks_cover_text(spark):
     words = " ".join(f"w{i}" for i in range(900))
     df = spark.createDataFrame([(1, words), (2, ""), (3, "a\n\nb")], "doc_id long, text string")
-    rows = chunking.paragraph_chunks(df, F.col("text"), 300).collect()
+    rows = chunking.paragraph_chunks(df, 300, 0).collect()
     assert "".join(r.chunk for r in rows if r.doc_id == 1) == words
     assert [r.chunk for r in rows if r.doc_id == 3] == ["a\n\nb"]
     assert all(len(r.chunk) <= 300 for r in rows)

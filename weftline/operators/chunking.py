@@ -7,10 +7,11 @@ as Arrow-fed functions over batches of documents, one row out a section or chunk
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,17 +22,134 @@ def fixed_windows(df: DataFrame, text: Column, size: int, overlap: int) -> DataF
     return df.select("*", F.posexplode(starts).alias("chunk_index", "__s")).withColumn("chunk", F.substring(text, F.col("__s") + 1, F.lit(size))).drop("__s")
 
 
-def paragraph_chunks(df: DataFrame, text: Column, size: int) -> DataFrame:
-    """df with chunk_index and chunk: paragraphs joined greedily up to size characters; longer ones are cut by size."""
-    paragraphs = F.filter(F.transform(F.split(text, "\\n+"), lambda p: F.trim(p)), lambda p: p != "")
-    cut = F.flatten(F.transform(paragraphs, lambda p: F.transform(F.sequence(F.lit(0), F.length(p) - 1, F.lit(size)), lambda s: F.substring(p, s + 1, F.lit(size)))))
+def windows_of(text: str, size: int, overlap: int) -> list[str]:
+    return [text[a : a + size] for a in range(0, len(text), max(1, size - overlap))]
 
-    def step(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (F.length(last) + 2 + F.length(p) <= size)
-        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.lit("\n\n"), p)))).otherwise(F.concat(acc, F.array(p)))
 
-    return df.select("*", F.posexplode(F.aggregate(cut, F.array().cast("array<string>"), step)).alias("chunk_index", "chunk"))
+def paragraphs_packed(text: str, size: int = 1200, overlap: int = 200) -> list[str]:
+    """Paragraphs (between empty lines) joined greedily up to size characters; longer ones are cut into overlapping windows."""
+    out: list[list[str]] = []
+    room = 0  # characters that the last chunk can still take
+    for p in (x.strip() for x in re.split(r"\n{2,}", text)):
+        if not p:
+            continue
+        if len(p) > size:
+            out += [[w] for w in windows_of(p, size, overlap)]
+            room = 0
+        elif room >= len(p) + 2:
+            out[-1].append(p)
+            room -= len(p) + 2
+        else:
+            out.append([p])
+            room = size - len(p)
+    return ["\n\n".join(parts) for parts in out]
+
+
+def paragraph_chunks(docs: DataFrame, size: int = 1200, overlap: int = 200) -> DataFrame:
+    """doc_id, chunk_index, chunk of docs (doc_id, text); see paragraphs_packed."""
+    parse = _mapper(lambda text: [{"chunk_index": i, "chunk": c} for i, c in enumerate(paragraphs_packed(text, size, overlap))], ["chunk_index", "chunk"])
+    return docs.select("doc_id", "text").mapInPandas(parse, "doc_id long, chunk_index int, chunk string")
+
+
+_PAGE_MARK = re.compile(r"^\s*<!--\s*PAGE\b.*-->\s*$", re.IGNORECASE)
+_RULER = re.compile(r"^[\s|:\-]*-[\s|:\-]*$")
+
+
+def table_slices(block: str, size: int) -> list[str]:
+    """A markdown table cut between rows, its head and a ruler on every slice; heads that pages repeat are taken out.
+
+    The head is the first of the first five rows that is repeated and says something, else the row above the first ruler.
+    """
+    lines = [x for x in block.splitlines() if x.strip()]
+    rows = [x for x in lines if not _RULER.match(x)]
+    again = {k for k, n in Counter(r.strip() for r in rows).items() if n > 1}
+    head = next((r for r in rows[:5] if r.strip() in again and not re.search(r"\d{3,}", r)), None)
+    at = next((i for i, x in enumerate(lines) if _RULER.match(x)), 0)
+    if head is None and 1 <= at <= 2:
+        head = lines[at - 1]
+    top = [] if head is None else [head, "|" + " --- |" * max(1, head.count("|") - 1)]
+    body = [r for r in rows if head is None or r.strip() != head.strip()]
+    base = sum(len(x) + 1 for x in top)
+    out, used = [], size
+    for r in body:
+        if used + len(r) + 1 > size:
+            out.append([*top])
+            used = base
+        out[-1].append(r)
+        used += len(r) + 1
+    return ["\n".join(x) for x in out] or [block]
+
+
+def section_chunks(text: str, size: int = 1200, overlap: int = 200) -> list[str]:
+    """Chunks of a section: prose packed by paragraphs, tables over size cut between rows. Tables that follow each other with
+    one number of columns are one table (pages cut them); a heading alone before a chunk goes into it."""
+    plain = "\n".join(x for x in text.splitlines() if not _PAGE_MARK.match(x))
+    blocks: list[tuple[bool, list[str]]] = []
+    for p in (x.strip("\n") for x in re.split(r"\n\s*\n", plain)):
+        if not p.strip():
+            continue
+        rows = [x.strip() for x in p.splitlines() if x.strip()]
+        table = all(x.startswith("|") for x in rows)
+        if table and blocks and blocks[-1][0] and blocks[-1][1][0].strip().splitlines()[0].count("|") == rows[0].count("|"):
+            blocks[-1][1].append(p)
+        else:
+            blocks.append((table, [p]))
+    out: list[str] = []
+    prose: list[str] = []
+    for table, parts in [*blocks, (True, [])]:
+        whole = "\n".join(parts)
+        if table and (not parts or len(whole) > size):
+            if prose:
+                out += paragraphs_packed("\n\n".join(prose), size, overlap)
+                prose = []
+            out += table_slices(whole, size) if parts else []
+        else:
+            prose.append(whole)
+    if len(out) > 1 and out[0].startswith("#") and "\n" not in out[0].strip() and len(out[0]) < 120:
+        out[:2] = [f"{out[0]}\n\n{out[1]}"]
+    return out
+
+
+def split_section_tables(sections: DataFrame, size: int = 1200, overlap: int = 200) -> DataFrame:
+    """doc_id, chunk_index, chunk of sections (doc_id, text); see section_chunks."""
+    parse = _mapper(lambda text: [{"chunk_index": i, "chunk": c} for i, c in enumerate(section_chunks(text, size, overlap))], ["chunk_index", "chunk"])
+    return sections.select("doc_id", "text").mapInPandas(parse, "doc_id long, chunk_index int, chunk string")
+
+
+def uncovered_sections(sections: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The sections (section_id, is_indexable, body) that no chunk (section_id) belongs to, are to be indexed and have text."""
+    known = chunks.filter("section_id is not null").select("section_id").distinct()
+    return sections.join(known, "section_id", "left_anti").filter(F.col("is_indexable") & (F.trim(F.coalesce("body", F.lit(""))) != ""))
+
+
+def section_tree(sections: DataFrame) -> DataFrame:
+    """doc_id, section_index, depth, line: sections (doc_id, section_index, level, heading) as an indented tree. A section's depth
+    is the number of the sections it lies in: for each lower level the last one, unless a still lower one came after it."""
+    over = Window.partitionBy("doc_id").orderBy("section_index").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sections
+    for k in range(1, 6):
+        rows = rows.withColumn(f"__l{k}", F.max(F.when(F.col("level") == k, F.col("section_index"))).over(over))
+    open_ = []
+    for k in range(1, 6):
+        later = [F.col(f"__l{j}") > F.col(f"__l{k}") for j in range(1, k)]
+        closed = F.lit(False)
+        for x in later:
+            closed = closed | F.coalesce(x, F.lit(False))
+        open_.append(((F.col("level") > k) & F.col(f"__l{k}").isNotNull() & ~closed).cast("int"))
+    depth = sum(open_, F.lit(0))
+    return rows.select("doc_id", "section_index", depth.alias("depth"), F.concat(F.repeat(F.lit("  "), depth), F.lit("- "), "heading").alias("line"))
+
+
+def positional_similarity(old: DataFrame, new: DataFrame) -> DataFrame:
+    """doc_id, n_old, n_new, n_equal, mean_similarity of chunks (doc_id, position, text) compared place by place; a place that
+    one side lacks counts 0."""
+    from weftline.operators.lexical import ratio
+
+    a, b = old.select("doc_id", "position", F.col("text").alias("a")), new.select("doc_id", "position", F.col("text").alias("b"))
+    both = a.join(b, ["doc_id", "position"], "full_outer")
+    equal = F.col("a").eqNullSafe(F.col("b"))
+    score = F.when(equal, 1.0).when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(ratio("a", "b"))
+    return both.groupBy("doc_id").agg(F.count("a").alias("n_old"), F.count("b").alias("n_new"), F.count_if(equal).alias("n_equal"), F.round(F.avg(score), 6).alias("mean_similarity"))
 
 
 def line_table(df: DataFrame, text: Column) -> DataFrame:
@@ -142,16 +260,19 @@ _QUESTION = re.compile(r"^(?:#{1,4}\s*)?(.{8,200}\?)\s*$")
 
 
 def qa_chunks(text: str, whole: int = 1500, atom: int = 1200) -> list[dict]:
-    """Question lines open blocks. A block gives Q_ONLY, QA_COMPOSITE (up to ``whole``) and A_ATOMIC chunks; no question: one block."""
+    """Question lines open blocks. A block gives Q_ONLY, QA_COMPOSITE (up to ``whole``) and A_ATOMIC chunks; what comes before the first question is a block without one."""
     blocks: list[tuple[str, list[str]]] = []
+    before: list[str] = []
     for line in text.split("\n"):
         m = _QUESTION.match(line.strip())
         if m:
             blocks.append((m[1], []))
         elif blocks:
             blocks[-1][1].append(line)
-    if not blocks and text.strip():
-        blocks = [("", text.split("\n"))]
+        else:
+            before.append(line)
+    if "".join(before).strip():
+        blocks.insert(0, ("", before))
     out = []
     for n, (q, lines) in enumerate(blocks):
         answer = "\n".join(lines).strip()

@@ -49,7 +49,7 @@ def fixed_window_chunks(t: Tables) -> DataFrame:
 
 @query()
 def paragraph_chunks(t: Tables) -> DataFrame:
-    return C.paragraph_chunks(t.documents.select("doc_id", "text"), F.col("text"), 1200).select("doc_id", "chunk_index", "chunk")
+    return C.paragraph_chunks(t.documents)
 
 
 @query()
@@ -161,3 +161,49 @@ def tfidf_kmeans(t: Tables) -> DataFrame:
     rows = IDF(inputCol="tf", outputCol="features", minDocFreq=2).fit(tf).transform(tf)
     model = KMeans(k=4, seed=7, maxIter=5).fit(rows)
     return model.transform(rows).select("doc_id", F.col("prediction").alias("cluster"))
+
+
+@query()
+def section_table_chunks(t: Tables) -> DataFrame:
+    return C.split_section_tables(t.documents)
+
+
+@query("""WITH c AS (SELECT DISTINCT l_suppkey * 20 + l_linenumber AS section_id FROM lineitem WHERE l_linenumber % 3 = 0) SELECT p_partkey AS section_id FROM part WHERE p_partkey NOT IN (SELECT section_id FROM c) AND p_size > 10 AND trim(p_name) <> ''""")
+def uncovered_sections(t: Tables) -> DataFrame:
+    chunks = t.lineitem.select(F.when(F.col("l_linenumber") % 3 == 0, F.col("l_suppkey") * 20 + F.col("l_linenumber")).alias("section_id"))
+    sections = t.part.select(F.col("p_partkey").alias("section_id"), (F.col("p_size") > 10).alias("is_indexable"), F.col("p_name").alias("body"))
+    return C.uncovered_sections(sections, chunks).select("section_id")
+
+
+@query("""WITH RECURSIVE s AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, CAST(o_orderkey % 5 + 1 AS INT) AS level, o_orderpriority AS heading FROM orders),
+p AS (SELECT a.doc_id, a.i, max(b.i) AS parent FROM s a LEFT JOIN s b ON a.doc_id = b.doc_id AND b.i < a.i AND b.level < a.level GROUP BY a.doc_id, a.i), d AS (SELECT doc_id, i, 0 AS depth FROM p WHERE parent IS NULL UNION ALL SELECT p.doc_id, p.i, depth + 1 FROM d JOIN p ON p.doc_id = d.doc_id AND p.parent = d.i)
+SELECT doc_id, i AS section_index, depth, repeat('  ', depth) || '- ' || heading AS line FROM d JOIN s USING (doc_id, i)""")
+def section_tree(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    i = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return C.section_tree(t.orders.select(F.col("o_custkey").alias("doc_id"), i.cast("long").alias("section_index"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("level"), F.col("o_orderpriority").alias("heading")))
+
+
+@query()
+def chunk_similarity(t: Tables) -> DataFrame:
+    """Answers and questions of a conversation, compared turn by turn."""
+    side = lambda role: t.conversations.filter(F.col("role") == role).select(F.col("conv_id").alias("doc_id"), F.floor(F.col("turn") / 2).alias("position"), F.col("text"))
+    return C.positional_similarity(side("user"), side("assistant"))
+
+
+@query(r"""SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN ' ' WHEN doc_id % 3 = 1 THEN ' x ' END), ''), nullif(trim(source), '')) AS name, trim(regexp_replace(lower(translate(source || ' é ' || lang, 'é', 'e')), '[^a-z0-9]+', '-', 'g'), '-') AS slug, CASE WHEN doc_id % 4 = 0 THEN 'unknown' ELSE lang || '_x' END AS env FROM documents""")
+def text_tools(t: Tables) -> DataFrame:
+    from weftline.operators.observe import env_label
+
+    k = F.col("doc_id")
+    first = T.first_filled(F.when(k % 3 == 0, " ").when(k % 3 == 1, " x "), F.col("source"))
+    env = F.when(k % 4 > 0, F.concat(F.lit(" "), F.upper("lang"), F.lit("  X")))
+    return t.documents.select("doc_id", first.alias("name"), T.slug(F.concat("source", F.lit(" é "), "lang")).alias("slug"), env_label(env).alias("env"))
+
+
+@query("""SELECT vec_id, '[' || array_to_string(list_transform(embedding[1:4], lambda x: printf('%.8f', CAST(x AS DOUBLE))), ',') || ']' AS literal FROM embeddings""")
+def vector_literal(t: Tables) -> DataFrame:
+    from weftline.operators.vectors import literal
+
+    return t.embeddings.select("vec_id", literal(F.slice("embedding", 1, 4)).alias("literal"))
