@@ -149,18 +149,35 @@ def risk_pages(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", (F.length(x).between(40, 1400) & (x.contains("|") | x.contains("→") | listy)).alias("risky"))
 
 
+def _clusters(t: Tables):
+    """A fitted vocabulary of words and word pairs (in two documents at least and nine tenths at most), and clustered documents."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import IDF, CountVectorizer
+
+    words = t.documents.select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("w"))
+    rest = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("w", F.lit(1), rest), F.slice("w", F.lit(2), rest), lambda a, b: F.concat_ws(" ", a, b))
+    counted = CountVectorizer(inputCol="grams", outputCol="tf", minDF=2.0, maxDF=0.9, vocabSize=1 << 17)
+    rows = words.select("doc_id", F.concat("w", pairs).alias("grams"))
+    vocabulary = counted.fit(rows)
+    tf = vocabulary.transform(rows)
+    weighted = IDF(inputCol="tf", outputCol="features").fit(tf).transform(tf)
+    model = KMeans(k=4, seed=7, maxIter=20).fit(weighted)
+    return vocabulary.vocabulary, model, model.transform(weighted).select("doc_id", F.col("prediction").alias("cluster"))
+
+
 @query()
 def tfidf_kmeans(t: Tables) -> DataFrame:
-    """doc_id, cluster of TF-IDF vectors of words and word pairs."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import IDF, HashingTF
-
-    grams = t.documents.select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("w"))
-    grams = grams.select("doc_id", F.concat("w", F.transform(F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b")), lambda p: F.concat_ws(" ", p["a"], p["b"]))).alias("grams"))
-    tf = HashingTF(inputCol="grams", outputCol="tf", numFeatures=4096).transform(grams)
-    rows = IDF(inputCol="tf", outputCol="features", minDocFreq=2).fit(tf).transform(tf)
-    model = KMeans(k=4, seed=7, maxIter=5).fit(rows)
-    return model.transform(rows).select("doc_id", F.col("prediction").alias("cluster"))
+    """doc_id, cluster by TF-IDF of words and word pairs."""
+    return _clusters(t)[2]
+
+
+@query()
+def cluster_terms(t: Tables) -> DataFrame:
+    """cluster, rank, term: the ten heaviest terms of each centre."""
+    vocabulary, model, docs = _clusters(t)
+    rows = [(c, k + 1, vocabulary[i]) for c, centre in enumerate(model.clusterCenters()) for k, i in enumerate((-centre).argsort(kind="stable")[:10].tolist())]
+    return docs.sparkSession.createDataFrame(rows, "cluster int, rank int, term string")
 
 
 @query()

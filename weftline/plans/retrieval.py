@@ -187,12 +187,16 @@ def entity_link(t: Tables) -> DataFrame:
 j AS (SELECT c.chunk_id, c.path, d.doc_id AS section_id, CASE WHEN c.path = d.heading THEN 0 ELSE 1 END AS kind FROM c JOIN d ON c.source = d.source AND trim(c.path) = trim(d.heading))
 SELECT chunk_id, section_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY kind, section_id) AS n FROM j) WHERE n = 1""")
 def resolver_cascade(t: Tables) -> DataFrame:
-    sections = t.documents.select(F.col("doc_id").alias("section_id"), "source", F.split_part("text", F.lit("\n"), F.lit(1)).alias("heading"))
-    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), "source", F.when(F.col("doc_id") % 3 == 0, F.split_part("text", F.lit("\n"), F.lit(1))).otherwise(F.concat(F.lit(" "), F.split_part("text", F.lit("\n"), F.lit(1)))).alias("path"))
-    both = chunks.withColumn("k", F.trim("path")).join(sections.withColumn("k", F.trim("heading")), ["source", "k"])
-    kind = F.when(F.col("path") == F.col("heading"), 0).otherwise(1)
-    w = Window.partitionBy("chunk_id").orderBy("kind", "section_id")
-    return both.withColumn("kind", kind).withColumn("n", F.row_number().over(w)).filter("n = 1").select("chunk_id", "section_id", "kind")
+    """Sections by whole path, else by trimmed path; of equal headings of a source only the least id is joined."""
+    from weftline.operators import resolve
+
+    heading = F.split_part("text", F.lit("\n"), F.lit(1))
+    at = lambda c: F.concat_ws("\u0001", "source", c)
+    sections = t.documents.select(F.col("doc_id").alias("section_id"), "source", heading.alias("heading"))
+    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), "source", F.when(F.col("doc_id") % 3 == 0, heading).otherwise(F.concat(F.lit(" "), heading)).alias("path")).filter("source is not null and path is not null")
+    least = lambda key: sections.filter("source is not null and heading is not null").groupBy(key.alias("key")).agg(F.min("section_id").alias("value"))
+    found = resolve.cascade(chunks, [(at(F.col("path")), least(at(F.col("heading")))), (at(F.trim("path")), least(at(F.trim("heading"))))], "section_id")
+    return found.filter("section_id is not null").select("chunk_id", "section_id", F.col("attempt").alias("kind"))
 
 
 @query()
