@@ -150,7 +150,14 @@ def token_budget(t: Tables) -> DataFrame:
     return context.token_budget(_sections(t), 3000)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LEX.format(k=12)}, s AS (SELECT query_id, id, rank, matched, source AS publisher, CAST(length(text) // 4 AS BIGINT) AS tokens FROM lex JOIN documents ON id = doc_id),
+wh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM s WHERE tokens <= 400) WHERE k <= 2), w AS (SELECT query_id, sum(tokens) AS used, list(id ORDER BY rank) AS ids FROM wh GROUP BY query_id),
+q AS (SELECT s.query_id, coalesce(any_value(w.used), 0) AS used1, coalesce(any_value(w.ids), CAST([] AS BIGINT[])) AS whole, arg_min(publisher, rank) AS lead FROM s LEFT JOIN w USING (query_id) GROUP BY s.query_id), rest AS (SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY s.rank) AS r FROM s ANTI JOIN wh USING (query_id, id)),
+f AS (SELECT query_id, CAST(0 AS BIGINT) AS r, CAST(used1 AS BIGINT) AS used, CAST([] AS BIGINT[]) AS ids FROM q UNION ALL SELECT rest.query_id, rest.r, CASE WHEN used + tokens <= 3000 THEN used + tokens ELSE used END, CASE WHEN used + tokens <= 3000 THEN list_append(ids, rest.id) ELSE ids END FROM f JOIN rest ON rest.query_id = f.query_id AND rest.r = f.r + 1),
+g AS (SELECT query_id, arg_max(ids, r) AS ids, arg_max(used, r) AS used FROM f GROUP BY query_id), x AS (SELECT q.*, g.used AS used, list_concat(whole, g.ids) AS taken FROM q JOIN g USING (query_id)),
+a AS (SELECT * FROM (SELECT s.query_id, s.id, s.rank, row_number() OVER (PARTITION BY s.query_id ORDER BY s.rank) AS k FROM s JOIN x USING (query_id) WHERE publisher <> lead AND NOT list_contains(taken, s.id)) WHERE k <= 2), b AS (SELECT query_id, list(id ORDER BY rank) AS added FROM a GROUP BY query_id),
+y AS (SELECT x.*, coalesce(added, CAST([] AS BIGINT[])) AS added FROM x LEFT JOIN b USING (query_id))
+SELECT query_id, list(s.id ORDER BY -matched, list_contains(whole, s.id), rank) AS ids, any_value(used) AS used, any_value(whole) AS whole, any_value(added) AS added FROM s JOIN y USING (query_id) WHERE list_contains(taken, s.id) OR list_contains(added, s.id) GROUP BY query_id""")
 def context_pack(t: Tables) -> DataFrame:
     return context.pack_context(_sections(t), budget=3000, whole_budget=400, max_whole=2, extra=2)
 
