@@ -138,18 +138,21 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int
         return mix(sum_at_places(values, each, salt) + size.astype(_U) * _U(_GOLD))
 
 
-def window_hashes(h: np.ndarray, n: int, seed: int = 3) -> np.ndarray:
+def window_hashes(h: np.ndarray, n: int, seed: int = 3, linear: bool = False) -> np.ndarray:
     """Hash of h[i:i+n] for each i, by doubling; len(h) - n + 1 values (none if shorter).
 
-    Each joining of two halves ends in a shift by which it is not linear, so that no pattern of two symbols collides by itself.
+    Each joining of two halves ends in a shift by which it is not linear, so that no pattern of two symbols collides by itself;
+    where equal hashes decide nothing, the shift can be left out (linear).
     """
     if len(h) < n:
         return np.zeros(0, _U)
     base = keys(64, seed) | _U(1)
 
     def join(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
-        x = a * base[step] + b
-        x ^= x >> _U(29)
+        x = a * base[step]
+        x += b
+        if not linear:
+            x ^= x >> _U(29)
         return x
 
     with np.errstate(over="ignore"):

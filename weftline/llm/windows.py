@@ -4,7 +4,7 @@ A window of ``length`` symbols is routed by its minimiser: the least hash among
 symbols. Equal windows have equal minimisers, and neighbouring windows mostly share theirs, so a text falls into *segments*
 (runs of neighbouring windows with one minimiser) of little more than one window each, about one for every 16 symbols.
 
-Three passes over the blocks (packed rows of 2 MB of text, written once; 32 blocks in a row are a chunk, by which the table is
+Three passes over the blocks (packed rows of 2 MB of text, written once; 4 blocks in a row are a chunk, by which the table is
 bucketed, so that what comes back to a chunk is joined where its blocks are):
 
 1. minimisers, each once a block, go to buckets by hash; a bit for each comes back: does another block have it?
@@ -39,7 +39,7 @@ BITS_SCHEMA = "chunk long, bucket int, blocks binary, counts binary, bits binary
 SEGMENT_SCHEMA = "bucket int, blocks binary, docs binary, starts binary, sizes binary, data binary"
 RUN_SCHEMA = "chunk long, blocks binary, starts binary, counts binary"
 #: A chunk is 2^CHUNK blocks in a row.
-CHUNK = 5
+CHUNK = 2
 #: Bytes of keys or segments that a task holds before it sends them out.
 HELD = 16_000_000
 
@@ -73,7 +73,7 @@ def symbols(plan: Plan, buf: np.ndarray, offsets: np.ndarray) -> Symbols:
 
 def segments(plan: Plan, s: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows, key and document of each segment."""
-    least = scan.slide_min(scan.window_hashes(s.hashes, plan.seed), plan.length - plan.seed + 1)
+    least = scan.slide_min(scan.window_hashes(s.hashes, plan.seed, linear=True), plan.length - plan.seed + 1)
     n = len(least)
     if n == 0:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U), np.zeros(0, np.int64))
@@ -125,7 +125,9 @@ def make_blocks(scratch: Scratch, docs: DataFrame, edges: list[int]) -> DataFram
                 yield to_batch(rows, BLOCK_SCHEMA)
 
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    return scratch.save_bucketed(docs.select("doc_id", "text").mapInArrow(pack, BLOCK_SCHEMA), "blocks", max(12, int(total // 32_000_000)), "chunk")
+    # Fewer buckets than shuffle partitions would have Spark shuffle the table in each join.
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // 16_000_000))
+    return scratch.save_bucketed(docs.select("doc_id", "text").mapInArrow(pack, BLOCK_SCHEMA), "blocks", buckets, "chunk")
 
 
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
