@@ -140,6 +140,14 @@ def section_tree(sections: DataFrame) -> DataFrame:
     return rows.select("doc_id", "section_index", depth.alias("depth"), F.concat(F.repeat(F.lit("  "), depth), F.lit("- "), "heading").alias("line"))
 
 
+def section_ends(sections: DataFrame) -> DataFrame:
+    """sections (doc_id, section_index, level from 1 to 6, and others) with section_end: the next section of the same or a lower
+    level, null if it lasts to the end, and own_end: the next section of any level."""
+    after = Window.partitionBy("doc_id").orderBy("section_index").rowsBetween(1, Window.unboundedFollowing)
+    ends = [F.when(F.col("level") >= k, F.min(F.when(F.col("level") == k, F.col("section_index"))).over(after)) for k in range(1, 7)]
+    return sections.select("*", F.least(*ends).alias("section_end"), F.min("section_index").over(after).alias("own_end"))
+
+
 def positional_similarity(old: DataFrame, new: DataFrame) -> DataFrame:
     """doc_id, n_old, n_new, n_equal, mean_similarity of chunks (doc_id, position, text) compared place by place; a place that
     one side lacks counts 0."""

@@ -68,6 +68,14 @@ def precedence(df: DataFrame, key: list[str], rank: Column, order: list[Column])
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+def by_source(df: DataFrame, key: str, rank: Column, order: list[Column], content: str) -> DataFrame:
+    """key, the row of the best source (highest rank, last in order among equals), and contradicts: another row of that source
+    and key has other content."""
+    rest = [c for c in df.columns if c != key]
+    g = df.groupBy(key, rank.alias("__rank")).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"), (F.count_distinct(content) > 1).alias("contradicts"))
+    return g.groupBy(key).agg(F.max_by(F.struct("r", "contradicts"), "__rank").alias("x")).select(key, "x.r.*", "x.contradicts")
+
+
 def validate(df: DataFrame, checks: dict[str, Column], key: str, order: list[Column]) -> DataFrame:
     """df with ``errors``: names of failed checks, and 'duplicate' for all but the first row of a key."""
     again = F.row_number().over(Window.partitionBy(key).orderBy(*order)) > 1

@@ -202,6 +202,15 @@ def section_tree(t: Tables) -> DataFrame:
     return C.section_tree(t.orders.select(F.col("o_custkey").alias("doc_id"), i.cast("long").alias("section_index"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("level"), F.col("o_orderpriority").alias("heading")))
 
 
+@query("""WITH s AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS section_index, CAST(o_orderkey % 5 + 1 AS INT) AS level FROM orders)
+SELECT a.doc_id, a.section_index, a.level, min(b.section_index) FILTER (b.level <= a.level) AS section_end, min(b.section_index) AS own_end FROM s a LEFT JOIN s b ON a.doc_id = b.doc_id AND b.section_index > a.section_index GROUP BY a.doc_id, a.section_index, a.level""")
+def section_ends(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    i = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return C.section_ends(t.orders.select(F.col("o_custkey").alias("doc_id"), i.cast("long").alias("section_index"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("level")))
+
+
 @query()
 def chunk_similarity(t: Tables) -> DataFrame:
     """Answers and questions of a conversation, compared turn by turn."""

@@ -68,6 +68,14 @@ def precedence_dedup(t: Tables) -> DataFrame:
     return D.precedence(t.events, ["user_id"], rank, [F.col("event_id")]).select("user_id", "event_id", "event_type")
 
 
+@query("""WITH r AS (SELECT user_id, CASE event_type WHEN 'purchase' THEN 2 WHEN 'error' THEN 2 ELSE 1 END AS rank, event_id, event_type FROM events), b AS (SELECT user_id, max(rank) AS rank FROM r GROUP BY user_id)
+SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id, count(DISTINCT event_type) > 1 AS contradicts FROM r JOIN b USING (user_id, rank) GROUP BY user_id""")
+def source_precedence(t: Tables) -> DataFrame:
+    """Live rows before dumped ones, the later among equals; contradictions among the chosen source's rows are marked."""
+    rank = F.when(F.col("event_type").isin("purchase", "error"), 2).otherwise(1)
+    return D.by_source(t.events.select("user_id", "event_id", "event_type"), "user_id", rank, [F.col("event_id")], "event_type").select("user_id", "event_type", "event_id", "contradicts")
+
+
 @query("WITH old AS (SELECT o_orderkey AS k, o_orderkey + 1000000 AS id FROM orders WHERE o_orderkey % 3 = 0) SELECT l_orderkey, l_linenumber, coalesce(id, l_orderkey) AS order_id, id IS NOT NULL AS remapped FROM lineitem LEFT JOIN old ON l_orderkey = k")
 def id_remap(t: Tables) -> DataFrame:
     old = t.orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") + 1000000).alias("id"))

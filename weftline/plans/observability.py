@@ -120,11 +120,23 @@ def distribution_merge(t: Tables) -> DataFrame:
     return maps.select(F.explode("d").alias("event_type", "n")).groupBy("event_type").agg(F.sum("n").alias("total"), F.max("n").alias("most"))
 
 
-@query("SELECT a.conv_id, a.turn, CAST(count(b.turn) AS BIGINT) AS n_before, string_agg(b.role, ',' ORDER BY b.turn) AS roles FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.turn >= a.turn - 4 WHERE a.role = 'user' GROUP BY ALL")
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT a.conv_id, a.turn, count(b.turn) AS n_before, string_agg(b.role, ',' ORDER BY b.turn) AS roles FROM o a LEFT JOIN o b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.n <= 4 WHERE a.role = 'user' GROUP BY a.conv_id, a.turn""")
 def followup_history(t: Tables) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(-4, -1)
-    rows = t.conversations.withColumn("before", F.collect_list("role").over(w)).filter("role = 'user'")
-    return rows.select("conv_id", "turn", F.size("before").cast("long").alias("n_before"), F.nullif(F.array_join("before", ","), F.lit("")).alias("roles"))
+    """The first four turns of a conversation, those before the turn."""
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    first = t.conversations.withColumn("n", n).filter("n <= 4").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("first"))
+    rows = t.conversations.filter("role = 'user'").select("conv_id", "turn").join(first, "conv_id")
+    before = rows.select("conv_id", "turn", F.filter("first", lambda x: x["turn"] < F.col("turn")).alias("b"))
+    return before.select("conv_id", "turn", F.size("b").cast("long").alias("n_before"), F.nullif(F.array_join(F.transform("b", lambda x: x["role"]), ","), F.lit("")).alias("roles"))
+
+
+@query("""WITH x AS (SELECT lang, CASE WHEN doc_id % 3 > 0 THEN text END AS target, CASE WHEN doc_id % 5 > 0 THEN source ELSE ' ' END AS origin FROM documents) SELECT lang, count(*) AS total, count(*) FILTER (trim(coalesce(target, '')) = '') AS empty_target, count(*) FILTER (trim(coalesce(target, '')) = '' AND trim(coalesce(origin, '')) <> '') AS fillable FROM x GROUP BY lang""")
+def text_audit(t: Tables) -> DataFrame:
+    """Rows, those without the target text, and those of them that could be filled from another column."""
+    k = F.col("doc_id")
+    rows = t.documents.select("lang", F.when(k % 3 > 0, F.col("text")).alias("target"), F.when(k % 5 > 0, F.col("source")).otherwise(" ").alias("origin"))
+    empty = T.is_blank(F.col("target"))
+    return rows.groupBy("lang").agg(F.count("*").alias("total"), F.count_if(empty).alias("empty_target"), F.count_if(empty & ~T.is_blank(F.col("origin"))).alias("fillable"))
 
 
 @query("""WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), l AS (SELECT 'events_total' AS name, 'events_total{stage="' || event_type || '"} ' || n AS line FROM c),
