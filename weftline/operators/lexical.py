@@ -160,7 +160,7 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-#: Tokens too common in labels and titles to make a candidate.
+#: Tokens too common in labels and titles to make a candidate.
 STOP = "a au aux de des du et la le les un une dans pour sur fiche article juillet code general fonction publique".split()
 #: Join keys of one token, so that a hot one is no single task's.
 DEAL = 8

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Forms of an image and of a citation; the texts and prefixes below are what stored payloads have as well.
 IMAGE = r"!\[[^\]]*\]\(([^)]*)\)"
 CITATION = r"\[(\d+)\]"
 
