@@ -12,7 +12,8 @@ within each task before they are shuffled, and the verdicts are joined by host a
 else with skewed hosts split.
 
 Null text has no words and fails. A null host is a host of its own. Repeated rows count and come back as often as they occur.
-An empty table gives an empty result. Other columns are not read.
+A text of any length is counted in one task. An empty table gives an empty result. Other columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations

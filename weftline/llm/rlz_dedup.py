@@ -12,7 +12,8 @@ against every indexed reference that can match it. A segment that several docume
 for the others it is one whole factor.
 
 Words are compared by 64-bit hashes, runs by two. Null text has no words. Rows with a null id are kept whole and never
-matched; repeated rows (one id) don't match each other. An empty table gives an empty result. Other columns are not read.
+matched; repeated rows (one id) don't match each other. A text of any length is one block. An empty table gives an empty result. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ smaller id, is a duplicate. Then the batch becomes a level; two levels of one si
 carries, so that b batches leave at most log2(b) levels and each window is merged log2(b) times at most.
 
 Null text counts as empty. Rows with a null id are kept whole and never matched. Repeated rows (one id) don't match each
-other. Texts shorter than ``length`` bytes are kept whole. An empty table gives an empty result. Other columns are not read.
+other. Texts shorter than ``length`` bytes are kept whole; a text of any length is one block. An empty table gives an empty result.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
