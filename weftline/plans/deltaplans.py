@@ -9,7 +9,7 @@ from weftline.operators import delta as O
 from weftline.operators import deltaplans as D
 from weftline.plans.common import Tables, query
 
-_I = F.col  # names of columns only; nothing is resolved at import
+_I = F.col
 
 
 def _hashes(t: Tables) -> tuple[DataFrame, DataFrame]:
