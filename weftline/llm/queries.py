@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from weftline.llm import sql
 from weftline.llm.chat_format import digest, format_conversations
 from weftline.llm.decontaminate import decontaminate
+from weftline.llm.language_cnn import predict
 from weftline.llm.minhash import near_duplicates
 from weftline.llm.packing import pack
+from weftline.llm.periodic_runs import periodic_runs
 from weftline.llm.pii import pseudonymise, session_key
 from weftline.llm.quality_gam import quality_scores
 from weftline.llm.quality_rules import quality_rules
 from weftline.llm.rlz_dedup import rlz_dedup
 from weftline.llm.suffix_dedup import suffix_array_dedup
 from weftline.llm.toxicity import toxicity_scores
+from weftline.llm.vector_codes import compress
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,5 +68,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_conversations(turns.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_rlz_dedup, op3_host_quality_rules, op4_decontaminate, op5_pack, op6_pii_pseudonyms, op7_minhash_near_dedup, op8_quality_gam, op9_toxicity_mil, op10_chat_format)}
-ORACLES = {"op10_chat_format": sql.CHAT_FORMAT, "op4_decontaminate": sql.DECONTAMINATE, "op3_host_quality_rules": sql.QUALITY_RULES, "op2_rlz_dedup": sql.WORD_DEDUP}
+def op11_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(_table(spark, sf_dir, "documents"), tails=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_rlz_dedup, op3_host_quality_rules, op4_decontaminate, op5_pack, op6_pii_pseudonyms, op7_minhash_near_dedup, op8_quality_gam, op9_toxicity_mil, op10_chat_format, op11_language_cnn, op12_vector_codes, op13_periodic_runs)}
+ORACLES = {"op10_chat_format": sql.CHAT_FORMAT, "op4_decontaminate": sql.DECONTAMINATE, "op3_host_quality_rules": sql.QUALITY_RULES, "op2_rlz_dedup": sql.WORD_DEDUP, "op12_vector_codes": sql.vector_codes()}

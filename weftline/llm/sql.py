@@ -87,3 +87,37 @@ kept AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+
+def vector_codes(parts: int = 8, width: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """One group of tables for each round: b<r> codebooks, a<r> assignments."""
+    far = "list_sum(list_transform(list_zip(x.v, b.v), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS BIGINT)))"
+    steps = ""
+    for r in range(rounds + 1):
+        steps += f"""
+, a{r} AS MATERIALIZED (
+  SELECT n, p, min(far * {entries} + e) AS least FROM (SELECT x.n, x.p, b.e, CAST({far} AS BIGINT) AS far FROM x JOIN b{r} b USING (p)) GROUP BY n, p
+)"""
+        if r < rounds:
+            steps += f"""
+, s{r} AS (SELECT p, e, i, sum(v[i]) AS total, count(*) AS k FROM (SELECT p, least % {entries} AS e, v, unnest(range(1, {width + 1})) AS i FROM a{r} JOIN x USING (n, p)) GROUP BY p, e, i)
+, b{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{r} b
+  LEFT JOIN (SELECT p, e, list(CAST(floor(CAST(total AS DOUBLE) / k) AS BIGINT) ORDER BY i) AS v FROM s{r} GROUP BY p, e) m USING (p, e)
+)"""
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, label, list_transform(embedding, lambda y: CAST(floor(4096 * CAST(y AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+)
+, x AS MATERIALIZED (SELECT n, p, v[p * {width} + 1 : (p + 1) * {width}] AS v FROM kept, (SELECT unnest(range({parts})) AS p))
+, seeds AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS e, n FROM (SELECT vec_id, arg_min(n, v) AS n FROM kept WHERE vec_id IS NOT NULL GROUP BY vec_id ORDER BY vec_id LIMIT {entries}))
+, b0 AS MATERIALIZED (SELECT p, e, v FROM seeds JOIN x USING (n))
+{steps}
+, coded AS (
+  SELECT n, string_agg(printf('%02x', least % {entries}), '' ORDER BY p) AS code, CAST(sum(least // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY n
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (n)
+"""
