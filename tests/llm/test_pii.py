@@ -137,7 +137,8 @@ def date(m):
             n = (datetime.datetime.strptime(m, form).date() - start).days
         except ValueError:
             continue
-        return (start + datetime.timedelta(walk(n, lambda x: x < 73049, 271, 270, "date"))).strftime(form)
+        late = form == "%m/%d/%Y"  # only dates that can't be read day first
+        return (start + datetime.timedelta(walk(n, lambda x: x < 73049 and (not late or (start + datetime.timedelta(x)).day > 12), 271, 270, "date"))).strftime(form)
     return None
 
 
@@ -246,3 +247,14 @@ def test_key_stays_out_of_plans(spark):
         assert KEY not in out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString({"simpleString": "simple"}.get(mode, mode)))
     other = pii.pseudonymise(spark.createDataFrame([("1.2.3.4",)], "text string"), "other")
     assert other.first().text != out.first().text == ipv4("1.2.3.4")
+
+
+def test_dates_are_permuted_in_each_form(spark):
+    start, last = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
+    days = [start + datetime.timedelta(i) for i in range((last - start).days + 1)]
+    for separator, forms in [("-", ["%Y-%m-%d"]), (".", ["%d.%m.%Y"]), ("/", ["%d/%m/%Y", "%m/%d/%Y"])]:
+        written = sorted({d.strftime(f) for d in days for f in forms})
+        out = pii.pseudonymise(spark.createDataFrame([(i, s) for i, s in enumerate(written)], "doc_id long, text string").repartition(4), KEY).collect()
+        texts = [r["text"] for r in out]
+        assert len(set(texts)) == len(written) and set(texts) <= set(written), separator
+        assert all(r["pii_kinds"] == ["date"] for r in out)
