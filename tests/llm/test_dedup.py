@@ -198,3 +198,35 @@ def test_chains_and_recall(spark):
     want = components(docs, 1, 80)
     for part in (400, 2_000_000):
         assert sorted(tuple(r) for r in near_duplicates(df, 1, 80, part=part).collect()) == want
+
+
+def test_ids_of_several_texts_are_one_node(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randint(0, 30))
+    base = [[word() for _ in range(40)] for _ in range(8)]
+    rows = [(i, " ".join(base[i % 8] + [word()])) for i in range(30)] + [(40, " ".join(base[0])), (40, " ".join(base[1])), (40, " ".join(base[1])), (41, "x"), (41, "x"), (42, None), (42, "x y")]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=2, percent=80).collect()}
+    assert got[40] == got[0] == got[1] == 0 and got[8] == 0 and got[2] == got[10] == 2 and got[41] == 41
+
+
+def test_classes_are_told_apart_by_both_marks_and_size():
+    from weftline.llm.minhash import sets_of
+
+    class Frame:  # what sets_of calls
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, work, _):
+            return work
+
+    import numpy as np
+    import pyarrow as pa
+
+    from weftline.llm.minhash import marks, shingles
+
+    text = b"one two three four"
+    h, at = shingles(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 2)
+    (a,), (b,) = marks(h, at)
+    keys = [(len(h), a, b), (len(h), a, b + 1), (len(h), a + 1, b), (len(h) + 1, a, b)]
+    batch = pa.RecordBatch.from_pylist([{"text": text.decode(), "cid": i, "n": int(n), "a": int(x), "b": int(y)} for i, (n, x, y) in enumerate(keys)])
+    assert [x for part in sets_of(Frame(), 2)(iter([batch])) for x in part.column("cid").to_pylist()] == [0]

@@ -1,7 +1,7 @@
 """MinHash near-dedup: universal hash minima, banding, verification, connected components.
 
 1. Tasks cut texts into sets of word shingles and take ``bands * rows`` minima of them under universal hashes. Rows with one
-   set form a class; only classes go on.
+   set (its size and two 64-bit hashes of it) form a class, which gets a number; only classes go on.
 2. Classes that agree in all minima of a band meet in a bucket. Each is paired with its bucket's hub, the class whose buckets
    are the fullest (of many near copies that is the text they were made from, or the nearest to it); pairs whose signatures
    agree well enough are confirmed on the full sets. Components of the confirmed links follow.
@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import scan, windows
@@ -111,22 +111,18 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n long, a long, b long, keys array<long>, signature binary")
 
 
-def class_id() -> Column:
-    """Of a row with n, a and b: rows with equal sets share it."""
-    return F.xxhash64("n", "a", "b")
-
-
-def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, a, b (as of ``sign``), shingles (sorted uint64 hashes as bytes)."""
+def sets_of(wanted: DataFrame, size: int) -> DataFrame:
+    """cid, shingles (sorted uint64 hashes as bytes). wanted: text, cid and n, a, b of the class; other texts of its id are left out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offsets in scan.pieces(batch, "text"):
                 h, at = shingles(buf, offsets, size)
-                a, b = marks(h, at)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(a), pa.array(b), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())], names=["doc_id", "n", "a", "b", "shingles"])
+                mine = np.stack([np.diff(at), *marks(h, at)]) == np.stack([np.asarray(part.column(c)) for c in ("n", "a", "b")])
+                rows = np.flatnonzero(mine.all(axis=0)).tolist()
+                yield pa.RecordBatch.from_arrays([part.column("cid").take(pa.array(rows, pa.int64())), pa.array([h[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary())], names=["cid", "shingles"])
 
-    return docs.mapInArrow(work, "doc_id long, n long, a long, b long, shingles binary")
+    return wanted.select("text", "cid", "n", "a", "b").mapInArrow(work, "cid long, shingles binary")
 
 
 def linked(x: bytes, y: bytes, percent: int) -> bool:
@@ -189,19 +185,22 @@ def _compare(percent: int) -> Callable[[pa.Table], pa.Table]:
     def work(table: pa.Table) -> pa.Table:
         node, side = np.asarray(table.column("cid")), np.asarray(table.column("side"))
         sets = [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()]
-        _, label = np.unique(np.asarray(table.column("component")), return_inverse=True)
+        names, label = np.unique(np.asarray(table.column("component")), return_inverse=True)
+        root = np.arange(len(names))  # union-find over components; flat whenever it is looked at
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         right = right if len(right) else left
         index, out = Index([sets[j] for j in right.tolist()]), []
         for i in left.tolist():
-            other = label[right] != label[i]
+            other = root[label[right]] != root[label[i]]
             if other.any():
                 both = index.shared(sets[i])
                 good = np.flatnonzero(other & (100 * both >= percent * (len(sets[i]) + index.sizes - both)))
-                for k in good[np.unique(label[right[good]], return_index=True)[1]].tolist():
-                    j = right[k]
-                    out.append((int(node[i]), int(node[j])))
-                    label[label == label[j]] = label[i]  # one component from now on
+                new = good[np.unique(root[label[right[good]]], return_index=True)[1]]
+                out += [(int(node[i]), int(node[j])) for j in right[new].tolist()]
+                if len(new):
+                    root[root[label[right[new]]]] = root[label[i]]
+                    while not np.array_equal(root, root[root]):
+                        root = root[root]
         return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
 
     return work
@@ -247,24 +246,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, part: int
     scratch = Scratch(docs.sparkSession, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = scratch.save(sign(docs, size), "signed")
-    full = signed.filter("n > 0 and doc_id is not null").withColumn("cid", class_id())
-    classes = scratch.save(full.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("size"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "classes")
+    full = signed.filter("n > 0 and doc_id is not null")
+    classes = full.groupBy("n", "a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("signature").alias("signature"))
+    # A number of its own for each class, so that no two can be taken for one; it holds once the table is written.
+    classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("size", F.col("n")), "classes")
     members = _hubs(classes.select(F.explode("keys").alias("key"), "cid", "size"), scratch)
     pairs = members.filter("cid <> hub").select(F.col("cid").alias("u"), F.col("hub").alias("v")).distinct()
     signs = classes.select("cid", "signature")
     near = pairs.join(signs.select(F.col("cid").alias("u"), F.col("signature").alias("x")), "u").join(signs.select(F.col("cid").alias("v"), F.col("signature").alias("y")), "v")
     alike = scratch.save(near.select("u", "v", "x", "y").mapInArrow(_agree(percent), "u long, v long"), "alike")
     # Ids of several rows: their sets, if they differ, are linked; if not, one of them is enough.
-    ids = full.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("n > 1")
+    sums = F.struct("n", "a", "b")
+    ids = full.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(sums).alias("lo"), F.max(sums).alias("hi")).filter("rows > 1")
     repeated = scratch.save(ids, "repeated")
-    wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("doc_id").distinct()
-    sets = sets_of(docs.join(wanted, "doc_id", "left_semi"), size).select(class_id().alias("cid"), "shingles")
+    wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("doc_id", "cid", "n", "a", "b")
+    sets = sets_of(docs.join(wanted, "doc_id"), size)
     some = not repeated.isEmpty()
     sets = scratch.save(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")) if some else sets, "sets")
     both = alike.join(sets.select(F.col("cid").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("cid").alias("v"), F.col("shingles").alias("y")), "v")
     links = both.select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long")
     if some:
-        links = links.unionByName(full.join(repeated.filter("lo <> hi").select("doc_id", "lo"), "doc_id").select(F.col("cid").alias("u"), F.col("lo").alias("v")).filter("u <> v").distinct())
+        several = full.join(repeated.filter("lo <> hi").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "a", "b").distinct()
+        several = several.join(classes.select("n", "a", "b", "cid"), ["n", "a", "b"])
+        links = links.unionByName(several.join(several.groupBy("doc_id").agg(F.min("cid").alias("v")), "doc_id").select(F.col("cid").alias("u"), "v").filter("u <> v"))
     found = components(scratch.save(links, "links"), scratch, "cc")
     dense = scratch.save(_mixed(members, found, part), "mixed").join(sets, "cid")
     late = scratch.save(dense.select("key", "i", "j", "cid", "side", "component", "shingles").groupBy("key", "i", "j").applyInArrow(_compare(percent), "u long, v long"), "late")
@@ -274,7 +278,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, part: int
     found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())  # roots as well
     linked = found.join(classes.select(F.col("cid").alias("node"), "doc_id"), "node")
     least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
-    which = classes.select("cid", "doc_id").join(found.join(least, "component").select(F.col("node").alias("cid"), "least"), "cid", "left").select("cid", F.coalesce("least", "doc_id").alias("component_id"))
-    out = full.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(which, "cid").drop("cid")
+    which = classes.select("cid", "n", "a", "b", "doc_id").join(found.join(least, "component").select(F.col("node").alias("cid"), "least"), "cid", "left").select("n", "a", "b", F.coalesce("least", "doc_id").alias("component_id"))
+    out = full.select("doc_id", "n", "a", "b").join(which, ["n", "a", "b"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = signed.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
