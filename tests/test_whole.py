@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import evalmetrics, lexical
+from weftline.operators import evalmetrics, linking
 from weftline.plans import common, corpus, evaluation, payloads, registry
 from weftline.plans import delta as plans_delta
 
@@ -86,5 +86,5 @@ def test_contents_of_a_long_order(spark):
 def test_short_labels_are_linked(spark):
     labels = spark.createDataFrame([(1, "RTT"), (2, "CDD"), (3, "loi 84"), (4, "Code général"), (5, "x"), (6, "")], "query_id long, label string")
     titles = spark.createDataFrame([(10, "Guide RTT"), (11, "cdd"), (12, "La loi 84 16"), (13, "code general"), (14, "X"), (15, "")], "cand_id long, title string")
-    got = {r.query_id: (r.cand_id, r.score, r.ambiguous) for r in lexical.entity_link(labels, titles).collect()}
+    got = {r.query_id: (r.cand_id, r.score, r.ambiguous) for r in linking.entity_link(labels, titles).collect()}
     assert got == {1: (10, 0.92, False), 2: (11, 1.0, False), 3: (12, 0.92, False), 4: (13, 1.0, False), 5: (14, 1.0, False)}

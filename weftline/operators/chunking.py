@@ -151,12 +151,12 @@ def section_ends(sections: DataFrame) -> DataFrame:
 def positional_similarity(old: DataFrame, new: DataFrame) -> DataFrame:
     """doc_id, n_old, n_new, n_equal, mean_similarity of chunks (doc_id, position, text) compared place by place; a place that
     one side lacks counts 0."""
-    from weftline.operators.lexical import ratio
+    from weftline.operators.linking import ratio
 
     a, b = old.select("doc_id", "position", F.col("text").alias("a")), new.select("doc_id", "position", F.col("text").alias("b"))
     both = a.join(b, ["doc_id", "position"], "full_outer")
     equal = F.col("a").eqNullSafe(F.col("b"))
-    score = F.when(equal, 1.0).when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(ratio("a", "b"))
+    score = F.when(equal, 1.0).when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(ratio(F.when(~equal, F.col("a")), F.col("b")))
     return both.groupBy("doc_id").agg(F.count("a").alias("n_old"), F.count("b").alias("n_new"), F.count_if(equal).alias("n_equal"), F.round(F.avg(score), 6).alias("mean_similarity"))
 
 

@@ -60,10 +60,12 @@ def reuse(documents: DataFrame, state: DataFrame, fingerprint: Column) -> DataFr
     """documents (uid, checksum) with ``reusable``: chunks that need not be made anew, 0 if any.
 
     state: uid, checksum, fingerprint, n_valid. Content, configuration and the chunks themselves must all be as before.
+    Of several states of a document that agree the greatest n_valid counts.
     """
-    s = state.select(F.upper(F.trim("uid")).alias("__k"), F.col("checksum").alias("__c"), F.col("fingerprint").alias("__f"), F.col("n_valid").alias("__n"))
-    same = (F.coalesce("checksum", F.lit("")) != "") & (F.col("checksum") == F.col("__c")) & (F.col("__f") == fingerprint)
-    return documents.withColumn("__k", F.upper(F.trim("uid"))).join(s, "__k", "left").withColumn("reusable", F.when(same, F.col("__n")).otherwise(0)).drop("__k", "__c", "__f", "__n")
+    keys = ["__k", "checksum", "__f"]
+    s = state.select(F.upper(F.trim("uid")).alias("__k"), "checksum", F.col("fingerprint").alias("__f"), F.col("n_valid").alias("__n")).filter("checksum <> ''").groupBy(*keys).agg(F.max("__n").alias("__n"))
+    keyed = documents.withColumn("__k", F.upper(F.trim("uid"))).withColumn("__f", fingerprint)
+    return keyed.join(s, keys, "left").select(*documents.columns, F.coalesce("__n", F.lit(0)).alias("reusable"))
 
 
 def replace_bundles(tables: dict[str, DataFrame], bundles: dict[str, DataFrame], key: str, ident: str) -> dict[str, DataFrame]:
@@ -72,7 +74,7 @@ def replace_bundles(tables: dict[str, DataFrame], bundles: dict[str, DataFrame],
     A document whose key is stored keeps its stored ident, and the parts that came with it are given that one; all of its old
     parts go, those of other documents stay.
     """
-    stored = tables["documents"].select(key, F.col(ident).alias("__old"))
+    stored = tables["documents"].groupBy(key).agg(F.min(ident).alias("__old"))
     realigned = bundles["documents"].join(stored, key, "left").withColumn("__new", F.coalesce("__old", ident))
     moves = realigned.select(F.col(ident), F.col("__new"))
     incoming = realigned.withColumn(ident, F.col("__new")).select(bundles["documents"].columns)
@@ -85,8 +87,11 @@ def replace_bundles(tables: dict[str, DataFrame], bundles: dict[str, DataFrame],
 
 
 def backfill(rows: DataFrame, source: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """rows with the blank values of columns taken from source where that has some; ``filled`` counts them."""
-    s = source.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
+    """rows with the blank values of columns taken from source where that has some; ``filled`` counts them.
+
+    Of several rows of a key in source the least value of each column is taken.
+    """
+    s = source.groupBy(key).agg(*[F.min(c).alias(f"__{c}") for c in columns])
     empty = lambda c: F.col(c).isNull() | ((F.trim(F.col(c)) == "") if dict(rows.dtypes)[c] == "string" else F.lit(False))
     can = {c: empty(c) & F.col(f"__{c}").isNotNull() for c in columns}
     joined = rows.join(s, key, "left").withColumn("filled", sum((w.cast("int") for w in can.values()), F.lit(0)))

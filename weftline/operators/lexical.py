@@ -1,4 +1,4 @@
-"""Lexical search, heading search, markers, entity links.
+"""Lexical search, heading search, markers.
 
 The score of a text is the number of distinct query tokens in it, then their total frequency; ties by id. A query matches if
 any of its tokens occurs; an empty query matches nothing.
@@ -11,7 +11,6 @@ postings are joined by token.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -19,7 +18,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from weftline.functions import text as T
 from weftline.operators.fusion import ranked
@@ -152,68 +150,3 @@ def _finder(markers: list[str]):
         return lambda text: everywhere
     machine.make_automaton()
     return lambda text: everywhere + list({m for _, m in machine.iter(text)})
-
-
-@F.pandas_udf(DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two strings by matching blocks."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
-
-
-#: Tokens too common in labels and titles to make a candidate.
-STOP = "a au aux de des du et la le les un une dans pour sur fiche article juillet code general fonction publique".split()
-#: Join keys of one token, so that a hot one is no single task's.
-DEAL = 8
-
-
-def entity_link(labels: DataFrame, candidates: DataFrame, floor: float = 0.05) -> DataFrame:
-    """query_id, cand_id, score, ambiguous: the best candidate title of each label that equals it or shares a token with it.
-
-    Both are folded. Tokens of one letter and those in STOP make no candidate, but count in the score: 1 if equal when folded,
-    .92 if one contains the other, else the greater of .7 query and .3 title token coverage and .85 string similarity.
-    ambiguous: the second best is within ``floor``.
-    """
-    q, c = labels.select("query_id", T.fold(F.col("label")).alias("a")), candidates.select("cand_id", T.fold(F.col("title")).alias("b"))
-    tokens = lambda col: F.explode(F.array_distinct(F.filter(F.split(col, " "), lambda w: (F.length(w) > 1) & ~w.isin(STOP)))).alias("token")
-    dealt_q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
-    dealt_c = c.withColumn("part", F.pmod(F.xxhash64("cand_id"), F.lit(DEAL)).cast("int"))
-    asked, listed = dealt_q.select("*", tokens("a")), dealt_c.select("*", tokens("b"))
-    equal = dealt_q.filter("a <> ''").withColumn("k", F.col("a")).join(dealt_c.withColumn("k", F.col("b")), ["k", "part"])
-    pairs = asked.join(listed, ["token", "part"]).select("query_id", "cand_id", "a", "b").unionByName(equal.select("query_id", "cand_id", "a", "b")).distinct()
-    ta, tb = F.array_distinct(F.split("a", " ")), F.array_distinct(F.split("b", " "))
-    both = F.size(F.array_intersect(ta, tb))
-    fuzzy = F.greatest(0.7 * both / F.size(ta) + 0.3 * both / F.size(tb), 0.85 * ratio("a", "b"))
-    scored = pairs.withColumn("score", F.round(F.when(F.col("a") == F.col("b"), 1.0).when(F.expr("contains(a, b) or contains(b, a)"), 0.92).otherwise(fuzzy), 6))
-    first = ranked(scored, ["query_id"], [F.desc("score"), F.col("cand_id")], 2)
-    return first.groupBy("query_id").agg(F.min_by("cand_id", "rank").alias("cand_id"), F.max("score").alias("score"), ((F.count("*") > 1) & (F.min("score") >= F.max("score") - floor)).alias("ambiguous"))
-
-
-def heading_score(heading: str, path: str, query: str, stop: frozenset[str]) -> float:
-    """How well a heading or its path answers a query, all folded: 1 if one contains the other, or if three quarters of the
-    query's tokens are covered and .45 of the heading's; else the better of .7 and .3 of these and, from .72 on, the similarity
-    of the strings, .99 at most; 0 without a common token."""
-    names = [x for x in (heading, path) if x]
-    if not query or not names:
-        return 0.0
-    if any(x in query or query in x for x in names):
-        return 1.0
-    q, h = ({t for t in x.split() if len(t) > 1 and t not in stop} for x in (query, f"{heading} {path}"))
-    both = len(q & h)
-    if not both:
-        return 0.0
-    of_q, of_h = both / len(q), both / len(h)
-    if of_q >= 0.75 and of_h >= 0.45:
-        return 1.0
-    alike = max(SequenceMatcher(None, query, x).ratio() for x in names)
-    return min(0.99, max(0.7 * of_q + 0.3 * of_h, alike if alike >= 0.72 else 0.0))
-
-
-def heading_scores(pairs: DataFrame, stop: list[str] = STOP) -> DataFrame:
-    """pairs (heading, path, query and others) with ``score``."""
-    words = frozenset(stop)
-
-    @F.pandas_udf(DoubleType())
-    def score(h: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series([heading_score(a or "", b or "", c or "", words) for a, b, c in zip(h, p, q, strict=True)], dtype="float64")
-
-    return pairs.withColumn("score", F.round(score(T.fold(F.col("heading")), T.fold(F.col("path")), T.fold(F.col("query"))), 6))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import refs as R
@@ -149,16 +149,29 @@ def risk_pages(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", (F.length(x).between(40, 1400) & (x.contains("|") | x.contains("→") | listy)).alias("risky"))
 
 
-def _clusters(t: Tables):
-    """A fitted vocabulary of words and word pairs (in two documents at least and nine tenths at most), and clustered documents."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import IDF, CountVectorizer
-
+def _grams(t: Tables) -> DataFrame:
+    """doc_id, grams: words and pairs of neighbouring words."""
     words = t.documents.select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("w"))
     rest = F.greatest(F.size("w") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("w", F.lit(1), rest), F.slice("w", F.lit(2), rest), lambda a, b: F.concat_ws(" ", a, b))
-    counted = CountVectorizer(inputCol="grams", outputCol="tf", minDF=2.0, maxDF=0.9, vocabSize=1 << 17)
-    rows = words.select("doc_id", F.concat("w", pairs).alias("grams"))
+    return words.select("doc_id", F.concat("w", pairs).alias("grams"))
+
+
+def _bucket(gram: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("string")
+
+
+def _clusters(t: Tables, buckets: int = 1 << 20):
+    """Buckets of grams (those in two documents at least and nine tenths at most), the model, and clustered documents.
+
+    No gram is dropped for want of room: grams are hashed to ``buckets``, which bounds the vocabulary and the centres on the
+    driver; grams that share a bucket count as one.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import IDF, CountVectorizer
+
+    counted = CountVectorizer(inputCol="buckets", outputCol="tf", minDF=2.0, maxDF=0.9, vocabSize=buckets)
+    rows = _grams(t).select("doc_id", F.transform("grams", lambda g: _bucket(g, buckets)).alias("buckets"))
     vocabulary = counted.fit(rows)
     tf = vocabulary.transform(rows)
     weighted = IDF(inputCol="tf", outputCol="features").fit(tf).transform(tf)
@@ -173,11 +186,16 @@ def tfidf_kmeans(t: Tables) -> DataFrame:
 
 
 @query()
-def cluster_terms(t: Tables) -> DataFrame:
-    """cluster, rank, term: the ten heaviest terms of each centre."""
-    vocabulary, model, docs = _clusters(t)
+def cluster_terms(t: Tables, buckets: int = 1 << 20) -> DataFrame:
+    """cluster, rank, term: the ten heaviest buckets of each centre by their most frequent grams."""
+    from weftline.operators.ranking import first_by
+
+    vocabulary, model, _ = _clusters(t, buckets)
     rows = [(c, k + 1, vocabulary[i]) for c, centre in enumerate(model.clusterCenters()) for k, i in enumerate((-centre).argsort(kind="stable")[:10].tolist())]
-    return docs.sparkSession.createDataFrame(rows, "cluster int, rank int, term string")
+    heavy = t.documents.sparkSession.createDataFrame(rows, "cluster int, rank int, bucket string")
+    grams = _grams(t).select(F.explode("grams").alias("term")).withColumn("bucket", _bucket(F.col("term"), buckets)).filter(F.col("bucket").isin(sorted({b for _, _, b in rows})))
+    counts = grams.groupBy("bucket", "term").agg(F.count("*").alias("n"))
+    return heavy.join(first_by(counts, ["bucket"], [-F.col("n"), F.col("term")]), "bucket").select("cluster", "rank", "term")
 
 
 @query()
@@ -228,8 +246,8 @@ def text_tools(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", first.alias("name"), T.slug(F.concat("source", F.lit(" é "), "lang")).alias("slug"), env_label(env).alias("env"))
 
 
-@query("""SELECT vec_id, '[' || array_to_string(list_transform(embedding[1:4], lambda x: printf('%.8f', CAST(x AS DOUBLE))), ',') || ']' AS literal FROM embeddings""")
+@query("""SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.8f', CAST(x AS DOUBLE))), ',') || ']' AS literal FROM embeddings""")
 def vector_literal(t: Tables) -> DataFrame:
     from weftline.operators.vectors import literal
 
-    return t.embeddings.select("vec_id", literal(F.slice("embedding", 1, 4)).alias("literal"))
+    return t.embeddings.select("vec_id", literal(F.col("embedding")).alias("literal"))

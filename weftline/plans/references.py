@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import refs as R
-from weftline.operators import ranking
+from weftline.operators import citations, ranking
 from weftline.plans.common import Tables, query
 
 HOST = "law.example.org"
+#: Labels of sources by category of reference.
+SOURCES = {"CODE": "codes", "DECRET": "decrees", "ANNEXE": "guides", "FICHE": "guides"}
 
 
 def _text() -> Column:
@@ -24,15 +26,19 @@ def _text() -> Column:
 
 _TEXT = f"""'Voir Art. L. ' || (100 + doc_id % 90) || '-2 2° a), L' || (100 + doc_id % 90) || '-2 2° a) et R. 123-' || (doc_id % 5) || ' 1°; D' || (300 + doc_id % 7) || '-1. ' || coalesce(text, '') || ' Article 34 du décret n° 86-' || (doc_id % 11)
  || ' du 17 janvier 1986, DÉCRET n°2020-1; III de l''article 2 du décret 2019-' || (doc_id % 13) || ' annexe ' || (doc_id % 3) || '. Fiche 8 [Le code](https://{HOST}/c/' || (doc_id % 4) || ') [Le code](https://other.example/x)'"""
-_FORMS = " UNION ALL ".join(f"SELECT doc_id, {i} AS form, unnest(regexp_extract_all(t, '(?i){form.replace(chr(39), chr(39) * 2)}')) AS ref, unnest(range(1, len(regexp_extract_all(t, '(?i){form.replace(chr(39), chr(39) * 2)}')) + 1)) AS pos FROM d" for i, form in enumerate(R.REFERENCE_FORMS))
+_FORMS = " UNION ALL ".join(f"SELECT doc_id, {i} AS form, unnest(regexp_extract_all(t, '(?i){form.replace(chr(39), chr(39) * 2)}')) AS ref, unnest(range(1, len(regexp_extract_all(t, '(?i){form.replace(chr(39), chr(39) * 2)}')) + 1)) AS pos FROM d" for i, form in enumerate(R.KINDS.values()))
 _LINK = R.link_form(HOST)
 _REFS = f"""d AS (SELECT doc_id, {_TEXT} AS t FROM documents), f AS ({_FORMS} UNION ALL SELECT doc_id, 99, unnest(regexp_extract_all(t, '(?i){_LINK}', 1)), unnest(range(1, len(regexp_extract_all(t, '(?i){_LINK}', 1)) + 1)) FROM d),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, replace(replace(lower(trim(ref)), ' ', ''), '.', '') ORDER BY form, pos) AS n FROM f), refs AS (SELECT doc_id, trim(ref) AS ref, row_number() OVER (PARTITION BY doc_id ORDER BY form, pos) AS place FROM k WHERE n = 1)"""
 
 
 def _references(t: Tables) -> DataFrame:
-    found = t.documents.select("doc_id", F.posexplode(R.references(_text(), HOST)).alias("place", "ref"))
-    return found.select("doc_id", "ref", (F.col("place") + 1).cast("long").alias("place"))
+    return citations.references(t.documents.select("doc_id", _text().alias("text")), HOST)
+
+
+def _parsed(ref: str = "ref") -> list[Column]:
+    p = R.parsed(F.col(ref))
+    return [R.source_of(p["category"], SOURCES).alias("source"), p["category"].alias("category"), p["number"].alias("number"), p["paragraph"].alias("paragraph"), p["decree"].alias("decree")]
 
 
 @query(f"WITH {_REFS} SELECT doc_id, ref, place FROM refs")
@@ -40,29 +46,29 @@ def legal_references(t: Tables) -> DataFrame:
     return _references(t)
 
 
-_PARSED = rf"""{_REFS}, p AS (SELECT ref, CASE WHEN regexp_matches(ref, '(?i)^article\s+\d+\s+du\s+décret') THEN ['DGAFP', 'DECRET', '34', NULL, regexp_extract(ref, '(\d{{2,4}}-\d+)', 1)] WHEN regexp_matches(ref, '(?i)^III\s+de') THEN ['DGAFP', 'DECRET', '2', 'III', regexp_extract(ref, '(\d{{4}}-\d+)', 1)]
- WHEN regexp_matches(ref, '(?i)^décret') THEN ['DGAFP', 'DECRET', NULL, NULL, regexp_extract(ref, '(\d{{2,4}}-\d+)', 1)] WHEN regexp_matches(ref, '(?i)^(art\.?\s*)?l\.?\s*\d{{3}}-') THEN ['DGAFP', 'CODE', 'L' || regexp_extract(ref, '(\d{{3}}-\d+)', 1), nullif(regexp_extract(ref, '(\d+°( [a-z]\))?)', 1), ''), NULL]
- WHEN regexp_matches(ref, '(?i)^[rd]\.?\s*\d{{3}}-') THEN ['DGAFP', 'CODE', upper(ref[1]) || regexp_extract(ref, '(\d{{3}}-\d+)', 1), nullif(regexp_extract(ref, '(\d+°)', 1), ''), NULL] WHEN regexp_matches(ref, '(?i)^annexe') THEN ['MATTE', 'ANNEXE', 'A' || regexp_extract(ref, '(\d+)', 1), NULL, NULL] WHEN regexp_matches(ref, '(?i)^fiche') THEN ['MATTE', 'FICHE', 'F' || regexp_extract(ref, '(\d+)', 1), NULL, NULL]
+_PARSED = rf"""{_REFS}, p AS (SELECT ref, CASE WHEN regexp_matches(ref, '(?i)^article\s+\d+\s+du\s+décret') THEN ['decrees', 'DECRET', '34', NULL, regexp_extract(ref, '(\d{{2,4}}-\d+)', 1)] WHEN regexp_matches(ref, '(?i)^III\s+de') THEN ['decrees', 'DECRET', '2', 'III', regexp_extract(ref, '(\d{{4}}-\d+)', 1)]
+ WHEN regexp_matches(ref, '(?i)^décret') THEN ['decrees', 'DECRET', NULL, NULL, regexp_extract(ref, '(\d{{2,4}}-\d+)', 1)] WHEN regexp_matches(ref, '(?i)^(art\.?\s*)?l\.?\s*\d{{3}}-') THEN ['codes', 'CODE', 'L' || regexp_extract(ref, '(\d{{3}}-\d+)', 1), nullif(regexp_extract(ref, '(\d+°( [a-z]\))?)', 1), ''), NULL]
+ WHEN regexp_matches(ref, '(?i)^[rd]\.?\s*\d{{3}}-') THEN ['codes', 'CODE', upper(ref[1]) || regexp_extract(ref, '(\d{{3}}-\d+)', 1), nullif(regexp_extract(ref, '(\d+°)', 1), ''), NULL] WHEN regexp_matches(ref, '(?i)^annexe') THEN ['guides', 'ANNEXE', 'A' || regexp_extract(ref, '(\d+)', 1), NULL, NULL] WHEN regexp_matches(ref, '(?i)^fiche') THEN ['guides', 'FICHE', 'F' || regexp_extract(ref, '(\d+)', 1), NULL, NULL]
  ELSE ['UNKNOWN', 'OTHER', ref, NULL, NULL] END AS p FROM (SELECT DISTINCT ref FROM refs))"""
 
 
 @query(f"WITH {_PARSED} SELECT ref, p[1] AS source, p[2] AS category, p[3] AS number, p[4] AS paragraph, p[5] AS decree FROM p")
 def parsed_references(t: Tables) -> DataFrame:
-    return _references(t).select("ref").distinct().select("ref", R.parsed(F.col("ref")).alias("p")).select("ref", "p.*")
+    return _references(t).select("ref").distinct().select("ref", *_parsed())
 
 
 @query(f"WITH {_PARSED} SELECT p[1] AS source, p[2] AS category, count(*) AS n, count(*) FILTER (p[3] IN (SELECT 'L' || (100 + s_suppkey) || '-2' FROM supplier)) AS resolved FROM refs JOIN p USING (ref) GROUP BY 1, 2")
 def reference_summary(t: Tables) -> DataFrame:
     """Counts of references by source and category, and of those whose number is known."""
     known = t.supplier.select(F.concat(F.lit("L"), (100 + F.col("s_suppkey")).cast("string"), F.lit("-2")).alias("number"), F.lit(1).alias("known"))
-    each = _references(t).groupBy("ref").agg(F.count("*").alias("n")).select("n", R.parsed(F.col("ref")).alias("p")).select("n", "p.*")
+    each = _references(t).groupBy("ref").agg(F.count("*").alias("n")).select("n", *_parsed())
     counts = each.join(known, "number", "left").groupBy("source", "category")
     return counts.agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("known") == 1, F.col("n"))), F.lit(0)).alias("resolved"))
 
 
 @query(f"WITH d AS (SELECT doc_id, {_TEXT} AS t FROM documents) SELECT doc_id, 'Le code' AS title, regexp_extract(t, '{_LINK}', 2) AS url FROM d")
 def reference_links(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.explode(R.links_to(_text(), HOST)).alias("x")).select("doc_id", "x.*")
+    return citations.links(t.documents.select("doc_id", _text().alias("text")), HOST)
 
 
 @query(f"""WITH {_REFS}, r AS (SELECT s_suppkey AS id, 'L. ' || (100 + s_suppkey % 6) || ' -2' AS number, CASE WHEN s_suppkey % 4 > 0 THEN 'C' || s_suppkey % 3 END AS cid FROM supplier), n AS (SELECT *, replace(replace(number, ' ', ''), '.', '') AS k FROM r WHERE cid IS NOT NULL),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators import context, fusion, lexical, vectors
+from weftline.operators import context, fusion, lexical, linking, vectors
 from weftline.plans.common import Tables, query
 
 _Q = "q AS (SELECT vec_id AS query_id, embedding AS qe, label AS q_label FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, q_label, e.vec_id AS id, e.label AS label, round(list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM q, embeddings e)"
@@ -186,8 +186,11 @@ def marker_search(t: Tables) -> DataFrame:
 
 @query()
 def entity_link(t: Tables) -> DataFrame:
-    cands = t.pages.select(F.col("page_id").alias("cand_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-    return lexical.entity_link(t.benchmark.select(F.col("item_id").alias("query_id"), F.split_part("text", F.lit("."), F.lit(1)).alias("label")), cands)
+    """The page whose title fits the first sentence of each test item best, pages of the item's own site first."""
+    cands = t.pages.select(F.col("page_id").alias("cand_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.parse_url("url", F.lit("HOST")).alias("publisher"))
+    sites = cands.select(F.col("cand_id").alias("query_id"), "publisher")
+    labels = t.benchmark.select(F.col("item_id").alias("query_id"), F.split_part("text", F.lit("."), F.lit(1)).alias("label")).join(sites, "query_id", "left")
+    return linking.entity_link(labels.withColumn("tag", F.when(F.col("query_id") % 7 == 0, "en")), cands)
 
 
 @query("""WITH d AS (SELECT doc_id, source, split_part(text, chr(10), 1) AS heading FROM documents), c AS (SELECT doc_id AS chunk_id, source, CASE WHEN doc_id % 3 = 0 THEN heading ELSE ' ' || heading END AS path FROM d),
@@ -211,4 +214,4 @@ def heading_scores(t: Tables) -> DataFrame:
     """Scores of the five headings that share most tokens with each query."""
     heads = t.documents.select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("heading"), "source")
     pairs = _heading_lane(t, 5).join(heads, "id").join(_queries(t), "query_id").select("query_id", "id", "heading", F.concat_ws(" > ", "source", "heading").alias("path"), F.col("text").alias("query"))
-    return lexical.heading_scores(pairs).select("query_id", "id", "score")
+    return linking.heading_scores(pairs).select("query_id", "id", "score")
