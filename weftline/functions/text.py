@@ -17,10 +17,14 @@ def fold(c: Column) -> Column:
     return F.array_join(words(c), " ")
 
 
+def fold_letters(c: Column) -> Column:
+    """Accents dropped, lower case, dashes as hyphens; everything else stays."""
+    return F.lower(F.translate(F.translate(c, ACCENTED, PLAIN), DASHES, "-" * len(DASHES)))
+
+
 def words(c: Column) -> Column:
     """Folded tokens [a-z0-9]+ in order."""
-    plain = F.lower(F.translate(F.translate(c, ACCENTED, PLAIN), DASHES, "-" * len(DASHES)))
-    return F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(fold_letters(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def key_tokens(c: Column, stop: list[str]) -> Column:

@@ -1,113 +1,288 @@
-"""Lexical search, heading search, markers.
+"""Lexical search, cover density, heading search, markers.
 
-The score of a text is the number of distinct query tokens in it, then their total frequency; ties by id. A query matches if
-any of its tokens occurs; an empty query matches nothing.
+Two scores of a text: distinct query tokens in it, then their total frequency (``lexical_topk``); or the density of the covers of
+the query's lexemes (``cover_density_topk``). Ties go by id. An empty query matches nothing.
 
-Queries whose tokens are few enough (``MAX_TOKENS``, counted first) are broadcast: tasks score blocks of texts against all
-queries by matrix products and yield k rows a query and block, so that a word that every text has costs no row. Beyond that
-postings are joined by token.
+Texts are cut and hashed in tasks by numpy; words are known by 64-bit hashes. Queries are broadcast, at most ``MAX_TOKENS`` tokens
+at once (beyond that in several passes over the texts, each with a part of the queries), and blocks of texts are scored against
+all of them, so that a word that every text has costs no row: a block yields k rows a query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions import scan
 from weftline.functions import text as T
 from weftline.operators.fusion import ranked
 
-#: Tokens of all queries that may be broadcast (about 100 bytes each while they are), and texts of a block.
+#: Tokens of queries that are broadcast at once (about 100 bytes each), and bytes of folded text of a block.
 MAX_TOKENS = 500_000
+BLOCK_BYTES = 4_000_000
+#: Texts of a block at most, and distinct tokens of the queries that are scored at once.
 BLOCK = 1024
-#: Distinct tokens of the queries that are scored at once.
 WIDTH = 8192
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """id, token, tf of docs (id, text)."""
-    return docs.select("id", F.explode(T.words(F.coalesce("text", F.lit("")))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+def _hashes(words: list[str]) -> np.ndarray:
+    """As of the words of a block."""
+    data = [w.encode() for w in words]
+    ends = np.cumsum([len(x) for x in data], dtype=np.int64) if data else np.zeros(0, np.int64)
+    return scan.span_hashes(np.frombuffer(b"".join(data), np.uint8), np.append(0, ends[:-1])[: len(data)], ends)
 
 
-def query_tokens(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(F.array_distinct(T.words(F.coalesce("text", F.lit(""))))).alias("token"))
+@dataclass
+class Words:
+    """The folded words of a block of texts: hash and text of each, in order."""
 
+    hashes: np.ndarray
+    owner: np.ndarray
+    buf: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
 
-def _slices(asked: list[tuple[int, str]]) -> list[tuple[np.ndarray, pa.Array, np.ndarray]]:
-    """Queries in groups of at most WIDTH distinct tokens: ids, tokens, and a 0/1 matrix of tokens by queries."""
-    by_query: dict[int, list[str]] = {}
-    for q, token in asked:
-        by_query.setdefault(q, []).append(token)
-    groups: list[tuple[list[int], dict[str, int]]] = [([], {})]
+    @staticmethod
+    def of(buf: np.ndarray, offsets: np.ndarray) -> Words:
+        starts, ends = scan.spans(scan.FOLDED[buf], offsets)
+        return Words(scan.span_hashes(buf, starts, ends), scan.owners(offsets, starts), buf, starts, ends)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Words]]:
+    """Ids and words of blocks of rows (id, text)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            for part, buf, offsets in scan.pieces(batch.slice(at, BLOCK), "text", BLOCK_BYTES):
+                yield np.asarray(part.column("id")), Words.of(buf, offsets)
+
+
+def _folded(rows: DataFrame, ident: str) -> DataFrame:
+    return rows.select(F.col(ident).cast("long").alias(ident), T.fold_letters(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def _passes(docs: DataFrame, queries: DataFrame, score: Callable[[DataFrame, list[tuple[int, str]]], DataFrame]) -> DataFrame:
+    """score(docs, queries) over as many parts of the queries (query_id, folded text) as MAX_TOKENS asks for."""
+    asked = _folded(queries, "query_id")
+    tokens = asked.agg(F.sum(F.regexp_count("text", F.lit("[a-z0-9]+")))).first()[0] or 0
+    parts = -(-tokens // MAX_TOKENS) or 1
+    rows = _folded(docs, "id")
+    if parts > 1:
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+    each = [asked if parts == 1 else asked.filter(F.col("part") == i) for i in range(parts)]
+    return reduce(DataFrame.unionByName, [score(rows, [(r["query_id"], r["text"]) for r in part.select("query_id", "text").collect()]) for part in each])
+
+
+def _best(ids: np.ndarray, matched: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """The k matched rows of greatest order, ties by id (more if k falls into none)."""
+    good = np.flatnonzero(matched)
+    return good if len(good) <= k else good[np.lexsort((ids[good], -order[good]))[:k]]
+
+
+def _slices(asked: list[tuple[int, str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries in groups of at most WIDTH distinct tokens: ids, sorted hashes, and a 0/1 matrix of tokens by queries."""
+    by_query: dict[int, dict[str, None]] = {}
+    for q, text in asked:
+        by_query.setdefault(q, {}).update(dict.fromkeys(re.findall("[a-z0-9]+", text)))
+    groups: list[tuple[list[int], dict[str, None]]] = [([], {})]
     for q, tokens in by_query.items():
         if groups[-1][0] and len(groups[-1][1]) + len(tokens) > WIDTH:
             groups.append(([], {}))
         groups[-1][0].append(q)
-        for token in tokens:
-            groups[-1][1].setdefault(token, len(groups[-1][1]))
+        groups[-1][1].update(tokens)
     out = []
     for ids, words in groups:
+        hashes = _hashes(list(words))
+        order = np.argsort(hashes)
+        place = {w: i for i, w in enumerate(np.array(list(words), object)[order])}
         m = np.zeros((len(words), len(ids)), np.float32)
         for j, q in enumerate(ids):
-            m[[words[t] for t in by_query[q]], j] = 1
-        out.append((np.array(ids, np.int64), pa.array(list(words), pa.string()), m))
+            m[[place[t] for t in by_query[q]], j] = 1
+        out.append((np.array(ids, np.int64), hashes[order], m))
     return out
 
 
-def _scored(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame | None:
-    """query_id, id, matched, tf: of each block of texts at least its k best for each query; None if the queries are too many."""
-    tokens = query_tokens(queries.select(F.col("query_id").cast("long").alias("query_id"), "text"))
-    if tokens.count() > MAX_TOKENS:
-        return None
-    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in tokens.distinct().collect()])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = _slices(shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                ids, lists = np.asarray(part.column("id")), part.column("words")
-                flat, owner = lists.flatten(), np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(lists)))
-                for names, words, asked in groups:
-                    if not len(words):
-                        continue
-                    code = pc.index_in(flat, value_set=words)
-                    known = np.asarray(code.is_valid())
-                    cell = owner[known] * len(words) + np.asarray(code.drop_null()).astype(np.int64)
-                    tf = np.bincount(cell, minlength=part.num_rows * len(words)).reshape(part.num_rows, -1).astype(np.float32)
-                    matched, total = ((tf > 0).astype(np.float32) @ asked).astype(np.int64), (tf @ asked).astype(np.int64)
-                    score = (matched << 40) + np.minimum(total, (1 << 40) - 1)
+def _codes(sorted_hashes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The place of each hash, -1 if it isn't there."""
+    if len(sorted_hashes) == 0:
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(sorted_hashes, hashes), len(sorted_hashes) - 1)
+    return np.where(sorted_hashes[at] == hashes, at, -1)
+
+
+def _scored(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id, matched, tf: of each block of texts at least its k best for each query."""
+
+    def score(rows: DataFrame, asked: list[tuple[int, str]]) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast(asked)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            groups = _slices(shared.value)
+            for ids, words in _blocks(batches):
+                for names, hashes, want in groups:
+                    code = _codes(hashes, words.hashes)
+                    known = code >= 0
+                    tf = np.bincount(words.owner[known] * len(hashes) + code[known], minlength=len(ids) * len(hashes)).reshape(len(ids), -1).astype(np.float32)
+                    matched, total = ((tf > 0).astype(np.float32) @ want).astype(np.int64), (tf @ want).astype(np.int64)
+                    order = (matched << 40) + np.minimum(total, (1 << 40) - 1)
                     for j, q in enumerate(names.tolist()):
-                        good = np.flatnonzero(matched[:, j])
-                        if len(good) > k:
-                            good = good[np.lexsort((ids[good], -score[good, j]))[:k]]
+                        good = _best(ids, matched[:, j], order[:, j], k)
                         if len(good):
                             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(good), q)), pa.array(ids[good]), pa.array(matched[good, j]), pa.array(total[good, j])], names=["query_id", "id", "matched", "tf"])
 
-    rows = docs.select(F.col("id").cast("long").alias("id"), T.words(F.coalesce("text", F.lit(""))).alias("words"))
-    return rows.mapInArrow(work, "query_id long, id long, matched long, tf long")
+        return rows.mapInArrow(work, "query_id long, id long, matched long, tf long")
+
+    return _passes(docs, queries, score)
+
+
+@dataclass(frozen=True)
+class Language:
+    """Words that carry nothing, and endings to take off: each pair (pattern, replacement) is applied once, in order."""
+
+    stop: frozenset[str] = frozenset()
+    endings: tuple[tuple[str, str], ...] = ()
+
+    def lexeme(self, word: str) -> str:
+        """Of a folded word; empty for a stop word."""
+        if word in self.stop:
+            return ""
+        for pattern, new in self.endings:
+            word = re.sub(pattern, new, word)
+        return word
+
+
+#: A light stemmer of French: plurals, adverbs, nouns of action, infinitives and feminines, at least three letters staying.
+FRENCH = Language(
+    frozenset("a au aux avec ce ces dans de des du elle en et eux il je la le les leur lui ma mais me meme mes moi mon ne nos notre nous on ou par pas pour qu que qui sa se ses son sur ta te tes toi ton tu un une vos votre vous".split()),
+    ((r"^(.{2,})aux$", r"\1al"), (r"^(.{3,})[sx]$", r"\1"), (r"^(.{3,})ement$", r"\1"), (r"^(.{3,})ation$", r"\1"), (r"^(.{3,})(?:er|ir)$", r"\1"), (r"^(.{3,})e$", r"\1"), (r"^(.{3,})e$", r"\1")),
+)
+
+
+@dataclass
+class _Lexemes:
+    """From hashes of words to codes of lexemes, learnt word by word as they come."""
+
+    language: Language
+    codes: dict[str, int]
+    known: dict[int, int] = field(default_factory=dict)
+
+    def of(self, words: Words) -> np.ndarray:
+        """The code of each word's lexeme, -1 of others."""
+        distinct, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        code = np.empty(len(distinct), np.int64)
+        for i, (h, at) in enumerate(zip(distinct.tolist(), first.tolist(), strict=True)):
+            if h not in self.known:
+                if len(self.known) > 1_000_000:
+                    self.known.clear()
+                word = words.buf[words.starts[at] : words.ends[at]].tobytes().decode()
+                self.known[h] = self.codes.get(self.language.lexeme(word), -1)
+            code[i] = self.known[h]
+        return code[which]
+
+
+Term = tuple[tuple[str, int], ...]
+
+
+def parse_query(text: str, language: Language) -> list[Term]:
+    """The distinct terms of a query: lexemes, and quoted phrases as several, each with its distance from the first. Stop words are
+    left out, but count in distances."""
+    out: dict[Term, None] = {}
+    for phrase, word in re.findall(r'"([^"]*)"|([^"\s]+)', text):
+        found = [(x, i) for i, x in enumerate(language.lexeme(w) for w in re.findall("[a-z0-9]+", phrase or word)) if x]
+        for term in [tuple((x, i - found[0][1]) for x, i in found)] if phrase else [((x, 0),) for x, _ in found]:
+            if term:
+                out[term] = None
+    return list(out)
+
+
+def covers(owner: np.ndarray, first: np.ndarray, last: np.ndarray, term: np.ndarray, n_terms: int, need_all: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first and last position of the minimal covers of a query: they hold every term, or any if not need_all, and none
+    holds a smaller one.
+
+    Hits (text, first and last position, term) come by text and last position. The shortest cover that ends with a hit begins with
+    the least of the terms' latest hits so far (the latest of all for any); it is minimal if it begins after the one before.
+    """
+    base = np.int64(last.max(initial=0) + 2)  # texts one after the other, so that running maxima can't reach back
+    begin = np.full(len(owner), np.iinfo(np.int64).max)
+    for t in range(n_terms if need_all else 1):
+        here = term == t if need_all else np.ones(len(owner), bool)
+        begin = np.minimum(begin, np.maximum.accumulate(np.where(here, owner * base + first + 1, 0)) - owner * base - 1)
+    ends = np.flatnonzero(np.append((owner[1:] != owner[:-1]) | (last[1:] != last[:-1]), True)) if len(owner) else owner
+    owner, begin, last = owner[ends], np.maximum(begin[ends], -1), last[ends]
+    before = np.append(-1, begin[:-1])[: len(begin)]
+    before[np.flatnonzero(np.append(True, owner[1:] != owner[:-1])[: len(owner)])] = -1
+    new = begin > before
+    return owner[new], begin[new], last[new]
+
+
+def cover_density_topk(docs: DataFrame, queries: DataFrame, k: int, language: Language = FRENCH, need_all: bool = False, weight: float = 0.1) -> DataFrame:
+    """query_id, id, n_covers, score, rank of the k densest texts of each query; docs: id, text; queries: query_id, text.
+
+    Texts and queries become lexemes of the language, a word's place being its number in the text. A query is its lexemes and
+    quoted phrases, any of them or all. Each minimal cover counts ``weight`` divided by 1 + the words in it that are no lexeme of
+    the query; a text's score is the sum over its covers, rounded to 6 decimals.
+    """
+
+    def score(rows: DataFrame, asked: list[tuple[int, str]]) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast(asked)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parsed = [(q, parse_query(text, language)) for q, text in shared.value]
+            codes: dict[str, int] = {}
+            for _, terms in parsed:
+                for term in terms:
+                    for lexeme, _ in term:
+                        codes.setdefault(lexeme, len(codes))
+            lexemes = _Lexemes(language, codes)
+            for ids, words in _blocks(batches):
+                code = lexemes.of(words)
+                place = np.arange(len(code)) - np.searchsorted(words.owner, words.owner)
+                hits = np.flatnonzero(code >= 0)
+                by = hits[np.argsort(code[hits], kind="stable")]
+                cut = np.searchsorted(code[by], np.arange(len(codes) + 1))
+                at = lambda lexeme: by[cut[codes[lexeme]] : cut[codes[lexeme] + 1]]  # noqa: E731, B023
+                for q, terms in parsed:
+                    found = []
+                    for t, term in enumerate(terms):
+                        start = at(term[0][0])
+                        for lexeme, away in term[1:]:
+                            start = start[np.isin(start + away, at(lexeme))]
+                        start = start[words.owner[start] == words.owner[np.minimum(start + term[-1][1], len(code) - 1)]]
+                        found.append(np.stack([words.owner[start], place[start], place[start] + term[-1][1], np.full(len(start), t)], axis=1))
+                    every = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+                    if len(every) == 0:
+                        continue
+                    owner, begin, end = covers(*every[np.lexsort((every[:, 2], every[:, 0]))].T, len(terms), need_all)
+                    used = np.unique(np.concatenate([at(x) for term in terms for x, _ in term]))
+                    head = np.searchsorted(words.owner, owner)
+                    inside = np.searchsorted(used, head + end, side="right") - np.searchsorted(used, head + begin)
+                    total = np.round(np.bincount(owner, weight / (2 + end - begin - inside), len(ids)), 6)
+                    n = np.bincount(owner, minlength=len(ids))
+                    good = _best(ids, n, total, k)
+                    if len(good):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(good), q)), pa.array(ids[good]), pa.array(n[good].astype(np.int64)), pa.array(total[good])], names=["query_id", "id", "n_covers", "score"])
+
+        return rows.mapInArrow(work, "query_id long, id long, n_covers long, score double")
+
+    return ranked(_passes(docs, queries, score), ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
 def lexical_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, id, matched, tf, rank; docs: id (one row each), text; queries: query_id, text."""
-    hits = _scored(docs, queries, k)
-    if hits is None:
-        hits = query_tokens(queries).join(postings(docs), "token").groupBy("query_id", "id").agg(F.count("*").alias("matched"), F.sum("tf").alias("tf"))
-    return ranked(hits, ["query_id"], [F.desc("matched"), F.desc("tf"), F.col("id")], k)
+    return ranked(_scored(docs, queries, k), ["query_id"], [F.desc("matched"), F.desc("tf"), F.col("id")], k)
 
 
 def heading_topk(headings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, id, matched, rank; headings: id, text."""
     once = headings.select("id", F.array_join(F.array_distinct(T.words(F.coalesce("text", F.lit("")))), " ").alias("text"))
-    hits = _scored(once, queries, k)
-    if hits is None:
-        hits = query_tokens(queries).join(postings(once), "token").groupBy("query_id", "id").agg(F.count("*").alias("matched"))
-    return ranked(hits.select("query_id", "id", "matched"), ["query_id"], [F.desc("matched"), F.col("id")], k)
+    return ranked(_scored(once, queries, k).select("query_id", "id", "matched"), ["query_id"], [F.desc("matched"), F.col("id")], k)
 
 
 def marker_search(docs: DataFrame, markers: DataFrame, most: int = 200_000) -> DataFrame:

@@ -84,6 +84,34 @@ def lexical_topk(t: Tables) -> DataFrame:
     return lexical.lexical_topk(t.documents.select(F.col("doc_id").alias("id"), "text"), _queries(t), 10)
 
 
+_STEM = "t"
+for _pattern, _new in lexical.FRENCH.endings:
+    _STEM = f"regexp_replace({_STEM}, '{_pattern}', '{_new}')"
+_STOP = ", ".join(f"'{w}'" for w in sorted(lexical.FRENCH.stop))
+
+
+def _lexemes(ident: str, table: str) -> str:
+    return f"SELECT {ident}, {_STEM} AS lexeme FROM (SELECT {ident}, unnest({_WORDS.format("coalesce(text, '')")}) AS t FROM {table}) WHERE t NOT IN ({_STOP})"
+
+
+@query(f"""WITH q AS (SELECT DISTINCT item_id AS query_id, lexeme FROM ({_lexemes("item_id", "benchmark")})), d AS (SELECT doc_id AS id, lexeme, count(*) AS n FROM ({_lexemes("doc_id", "documents")}) GROUP BY ALL),
+s AS (SELECT query_id, id, CAST(sum(n) AS BIGINT) AS n_covers FROM q JOIN d USING (lexeme) GROUP BY ALL)
+SELECT * FROM (SELECT query_id, id, n_covers, round(0.1 * n_covers, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY n_covers DESC, id) AS rank FROM s) WHERE rank <= 10""")
+def cover_density_topk(t: Tables) -> DataFrame:
+    """Any lexeme of a query: each occurrence is a cover."""
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.translate("text", '"', " ").alias("text"))
+    return lexical.cover_density_topk(t.documents.select(F.col("doc_id").alias("id"), "text"), asked, 10)
+
+
+@query()
+def cover_density_all(t: Tables) -> DataFrame:
+    """All of: the first two words of each test item as a phrase, and its third and fifth word."""
+    w = T.words(F.col("text"))
+    text = F.concat(F.lit('"'), F.get(w, F.lit(0)), F.lit(" "), F.get(w, F.lit(1)), F.lit('" '), F.coalesce(F.get(w, F.lit(2)), F.lit("")), F.lit(" "), F.coalesce(F.get(w, F.lit(4)), F.lit("")))
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), text.alias("text"))
+    return lexical.cover_density_topk(t.documents.select(F.col("doc_id").alias("id"), "text"), asked, 10, need_all=True)
+
+
 _HEAD = f"""ht AS (SELECT DISTINCT doc_id AS id, unnest({_WORDS.format("coalesce(split_part(text, chr(10), 1), '')")}) AS token FROM documents),
 hl AS (SELECT query_id, id, count(*) AS matched FROM qt JOIN ht USING (token) GROUP BY ALL),
 hd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, id) AS rank FROM hl) WHERE rank <= 20)"""
