@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm import scan, windows
+from weftline.functions import scan
+from weftline.llm import windows
 from weftline.llm.scratch import Scratch
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -145,8 +146,8 @@ def rlz_dedup(docs: DataFrame, length: int = 50, with_text: bool = False) -> Dat
     scratch = Scratch(spark, "rlz")
     blocks = windows.make_blocks(scratch, docs.filter(F.col("doc_id").isNotNull()), [])
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    plan = windows.Plan("words", length, max(1, length // 3), max(64, int(size // 4_000_000)))
-    bits = scratch.save(windows.shared_keys(plan, blocks), "bits")
+    plan = windows.Plan("words", length, max(1, length // 3), max(64, int(size // 4_000_000)), windows.key_levels(size))
+    bits = scratch.save(windows.shared_keys(plan, blocks, scratch), "bits")
     found = windows.shared_segments(plan, blocks, bits).groupBy("bucket").applyInArrow(_factor(length), windows.RUN_SCHEMA)
     result = windows.paint(plan, blocks, scratch.save(found, "runs"), _finish(with_text), KEPT if with_text else RESULT)
     words = F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "")

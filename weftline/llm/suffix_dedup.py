@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm import scan, windows
+from weftline.functions import scan
+from weftline.llm import windows
 from weftline.llm.scratch import Scratch
 
 STEP_SCHEMA = "kind string, key long, a binary, b binary, c binary"
@@ -156,8 +157,8 @@ def suffix_array_dedup(docs: DataFrame, length: int = 50, batches: int = 4, with
     scratch = Scratch(spark, "suffix")
     blocks = windows.make_blocks(scratch, known, edges)
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    plan = windows.Plan("bytes", length, max(1, length * 2 // 5), max(64, int(size // 4_000_000)))
-    bits = scratch.save(windows.shared_keys(plan, blocks), "bits")
+    plan = windows.Plan("bytes", length, max(1, length * 2 // 5), max(64, int(size // 4_000_000)), windows.key_levels(size))
+    bits = scratch.save(windows.shared_keys(plan, blocks, scratch), "bits")
     runs, levels = None, {}
     for t in range(len(edges) + 1):
         carried = []

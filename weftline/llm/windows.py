@@ -7,19 +7,21 @@ symbols. Equal windows have equal minimisers, and neighbouring windows mostly sh
 Three passes over the blocks (packed rows of 2 MB of text, written once; 4 blocks in a row are a chunk, by which the table is
 bucketed, so that what comes back to a chunk is joined where its blocks are):
 
-1. minimisers, each once a block, go to buckets by hash; a bit for each comes back: does another block have it?
+1. minimisers, each once a block, go to buckets by hash; a bit for each comes back: does another block have it? A chunk sends a
+   fixed number of rows; where buckets must be more than that, they are reached in steps, and bits come back the same way;
 2. segments whose minimiser occurs in more than one document go to the same buckets, text and all; what the caller's
    function finds there (runs of windows that also start in a document of smaller id) comes back per chunk. Of equal
    segments within ``HELD`` bytes of a task only those of the least id go out: the others are to be removed in any case;
 3. each block paints its runs and yields its documents.
 
-Rows are packed by task and bucket, not by block and bucket, so that their number follows the text. Only minimisers of all
+Rows of pass 1 follow the text, those of pass 2 are packed by task and bucket. Only minimisers of all
 text and the text of shared segments are shuffled; a common passage costs one minimiser a block in pass 1 and its text once a
 task in pass 2. Nothing is capped and no pair of documents is ever formed.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,13 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm import scan
+from weftline.functions import scan
 from weftline.llm.scratch import Scratch
 
 U = np.uint64
 BLOCK_SCHEMA = "chunk long, block long, batch int, n_bytes long, ids binary, sizes binary, data binary"
-KEY_SCHEMA = "bucket int, chunk long, blocks binary, counts binary, keys binary"
-BITS_SCHEMA = "chunk long, bucket int, blocks binary, counts binary, bits binary"
+KEY_SCHEMA = "bucket int, unit long, tag binary, counts binary, keys binary"
+BITS_SCHEMA = "bucket int, unit long, tag binary, counts binary, bits binary"
 SEGMENT_SCHEMA = "bucket int, blocks binary, docs binary, starts binary, sizes binary, data binary"
 RUN_SCHEMA = "chunk long, blocks binary, starts binary, counts binary"
 #: A chunk is 2^CHUNK blocks in a row.
@@ -46,12 +48,23 @@ HELD = 16_000_000
 
 @dataclass(frozen=True)
 class Plan:
-    """unit: 'bytes' or 'words'; length: symbols of a window; seed: symbols of a minimiser; buckets: how many."""
+    """unit: 'bytes' or 'words'; length: symbols of a window; seed: symbols of a minimiser; buckets: of segments. Keys go to
+    ``fan`` buckets in each of ``levels`` steps (see ``key_levels``)."""
 
     unit: str
     length: int
     seed: int
     buckets: int = 64
+    levels: int = 1
+    fan: int = 256
+
+
+def key_levels(size: int, fan: int = 256, bucket: int = 64_000_000) -> int:
+    """Steps after which a bucket holds the keys of ``bucket`` bytes of text: one up to 16 GB, two up to 4 TB, three up to 1 PB."""
+    levels = 1
+    while fan**levels * bucket < size:
+        levels += 1
+    return levels
 
 
 @dataclass
@@ -105,14 +118,14 @@ def unblock(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"], np.uint8), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def make_blocks(scratch: Scratch, docs: DataFrame, edges: list[int]) -> DataFrame:
-    """Write docs (doc_id long not null, text) as blocks; a document's batch is the number of edges at or below its id."""
+def make_blocks(scratch: Scratch, docs: DataFrame, edges: list[int], limit: int = scan.SLICE_BYTES) -> DataFrame:
+    """Write docs (doc_id long not null, text) as blocks of ``limit`` bytes of text (or one document); a document's batch is the number of edges at or below its id."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         cuts = np.array(edges, np.int64)
         for batch in batches:
-            for part, buf, offsets in scan.pieces(batch, "text"):
+            for part, buf, offsets in scan.pieces(batch, "text", limit):
                 ids = np.asarray(part.column("doc_id"))
                 which = np.searchsorted(cuts, ids, side="right")
                 rows = []
@@ -151,20 +164,27 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
 
 
-def shared_keys(plan: Plan, blocks: DataFrame) -> DataFrame:
-    """Per chunk and bucket a bit for each of its blocks' distinct keys, in order: does another block have it?"""
+def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value of bucket and where it stands, in order."""
+    order = np.argsort(bucket, kind="stable")
+    full, cut = np.unique(bucket[order], return_index=True)
+    return zip(full.tolist(), np.split(order, cut[1:]) if len(order) else [], strict=True)
+
+
+def shared_keys(plan: Plan, blocks: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per chunk (unit) and bucket a bit for each of its blocks' (tag) distinct keys, in order: does another block have it?
+
+    A chunk sends ``fan`` rows whatever the size of the corpus.
+    """
 
     def packed(held: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for chunk in dict.fromkeys(c for c, _, _ in held):
             mine = [(b, keys) for c, b, keys in held if c == chunk]
             names, every = np.array([b for b, _ in mine], np.int64), np.concatenate([k for _, k in mine])
-            owner, bucket = np.repeat(np.arange(len(mine)), [len(k) for _, k in mine]), bucket_of(every, plan.buckets)
-            order = np.argsort(bucket, kind="stable")
-            full, cut = np.unique(bucket[order], return_index=True)
-            rows = []
-            for b, part in zip(full.tolist(), np.split(order, cut[1:]) if len(order) else [], strict=True):
-                who, counts = np.unique(owner[part], return_counts=True)
-                rows.append({"bucket": b, "chunk": chunk, "blocks": names[who].tobytes(), "counts": counts.astype(np.int32).tobytes(), "keys": every[part].tobytes()})
+            owner, rows = np.repeat(np.arange(len(mine)), [len(k) for _, k in mine]), []
+            for b, part in _split(bucket_of(every, plan.fan)):
+                counts = np.bincount(owner[part], minlength=len(mine)).astype(np.int32)
+                rows.append({"bucket": b, "unit": chunk, "tag": names.tobytes(), "counts": counts.tobytes(), "keys": every[part].tobytes()})
             if rows:
                 yield to_batch(rows, KEY_SCHEMA)
 
@@ -179,14 +199,68 @@ def shared_keys(plan: Plan, blocks: DataFrame) -> DataFrame:
                 held, size = [], 0
         yield from packed(held)
 
-    def meet(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, U) for x in table.column("keys").to_pylist()]
-        every = np.sort(np.concatenate(parts))
-        again = np.append(every[1:][every[1:] == every[:-1]], U(2**64 - 1))  # sorted; the last entry ends searches
-        bits = [np.packbits(again[np.searchsorted(again, p)] == p).tobytes() for p in parts]
-        return table.select(["chunk", "bucket", "blocks", "counts"]).append_column("bits", pa.array(bits, pa.binary()))
+    return _met(blocks.select("chunk", "block", "ids", "sizes", "data").mapInArrow(emit, KEY_SCHEMA), plan, 1, scratch)
+
+
+def _met(pieces: DataFrame, plan: Plan, level: int, scratch: Scratch) -> DataFrame:
+    """Bits for the keys of each piece. Buckets of the last level are looked at; before it the pieces of a bucket are packed anew,
+    many to a unit, and each unit goes to the ``fan`` buckets within, so that rows stay long however many buckets there are."""
+    if level == plan.levels:
+        return pieces.groupBy("bucket").applyInArrow(_meet, BITS_SCHEMA)
+    finer = scratch.save(_finer(pieces, plan, level), f"keys{level}")
+    inner = _met(finer.filter("bucket >= 0"), plan, level + 1, scratch)
+    whole = inner.unionByName(finer.filter("bucket < 0").withColumnRenamed("keys", "bits"))
+    return whole.groupBy("unit").applyInArrow(_reassemble, BITS_SCHEMA)
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    parts = [np.frombuffer(x, U) for x in table.column("keys").to_pylist()]
+    every = np.sort(np.concatenate(parts))  # a block has each of its keys once
+    again = np.append(every[1:][every[1:] == every[:-1]], U(2**64 - 1))  # sorted; the last entry ends searches
+    bits = [np.packbits(again[np.searchsorted(again, p)] == p).tobytes() for p in parts]
+    return table.select(["bucket", "unit", "tag", "counts"]).append_column("bits", pa.array(bits, pa.binary()))
+
+
+def _finer(pieces: DataFrame, plan: Plan, level: int) -> DataFrame:
+    """Units of pieces of one bucket: for each bucket within, the keys of all of them; and a row of bucket -1 that says what they were."""
+
+    def packed(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        for bucket in dict.fromkeys(r["bucket"] for r in held):
+            mine, rows = [r for r in held if r["bucket"] == bucket], []
+            number[0] += 1
+            counts, keys = (np.frombuffer(b"".join(r[c] for r in mine), kind) for c, kind in (("counts", np.int32), ("keys", U)))
+            owner = np.repeat(np.arange(len(counts)), counts)
+            for b, part in _split(bucket_of(keys, plan.fan ** (level + 1))):
+                rows.append({"bucket": b, "unit": number[0], "tag": b"", "counts": np.bincount(owner[part], minlength=len(counts)).astype(np.int32).tobytes(), "keys": keys[part].tobytes()})
+            origin = pickle.dumps([(r["bucket"], r["unit"], r["tag"], r["counts"]) for r in mine])
+            yield to_batch([*rows, {"bucket": -1, "unit": number[0], "tag": origin, "counts": b"", "keys": b""}], KEY_SCHEMA)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number[0] = TaskContext.get().partitionId() << 32
+        held, size = [], 0
+        for row in rows_of(batches):
+            held.append(row)
+            size += len(row["keys"])
+            if size > HELD:
+                yield from packed(held)
+                held, size = [], 0
+        yield from packed(held)
+
+    number = [0]
+    return pieces.repartition("bucket", F.pmod("unit", F.lit(16))).mapInArrow(work, KEY_SCHEMA)
+
 
-    return blocks.select("chunk", "block", "ids", "sizes", "data").mapInArrow(emit, KEY_SCHEMA).groupBy("bucket").applyInArrow(meet, BITS_SCHEMA)
+def _reassemble(table: pa.Table) -> pa.Table:
+    """The pieces of a unit as they were, their bits in order."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
+    origin, inner = pickle.loads(rows[0]["tag"]), rows[1:]
+    counts = [np.frombuffer(r["counts"], np.int32) for r in inner]
+    owner = np.concatenate([np.repeat(np.arange(len(c)), c) for c in counts])
+    bits = np.concatenate([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=int(c.sum())) for r, c in zip(inner, counts, strict=True)])
+    bits = bits[np.argsort(owner, kind="stable")].astype(bool)
+    sizes = [int(np.frombuffer(c, np.int32).sum()) for *_, c in origin]
+    out = [{"bucket": b, "unit": u, "tag": t, "counts": c, "bits": np.packbits(x).tobytes()} for (b, u, t, c), x in zip(origin, np.split(bits, np.cumsum(sizes)[:-1]), strict=True)]
+    return to_table(out, BITS_SCHEMA)
 
 
 class Found:
@@ -206,7 +280,7 @@ def _bits_by_block(found: list[dict]) -> dict[int, list[tuple[int, np.ndarray]]]
     for x in found:
         counts = np.frombuffer(x["counts"], np.int32)
         bits = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=int(counts.sum())).astype(bool)
-        for block, part in zip(np.frombuffer(x["blocks"], np.int64).tolist(), np.split(bits, np.cumsum(counts)[:-1]), strict=True):
+        for block, part in zip(np.frombuffer(x["tag"], np.int64).tolist(), np.split(bits, np.cumsum(counts)[:-1]), strict=True):
             out.setdefault(block, []).append((x["bucket"], part))
     return out
 
@@ -253,7 +327,7 @@ def shared_segments(plan: Plan, blocks: DataFrame, bits: DataFrame) -> DataFrame
             unique, which = np.unique(keys, return_inverse=True)
             if len(unique) == 0:
                 continue
-            at = np.searchsorted(bucket_of(unique, plan.buckets), np.arange(plan.buckets + 1))
+            at = np.searchsorted(bucket_of(unique, plan.fan), np.arange(plan.fan + 1))
             shared = np.zeros(len(unique), bool)
             for bucket, flags in back.of(row) or []:
                 shared[at[bucket] : at[bucket + 1]] = flags
@@ -272,7 +346,7 @@ def shared_segments(plan: Plan, blocks: DataFrame, bits: DataFrame) -> DataFrame
                 held, size = [], 0
         yield from packed(held)
 
-    found = bits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blocks", "counts", "bits")).alias("found"))
+    found = bits.groupBy(F.col("unit").alias("chunk")).agg(F.collect_list(F.struct("bucket", "tag", "counts", "bits")).alias("found"))
     joined = blocks.select("chunk", "block", "ids", "sizes", "data").join(found.hint("shuffle_hash"), "chunk", "left")
     return joined.mapInArrow(emit, SEGMENT_SCHEMA)
 
