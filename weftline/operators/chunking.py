@@ -48,7 +48,7 @@ def paragraphs_packed(text: str, size: int = 1200, overlap: int = 200) -> list[s
 def paragraph_chunks(docs: DataFrame, size: int = 1200, overlap: int = 200) -> DataFrame:
     """doc_id, chunk_index, chunk of docs (doc_id, text); see paragraphs_packed."""
     parse = _mapper(lambda text: [{"chunk_index": i, "chunk": c} for i, c in enumerate(paragraphs_packed(text, size, overlap))], ["chunk_index", "chunk"])
-    return docs.select("doc_id", "text").mapInPandas(parse, "doc_id long, chunk_index int, chunk string")
+    return docs.select("doc_id", "text").mapInPandas(parse, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, chunk_index int, chunk string")
 
 
 _PAGE_MARK = re.compile(r"^\s*<!--\s*PAGE\b.*-->\s*$", re.IGNORECASE)
