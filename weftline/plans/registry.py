@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import blocks, corpus, delta, deltaplans, evaluation, files, joins, observability, payloads, references, retrieval, sheets, summaries, values  # noqa: F401  they register their queries
+from weftline.plans import blocks, corpus, delta, deltaplans, evaluation, files, joins, observability, payloads, references, retrieval, sheets, summaries, values, versions  # noqa: F401  they register their queries
 from weftline.plans.common import ORACLES, QUERIES
 
 
