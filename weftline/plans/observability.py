@@ -173,3 +173,26 @@ def stream_trace_window(t: Tables) -> DataFrame:
     from weftline.streaming.traces import windowed_counts
 
     return windowed_counts(t._spark, f"{t._dir}/events.parquet")
+
+
+@query("""WITH h AS (SELECT event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL), m AS (SELECT max(hour) - 2 AS passed FROM h),
+e AS (SELECT DISTINCT event_type, hour + k AS until FROM h, (SELECT unnest(range(1, 25)) AS k), m WHERE hour + k <= passed)
+SELECT e.event_type, until, CAST(sum(n) AS BIGINT) AS n, round(sum(total), 4) AS total FROM e JOIN h ON e.event_type = h.event_type AND hour BETWEEN until - 24 AND until - 1 GROUP BY ALL""")
+def stream_look_back(t: Tables) -> DataFrame:
+    """Events and values of the last 24 hours by type, at each full hour but the last two, run as a stream to its end."""
+    from weftline.operators.scratch import Scratch
+    from weftline.streaming import lookback, traces
+
+    stream = lookback.look_back(traces.read_events(t._spark, f"{t._dir}/events.parquet"))
+    return lookback.run(stream, Scratch(t._spark, "lookback").root).withColumn("total", F.round("total", 4))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS s, event_id, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('second', ts), event_id) AS n FROM events),
+f AS (SELECT user_id, n, event_id, s AS opened, 1 AS used, true AS allowed FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN e.s >= opened + 21600 THEN e.s ELSE opened END, CASE WHEN e.s >= opened + 21600 THEN 1 WHEN used < 2 THEN used + 1 ELSE used END, e.s >= opened + 21600 OR used < 2 FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, event_id, allowed FROM f""")
+def stream_rate_limit(t: Tables) -> DataFrame:
+    from weftline.operators.scratch import Scratch
+    from weftline.streaming import lookback, traces
+
+    stream = lookback.limited(traces.read_events(t._spark, f"{t._dir}/events.parquet"), most=2, seconds=21600)
+    return lookback.run(stream, Scratch(t._spark, "limit").root)
