@@ -42,3 +42,19 @@ def pack_context(df: DataFrame, budget: int, whole_budget: int, max_whole: int,
     chosen = F.filter("sections", lambda s: F.array_contains(F.concat("taken", "added"), s["id"]))
     ordered = F.array_sort(F.transform(chosen, lambda s: F.struct((-s["score"]).alias("a"), F.array_contains(F.col("whole"), s["id"]).cast("int").alias("b"), s["rank"].alias("c"), s["id"].alias("id"))))
     return step3.select("query_id", F.transform(ordered, lambda s: s["id"]).alias("ids"), (F.col("used1") + F.col("p.used")).alias("used"), "whole", "added")
+
+
+def inject_references(packed: DataFrame, references: DataFrame, budget: int) -> DataFrame:
+    """packed (query_id, ids, added, used and others) with ``with_refs`` (ids whose references go along) and ``refs_used``.
+
+    references: id, tokens (of a section's references, formatted). They have a budget of their own: sections are gone through as they
+    are ordered, but those added for other publishers last, and a section's references are taken whole if they still fit. ``used``
+    grows by them.
+    """
+    each = packed.select("query_id", "added", F.posexplode("ids").alias("pos", "id")).join(references.filter("tokens > 0").select("id", "tokens"), "id")
+    place = F.struct(F.array_contains("added", F.col("id")).alias("late"), "pos", "id", F.col("tokens").cast("long").alias("tokens"))
+    fold = each.groupBy("query_id").agg(F.array_sort(F.collect_list(place)).alias("sections")).select("query_id", greedy(F.col("sections"), F.lit(budget).cast("long")).alias("p"))
+    joined = packed.join(fold, "query_id", "left")
+    taken = F.coalesce("p.used", F.lit(0).cast("long"))
+    kept = F.coalesce("p.ids", F.array().cast("array<bigint>"))
+    return joined.select(*[(F.col("used") + taken).alias("used") if c == "used" else F.col(c) for c in packed.columns], kept.alias("with_refs"), taken.alias("refs_used"))

@@ -142,6 +142,20 @@ def number_gate(t: Tables) -> DataFrame:
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", extra.alias("unsourced"), ((F.length("answer") >= 80) & (extra == 0)).alias("accepted"))
 
 
+@query()
+def number_words_gate(t: Tables) -> DataFrame:
+    """Answers, with a number in figures at the end, against questions that say it in words."""
+    from weftline.functions import numbers as N
+
+    phrase = F.element_at(F.array(*[F.lit(x) for x in ("quatre-vingt-dix-sept mille", "deux cent trois", "soixante et onze")]), (F.col("conv_id") % 3 + 1).cast("int"))
+    value = F.element_at(F.array(F.lit(97_000), F.lit(203), F.lit(71)), (F.col("conv_id") % 3 + 1).cast("int")) + F.col("turn") % 4
+    text = F.coalesce("text", F.lit(""))
+    a = t.conversations.filter("role = 'user'").select("conv_id", "turn", F.concat(text, F.lit(" . "), phrase).alias("question"))
+    b = t.conversations.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), text.alias("said"))
+    pairs = a.join(b, ["conv_id", "turn"]).withColumn("answer", F.concat("said", F.lit(" soit "), value.cast("string")))
+    return pairs.withColumn("unsourced", N.unsourced(F.col("answer"), F.col("question"))).select("conv_id", "turn", "unsourced", ((F.length("answer") >= 80) & (F.size("unsourced") == 0)).alias("accepted"))
+
+
 @query("SELECT doc_id, length(text) BETWEEN 40 AND 1400 AND (contains(text, '|') OR contains(text, '→') OR (len(regexp_extract_all(text, '(?m)^[-*•]')) >= 3 AND regexp_matches(text, '(?m)^[^a-z]*\\bOU\\b[^a-z]*$'))) AS risky FROM documents")
 def risk_pages(t: Tables) -> DataFrame:
     x = F.col("text")

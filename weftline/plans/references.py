@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import refs as R
-from weftline.operators import citations, ranking
-from weftline.plans.common import Tables, query
+from weftline.operators import citations, context, ranking
+from weftline.plans.common import ORACLES, Tables, query
+from weftline.plans.retrieval import context_pack
 
 HOST = "law.example.org"
 #: Labels of sources by category of reference.
@@ -85,3 +86,14 @@ def matched_references(t: Tables) -> DataFrame:
     decrees = said.select("doc_id", F.explode(R.decree_mentions(F.lower("t"))).alias("number")).filter("number = '2020-1'")
     both = articles.unionByName(decrees.select("doc_id", F.lit(True).alias("is_decree"), "number", F.concat(F.lit("DECREE-"), "number").alias("cid")))
     return ranked(both, ["doc_id"], [F.col("is_decree"), F.col("number"), F.col("cid")]).withColumnRenamed("rank", "place")
+
+
+@query(f"""WITH RECURSIVE cp AS ({ORACLES["context_pack"]}), {_REFS}, rt AS (SELECT doc_id AS id, CAST(sum(length(ref) + 3) // 4 AS BIGINT) AS tokens FROM refs GROUP BY doc_id),
+o AS (SELECT query_id, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS pos, added FROM cp), s AS (SELECT query_id, id, tokens, row_number() OVER (PARTITION BY query_id ORDER BY list_contains(added, id), pos) AS r FROM o JOIN rt USING (id)),
+g AS (SELECT query_id, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS used, CAST([] AS BIGINT[]) AS ids FROM cp UNION ALL SELECT s.query_id, s.r, CASE WHEN used + tokens <= 150 THEN used + tokens ELSE used END, CASE WHEN used + tokens <= 150 THEN list_append(ids, s.id) ELSE ids END FROM g JOIN s ON s.query_id = g.query_id AND s.r = g.r + 1),
+e AS (SELECT query_id, arg_max(ids, r) AS with_refs, arg_max(used, r) AS refs_used FROM g GROUP BY query_id)
+SELECT query_id, ids, cp.used + refs_used AS used, whole, added, with_refs, refs_used FROM cp JOIN e USING (query_id)""")
+def context_pack_refs(t: Tables) -> DataFrame:
+    """Packed contexts with the legal references of their sections, under a budget of 150 tokens for these."""
+    tokens = _references(t).groupBy(F.col("doc_id").alias("id")).agg(F.floor(F.sum(F.length("ref") + 3) / 4).cast("long").alias("tokens"))
+    return context.inject_references(context_pack(t), tokens, 150)
