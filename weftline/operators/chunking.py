@@ -174,6 +174,28 @@ def boilerplate(lines: DataFrame, group: str, doc: str, share: float, least: int
     return counts.join(total, group).withColumn("needed", needed).filter("n_docs >= needed").select(group, "line", "n_docs", "needed")
 
 
+def page_edges(pages: DataFrame, edge: int = 3, share: float = 0.4, least: int = 3, shortest: int = 3, longest: int = 100, never: tuple[str, ...] = ("#", "|")) -> DataFrame:
+    """doc_id, line, n_pages, needed: headers and footers of documents, from pages (doc_id, page_no, text; a page a row).
+
+    Of each page its first and last ``edge`` lines that aren't blank count, trimmed, of ``shortest`` to ``longest`` characters and
+    not begun by ``never``; a line is a header or footer if ``share`` of the document's pages, and ``least`` at least, have it there.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\\R"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
+    both = F.array_distinct(F.concat(F.slice("lines", 1, edge), F.slice("lines", F.greatest(F.size("lines") - edge + 1, F.lit(1)), F.lit(edge))))
+    rows = pages.withColumn("lines", lines).select("doc_id", F.explode(F.when(F.size("lines") > 0, both)).alias("line"))
+    fitting = rows.filter(F.length("line").between(shortest, longest) & ~F.substring("line", 1, 1).isin(*never))
+    needed = pages.groupBy("doc_id").agg(F.greatest(F.lit(least), F.ceil(F.count("*") * share)).cast("long").alias("needed"))
+    return fitting.groupBy("doc_id", "line").agg(F.count("*").alias("n_pages")).join(needed, "doc_id").filter("n_pages >= needed").select("doc_id", "line", "n_pages", "needed")
+
+
+def without_lines(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """pages (doc_id, page_no, text) without the lines (doc_id, line) that stand there, trimmed."""
+    listed = lines.groupBy("doc_id").agg(F.collect_set("line").alias("__gone"))
+    kept = F.array_join(F.filter(F.split("text", "\\R"), lambda x: ~F.array_contains("__gone", F.regexp_replace(x, r"^\s+|\s+$", ""))), "\n")
+    joined = pages.join(listed, "doc_id", "left")
+    return joined.select(*[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in pages.columns])
+
+
 def _mapper(parse: Callable[[str], list[dict]], columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -265,3 +265,23 @@ def vector_literal(t: Tables) -> DataFrame:
     from weftline.operators.vectors import literal
 
     return t.embeddings.select("vec_id", literal(F.col("embedding")).alias("literal"))
+
+
+_PAGES = """l AS (SELECT doc_id, source, trim(line) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL)),
+p AS (SELECT doc_id, i // 6 AS page_no, list(line ORDER BY i) AS body, any_value(source) AS source FROM l GROUP BY 1, 2), g AS (SELECT doc_id, page_no, list_filter(list_concat(CASE WHEN page_no % 3 < 2 THEN ['— ' || source || ' —'] ELSE [] END, body, ['Page ' || page_no, 'fin de page']), lambda x: x <> '') AS lines FROM p)"""
+
+
+def _paged(t: Tables) -> DataFrame:
+    """Whole texts in pages of six lines, two of three with a header, all with a number and a footer."""
+    lines = t.documents.filter("text is not null").select("doc_id", "source", F.split("text", "\n").alias("x"))
+    pages = lines.select("doc_id", "source", "x", F.explode(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / 6).cast("int"))).alias("page_no"))
+    body = F.array_join(F.slice("x", F.col("page_no") * 6 + 1, F.lit(6)), "\n")
+    head = F.when(F.col("page_no") % 3 < 2, F.concat(F.lit("— "), "source", F.lit(" —\n"))).otherwise("")
+    return pages.select("doc_id", "page_no", F.concat(head, body, F.lit("\nPage "), F.col("page_no").cast("string"), F.lit("\n\nfin de page")).alias("text"))
+
+
+@query(f"""WITH {_PAGES}, e AS (SELECT doc_id, unnest(list_distinct(list_concat(lines[1:3], lines[greatest(len(lines) - 2, 1):]))) AS line FROM g), c AS (SELECT doc_id, line, count(*) AS n_pages FROM e WHERE length(line) BETWEEN 3 AND 100 AND line[1] NOT IN ('#', '|') GROUP BY ALL),
+n AS (SELECT doc_id, greatest(3, CAST(ceil(count(*) * 0.4) AS BIGINT)) AS needed FROM g GROUP BY doc_id) SELECT doc_id, line, n_pages, needed FROM c JOIN n USING (doc_id) WHERE n_pages >= needed""")
+def page_edge_lines(t: Tables) -> DataFrame:
+    """Headers and footers of documents: on .4 of their pages, at least three."""
+    return C.page_edges(_paged(t))

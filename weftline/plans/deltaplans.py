@@ -151,3 +151,35 @@ def article_rows(t: Tables) -> DataFrame:
 def empty_corpora(t: Tables) -> DataFrame:
     has = t.supplier.filter("s_acctbal > 0").select(_I("s_nationkey").alias("n_nationkey"), F.lit(True).alias("has")).distinct()
     return t.nation.join(has, "n_nationkey", "left").select("n_name", _I("has").isNull().alias("is_empty"))
+
+
+_RUN = """m AS (SELECT doc_id AS id, doc_id % 7 > 0 AS in_force, doc_id % 11 > 0 AS valid FROM documents WHERE doc_id % 29 > 0), f AS (SELECT doc_id AS id, text FROM documents WHERE doc_id % 13 > 0 AND text IS NOT NULL),
+d AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 > 0 THEN sha256(text) ELSE 'old' END AS checksum FROM documents WHERE doc_id % 3 > 0), c AS (SELECT doc_id AS id, k FROM documents, (SELECT unnest([0, 1]) AS k) WHERE doc_id % 3 > 0 AND doc_id % 17 > 0 UNION ALL SELECT -1, 0),
+held AS (SELECT id, count(*) AS n FROM c GROUP BY id), x AS (SELECT m.*, sha256(f.text) AS h, f.text, d.checksum, d.id IS NOT NULL AS stored, coalesce(held.n, 0) AS n FROM m LEFT JOIN f USING (id) LEFT JOIN d USING (id) LEFT JOIN held USING (id)),
+j AS (SELECT id, text, stored, CASE WHEN NOT valid THEN 'error' WHEN NOT in_force THEN CASE WHEN stored THEN 'removed' ELSE 'acknowledged' END WHEN h IS NULL THEN 'error' WHEN stored AND h = checksum AND n > 0 THEN 'unchanged' WHEN id % 23 = 0 THEN 'error' ELSE 'ok' END AS status, n FROM x
+  UNION ALL SELECT id, NULL, true, 'removed', 0 FROM d WHERE id NOT IN (SELECT id FROM m)),
+ad AS (SELECT id FROM d WHERE id NOT IN (SELECT id FROM j WHERE status IN ('ok', 'removed')) UNION ALL SELECT id FROM j WHERE status = 'ok'),
+ac AS (SELECT id, k FROM c WHERE id IN (SELECT id FROM ad) AND id NOT IN (SELECT id FROM j WHERE status = 'ok') UNION ALL SELECT id, unnest(range(len(string_split(text, chr(10))))) FROM j WHERE status = 'ok')"""
+
+
+@query(f"""WITH {_RUN} SELECT 'status ' || status AS name, count(*) AS n, CAST(sum(id) AS BIGINT) AS mark FROM j GROUP BY status UNION ALL SELECT 'documents', count(*), CAST(sum(id) AS BIGINT) FROM ad UNION ALL SELECT 'chunks', count(*), CAST(sum(id * 3 + k) AS BIGINT) FROM ac""")
+def corpus_run(t: Tables) -> DataFrame:
+    """A run that hashes all texts and parses into lines only those that are new or changed."""
+    from weftline.operators.corpusrun import corpus_run as run
+
+    i, uid = _I("doc_id"), F.concat(F.lit("d"), _I("doc_id").cast("string")).alias("uid")
+    manifest = t.documents.filter("doc_id % 29 > 0").select(F.concat(F.lit(" D"), i.cast("string")).alias("uid"), (i % 7 > 0).alias("in_force"), (i % 11 > 0).alias("valid"))
+    files = t.documents.select(uid, F.when(i % 13 > 0, F.encode("text", "UTF-8")).alias("content"))
+    documents = t.documents.filter("doc_id % 3 > 0").select(uid, F.when(i % 5 > 0, F.sha2("text", 256)).otherwise("old").alias("checksum"))
+    chunks = t.documents.filter("doc_id % 3 > 0 and doc_id % 17 > 0").select(uid, F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_index"), F.lit("x").alias("text"))
+    chunks = chunks.unionByName(t.documents.limit(1).select(F.lit("d-1").alias("uid"), F.lit(0).alias("chunk_index"), F.lit("x").alias("text")))
+
+    def parse(rows: DataFrame) -> DataFrame:
+        lines = rows.select("uid", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("chunk_index", "text"))
+        return lines.withColumn("error", F.when(F.substring("uid", 2, 20).cast("long") % 23 == 0, "unreadable"))
+
+    after = run(manifest, files, documents, chunks, parse)
+    number = F.substring("uid", 2, 20).cast("long")
+    counted = lambda df, name, mark: df.groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.sum(mark).alias("mark"))
+    out = counted(after["status"], F.concat(F.lit("status "), "status"), number).unionByName(counted(after["documents"], F.lit("documents"), number))
+    return out.unionByName(counted(after["chunks"], F.lit("chunks"), number * 3 + F.col("chunk_index")))
