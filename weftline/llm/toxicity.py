@@ -4,13 +4,13 @@ Only whole documents are labelled. A sentence's score is a logistic function of
 of its sentences', 1 - prod(1 - s), and the word weights are fitted through the noisy-or to the documents' labels; so the
 model also says which sentences offend.
 
-Words of the vocabulary (at most ``MAX_VOCABULARY``, in ``LEAST`` training documents and more) are chosen by their association
+Words of the vocabulary (at most ``max_vocabulary``, in ``least`` training documents and more) are chosen by their association
 with the label over the training documents (a bounded sample, ``max_labelled``, whose texts are written once); weights are
 fitted on the driver from sentences reduced to vocabulary words. These bounds are on what is learnt, not on what is scored.
 Scoring is one pass over all texts, with no shuffle.
 
 Sentences end at . ! ? and line breaks. Null text counts as empty: no sentence, score 0. Rows with a null id are scored and
-count as held out. Without labelled rows of both kinds every score is 0. Repeated rows are scored each; of several
+count as held out. Without labelled rows of both kinds a score is below 1e-12 a sentence. Repeated rows are scored each; of several
 rows of a labelled id the one with the least text is learnt from. A text of any length is scored in one task. An empty table
 gives an empty result. Other columns are not read, whatever their names.
 """
@@ -31,7 +31,7 @@ from weftline.llm.scratch import Scratch
 
 END = np.isin(np.arange(256), list(b".!?\n"))
 MAX_VOCABULARY = 2048
-LEAST = 5
+LEAST = 2
 
 
 class Sentences:
@@ -88,7 +88,7 @@ def fit(word: np.ndarray, sentence: np.ndarray, owner: np.ndarray, plain: np.nda
     return w, float(b)
 
 
-def train(texts: DataFrame, max_vocabulary: int = MAX_VOCABULARY) -> Model:
+def train(texts: DataFrame, max_vocabulary: int = MAX_VOCABULARY, least: int = LEAST) -> Model:
     """texts: text, y; a bounded table."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +103,7 @@ def train(texts: DataFrame, max_vocabulary: int = MAX_VOCABULARY) -> Model:
     k = int(k or 0)
     if not n or k in (0, n):
         return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
-    counts = texts.select("text", "y").mapInArrow(count, "word long, n long, k long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).filter(F.col("n") >= LEAST)
+    counts = texts.select("text", "y").mapInArrow(count, "word long, n long, k long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).filter(F.col("n") >= least)
     odds = F.log((F.col("k") + 0.5) / (F.lit(k) - F.col("k") + 0.5)) - F.log((F.col("n") - F.col("k") + 0.5) / (F.lit(n - k) - F.col("n") + F.col("k") + 0.5))
     spread = F.sqrt(1 / (F.col("k") + 0.5) + 1 / (F.col("n") - F.col("k") + 0.5))
     best = counts.select("word", odds.alias("odds"), F.abs(odds / spread).alias("z")).orderBy(F.desc("z"), "word").limit(max_vocabulary).toPandas()
@@ -141,16 +141,16 @@ def train(texts: DataFrame, max_vocabulary: int = MAX_VOCABULARY) -> Model:
 RESULT = "doc_id long, score double, n_sentences long, offending array<struct<start:long,stop:long,score:double>>"
 
 
-def fitted(docs: DataFrame, labels: DataFrame, max_labelled: int, label: str) -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, max_labelled: int, label: str, max_vocabulary: int = MAX_VOCABULARY, least: int = LEAST) -> Model:
     """The model of docs (doc_id, text) and labels, its training texts written for the two passes over them."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = known.join(F.broadcast(training_rows(labels, label, max_labelled)), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
-    return train(Scratch(docs.sparkSession, "toxicity").save(rows.select("text", "y"), "training"))
+    return train(Scratch(docs.sparkSession, "toxicity").save(rows.select("text", "y"), "training"), max_vocabulary, least)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = MAX_LABELLED, label: str = "toxic") -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = MAX_LABELLED, label: str = "toxic", max_vocabulary: int = MAX_VOCABULARY, least: int = LEAST) -> DataFrame:
     """doc_id, held_out, score, predicted, n_sentences, offending (UTF-8 byte spans of sentences that score threshold or more)."""
-    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, max_labelled, label))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, max_labelled, label, max_vocabulary, least))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,9 +169,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     return texts.mapInArrow(work, RESULT).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_sentences", "offending")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = MAX_LABELLED, label: str = "toxic") -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = MAX_LABELLED, label: str = "toxic", max_vocabulary: int = MAX_VOCABULARY, least: int = LEAST) -> DataFrame:
     """The rows of docs, all columns, that score below threshold."""
-    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, max_labelled, label))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, max_labelled, label, max_vocabulary, least))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
