@@ -28,6 +28,20 @@ class Scratch:
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root = spark, f"{base.rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
 
+    def at(self, root: str) -> Scratch:
+        """The same for a folder that outlives the run."""
+        other = object.__new__(Scratch)
+        other.spark, other.root = self.spark, root.rstrip("/")
+        return other
+
+    def done(self, name: str) -> bool:
+        """Whether a table has been written to its end."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write df and return a DataFrame that reads it."""
         path = f"{self.root}/{name}"
@@ -39,7 +53,7 @@ class Scratch:
         """Like save, with a folder for each value of the column ``part``, so that drop() can take one of them."""
         path = f"{self.root}/{name}"
         with eager(self.spark):
-            df.write.option("compression", "zstd").partitionBy(part).parquet(path)
+            df.write.mode("overwrite").option("compression", "zstd").partitionBy(part).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def save_bucketed(self, df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
