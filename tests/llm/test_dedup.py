@@ -8,7 +8,7 @@ import pytest
 
 from weftline.llm.minhash import near_duplicates
 from weftline.llm.rlz_dedup import rlz_dedup
-from weftline.llm.suffix_dedup import narrow, suffix_array_dedup, widen
+from weftline.llm.suffix_dedup import Family, narrow, suffix_array_dedup, widen
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -230,3 +230,26 @@ def test_classes_are_told_apart_by_both_marks_and_size():
     keys = [(len(h), a, b), (len(h), a, b + 1), (len(h), a + 1, b), (len(h) + 1, a, b)]
     batch = pa.RecordBatch.from_pylist([{"text": text.decode(), "cid": i, "n": int(n), "a": int(x), "b": int(y)} for i, (n, x, y) in enumerate(keys)])
     assert [x for part in sets_of(Frame(), 2)(iter([batch])) for x in part.column("cid").to_pylist()] == [0]
+
+
+def test_family_takes_batches_in_calls_of_their_own(spark, tmp_path):
+    docs = sorted(corpus(6), key=lambda x: x[0]) + [(5000, None), (5001, "new words only")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = {}
+    for d, b, g in brute(docs, lambda t: t.encode(), 50):
+        want.setdefault(d, []).append((len(b), sum(g)))
+    ids = sorted({d for d, _ in docs})
+    cuts = [ids[len(ids) * i // 5] for i in range(1, 5)]
+    got = {}
+    for t in range(5):  # levels 1, 2, 1 + 2, 4, 1 + 4
+        mine = [(d, x) for d, x in docs if sum(d >= c for c in cuts) == t]
+        family = Family(spark, str(tmp_path / "family"), 50, 8)
+        assert family.batches() == t
+        for r in family.add_batch(frame(mine)).collect():
+            got.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed))
+    assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in want.items()}
+    levels = [p.parent.name for p in (tmp_path / "family").glob("step*/kind=level")]
+    assert sorted(levels) == ["step3", "step4"]
+    again = Family(spark, str(tmp_path / "family"), 50, 8).add_batch(frame([(1, docs[10][1]), (None, docs[10][1])]), with_text=True).collect()
+    assert [(r.doc_id, bytes(r.kept).decode() == docs[10][1]) for r in again if r.doc_id is None] == [(None, True)]
+    assert [r.n_removed for r in again if r.doc_id == 1] == [len(docs[10][1].encode()) if len(docs[10][1].encode()) >= 50 else 0]

@@ -6,6 +6,10 @@ that length looks at). The array is merge-scanned against every live level: a wi
 smaller id, is a duplicate. Then the batch becomes a level; two levels of one size merge into the next, as a binary counter
 carries, so that b batches leave at most log2(b) levels and each window is merged log2(b) times at most.
 
+``suffix_array_dedup`` is one call over a whole table, whose levels hold shared segments alone. A ``Family`` is stored in a folder
+and takes batch after batch, in calls of their own; as nobody knows what later batches will hold, its levels have all segments
+(about seven times the text's bytes before compression).
+
 Null text counts as empty. Rows with a null id are kept whole and never matched. Repeated rows (one id) don't match each
 other. Texts shorter than ``length`` bytes are kept whole; a text of any length is one block. An empty table gives an empty result.
 Other columns are not read, whatever their names.
@@ -18,7 +22,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import scan
@@ -143,6 +147,65 @@ def _finish(plan: windows.Plan, with_text: bool):
     return finish
 
 
+def _level_rows(level: DataFrame, k: int) -> DataFrame:
+    none = F.lit(None).cast("binary")
+    return level.select(F.col("key").cast("int").alias("bucket"), none.alias("blocks"), none.alias("docs"), F.col("c").alias("starts"), F.col("b").alias("sizes"), F.col("a").alias("data"), F.lit(k).alias("kind"))
+
+
+def _run_rows(out: DataFrame) -> DataFrame:
+    return out.filter("kind = 'run'").select(F.col("key").alias("chunk"), F.col("c").alias("blocks"), F.col("a").alias("starts"), F.col("b").alias("counts"))
+
+
+def _known(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def _kept_whole(docs: DataFrame, with_text: bool) -> DataFrame:
+    """Result rows of documents that nothing is taken from."""
+    n, zero = F.octet_length("text").cast("long"), F.lit(0).cast("long")
+    return docs.select("doc_id", n.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.encode("text", "UTF-8").alias("kept")] if with_text else []))
+
+
+class Family:
+    """A family of levels in a folder that all executors see; its batches come in any number of calls.
+
+    With t batches in it there is a level for each 1 among t's binary digits, written by the batch that completed it: nothing but the
+    finished steps in the folder has to be remembered, and a step that broke off is written anew. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, length: int = 50, buckets: int = 256):
+        """length and buckets must be the same in all calls; a bucket's levels are one task's, so choose buckets for what the family is to
+        hold at last (4 MB of text each)."""
+        self.spark, self.length = spark, length
+        self.scratch = Scratch(spark, "family")
+        self.levels = self.scratch.at(root)
+        self.plan = windows.Plan("bytes", length, max(1, length * 2 // 5), buckets)
+
+    def batches(self) -> int:
+        """How many batches the family holds."""
+        t = 0
+        while self.levels.done(f"step{t}"):
+            t += 1
+        return t
+
+    def add_batch(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
+        """The result of ``suffix_array_dedup`` for docs (doc_id, text), where every document of earlier batches counts as of smaller id;
+        then docs is part of the family."""
+        t, docs = self.batches(), _known(docs)
+        live = [k for k in range(t.bit_length()) if t >> k & 1]
+        carried = [k for k in live if all(j in live for j in range(k))]
+        blocks = windows.make_blocks(self.scratch, docs.filter(F.col("doc_id").isNotNull()), [])
+        fresh = windows.shared_segments(self.plan, blocks, None).withColumn("kind", F.lit(None).cast("int"))
+        made = {k: (t >> k << k) - 1 for k in live}  # the step that wrote each level
+        for k in live:
+            fresh = fresh.unionByName(_level_rows(self.levels.read(f"step{made[k]}", STEP_SCHEMA).filter("kind = 'level'"), k))
+        out = self.levels.save_parts(fresh.groupBy("bucket").applyInArrow(_step(self.length, carried, True), STEP_SCHEMA), f"step{t}", "kind")
+        for k in carried:
+            self.levels.drop(f"step{made[k]}/kind=level")
+        result = windows.paint(self.plan, blocks, _run_rows(out), _finish(self.plan, with_text), KEPT if with_text else RESULT)
+        return result.unionByName(_kept_whole(docs.filter(F.col("doc_id").isNull()), with_text))
+
+
 def suffix_array_dedup(docs: DataFrame, length: int = 50, batches: int = 4, with_text: bool = False) -> DataFrame:
     """Remove from each text every byte that a string of ``length`` bytes covers which also starts in a document of smaller id.
 
@@ -150,7 +213,7 @@ def suffix_array_dedup(docs: DataFrame, length: int = 50, batches: int = 4, with
     n_removed, n_spans (maximal removed runs), kept_sha256, and the bytes that stay as ``kept`` if with_text is set.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = _known(docs)
     whole = docs.filter(F.col("doc_id").isNull())
     known = docs.filter(F.col("doc_id").isNotNull())
     edges = sorted({int(x) for x in known.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)}) if batches > 1 else []
@@ -167,14 +230,12 @@ def suffix_array_dedup(docs: DataFrame, length: int = 50, batches: int = 4, with
         keep = t < len(edges)
         fresh = windows.shared_segments(plan, blocks.filter(F.col("batch") == t), bits).withColumn("kind", F.lit(None).cast("int"))
         for k, (_, level) in levels.items():
-            fresh = fresh.unionByName(level.select(F.col("key").cast("int").alias("bucket"), F.lit(None).cast("binary").alias("blocks"), F.lit(None).cast("binary").alias("docs"), F.col("c").alias("starts"), F.col("b").alias("sizes"), F.col("a").alias("data"), F.lit(k).alias("kind")))
+            fresh = fresh.unionByName(_level_rows(level, k))
         out = scratch.save_parts(fresh.groupBy("bucket").applyInArrow(_step(length, carried, keep), STEP_SCHEMA), f"step{t}", "kind")
-        found = out.filter("kind = 'run'").select(F.col("key").alias("chunk"), F.col("c").alias("blocks"), F.col("a").alias("starts"), F.col("b").alias("counts"))
+        found = _run_rows(out)
         runs = found if runs is None else runs.unionByName(found)
         for k in carried:
             scratch.drop(f"step{levels.pop(k)[0]}/kind=level")
         levels[len(carried)] = (t, out.filter("kind = 'level'"))
     result = windows.paint(plan, blocks, runs, _finish(plan, with_text), KEPT if with_text else RESULT)
-    n = F.octet_length("text").cast("long")
-    rest = whole.select("doc_id", n.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.encode("text", "UTF-8").alias("kept")] if with_text else []))
-    return result.unionByName(rest)
+    return result.unionByName(_kept_whole(whole, with_text))

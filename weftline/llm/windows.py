@@ -285,8 +285,8 @@ def _bits_by_block(found: list[dict]) -> dict[int, list[tuple[int, np.ndarray]]]
     return out
 
 
-def shared_segments(plan: Plan, blocks: DataFrame, bits: DataFrame) -> DataFrame:
-    """Segments whose key more than one document has, packed by bucket.
+def shared_segments(plan: Plan, blocks: DataFrame, bits: DataFrame | None) -> DataFrame:
+    """Segments whose key more than one document has, packed by bucket; without bits all segments.
 
     Of the equal segments that a task holds only those of the least id are packed. The others start in a smaller id's document,
     whatever other tasks hold: they are runs to remove, in rows of a negative bucket (see ``local_runs``).
@@ -328,7 +328,7 @@ def shared_segments(plan: Plan, blocks: DataFrame, bits: DataFrame) -> DataFrame
             if len(unique) == 0:
                 continue
             at = np.searchsorted(bucket_of(unique, plan.fan), np.arange(plan.fan + 1))
-            shared = np.zeros(len(unique), bool)
+            shared = np.full(len(unique), every)
             for bucket, flags in back.of(row) or []:
                 shared[at[bucket] : at[bucket + 1]] = flags
             order = np.lexsort((ids[doc], which))  # a key of two ids within this block
@@ -346,9 +346,11 @@ def shared_segments(plan: Plan, blocks: DataFrame, bits: DataFrame) -> DataFrame
                 held, size = [], 0
         yield from packed(held)
 
+    texts, every = blocks.select("chunk", "block", "ids", "sizes", "data"), bits is None
+    if bits is None:
+        return texts.withColumn("found", F.lit(None)).mapInArrow(emit, SEGMENT_SCHEMA)
     found = bits.groupBy(F.col("unit").alias("chunk")).agg(F.collect_list(F.struct("bucket", "tag", "counts", "bits")).alias("found"))
-    joined = blocks.select("chunk", "block", "ids", "sizes", "data").join(found.hint("shuffle_hash"), "chunk", "left")
-    return joined.mapInArrow(emit, SEGMENT_SCHEMA)
+    return texts.join(found.hint("shuffle_hash"), "chunk", "left").mapInArrow(emit, SEGMENT_SCHEMA)
 
 
 def local_runs(table: pa.Table) -> list[dict] | None:
