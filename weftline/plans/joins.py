@@ -58,9 +58,13 @@ def reference_cascade(t: Tables) -> DataFrame:
     return R.cascade(refs, attempts, "article_id").select("ref_id", "article_id", "attempt")
 
 
-@query("""SELECT DISTINCT s_suppkey, c_custkey FROM supplier JOIN customer ON s_suppkey = c_custkey OR s_nationkey = c_nationkey""")
+@query("""SELECT DISTINCT s_suppkey, c_custkey FROM supplier JOIN customer ON s_suppkey = c_custkey OR (s_nationkey = c_nationkey AND floor(s_acctbal / 50) = floor(c_acctbal / 50))""")
 def source_candidates(t: Tables) -> DataFrame:
-    return R.either_key(t.supplier.select("s_suppkey", "s_nationkey"), t.customer.select("c_custkey", "c_nationkey"), [("s_suppkey", "c_custkey"), ("s_nationkey", "c_nationkey")]).select("s_suppkey", "c_custkey").distinct()
+    """Suppliers and customers of one number, or of one nation and range of balances."""
+    place = lambda nation, balance: F.concat_ws("/", nation, F.floor(F.col(balance) / 50)).alias("place")
+    suppliers = t.supplier.select("s_suppkey", place("s_nationkey", "s_acctbal").alias("s_place"))
+    customers = t.customer.select("c_custkey", place("c_nationkey", "c_acctbal").alias("c_place"))
+    return R.either_key(suppliers, customers, [("s_suppkey", "c_custkey"), ("s_place", "c_place")]).select("s_suppkey", "c_custkey").distinct()
 
 
 @query("""SELECT l_orderkey, arg_max(l_linenumber, (l_extendedprice, -l_linenumber, -l_partkey)) AS best_section, arg_max(l_partkey, (l_quantity, -l_linenumber, -l_partkey)) AS best_chunk FROM lineitem GROUP BY l_orderkey""")

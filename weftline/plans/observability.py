@@ -98,8 +98,15 @@ def kpi_panel(t: Tables) -> DataFrame:
 
 @query("WITH g AS (SELECT event_type, median(value) FILTER (value > 0) AS med, min(value) AS lo, max(value) AS hi, sum(value) AS total FROM events GROUP BY event_type) SELECT event_type, round(med, 4) AS med, lo, hi, round(100 * total / sum(total) OVER (), 4) AS share FROM g")
 def latency_panel(t: Tables) -> DataFrame:
-    g = t.events.groupBy("event_type").agg(F.percentile(F.when(F.col("value") > 0, F.col("value")), F.lit(0.5)).alias("med"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("value").alias("total"))
-    return g.select("event_type", F.round("med", 4).alias("med"), "lo", "hi", F.round(100 * F.col("total") / F.sum("total").over(Window.partitionBy()), 4).alias("share"))
+    """Median of positive values, extremes and share of the total by stage; values are ranked by range, no stage is one task's."""
+    from weftline.operators.ranking import values_at
+
+    half = (F.col("n") + 1) / 2
+    middle = values_at(t.events.filter("value > 0"), ["event_type"], "value", {"below": F.floor(half), "above": F.ceil(half)})
+    g = t.events.groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("value").alias("total"))
+    panel = g.join(middle, "event_type", "left")
+    share = F.round(100 * F.col("total") / F.sum("total").over(Window.partitionBy()), 4)
+    return panel.select("event_type", F.round((F.col("below") + F.col("above")) / 2, 4).alias("med"), "lo", "hi", share.alias("share"))
 
 
 @query("SELECT token, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS token FROM benchmark) WHERE length(token) > 3 GROUP BY token ORDER BY n DESC, token LIMIT 10")
