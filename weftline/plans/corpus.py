@@ -104,16 +104,17 @@ def url_allow_list(t: Tables) -> DataFrame:
     return t.pages.withColumn("host", host).join(hosts, "host", "left").select("page_id", ((F.col("host") != "") & F.coalesce("listed", F.lit(False))).alias("allowed"))
 
 
-_REF = "SELECT doc_id, 'Article ' || CASE doc_id % 4 WHEN 0 THEN 'L' WHEN 1 THEN 'R.' WHEN 2 THEN 'D ' ELSE 'A' END || (100 + doc_id) || '-' || (doc_id % 9) || ' et décret n° ' || (80 + doc_id % 20) || '/' || doc_id || ' du code; article L' || (100 + doc_id) || '-1' AS ref FROM documents"
+_REF = "SELECT doc_id, 'Article ' || CASE doc_id % 4 WHEN 0 THEN 'L' WHEN 1 THEN 'R.' WHEN 2 THEN 'D ' ELSE 'A' END || (100 + doc_id) || '-' || (doc_id % 9) || ' et décret n° ' || (80 + doc_id % 20) || '/' || doc_id || ' du code; article L' || (100 + doc_id) || '-1 ' || coalesce(text, '') AS ref FROM documents"
 
 
 @query(rf"""WITH r AS ({_REF}) SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(regexp_extract_all(ref, '(?i)\b([LRDA])\.?\s?(\d{{2,4}}(?:-\d+)*)', 1)) + 1), lambda i: upper(regexp_extract_all(ref, '(?i)\b([LRDA])\.?\s?(\d{{2,4}}(?:-\d+)*)', 1)[i]) || regexp_extract_all(ref, '(?i)\b([LRDA])\.?\s?(\d{{2,4}}(?:-\d+)*)', 2)[i]))) AS articles,
-list_sort(list_distinct(list_transform(regexp_extract_all(ref, '(?i)d[ée]cret\s+(?:n°\s?)?(\d{{2,4}}[-/]\d+)', 1), lambda x: replace(x, '/', '-')))) AS decrees, 'DECRET' AS category FROM r""")
+list_sort(list_distinct(list_transform(regexp_extract_all(ref, '(?i)d[ée]cret\s+(?:n°\s?)?(\d{{2,4}}[-/]\d+)', 1), lambda x: replace(x, '/', '-')))) AS decrees,
+CASE WHEN contains(upper(translate(ref, 'éèêÉÈÊ', 'eeeEEE')), 'ARRETE') THEN 'ARRETE' ELSE 'DECRET' END AS category FROM r""")
 def ref_extract(t: Tables) -> DataFrame:
     i = F.col("doc_id")
     letter = F.when(i % 4 == 0, "L").when(i % 4 == 1, "R.").when(i % 4 == 2, "D ").otherwise("A")
     s = lambda c: c.cast("string")
-    ref = F.concat(F.lit("Article "), letter, s(100 + i), F.lit("-"), s(i % 9), F.lit(" et décret n° "), s(80 + i % 20), F.lit("/"), s(i), F.lit(" du code; article L"), s(100 + i), F.lit("-1"))
+    ref = F.concat(F.lit("Article "), letter, s(100 + i), F.lit("-"), s(i % 9), F.lit(" et décret n° "), s(80 + i % 20), F.lit("/"), s(i), F.lit(" du code; article L"), s(100 + i), F.lit("-1 "), F.coalesce("text", F.lit("")))
     return t.documents.select("doc_id", R.article_mentions(ref).alias("articles"), R.decree_mentions(ref).alias("decrees"), R.category(ref).alias("category"))
 
 

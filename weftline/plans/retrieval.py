@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators import context, fusion, lexical, linking, vectors
+from weftline.operators import context, fusion, lexical, linking, patterns, vectors
 from weftline.plans.common import Tables, query
 
 _Q = "q AS (SELECT vec_id AS query_id, embedding AS qe, label AS q_label FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, q_label, e.vec_id AS id, e.label AS label, round(list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM q, embeddings e)"
@@ -243,3 +243,24 @@ def heading_scores(t: Tables) -> DataFrame:
     heads = t.documents.select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("heading"), "source")
     pairs = _heading_lane(t, 5).join(heads, "id").join(_queries(t), "query_id").select("query_id", "id", "heading", F.concat_ws(" > ", "source", "heading").alias("path"), F.col("text").alias("query"))
     return linking.heading_scores(pairs).select("query_id", "id", "score")
+
+
+_PLAIN = "lower(translate(coalesce(text, ''), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY'))"
+
+
+@query(f"""WITH {_LEX.format(k=10)}, w AS (SELECT item_id AS run_id, {_WORDS.format("text")} AS x FROM benchmark), pt AS (SELECT run_id, upper(x[3]) || '| ' || x[9] || ' ' AS pattern, unnest([x[3], x[9]]) AS needle FROM w WHERE run_id % 9 > 0 UNION ALL SELECT run_id, x[2] || ' ' || x[3], x[2] || ' ' || x[3] FROM w WHERE run_id % 9 > 0),
+st AS (SELECT query_id AS run_id, id, rank, unnest([1, CASE WHEN id % 4 > 0 THEN 2 END, CASE WHEN id % 4 > 0 AND rank <= 6 THEN 3 END, CASE WHEN id % 4 > 0 AND rank <= 6 AND id % 3 > 0 THEN 4 END, CASE WHEN id % 4 > 0 AND rank <= 6 AND id % 3 > 0 AND id % 5 > 0 THEN 5 END]) AS stage FROM lex),
+hit AS (SELECT run_id, pattern, max(stage) AS far, min(rank) FILTER (stage = 1) AS first_rank FROM pt JOIN st USING (run_id) JOIN (SELECT doc_id AS id, {_PLAIN} AS plain FROM documents) USING (id) WHERE stage IS NOT NULL AND contains(plain, needle) GROUP BY ALL),
+j AS (SELECT run_id, pattern, coalesce(far, 0) AS far, first_rank FROM (SELECT DISTINCT run_id, pattern FROM pt) LEFT JOIN hit USING (run_id, pattern)), n AS (SELECT ['absent', 'lost_in_rerank', 'lost_in_aggregation', 'rejected_by_selector', 'lost_in_context', 'ok'] AS names)
+SELECT run_id, pattern, names[far + 1] AS verdict, first_rank, names[coalesce(max(far) FILTER (far < 5) OVER (PARTITION BY run_id), 5) + 1] AS overall FROM j, n UNION ALL SELECT item_id, NULL, 'not_evaluated', NULL, 'not_evaluated' FROM benchmark WHERE item_id % 9 = 0""")
+def pattern_loss(t: Tables) -> DataFrame:
+    """Words of test items looked for in the whole texts that each stage of their search let through."""
+    w = T.words(F.col("text"))
+    at = lambda i: F.get(w, F.lit(i))
+    judged = _queries(t).filter("query_id % 9 > 0").withColumnRenamed("query_id", "run_id")
+    asked = judged.select("run_id", F.concat(F.upper(at(2)), F.lit("| "), at(8), F.lit(" ")).alias("pattern")).unionByName(judged.select("run_id", F.concat(at(1), F.lit(" "), at(2)).alias("pattern")))
+    found = lexical.lexical_topk(t.documents.select(F.col("doc_id").alias("id"), "text"), _queries(t), 10)
+    on = [F.lit(True), F.col("id") % 4 > 0, F.col("rank") <= 6, F.col("id") % 3 > 0, F.col("id") % 5 > 0]
+    reached = F.array(*[F.when(F.forall(F.array(*on[: i + 1]), lambda x: x), F.lit(name)) for i, name in enumerate(patterns.STAGES)])
+    passed = found.withColumn("stage", F.explode(F.array_compact(reached))).join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
+    return patterns.pattern_loss(asked, passed.select(F.col("query_id").alias("run_id"), "stage", "rank", "text"), _queries(t).select(F.col("query_id").alias("run_id")))
