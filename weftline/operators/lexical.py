@@ -71,8 +71,8 @@ def _folded(rows: DataFrame, ident: str) -> DataFrame:
 def _passes(docs: DataFrame, queries: DataFrame, score: Callable[[DataFrame, list[tuple[int, str]]], DataFrame]) -> DataFrame:
     """score(docs, queries) over as many parts of the queries (query_id, folded text) as MAX_TOKENS asks for."""
     asked = _folded(queries, "query_id")
-    tokens = asked.agg(F.sum(F.regexp_count("text", F.lit("[a-z0-9]+")))).first()[0] or 0
-    parts = -(-tokens // MAX_TOKENS) or 1
+    tokens, n_queries = asked.agg(F.sum(F.regexp_count("text", F.lit("[a-z0-9]+"))), F.count("*")).first()
+    parts = max(1, min(n_queries, -(-(tokens or 0) // max(1, MAX_TOKENS))))  # a pass has a query at least
     rows = _folded(docs, "id")
     if parts > 1:
         asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
