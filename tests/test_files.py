@@ -71,3 +71,16 @@ def test_section_chunks():
 def test_text_before_the_first_question_stays():
     out = C.qa_chunks("some words first\nIs this a question?\nyes")
     assert [(r["role"], r["chunk"]) for r in out] == [("QA_COMPOSITE", "some words first"), ("Q_ONLY", "Is this a question?"), ("QA_COMPOSITE", "Is this a question?\n\nyes")]
+
+
+def test_article_records_odd_payloads(spark):
+    from weftline.sources import files
+
+    article = """<ARTICLE><META><META_COMMUN><ID>V1</ID></META_COMMUN><META_SPEC><META_ARTICLE><DATE_DEBUT>2020-05-01</DATE_DEBUT></META_ARTICLE></META_SPEC></META>
+<CONTEXTE><TEXTE nature="code"><TITRE_TXT id_txt="A" debut="2021-01-01" fin="">late</TITRE_TXT><TITRE_TXT id_txt="B" debut="2019-01-01" fin="2020-12-31" c_titre_court="NULL">old &amp; valid</TITRE_TXT></TEXTE></CONTEXTE>
+<BLOC_TEXTUEL><CONTENU>one <b>two</b><br/>three &lt;4</CONTENU></BLOC_TEXTUEL><LIENS><LIEN typelien="MODIFIE" id="m"/><LIEN typelien="X" id="x"/></LIENS></ARTICLE>"""
+    rows = {r.payload_id: r for r in files.article_records(spark.createDataFrame([(1, article), (2, "<ARTICLE><oops"), (3, None), (4, ""), (5, "<ARTICLE/>")], "payload_id int, xml string")).collect()}
+    one = rows[1]
+    assert (one.cid, one.number, one.state, one.title, one.short_title, one.body) == ("V1", "V1", "VIGUEUR", "old & valid", "old & valid", "one two three <4")
+    assert (one.modifications, one.citations, one.concordances, one.subtitles, one.section_id, one.note, one.url) == (["m"], ["x"], [], None, None, None, "https://law.example/codes/article_lc/V1")
+    assert len(rows) == 5 and all(rows[i].version_id is None and rows[i].title is None for i in (2, 3, 4, 5))

@@ -32,6 +32,25 @@ def xml_articles(t: Tables) -> DataFrame:
     return rows.select(*[joined.get(c, F.col(c)) for c in rows.columns])
 
 
+@query(r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS t FROM documents)
+SELECT doc_id AS payload_id, 'V' || doc_id AS version_id, 'C' || doc_id AS cid, doc_id % 9 || '-1' AS number, CASE WHEN doc_id % 4 = 0 THEN 'ABROGE' ELSE 'VIGUEUR' END AS state, 'DECRET' AS nature, md5(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS body, 'Decret ' || lang AS title, CASE WHEN doc_id % 2 = 0 THEN 'D. ' || lang ELSE 'Decret ' || lang END AS short_title,
+'Partie ' || doc_id % 3 || ' > Titre & ' || source AS subtitles, 'S' || doc_id % 5 AS section_id, 'Titre & ' || source AS section_title, CASE WHEN doc_id % 3 > 0 THEN 'M' || doc_id % 3 END AS ministry, CASE WHEN doc_id % 7 = 0 THEN 'note ' || lang END AS note, 'https://law.example/loda/article_lc/V' || doc_id AS url FROM d JOIN documents USING (doc_id)""")
+def xml_article_records(t: Tables) -> DataFrame:
+    """Whole texts as articles of decrees, a paragraph a line, with headings above them."""
+    k, s = F.col("doc_id"), lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    escaped = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(a), F.lit(b))
+    meta = s("<META><META_COMMUN><ID>V", k, "</ID></META_COMMUN><META_SPEC><META_ARTICLE><CID>C", k, "</CID><NUM>", k % 9, "-1</NUM>", F.when(k % 4 == 0, "<ETAT>ABROGE</ETAT>").otherwise(""), "<DATE_DEBUT>2020-01-01</DATE_DEBUT></META_ARTICLE></META_SPEC></META>")
+    title = s('<TITRE_TXT id_txt="T" debut="2019-01-01" fin="2999-01-01"', F.when(k % 2 == 0, s(' c_titre_court="D. ', F.col("lang"), '"')).otherwise(""), ">Decret ", F.col("lang"), "</TITRE_TXT>")
+    above = s('<TM><TITRE_TM id="P">Partie ', k % 3, '</TITRE_TM><TM><TITRE_TM id="S', k % 5, '">Titre &amp; ', F.col("source"), "</TITRE_TM></TM></TM>")
+    context = s('<CONTEXTE><TEXTE nature="decret"', F.when(k % 3 > 0, s(' ministere="M', k % 3, '"')).otherwise(""), ">", title, above, "</TEXTE></CONTEXTE>")
+    body = s("<BLOC_TEXTUEL><CONTENU><p>", F.replace(escaped, F.lit("\n"), F.lit("</p>\n<p>")), "</p></CONTENU></BLOC_TEXTUEL>")
+    note = F.when(k % 7 == 0, s("<NOTA><CONTENU><p>note</p> ", F.col("lang"), "</CONTENU></NOTA>")).otherwise("")
+    rows = S.article_records(t.documents.select(k.alias("payload_id"), s("<ARTICLE>", meta, context, body, note, "</ARTICLE>").alias("xml")))
+    return rows.withColumn("body", F.md5("body")).select("payload_id", "version_id", "cid", "number", "state", "nature", "body", "title", "short_title", "subtitles", "section_id", "section_title", "ministry", "note", "url")
+
+
 @query("""WITH n AS (SELECT 'lake_' || CASE WHEN o_orderkey % 50 = 7 THEN 'FULL' ELSE 'delta' END || '_' || strftime(o_orderdate, '%Y%m%d') || printf('%08d', o_orderkey) || '.zip' AS name, CASE WHEN o_orderkey % 50 = 7 THEN 'full' ELSE 'delta' END AS kind, strftime(o_orderdate, '%Y%m%d') || printf('%08d', o_orderkey) AS stamp FROM orders), m AS (SELECT max(stamp) AS newest FROM n WHERE kind = 'full')
 SELECT name, kind, stamp FROM n, m WHERE (kind = 'full' AND stamp = newest) OR (kind = 'delta' AND stamp > newest)""")
 def archive_index(t: Tables) -> DataFrame:

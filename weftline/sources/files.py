@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.functions import values as V
+from weftline.sources.markup import unescape
 
 
 def _name() -> Column:
@@ -75,40 +76,51 @@ def read_csv(spark: SparkSession, path: str, aliases: dict[str, list[str]]) -> D
     return rows.select(*[F.col(f"`{c}`").alias(name) for name, c in found.items()])
 
 
-def articles(payloads: DataFrame) -> DataFrame:
-    """A row of each XML article (payload_id, xml): version and chronicle ids, number, state, dates, text, title, links by kind.
+ARTICLE = """META struct<META_COMMUN:struct<ID:string>,META_SPEC:struct<META_ARTICLE:struct<CID:string,NUM:string,ETAT:string,DATE_DEBUT:string,DATE_FIN:string>>>,
+CONTEXTE struct<TEXTE:struct<_nature:string,_ministere:string,TITRE_TXT:array<struct<_id_txt:string,_debut:string,_fin:string,_c_titre_court:string,_VALUE:string>>>>,
+LIENS struct<LIEN:array<struct<_typelien:string,_id:string>>>"""
+
 
-    Without a chronicle id the version's stands in. The title is the one valid at the article's start, then one of a code's
-    text, then the one that starts last. Links are modifications, concordances or citations by the name of their type.
+def article_records(payloads: DataFrame, root: str = "https://law.example") -> DataFrame:
+    """A row of each XML article (payload_id, xml), from one parse to a struct; mixed content is read from the source.
+
+    Ids of version and chronicle (the version's where there is none), number, state, dates, nature, body and note without markup,
+    title and short_title (of the title valid at the article's start, then of a code's text, then the one that starts last), the
+    headings above (subtitles, with the nearest one's id and text), ministry, address below root, and ids of links:
+    modifications, concordances or citations by the name of their type. Payloads that are no XML have nulls.
     """
-    x = lambda path: V.nullable(F.xpath_string("xml", F.lit(path)))
-    every = lambda path: F.expr(f"xpath(xml, '{path}')")
-    article = x("/ARTICLE/META/META_COMMUN/ID")
-    spec = "/ARTICLE/META/META_SPEC/META_ARTICLE"
-    text = "/ARTICLE/CONTEXTE/TEXTE"
-    rows = payloads.select(
-        "payload_id",
-        article.alias("version_id"),
-        F.coalesce(x(f"{spec}/CID"), article).alias("cid"),
-        F.coalesce(x(f"{spec}/NUM"), article).alias("number"),
-        F.coalesce(x(f"{spec}/ETAT"), F.lit("VIGUEUR")).alias("state"),
-        x(f"{spec}/DATE_DEBUT").alias("start"),
-        x(f"{spec}/DATE_FIN").alias("end"),
-        F.upper(x(f"{text}/@nature")).alias("nature"),
-        F.trim(F.regexp_replace(F.coalesce(x("/ARTICLE/BLOC_TEXTUEL/CONTENU"), F.lit("")), "\\s+", " ")).alias("body"),
-        F.arrays_zip(every(f"{text}/TITRE_TXT/@id_txt").alias("id"), every(f"{text}/TITRE_TXT/@debut").alias("a"), every(f"{text}/TITRE_TXT/@fin").alias("b"), every(f"{text}/TITRE_TXT/text()").alias("t")).alias("titles"),
-        F.arrays_zip(every("/ARTICLE/LIENS/LIEN/@typelien").alias("kind"), every("/ARTICLE/LIENS/LIEN/@id").alias("id")).alias("links"),
-    )
-    valid = lambda t: F.coalesce((F.coalesce(t["a"], F.lit("")) <= F.col("start")) & (F.col("start") <= F.coalesce(F.nullif(t["b"], F.lit("")), F.lit("9999-12-31"))), F.lit(False))
-    best = F.array_max(F.transform("titles", lambda t, i: F.struct(valid(t).alias("v"), t["id"].startswith("LEGITEXT").alias("l"), F.coalesce(t["a"], F.lit("")).alias("a"), i.alias("i"), t["t"].alias("t"))))
-    of = lambda test: F.transform(F.filter("links", test), lambda k: k["id"])
-    is_concord, is_change = (lambda k: F.upper(k["kind"]).contains("CONCORD")), (lambda k: F.upper(k["kind"]).contains("MODIF"))
+    inner = lambda outer: F.regexp_extract("xml", rf"(?s)<{outer}>.*?<CONTENU[^>]*>(.*?)</CONTENU>.*?</{outer}>", 1)
+    plain = lambda c: F.trim(F.regexp_replace(unescape(F.regexp_replace(c, "<[^>]*>", " ")), "\\s+", " "))
+    parsed = payloads.select("payload_id", "xml", F.from_xml("xml", ARTICLE, {"mode": "PERMISSIVE"}).alias("a"))
+    meta, context = F.col("a.META.META_SPEC.META_ARTICLE"), F.col("a.CONTEXTE.TEXTE")
+    heading = r"(?s)<TITRE_TM([^>]*)>(.*?)</TITRE_TM>"
+    found = F.zip_with(F.regexp_extract_all("xml", F.lit(heading), F.lit(1)), F.regexp_extract_all("xml", F.lit(heading), F.lit(2)), lambda x, t: F.struct(F.regexp_extract(x, 'id="([^"]*)"', 1).alias("id"), plain(t).alias("t")))
+    version = V.nullable(F.col("a.META.META_COMMUN.ID"))
+    rows = parsed.select(
+        "payload_id", version.alias("version_id"), F.coalesce(V.nullable(meta["CID"]), version).alias("cid"), F.coalesce(V.nullable(meta["NUM"]), version).alias("number"),
+        F.coalesce(V.nullable(meta["ETAT"]), F.lit("VIGUEUR")).alias("state"), V.nullable(meta["DATE_DEBUT"]).alias("start"), V.nullable(meta["DATE_FIN"]).alias("end"), F.upper(V.nullable(context["_nature"])).alias("nature"),
+        V.nullable(context["_ministere"]).alias("ministry"), plain(inner("BLOC_TEXTUEL")).alias("body"), F.nullif(plain(inner("NOTA")), F.lit("")).alias("note"), context["TITRE_TXT"].alias("titles"),
+        F.coalesce("a.LIENS.LIEN", F.array().cast("array<struct<_typelien:string,_id:string>>")).alias("links"), F.filter(found, lambda h: h["t"] != "").alias("headings"),
+    )
+    begins = lambda t: F.coalesce(t["_debut"], F.lit(""))
+    valid = lambda t: F.coalesce((begins(t) <= F.col("start")) & (F.col("start") <= F.coalesce(F.nullif(t["_fin"], F.lit("")), F.lit("9999-12-31"))), F.lit(False))
+    best = F.array_max(F.transform("titles", lambda t, i: F.struct(valid(t).alias("v"), F.coalesce(t["_id_txt"].startswith("LEGITEXT"), F.lit(False)).alias("l"), begins(t).alias("a"), i.alias("i"), plain(t["_VALUE"]).alias("t"), V.nullable(t["_c_titre_court"]).alias("s"))))
+    of = lambda test: F.transform(F.filter("links", test), lambda k: k["_id"])
+    is_concord, is_change = (lambda k: F.upper(k["_typelien"]).contains("CONCORD")), (lambda k: F.upper(k["_typelien"]).contains("MODIF"))
+    title, above = F.coalesce(best["t"], F.col("version_id")), F.get("headings", F.size("headings") - 1)
     return rows.select(
-        "payload_id", "version_id", "cid", "number", "state", "start", "end", "nature", "body", F.coalesce(F.trim(best["t"]), F.col("version_id")).alias("title"),
+        "payload_id", "version_id", "cid", "number", "state", "start", "end", "nature", "body", title.alias("title"),
         of(is_concord).alias("concordances"), of(lambda k: is_change(k) & ~is_concord(k)).alias("modifications"), of(lambda k: ~is_change(k) & ~is_concord(k)).alias("citations"),
+        F.coalesce(best["s"], title).alias("short_title"), F.nullif(F.array_join(F.transform("headings", lambda h: h["t"]), " > "), F.lit("")).alias("subtitles"), V.nullable(above["id"]).alias("section_id"), above["t"].alias("section_title"),
+        "ministry", "note", V.article_url(F.col("version_id"), F.col("nature"), F.lit(root)).alias("url"),
     )
 
 
+def articles(payloads: DataFrame) -> DataFrame:
+    """What ``article_records`` has of each article's identity, validity, text, title and links."""
+    return article_records(payloads).select("payload_id", "version_id", "cid", "number", "state", "start", "end", "nature", "body", "title", "concordances", "modifications", "citations")
+
+
 def zip_members(spark: SparkSession, path: str, ids: DataFrame | None, pattern: str) -> DataFrame:
     """archive, member, uid (group 1 of ``pattern`` in the member's name), content of the members of the ZIP files at path, of
     the uids in ids (uid) if given. An archive is one task's, a member in memory at a time."""
