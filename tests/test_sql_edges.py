@@ -25,3 +25,8 @@ def same(spark, plan, **tables):
 def test_reconstruction_gate(spark):
     texts = ["été très élevé là où naît hier noël", "un deux trois quatre cinq six sept huit été", "ete tres eleve la ou nait hier noel", None, "un deux", "", "İl un deux trois quatre cinq six sept huit", "il neuf dix"]
     same(spark, summaries.reconstruction_gate, benchmark=("item_id long, text string", pa.table({"item_id": range(len(texts)), "text": texts})))
+
+
+def test_ref_extract(spark):
+    texts = ["éR 4800 et", "DÉCRET n° 86-83, Décret\x0b87/1", "L\x0b123 L\t124 _L 125", "arrêté d.12-3", None]
+    same(spark, corpus.ref_extract, documents=("doc_id long, text string", pa.table({"doc_id": range(1, len(texts) + 1), "text": texts})))
