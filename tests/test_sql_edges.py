@@ -35,3 +35,10 @@ def test_ref_extract(spark):
 def test_vector_literal(spark):
     vectors = [[0.103515625, 0.001953125, -0.005859375, -0.0], [float("nan"), float("inf"), float("-inf"), 1e22], [None, 1.0], [None], [], None, [0.123456785, 2.5e-9, 5e-9, -1e-12]]
     same(spark, corpus.vector_literal, embeddings=("vec_id long, embedding array<double>", pa.table({"vec_id": range(len(vectors)), "embedding": pa.array(vectors, pa.list_(pa.float64()))})))
+
+
+def test_words_end_at_letters_outside_ascii(spark):
+    texts = ["geheit ßde y", "ßof theß", "İn on the", "œde", "the edœ geheit", None, "x der on ъin", "1.2.3.4é é1.2.3.4", "- a\n- b\n- c\nÉOUÉ 1234567890 1234567890 1234567890 \n", "- a\n- b\n- c\r OU \r xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx"]
+    docs = ("doc_id long, text string", pa.table({"doc_id": range(len(texts)), "text": texts}))
+    for plan in (values.text_rules, corpus.pii_scan, corpus.risk_pages):
+        same(spark, plan, documents=docs)

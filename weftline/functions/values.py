@@ -157,12 +157,13 @@ def hides_sources(answer: Column, starts: list[str], inside: list[str], short: i
 
 
 def signalled(folded: Column, hints: list[str], rule: str, topics: list[tuple[str, bool]]) -> Column:
-    """A hint matches; or the rule does with a topic of high signal (True) or two of any."""
+    """A hint matches; or the rule does with a topic of high signal (True) or two of any. Words (\\b, \\w) are of ASCII."""
+    has = lambda pattern: folded.rlike(T.ascii_bounds(pattern))
     hit = F.lit(False)
     for h in hints:
-        hit = hit | folded.rlike(h)
-    score = sum((F.when(folded.rlike(p), 2 if high else 1).otherwise(0) for p, high in topics), F.lit(0))
-    return hit | (folded.rlike(rule) & (score >= 2))
+        hit = hit | has(h)
+    score = sum((F.when(has(p), 2 if high else 1).otherwise(0) for p, high in topics), F.lit(0))
+    return hit | (has(rule) & (score >= 2))
 
 
 def cascade(cases: list[tuple[Column, str]], other: str) -> Column:

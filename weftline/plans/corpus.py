@@ -131,7 +131,7 @@ _PII = {"email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "ipv4": r"
 @query("SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}' END" for n, p in _PII.items()) + "], lambda x: x IS NOT NULL) AS found FROM documents")
 def pii_scan(t: Tables) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return t.documents.select("doc_id", F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in _PII.items()])).alias("found"))
+    return t.documents.select("doc_id", F.array_compact(F.array(*[F.when(text.rlike(T.ascii_bounds(p)), F.lit(n)) for n, p in _PII.items()])).alias("found"))
 
 
 @query(r"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS question, b.text AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')
@@ -160,7 +160,7 @@ def number_words_gate(t: Tables) -> DataFrame:
 @query("SELECT doc_id, length(text) BETWEEN 40 AND 1400 AND (contains(text, '|') OR contains(text, '→') OR (len(regexp_extract_all(text, '(?m)^[-*•]')) >= 3 AND regexp_matches(text, '(?m)^[^a-z]*\\bOU\\b[^a-z]*$'))) AS risky FROM documents")
 def risk_pages(t: Tables) -> DataFrame:
     x = F.col("text")
-    listy = (F.regexp_count(x, F.lit("(?m)^[-*•]")) >= 3) & x.rlike("(?m)^[^a-z]*\\bOU\\b[^a-z]*$")
+    listy = (F.regexp_count(x, F.lit("(?dm)^[-*•]")) >= 3) & x.rlike(T.ascii_bounds(r"(?dm)^[^a-z]*\bOU\b[^a-z]*$"))
     return t.documents.select("doc_id", (F.length(x).between(40, 1400) & (x.contains("|") | x.contains("→") | listy)).alias("risky"))
 
 

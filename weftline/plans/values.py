@@ -108,7 +108,7 @@ SELECT doc_id, regexp_matches(f, '\bthe ed\w*') OR regexp_matches(f, '\bof the\b
 text = '' OR starts_with(lower(trim(text, ' ')), 'the') OR (length(text) < 150 AND contains(lower(text), 'an')) AS hidden, CASE WHEN contains(f, 'geheit') THEN 'law' WHEN contains(f, 'the') THEN 'guide' ELSE 'document' END AS class FROM s""")
 def text_rules(t: Tables) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    rows = t.documents.select("doc_id", text.alias("text"), F.lower(F.translate(text, T.ACCENTED, T.PLAIN)).alias("f"))
+    rows = t.documents.select("doc_id", text.alias("text"), T.lower(F.translate(text, T.ACCENTED, T.PLAIN)).alias("f"))
     f = F.col("f")
     return rows.select("doc_id", V.signalled(f, _HINTS, _RULE, _TOPICS).alias("legal"), V.hides_sources(F.col("text"), ["the"], ["an"]).alias("hidden"), V.cascade([(f.contains("geheit"), "law"), (f.contains("the"), "guide")], "document").alias("class"))
 
