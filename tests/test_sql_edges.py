@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import duckdb
 import pyarrow as pa
 
-from weftline.plans import corpus, registry, summaries, values
+from weftline.plans import corpus, joins, registry, summaries, values
 
 
 def same(spark, plan, **tables):
@@ -42,3 +42,17 @@ def test_words_end_at_letters_outside_ascii(spark):
     docs = ("doc_id long, text string", pa.table({"doc_id": range(len(texts)), "text": texts}))
     for plan in (values.text_rules, corpus.pii_scan, corpus.risk_pages):
         same(spark, plan, documents=docs)
+
+
+def test_source_candidates_hold_all_pairs(spark):
+    s = [(1, 5), (2, 5), (3, 6), (4, None), (9, 7)]
+    c = [(1, 5), (2, 6), (4, None), (5, 5), (6, 6), (7, None), (8, 8)]
+    suppliers = pa.table({"s_suppkey": [x for x, _ in s], "s_nationkey": [x for _, x in s]})
+    customers = pa.table({"c_custkey": [x for x, _ in c], "c_nationkey": [x for _, x in c]})
+    same(spark, joins.source_candidates, supplier=("s_suppkey long, s_nationkey long", suppliers), customer=("c_custkey long, c_nationkey long", customers))
+    frames = SimpleNamespace(supplier=spark.createDataFrame(s, "s_suppkey long, s_nationkey long"), customer=spark.createDataFrame(c, "c_custkey long, c_nationkey long"))
+    rows = joins.source_candidates(frames).collect()
+    left, right = ([r for r in rows if r.side == side] for side in ("supplier", "customer"))
+    want = {(i, j) for i, a in s for j, b in c if i == j or (a is not None and a == b)}
+    assert {(i.id, j.id) for i in left for j in right if j.id == i.same_id or (i.class_id is not None and i.class_id == j.class_id)} == want
+    assert {(r.side, r.id): r.n_links for r in rows} == {("supplier", i): sum(x == i for x, _ in want) for i, _ in s} | {("customer", j): sum(x == j for _, x in want) for j, _ in c}
