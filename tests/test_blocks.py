@@ -80,3 +80,19 @@ def test_routes_and_chunks(spark):
     assert [(c.role, len(c.chunk)) for c in chunks] == [("Q_ONLY", len(chunks[0].chunk)), ("QA_COMPOSITE", 100), ("A_ATOMIC", 1200), ("A_ATOMIC", 1200), ("A_ATOMIC", 500)]
     assert "".join(c.chunk[: 1000] for c in chunks[2:]) == "abcde" * 500
     assert B.guide_blocks(B.text_lines(docs(spark, "x").limit(0))).count() == 0
+
+
+def test_lines_are_read_once(spark, tmp_path):
+    docs(spark, PROCESS, MATRIX, GUIDE, MARKED, FAQ).coalesce(1).write.parquet(f"{tmp_path}/docs")
+    lines = B.text_lines(spark.read.parquet(f"{tmp_path}/docs"))
+    for parse in (B.process_blocks, B.matrix_blocks, B.guide_blocks, B.marked_blocks, B.faq_blocks):
+        files = parse(lines).inputFiles()
+        assert files and not any(f"{tmp_path}" in x for x in files), parse.__name__
+    routed = B.route(spark.read.parquet(f"{tmp_path}/docs"))
+    assert sum(f"{tmp_path}" in x for x in routed.inputFiles()) <= 1  # whole texts of the rest
+
+
+def test_notes_of_a_matrix_are_its_first_two(spark):
+    notes = "\n".join(f"• note {i}" for i in range(300))
+    rows = B.matrix_blocks(B.text_lines(docs(spark, f"• premier\nActe 1° CBCM\n{notes}\nAutre acte 2° CBCM"))).orderBy("section_index").collect()
+    assert [r.answer.split("Notice: ")[1] for r in rows] == ["premier", "premier note 0"]

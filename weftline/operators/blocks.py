@@ -7,6 +7,8 @@ are one partition of these windows: memory is bound to one document, and no stat
 Every parser returns blocks: doc_id, section_index, level, title, parent_path, path, question, answer, qa_id, parent_qa_id. Blocks
 without an answer are left out; lines before the first block belong to none (see ``route``, which then takes the whole text as
 one block). Null texts have no lines; an empty table gives no blocks; rows of one doc_id are one document.
+
+What patterns say of a line is found once, in one pass, and written to the scratch folder; the plans over it read that.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline.operators.scratch import Scratch
 
 #: Titles of tables of contents, and lines that say nothing.
 TOC_TITLES = ("table des matieres", "sommaire")
@@ -54,6 +57,16 @@ def _over(*keys: str, upto: int = 0):
     return Window.partitionBy("doc_id", *keys).orderBy("n").rowsBetween(Window.unboundedPreceding, upto)
 
 
+def _once(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written once for all that reads them."""
+    return Scratch(rows.sparkSession, "blocks").save(rows, name)
+
+
+def _bound(c: Column, f) -> Column:
+    """f(c), where c is computed once, however often f uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def squeezed(c: Column) -> Column:
     """Lower case without accents, blanks squeezed."""
     return F.trim(F.regexp_replace(F.lower(F.translate(c, T.ACCENTED, T.PLAIN)), "\\s+", " "))
@@ -82,7 +95,10 @@ def text_lines(docs: DataFrame) -> DataFrame:
 
 def heading(line: Column, mode: Column, extra: tuple[tuple[int, str], ...] = ()) -> Column:
     """struct<level, label, title> of a heading line, else null. mode: none, strict or normal, for lines that only look like one."""
-    clean = F.trim(F.regexp_replace(line, "(?:\\.{3,}|…)\\s*\\d+$", ""))
+    return _bound(F.trim(F.regexp_replace(line, "(?:\\.{3,}|…)\\s*\\d+$", "")), lambda clean: _heading(clean, mode, extra))
+
+
+def _heading(clean: Column, mode: Column, extra: tuple[tuple[int, str], ...]) -> Column:
     bare = lambda c: F.regexp_replace(c, "^[ \\-:\\t]+|[ \\-:\\t]+$", "")
     make = lambda level, label, title: F.struct(level.cast("int").alias("level"), label.alias("label"), title.alias("title"))
     out = F.when((clean == "") | clean.rlike(PAGE), F.lit(None))
@@ -95,11 +111,16 @@ def heading(line: Column, mode: Column, extra: tuple[tuple[int, str], ...] = ())
     upper = F.length(F.regexp_replace(clean, "[^\\p{Lu}]", ""))
     strong = (F.length(letters) > 0) & (upper >= 0.75 * F.length(letters))
     with_letter = F.size(F.filter(F.split(clean, " "), lambda w: w.rlike("\\p{L}")))
-    looks = (mode != "none") & ((mode != "strict") | strong) & (F.length(clean) <= 90) & words.between(2, 10) & clean.rlike("^\\p{Lu}") & ~clean.rlike("[.;,]$") & (2 * with_letter >= words)
+    looks = (mode != "none") & (F.length(clean) <= 90) & clean.rlike("^\\p{Lu}") & ((mode != "strict") | strong) & words.between(2, 10) & ~clean.rlike("[.;,]$") & (2 * with_letter >= words)
     out = out.when(clean.endswith("?") & (F.length(clean) <= 140) & (words <= 14), make(F.lit(2), F.lit("Q."), F.regexp_replace(clean, "^[ ?]+|[ ?]+$", "")))
     return out.when(looks, make(F.lit(2), F.lit("H."), clean))
 
 
+def _real(line: Column, extra: tuple[tuple[int, str], ...] = ()) -> Column:
+    """Whether a line is a heading by its form."""
+    return _bound(heading(line, F.lit("none"), extra), lambda h: h.isNotNull() & F.coalesce(h["label"] != "Q.", F.lit(False)))
+
+
 def _answers(rows: DataFrame, keys: list[str], keep: Column, sep: str = "\n") -> DataFrame:
     """keys, answer of the rows' lines in order (blank runs to one empty line); a block's lines are a part of one document."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("n", "line")))), lambda x: x["line"]), sep)
@@ -122,13 +143,13 @@ def guide_blocks(lines: DataFrame, extra: tuple[tuple[int, str], ...] = ()) -> D
     """Headings open blocks below the nearest heading of a lower level before them; a line in lower case or a bracket right
     after a heading continues its title. Lines that only look like headings count in documents without real ones."""
     doc = Window.partitionBy("doc_id")
-    real = heading(F.col("line"), F.lit("none"), extra)
-    rows = lines.withColumn("real", (real.isNotNull() & (real["label"] != "Q.")).cast("int")).withColumn("marked", F.col("line").rlike(MARKER).cast("int"))
+    rows = lines.withColumn("real", _real(F.col("line"), extra).cast("int")).withColumn("marked", F.col("line").rlike(MARKER).cast("int"))
     mode = F.when(F.sum("marked").over(doc) >= 2, "none").when(F.sum("real").over(doc) >= 2, "strict").otherwise("normal")
     rows = rows.withColumn("h", heading(F.col("line"), mode, extra)).withColumn("block", F.sum(F.col("h").isNotNull().cast("int")).over(_over())).filter("block > 0")
     goes_on = F.col("h").isNull() & F.col("line").rlike("^[\\p{Ll}(]") & (F.length("line") <= 160) & ~F.first(F.col("h")["label"]).over(_over("block")).isin("Titre", "Intertitre")
     stops = F.col("h").isNull() & ~goes_on
     rows = rows.withColumn("tail", goes_on & (F.sum(stops.cast("int")).over(_over("block")) == 0)).withColumn("is_title", F.col("h").isNotNull() | F.col("tail"))
+    rows = _once(rows.select("doc_id", "n", "line", "h", "block", "is_title"), "guide")
     titles = _answers(rows.withColumn("line", F.coalesce(F.col("h")["title"], F.regexp_replace("line", "^[ \\-]+|[ \\-]+$", ""))), ["doc_id", "block"], F.col("is_title"), " ").withColumnRenamed("answer", "title")
     heads = rows.filter("h is not null").select("doc_id", "n", "block", F.col("h")["level"].alias("level"), F.col("h")["label"].alias("label")).join(titles, ["doc_id", "block"])
     heads = heads.withColumn("qa_id", _qa_id("guide", F.col("doc_id"), F.col("block"), F.col("level"), F.col("title")))
@@ -149,10 +170,11 @@ def marked_blocks(lines: DataFrame) -> DataFrame:
     """Question lines open blocks; the last four headings before the next question are their path. A sub-question hangs on the
     last root question of its path; the first of a path is a root."""
     rows = lines.withColumn("line", F.regexp_replace("line", MARKER, ""))
-    q, h = F.col("line").rlike(QUESTION), F.col("line").rlike(MARKED_HEADING) & ~F.col("line").rlike(QUESTION)
-    rows = rows.withColumn("is_q", q).withColumn("title", F.nullif(F.when(h, F.trim(F.regexp_replace("line", "^[IVXLC]+[.\\-]\\s+|\\d+[.)]\\s+", ""))), F.lit(""))).withColumn("is_h", h)
+    rows = rows.withColumn("is_q", F.col("line").rlike(QUESTION)).withColumn("is_h", ~F.col("is_q") & F.col("line").rlike(MARKED_HEADING))
+    rows = _once(rows.withColumn("title", F.nullif(F.when(F.col("is_h"), F.trim(F.regexp_replace("line", "^[IVXLC]+[.\\-]\\s+|\\d+[.)]\\s+", ""))), F.lit(""))), "marked")
     heads = rows.filter("title is not null").withColumn("path", F.concat_ws(" > ", *[F.lag("title", k).over(Window.partitionBy("doc_id").orderBy("n")) for k in (3, 2, 1)], "title")).select("doc_id", "n", "path")
     rows = rows.join(heads, ["doc_id", "n"], "left").withColumn("path", F.last("path", ignorenulls=True).over(_over())).withColumn("block", F.sum(F.col("is_q").cast("int")).over(_over())).filter("block > 0")
+    rows = _once(rows.select("doc_id", "n", "line", "is_q", "is_h", "path", "block"), "marked_lines")
     g = rows.groupBy("doc_id", "block").agg(F.min_by("line", "n").alias("title"), F.max_by("path", "n").alias("parent_path"), F.min("n").alias("n"))
     g = g.join(_answers(rows, ["doc_id", "block"], ~F.col("is_q") & ~F.col("is_h")), ["doc_id", "block"]).withColumn("qa_id", F.sha1(F.lower(F.trim(F.regexp_replace("title", "\\s+", " ")))))
     by_path = Window.partitionBy("doc_id", "parent_path").orderBy("n")
@@ -180,7 +202,7 @@ def faq_lines(lines: DataFrame) -> DataFrame:
     seg = Window.partitionBy("doc_id", "seg")
     rows = rows.withColumn("section", section).withColumn("headed", F.max("numbered").over(seg)).withColumn("as_section", F.max("section").over(seg))
     ends = F.min(F.when(F.col("line").contains("?"), F.col("n"))).over(seg)
-    rows = rows.withColumn("joined", F.col("headed") & (F.col("as_section") | ends.isNull() | (F.col("n") <= ends)))
+    rows = _once(rows.withColumn("joined", F.col("headed") & (F.col("as_section") | ends.isNull() | (F.col("n") <= ends))), "faq")
     heads = _answers(rows.filter("joined"), ["doc_id", "seg", "as_section"], F.lit(True), " ").join(rows.filter("numbered").select("doc_id", "seg", "n"), ["doc_id", "seg"]).withColumnRenamed("answer", "line")
     whole = F.regexp_replace(F.regexp_extract("line", _NUMBERED, 1), "^[ \\-:\\t]+|[ \\-:\\t]+$", "")
     kind = F.when(F.col("as_section"), "section").when(whole.contains("?") & (n_words(whole) >= 3), "question").otherwise("body")
@@ -191,6 +213,7 @@ def faq_blocks(lines: DataFrame) -> DataFrame:
     """Numbered questions open blocks, numbered lines in capitals sections; a section ends the block before it."""
     rows = faq_lines(lines).withColumn("opens", (F.col("kind") != "body").cast("int"))
     rows = rows.withColumn("part", F.sum("opens").over(_over())).withColumn("section_index", F.sum((F.col("kind") == "question").cast("int")).over(_over())).withColumn("parent_path", F.last(F.when(F.col("kind") == "section", F.col("title")), ignorenulls=True).over(_over()))
+    rows = _once(rows, "faq_lines")
     heads = rows.filter("kind = 'question'").select("doc_id", "part", "title", "parent_path", "section_index")
     out = heads.join(_answers(rows.filter("kind = 'body' and part > 0"), ["doc_id", "part"], F.lit(True)), ["doc_id", "part"]).filter("answer <> ''")
     out = out.withColumn("qa_id", _qa_id("faq", F.col("doc_id"), F.col("section_index"), F.col("parent_path"), F.col("title"))).withColumn("parent_qa_id", F.lit(None).cast("string")).withColumn("level", F.lit(3))
@@ -202,14 +225,17 @@ def _has(c: Column, words: tuple[str, ...]) -> Column:
 
 
 def _boilerplate(c: Column) -> Column:
-    norm = squeezed(c)
+    return _bound(squeezed(c), _says_nothing)
+
+
+def _says_nothing(norm: Column) -> Column:
     return (norm == "") | norm.isin(*BOILERPLATE) | norm.rlike(r"^\d{1,2}/\d{2}/\d{4}$") | norm.rlike(r"^\d{1,3}$")
 
 
 def _step_title(c: Column) -> Column:
-    norm = squeezed(c)
     shape = (F.length(c) <= 110) & n_words(c).between(2, 12) & ~c.rlike("^-|:$")
-    return shape & ~_boilerplate(c) & ~norm.isin(*BRANCHES) & ~_has(norm, ACTORS) & (_has(norm, STEPS) | c.rlike("^\\p{Lu}.*[^.;,]$"))
+    said = lambda norm: ~_says_nothing(norm) & ~norm.isin(*BRANCHES) & ~_has(norm, ACTORS) & (_has(norm, STEPS) | c.rlike("^\\p{Lu}.*[^.;,]$"))
+    return shape & _bound(squeezed(c), said)
 
 
 def merged_fragments(lines: DataFrame) -> DataFrame:
@@ -228,10 +254,10 @@ def process_blocks(lines: DataFrame) -> DataFrame:
     """Step titles open blocks under the last heading and branch; the first actor named below a step is its main one. A heading
     or a branch ends the step before it."""
     rows = merged_fragments(lines).filter(~_boilerplate(F.col("line")) & ~F.col("line").rlike(PAGE))
-    h, norm = heading(F.col("line"), F.lit("normal")), squeezed(F.col("line"))
-    branch = F.coalesce(*[F.when(norm == k, F.lit(v)) for k, v in BRANCHES.items()])
-    rows = rows.withColumn("h", h["title"]).withColumn("branch", F.when(F.col("h").isNull(), branch)).withColumn("actor", F.when(F.col("h").isNull() & F.col("branch").isNull() & _has(norm, ACTORS), F.col("line")))
-    rows = rows.withColumn("step", F.col("h").isNull() & F.col("branch").isNull() & F.col("actor").isNull() & _step_title(F.col("line")))
+    said = lambda norm: F.struct(F.coalesce(*[F.when(norm == k, F.lit(v)) for k, v in BRANCHES.items()]).alias("branch"), _has(norm, ACTORS).alias("acts"))
+    rows = rows.withColumn("h", heading(F.col("line"), F.lit("normal"))["title"]).withColumn("said", F.when(F.col("h").isNull(), _bound(squeezed(F.col("line")), said)))
+    rows = rows.withColumn("branch", F.col("said")["branch"]).withColumn("actor", F.when(F.col("h").isNull() & F.col("branch").isNull() & F.col("said")["acts"], F.col("line")))
+    rows = _once(rows.withColumn("step", F.col("h").isNull() & F.col("branch").isNull() & F.col("actor").isNull() & _step_title(F.col("line"))).drop("said"), "process")
     rows = rows.withColumn("part", F.sum((F.col("step") | F.col("h").isNotNull() | F.col("branch").isNotNull()).cast("int")).over(_over())).withColumn("section_index", F.sum(F.col("step").cast("int")).over(_over()))
     rows = rows.withColumn("parent_path", F.last("h", ignorenulls=True).over(_over())).withColumn("hn", F.max(F.when(F.col("h").isNotNull(), F.col("n"))).over(_over())).withColumn("b", F.last(F.when(F.col("branch").isNotNull(), F.struct("n", "branch")), ignorenulls=True).over(_over()))
     rows = rows.withColumn("b", F.when(F.col("b")["n"] > F.coalesce("hn", F.lit(-1)), F.col("b")["branch"]))
@@ -249,19 +275,27 @@ def matrix_blocks(lines: DataFrame) -> DataFrame:
     """Rows 'act alinea entity' of a matrix of acts; an act of several lines ends with a line that is its entity. The first two
     bullet lines after 'Notice' are noted in every row below."""
     rows = lines.withColumn("line", F.regexp_replace("line", MARKER, "")).filter((F.col("line") != "") & ~F.col("line").rlike(PAGE))
-    norm = squeezed(F.col("line"))
-    rows = rows.filter(~norm.isin("type d'actes", "entite de gestion", "type d'actes entite de gestion", "entite de gestion type d'actes", "attention !") & ~norm.rlike("^(references :|arretes du|les actes devront etre)"))
-    section = F.coalesce(*[F.when((norm == s) | norm.startswith(s + " "), F.lit(name)) for name in MATRIX_SECTIONS if (s := name.lower().translate(str.maketrans(T.ACCENTED, T.PLAIN)))])
-    direct = F.col("line").rlike(MATRIX_ROW)
-    notice = norm.rlike("^(la colonne|a gauche|les autres feuilles)") | F.col("line").startswith("•")
-    entity = F.coalesce(*[F.when(norm == e.lower().translate(str.maketrans(T.ACCENTED, T.PLAIN)), F.lit(e)) for e in ENTITIES])
+    plain = lambda x: x.lower().translate(str.maketrans(T.ACCENTED, T.PLAIN))
+    named = ("type d'actes", "entite de gestion", "type d'actes entite de gestion", "entite de gestion type d'actes", "attention !")
+
+    def said(norm: Column) -> Column:
+        dropped = norm.isin(*named) | norm.rlike("^(references :|arretes du|les actes devront etre)")
+        section = F.coalesce(*[F.when((norm == plain(name)) | norm.startswith(plain(name) + " "), F.lit(name)) for name in MATRIX_SECTIONS])
+        entity = F.coalesce(*[F.when(norm == plain(e), F.lit(e)) for e in ENTITIES])
+        notice = norm.rlike("^(la colonne|a gauche|les autres feuilles)")
+        return F.struct(dropped.alias("dropped"), section.alias("section"), entity.alias("entity"), notice.alias("notice"), _says_nothing(norm).alias("empty"))
+
+    rows = rows.withColumn("said", _bound(squeezed(F.col("line")), said)).select("doc_id", "n", "line", "said.*", F.col("line").rlike(MATRIX_ROW).alias("direct"))
+    rows = _once(rows, "matrix").filter("not dropped")
     alinea = F.col("line").rlike(r"^(?:\d+°|-)$")
-    kind = F.when(direct, "row").when(F.col("line") == "Notice", "end").when(section.isNotNull(), "section").when(notice, "notice").when(entity.isNotNull(), "entity").when(alinea, "alinea").when(_boilerplate(F.col("line")), "none").otherwise("part")
-    rows = rows.withColumn("kind", kind).withColumn("section", F.last(F.when(F.col("kind") == "section", section), ignorenulls=True).over(_over()))
-    rows = rows.withColumn("entity", entity).filter("kind <> 'none'")
+    kind = F.when(F.col("direct"), "row").when(F.col("line") == "Notice", "end").when(F.col("section").isNotNull(), "section").when(F.col("notice") | F.col("line").startswith("•"), "notice").when(F.col("entity").isNotNull(), "entity").when(alinea, "alinea").when(F.col("empty"), "none").otherwise("part")
+    rows = rows.withColumn("kind", kind).withColumn("section", F.last(F.when(F.col("kind") == "section", F.col("section")), ignorenulls=True).over(_over())).filter("kind <> 'none'")
     ends = F.col("kind").isin("row", "section", "entity", "end")
     rows = rows.withColumn("group", F.coalesce(F.sum(ends.cast("int")).over(_over(upto=-1)), F.lit(0)))
-    rows = rows.withColumn("notes", F.slice(F.collect_list(F.when(F.col("kind") == "notice", F.regexp_replace("line", "^[• ]+", ""))).over(_over()), 1, 2))
+    # Of the notices above a line the first two, by their number: no row holds the list of all.
+    rows = rows.withColumn("place", F.sum((F.col("kind") == "notice").cast("int")).over(_over()))
+    note = lambda k: F.first(F.when((F.col("kind") == "notice") & (F.col("place") == k), F.regexp_replace("line", "^[• ]+", "")), ignorenulls=True).over(_over())
+    rows = _once(rows.withColumn("notes", F.array_compact(F.array(note(1), note(2)))).select("doc_id", "n", "line", "kind", "section", "entity", "group", "notes"), "matrix_lines")
     single = rows.filter("kind = 'row'").select("doc_id", "n", "section", "notes", F.regexp_extract("line", MATRIX_ROW, 1).alias("title"), F.regexp_extract("line", MATRIX_ROW, 2).alias("alinea"), F.regexp_extract("line", MATRIX_ROW, 3).alias("entity"))
     act = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "part", F.struct("n", "line")))), lambda x: x["line"]), " ")
     several = rows.groupBy("doc_id", "group").agg(F.max("n").alias("n"), F.max_by("section", "n").alias("section"), F.max_by("notes", "n").alias("notes"), act.alias("title"), F.max(F.when(F.col("kind") == "alinea", F.col("line"))).alias("alinea"), F.max("entity").alias("entity")).filter("entity is not null and title <> ''")
@@ -282,18 +316,19 @@ def deduped(blocks: DataFrame, keys: list[str]) -> DataFrame:
 def route(docs: DataFrame, modes: tuple[str, ...] = ("matrix", "faq", "marked", "process", "guide"), least: float = 0.35) -> DataFrame:
     """mode, coverage and the blocks of each document of docs (doc_id, text) by the first of ``modes`` that looks like it and whose
     blocks hold at least ``least`` of its characters; else one block of the whole text, so that no text is lost."""
-    lines = text_lines(docs)
-    norm = squeezed(F.col("line"))
-    question = F.col("line").rlike(_NUMBERED) & F.col("line").contains("?")
-    h = heading(F.col("line"), F.lit("none"))
-    looks = lines.groupBy("doc_id").agg(
+    lines = _once(text_lines(docs), "lines")
+    said = lambda norm: F.struct(norm.contains("type d'actes").alias("acts"), norm.isin("deconcentre", "drh-bpeco", "drh-bpeco / cbcm", "cbcm").alias("entity"), norm.contains("logigramme").alias("named"), (norm.isin(*BRANCHES) | _has(norm, ACTORS)).alias("acting"))
+    question = F.col("line").contains("?") & F.col("line").rlike(_NUMBERED)
+    marks = lines.withColumn("said", _bound(squeezed(F.col("line")), said)).withColumn("heading", _real(F.col("line")))
+    looks = marks.groupBy("doc_id").agg(
         F.sum(F.when(F.col("line").rlike(PAGE), 0).otherwise(F.length("line"))).alias("size"),
-        F.max(norm.contains("type d'actes")).alias("acts"), F.sum((F.col("line").rlike(MATRIX_ROW) | norm.isin("deconcentre", "drh-bpeco", "drh-bpeco / cbcm", "cbcm")).cast("int")).alias("entities"),
+        F.max("said.acts").alias("acts"), F.sum((F.col("said.entity") | F.col("line").rlike(MATRIX_ROW)).cast("int")).alias("entities"),
         F.sum(question.cast("int")).alias("questions"), F.sum(F.col("line").rlike(QUESTION).cast("int")).alias("marked"),
-        F.sum((h.isNotNull() & (h["label"] != "Q.")).cast("int")).alias("headings"), F.max(norm.contains("logigramme")).alias("named"), F.avg((n_words(F.col("line")) <= 4).cast("int")).alias("short"),
-        F.sum((_step_title(F.col("line")) | norm.isin(*BRANCHES) | _has(norm, ACTORS)).cast("int")).alias("steps"),
-        F.first(F.when(F.col("line") != "", F.col("line")), ignorenulls=True).alias("first_line"),
+        F.sum(F.col("heading").cast("int")).alias("headings"), F.max("said.named").alias("named"), F.avg((n_words(F.col("line")) <= 4).cast("int")).alias("short"),
+        F.sum((F.col("said.acting") | _step_title(F.col("line"))).cast("int")).alias("steps"),
+        F.min_by("line", F.when(F.col("line") != "", F.col("n"))).alias("first_line"),
     )
+    looks = _once(looks, "looks")
     process = F.col("named") | ((F.col("headings") < 2) & (F.col("short") >= 0.35) & (F.col("steps") >= 8))
     fits = {"matrix": F.col("acts") & (F.col("entities") >= 5), "faq": F.col("questions") >= 5, "marked": F.col("marked") >= 1, "process": process, "guide": F.lit(True)}
     parse = {"matrix": matrix_blocks, "faq": faq_blocks, "marked": marked_blocks, "process": process_blocks, "guide": guide_blocks}
@@ -301,7 +336,7 @@ def route(docs: DataFrame, modes: tuple[str, ...] = ("matrix", "faq", "marked",
     for k, mode in enumerate(modes):
         mine = looks.filter(fits[mode]).select("doc_id", "size")
         found.append(parse[mode](lines.join(mine.select("doc_id"), "doc_id", "left_semi")).withColumn("mode", F.lit(mode)).withColumn("k", F.lit(k)))
-    every = reduce(DataFrame.unionByName, found)
+    every = _once(reduce(DataFrame.unionByName, found), "blocks")
     covers = every.groupBy("doc_id", "mode", "k").agg(F.sum(F.length("answer") + F.length("title")).alias("held")).join(looks.select("doc_id", "size"), "doc_id").withColumn("coverage", F.round(F.least(F.lit(1.0), F.col("held") / F.greatest("size", F.lit(1))), 6)).filter(F.col("coverage") >= least)
     best = covers.groupBy("doc_id").agg(F.min_by(F.struct("mode", "coverage"), "k").alias("b")).select("doc_id", "b.*")
     blocks = every.join(best, ["doc_id", "mode"]).drop("k")
