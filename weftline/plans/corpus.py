@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import refs as R
 from weftline.functions import text as T
 from weftline.operators import chunking as C
+from weftline.operators.clustering import Clusters
 from weftline.plans.common import Tables, query
 from weftline.sources import markup as P
 
@@ -173,31 +174,22 @@ def _grams(t: Tables) -> DataFrame:
 
 
 def _bucket(gram: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("string")
+    return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
 
 
-def _clusters(t: Tables, buckets: int = 1 << 20):
-    """Buckets of grams (those in two documents at least and nine tenths at most), the model, and clustered documents.
+def _clusters(t: Tables, buckets: int = 1 << 20) -> Clusters:
+    """Four clusters by buckets of grams, those in two documents at least and nine tenths at most.
 
     No gram is dropped for want of room: grams are hashed to ``buckets``, which bounds the vocabulary and the centres on the
     driver; grams that share a bucket count as one.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import IDF, CountVectorizer
-
-    counted = CountVectorizer(inputCol="buckets", outputCol="tf", minDF=2.0, maxDF=0.9, vocabSize=buckets)
-    rows = _grams(t).select("doc_id", F.transform("grams", lambda g: _bucket(g, buckets)).alias("buckets"))
-    vocabulary = counted.fit(rows)
-    tf = vocabulary.transform(rows)
-    weighted = IDF(inputCol="tf", outputCol="features").fit(tf).transform(tf)
-    model = KMeans(k=4, seed=7, maxIter=20).fit(weighted)
-    return vocabulary.vocabulary, model, model.transform(weighted).select("doc_id", F.col("prediction").alias("cluster"))
+    return Clusters(_grams(t).select("doc_id", F.transform("grams", lambda g: _bucket(g, buckets)).alias("buckets")), buckets, k=4, seed=7)
 
 
 @query()
 def tfidf_kmeans(t: Tables) -> DataFrame:
     """doc_id, cluster by TF-IDF of words and word pairs."""
-    return _clusters(t)[2]
+    return _clusters(t).assigned()
 
 
 @query()
@@ -205,10 +197,11 @@ def cluster_terms(t: Tables, buckets: int = 1 << 20) -> DataFrame:
     """cluster, rank, term: the ten heaviest buckets of each centre by their most frequent grams."""
     from weftline.operators.ranking import first_by
 
-    vocabulary, model, _ = _clusters(t, buckets)
-    rows = [(c, k + 1, vocabulary[i]) for c, centre in enumerate(model.clusterCenters()) for k, i in enumerate((-centre).argsort(kind="stable")[:10].tolist())]
-    heavy = t.documents.sparkSession.createDataFrame(rows, "cluster int, rank int, bucket string")
-    grams = _grams(t).select(F.explode("grams").alias("term")).withColumn("bucket", _bucket(F.col("term"), buckets)).filter(F.col("bucket").isin(sorted({b for _, _, b in rows})))
+    found = _clusters(t, buckets)
+    rows = [(c, k + 1, int(found.vocabulary[i])) for c, centre in enumerate(found.centres) for k, i in enumerate((-centre[found.vocabulary]).argsort(kind="stable")[:10])]
+    heavy = t.documents.sparkSession.createDataFrame(rows, "cluster int, rank int, bucket int")
+    mine = sorted({b for _, _, b in rows})
+    grams = _grams(t).select(F.explode(F.filter("grams", lambda g: _bucket(g, buckets).isin(mine))).alias("term")).withColumn("bucket", _bucket(F.col("term"), buckets))
     counts = grams.groupBy("bucket", "term").agg(F.count("*").alias("n"))
     return heavy.join(first_by(counts, ["bucket"], [-F.col("n"), F.col("term")]), "bucket").select("cluster", "rank", "term")
 
