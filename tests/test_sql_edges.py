@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import duckdb
 import pyarrow as pa
 
-from weftline.plans import corpus, joins, registry, summaries, values
+from weftline.plans import corpus, joins, references, registry, summaries, values
 
 
 def same(spark, plan, **tables):
@@ -56,3 +56,9 @@ def test_source_candidates_hold_all_pairs(spark):
     want = {(i, j) for i, a in s for j, b in c if i == j or (a is not None and a == b)}
     assert {(i.id, j.id) for i in left for j in right if j.id == i.same_id or (i.class_id is not None and i.class_id == j.class_id)} == want
     assert {(r.side, r.id): r.n_links for r in rows} == {("supplier", i): sum(x == i for x, _ in want) for i, _ in s} | {("customer", j): sum(x == j for _, x in want) for j, _ in c}
+
+
+def test_a_mention_meets_a_number_and_cid_once(spark):
+    refs = spark.createDataFrame([(i, f"L{i % 2}", f"C{i % 3}") for i in range(600, 0, -1)], "id long, number string, cid string")
+    got = {(r.number, r.cid): r.id for r in references.known_references(refs).collect()}
+    assert got == {(f"L{i % 2}", f"C{i % 3}"): i for i in range(6, 0, -1)}
