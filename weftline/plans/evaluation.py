@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as T
 from weftline.operators import evalmetrics as M
 from weftline.operators import fusion
+from weftline.operators.scratch import Scratch
 from weftline.plans.common import Tables, query
 from weftline.plans.retrieval import _top, top, vec_queries
 
@@ -18,6 +19,12 @@ def _relevant(t: Tables, k: int = 50) -> DataFrame:
     return top(t, k).select("query_id", "id", "rank", (F.col("label") == F.col("q_label")).alias("relevant"))
 
 
+def _searched(t: Tables) -> DataFrame:
+    """As _relevant, searched once and written, for plans that read it several times."""
+    rows = _relevant(t)
+    return Scratch(rows.sparkSession, "searched").save(rows, "relevant")
+
+
 def _gold_metrics(t: Tables) -> DataFrame:
     """Set metrics of the first ten, with relevance as a flag and the gold size from counts by label."""
     sizes = t.embeddings.groupBy("label").agg(F.count("*").alias("n_gold"))
@@ -82,7 +89,7 @@ _TWO = f"""{_REL}, a AS (SELECT query_id, 'cosine' AS strategy, min(rank) FILTER
 
 
 def _strategies(t: Tables) -> DataFrame:
-    rows = _relevant(t)
+    rows = _searched(t)
     other = fusion.ranked(rows.withColumnRenamed("rank", "was"), ["query_id"], [F.col("id") % 7, F.col("was")])
     both = rows.withColumn("strategy", F.lit("cosine")).unionByName(other.drop("was").withColumn("strategy", F.lit("shuffled")))
     hit = F.col("relevant") & (F.col("rank") <= 10)
@@ -179,7 +186,7 @@ _PAIRS = f"{_REL}, a AS (SELECT query_id, list(id ORDER BY rank) AS l FROM r WHE
 
 
 def _runs(t: Tables) -> DataFrame:
-    rows = _relevant(t)
+    rows = _searched(t)
     as_list = lambda d, c: F.transform(F.array_sort(F.collect_list(F.struct(d, "id"))), lambda x: x["id"]).alias(c)
     left = rows.filter("rank <= 10").groupBy("query_id").agg(as_list("rank", "l"))
     right = fusion.ranked(rows.withColumnRenamed("rank", "was"), ["query_id"], [F.col("was") + (F.col("id") % 5) * 3, F.col("id")], 10).groupBy("query_id").agg(as_list("rank", "m"))
