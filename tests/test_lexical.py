@@ -59,3 +59,16 @@ def test_many_queries_take_several_passes(spark, monkeypatch):
     assert [tuple(x) for x in lexical.lexical_topk(docs, queries, 5).orderBy("query_id", "rank").collect()] == whole
     assert [tuple(x) for x in lexical.cover_density_topk(docs, queries, 5).orderBy("query_id", "rank").collect()] == dense
     assert (70, 99, 1, 3, 1) in whole and not any(x[0] in (71, 72) for x in whole)
+
+
+def test_a_task_keeps_the_k_best_of_all_its_blocks():
+    import numpy as np
+
+    r, best, every = np.random.default_rng(8), lexical._Best(3), []
+    for block in range(20):
+        ids, n = np.arange(block, 400, 20), r.integers(0, 4, 20)
+        best.add(5, ids, n, n / 10)
+        every += [(-x / 10, i, x) for i, x in zip(ids.tolist(), n.tolist(), strict=True) if x]
+    best.add(6, np.arange(2), np.zeros(2, int), np.zeros(2))
+    got = [tuple(x.values()) for batch in best.batches() for x in batch.to_pylist()]
+    assert sorted((-s, i, n) for q, i, n, s in got if q == 5) == sorted(every)[:3] and {x[0] for x in got} == {5}

@@ -27,7 +27,7 @@ from weftline.operators.fusion import ranked
 
 #: Tokens of queries that are broadcast at once (about 100 bytes each), and bytes of folded text of a block.
 MAX_TOKENS = 500_000
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 #: Texts of a block at most, and distinct tokens of the queries that are scored at once.
 BLOCK = 1024
 WIDTH = 8192
@@ -86,6 +86,57 @@ def _best(ids: np.ndarray, matched: np.ndarray, order: np.ndarray, k: int) -> np
     return good if len(good) <= k else good[np.lexsort((ids[good], -order[good]))[:k]]
 
 
+class _Best:
+    """The k best texts of each query (id, covers, score) among all that a task has seen; a task yields no more than these."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.rows = k, {}
+
+    def add(self, q: int, ids: np.ndarray, n: np.ndarray, total: np.ndarray) -> None:
+        """Texts of no cover are left out."""
+        before = self.rows.get(q)
+        good = n > 0
+        if before is not None and len(before[0]) >= self.k:
+            good &= total >= before[2].min()
+        good = np.flatnonzero(good)
+        if len(good) == 0:
+            return
+        now = (ids[good], n[good], total[good])
+        if before is not None:
+            now = tuple(np.concatenate(x) for x in zip(before, now, strict=True))
+        kept = _best(now[0], now[1], now[2], self.k)
+        self.rows[q] = tuple(x[kept] for x in now)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """About 10,000 rows each."""
+        some: list[tuple[int, tuple]] = []
+        for i, x in enumerate(self.rows.items(), 1):
+            some.append(x)
+            if sum(len(r[0]) for _, r in some) >= 10_000 or i == len(self.rows):
+                columns = [np.concatenate(c) for c in zip(*[r for _, r in some], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _ in some], [len(r[0]) for _, r in some]).astype(np.int64)), pa.array(columns[0]), pa.array(columns[1].astype(np.int64)), pa.array(columns[2])], names=["query_id", "id", "n_covers", "score"])
+                some = []
+
+
+def _by_width(asked: list[tuple[int, list[int]]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries (id, codes) in groups of at most WIDTH distinct codes: ids, sorted codes, and a 0/1 matrix of codes by queries."""
+    groups: list[tuple[list[tuple[int, list[int]]], set[int]]] = [([], set())]
+    for q, codes in asked:
+        if groups[-1][0] and len(groups[-1][1].union(codes)) > WIDTH:
+            groups.append(([], set()))
+        groups[-1][0].append((q, codes))
+        groups[-1][1].update(codes)
+    out = []
+    for queries, known in groups:
+        wanted = np.array(sorted(known), np.int64)
+        if len(wanted):
+            want = np.zeros((len(wanted), len(queries)), np.float32)
+            for j, (_, codes) in enumerate(queries):
+                want[np.searchsorted(wanted, codes), j] = 1
+            out.append((np.array([q for q, _ in queries], np.int64), wanted, want))
+    return out
+
+
 def _slices(asked: list[tuple[int, str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Queries in groups of at most WIDTH distinct tokens: ids, sorted hashes, and a 0/1 matrix of tokens by queries."""
     by_query: dict[int, dict[str, None]] = {}
@@ -179,7 +230,7 @@ class _Lexemes:
         code = np.empty(len(distinct), np.int64)
         for i, (h, at) in enumerate(zip(distinct.tolist(), first.tolist(), strict=True)):
             if h not in self.known:
-                if len(self.known) > 1_000_000:
+                if len(self.known) > 200_000:
                     self.known.clear()
                 word = words.buf[words.starts[at] : words.ends[at]].tobytes().decode()
                 self.known[h] = self.codes.get(self.language.lexeme(word), -1)
@@ -240,34 +291,56 @@ def cover_density_topk(docs: DataFrame, queries: DataFrame, k: int, language: La
                 for term in terms:
                     for lexeme, _ in term:
                         codes.setdefault(lexeme, len(codes))
-            lexemes = _Lexemes(language, codes)
+            lexemes, best = _Lexemes(language, codes), _Best(k)
+            # If any lexeme will do, each occurrence of one is a cover by itself, and nothing but their number counts.
+            single = [not need_all and all(len(term) == 1 for term in terms) for _, terms in parsed]
+            counted = _by_width([(q, [codes[term[0][0]] for term in terms]) for (q, terms), alone in zip(parsed, single, strict=True) if alone])
+            placed = [x for x, alone in zip(parsed, single, strict=True) if not alone]
             for ids, words in _blocks(batches):
                 code = lexemes.of(words)
-                place = np.arange(len(code)) - np.searchsorted(words.owner, words.owner)
                 hits = np.flatnonzero(code >= 0)
+                for names, wanted, want in counted:
+                    at = _codes(wanted, code[hits])
+                    known = at >= 0
+                    tf = np.bincount(words.owner[hits[known]] * len(wanted) + at[known], minlength=len(ids) * len(wanted)).reshape(len(ids), -1)
+                    exact = np.float32 if len(hits) < 1 << 24 else np.float64
+                    n = (tf.astype(exact) @ want.astype(exact, copy=False)).astype(np.int64)
+                    for j, q in enumerate(names.tolist()):
+                        best.add(q, ids, n[:, j], np.round(weight * n[:, j], 6))
+                if not placed:
+                    continue
+                first = np.searchsorted(words.owner, np.arange(len(ids)))
                 by = hits[np.argsort(code[hits], kind="stable")]
                 cut = np.searchsorted(code[by], np.arange(len(codes) + 1))
                 at = lambda lexeme: by[cut[codes[lexeme]] : cut[codes[lexeme] + 1]]  # noqa: E731, B023
-                for q, terms in parsed:
-                    found = []
+                for q, terms in placed:
+                    found, common = [], None
                     for t, term in enumerate(terms):
                         start = at(term[0][0])
                         for lexeme, away in term[1:]:
                             start = start[np.isin(start + away, at(lexeme))]
                         start = start[words.owner[start] == words.owner[np.minimum(start + term[-1][1], len(code) - 1)]]
-                        found.append(np.stack([words.owner[start], place[start], place[start] + term[-1][1], np.full(len(start), t)], axis=1))
-                    every = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+                        if need_all:  # only texts that have every term so far
+                            here = np.zeros(len(ids), bool)
+                            here[words.owner[start]] = True
+                            common = here if common is None else common & here
+                            if not common.any():
+                                break
+                        found.append((start, t, term[-1][1]))
+                    if len(found) < len(terms) or not found:
+                        continue
+                    if need_all:
+                        found = [(start[common[words.owner[start]]], t, away) for start, t, away in found]
+                    every = np.concatenate([np.stack([words.owner[x], x - first[words.owner[x]], x - first[words.owner[x]] + away, np.full(len(x), t)], axis=1) for x, t, away in found])
                     if len(every) == 0:
                         continue
                     owner, begin, end = covers(*every[np.lexsort((every[:, 2], every[:, 0]))].T, len(terms), need_all)
                     used = np.unique(np.concatenate([at(x) for term in terms for x, _ in term]))
-                    head = np.searchsorted(words.owner, owner)
+                    head = first[owner]
                     inside = np.searchsorted(used, head + end, side="right") - np.searchsorted(used, head + begin)
                     total = np.round(np.bincount(owner, weight / (2 + end - begin - inside), len(ids)), 6)
-                    n = np.bincount(owner, minlength=len(ids))
-                    good = _best(ids, n, total, k)
-                    if len(good):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(good), q)), pa.array(ids[good]), pa.array(n[good].astype(np.int64)), pa.array(total[good])], names=["query_id", "id", "n_covers", "score"])
+                    best.add(q, ids, np.bincount(owner, minlength=len(ids)), total)
+            yield from best.batches()
 
         return rows.mapInArrow(work, "query_id long, id long, n_covers long, score double")
 
