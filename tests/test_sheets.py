@@ -97,3 +97,17 @@ def test_layers_agree(spark):
     lost = t.documents.select("doc_id", F.explode(words(F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))).alias("w")).distinct().join(said, ["doc_id", "w"], "left_anti")
     assert lost.count() == 0, lost.take(5)
     assert S.payload is not None and spark.range(1).select(S.payload(F.lit("![a](b)\n## \n--- | :--")).alias("x")).first().x is None
+
+
+def test_sheets_are_read_once_by_each_query(spark):
+    from weftline.plans import registry
+
+    for name in ("xml_metadata", "gold_chunks"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+        assert "MapInArrow" not in plan, name
+
+
+def test_events_come_in_batches_of_many_sheets(spark):
+    sheets = spark.range(300).selectExpr("id AS doc_id", "concat('<Publication><dc:title>', id, '</dc:title></Publication>') AS xml").coalesce(1)
+    got = S.events(sheets).collect()
+    assert [(x.doc_id, x.at, x.text) for x in sorted(got)] == [(i, 0, str(i)) for i in range(300)]

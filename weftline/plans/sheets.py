@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.scratch import Scratch
 from weftline.plans.common import Tables, query
 from weftline.sources import sheets as S
 
@@ -48,7 +49,7 @@ def _sheets(t: Tables) -> DataFrame:
 
 
 def _events(t: Tables) -> DataFrame:
-    return S.events(_sheets(t))
+    return S.stored_events(_sheets(t))
 
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' +([.,])', '\1', 'g'))"
@@ -91,4 +92,5 @@ def silver_sections(t: Tables) -> DataFrame:
 
 @query()
 def gold_chunks(t: Tables) -> DataFrame:
-    return S.chunks(S.sections(_events(t)))
+    found = S.sections(_events(t))
+    return S.chunks(Scratch(found.sparkSession, "sheets").save(found, "sections"))

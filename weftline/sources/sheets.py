@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline.operators.scratch import Scratch
 
 #: Element names of the format and what they mean.
 REGIONS = {"Avertissement": 1, "Introduction": 2, "Texte": 3, "ListeSituations": 4}
@@ -26,6 +27,8 @@ SKIPPED = {"Source", "OuSAdresser"}
 HOME = ("Accueil particuliers", "Accueil")
 
 EVENTS = "doc_id long, at int, region int, kind string, level int, grp int, text string, target string, type string"
+#: Rows of a batch that goes back to Spark.
+BATCH_ROWS = 4096
 _NAMES = [x.split()[0] for x in EVENTS.split(", ")]
 _TYPES = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[x.split()[1]] for x in EVENTS.split(", ")]
 
@@ -201,18 +204,31 @@ def read(xml: str) -> list[list]:
 
 
 def events(sheets: DataFrame) -> DataFrame:
-    """The rows of sheets (doc_id, xml)."""
+    """The rows of sheets (doc_id, xml), about BATCH_ROWS at a time."""
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
             for doc_id, xml in zip(batch.column("doc_id").to_pylist(), batch.column("xml"), strict=True):
-                rows = [(doc_id, i, *row) for i, row in enumerate(read(xml.as_py()))] if xml.as_py() else []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
+                text = xml.as_py()
+                held += [(doc_id, i, *row) for i, row in enumerate(read(text))] if text else []
+                if len(held) >= BATCH_ROWS:
+                    yield batch_of(held)
+                    held = []
+        if held:
+            yield batch_of(held)
 
     return sheets.select(F.col("doc_id").cast("long").alias("doc_id"), "xml").mapInArrow(work, EVENTS)
 
 
+def stored_events(sheets: DataFrame) -> DataFrame:
+    """As events, each sheet read once and its rows written, for plans that read them several times."""
+    return Scratch(sheets.sparkSession, "sheets").save(events(sheets), "events")
+
+
 def _content(rows: DataFrame) -> DataFrame:
     """Events that are text of the sheet: where it has situations, its other body is left out."""
     chosen = F.max(F.when(F.col("region") == 4, 1).otherwise(0)).over(Window.partitionBy("doc_id"))
