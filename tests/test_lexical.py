@@ -72,3 +72,11 @@ def test_a_task_keeps_the_k_best_of_all_its_blocks():
     best.add(6, np.arange(2), np.zeros(2, int), np.zeros(2))
     got = [tuple(x.values()) for batch in best.batches() for x in batch.to_pylist()]
     assert sorted((-s, i, n) for q, i, n, s in got if q == 5) == sorted(every)[:3] and {x[0] for x in got} == {5}
+
+
+def test_markers_are_counted_as_texts_come(spark):
+    docs = spark.createDataFrame([(i, None if i % 3 == 0 else f"s{i % 3}", "abc ab" if i % 2 else None) for i in range(60)], "doc_id long, source string, body string")
+    markers = spark.createDataFrame([(1, "ab"), (2, ""), (3, "zz"), (4, None), (5, "ab")], "item_id long, marker string")
+    got = {x.item_id: (x.n_docs, x.n_sources, x.first_doc) for x in lexical.marker_search(docs, markers).collect()}
+    assert got == {1: (30, 2, 1), 2: (60, 2, 0), 3: (0, 0, None), 4: (0, 0, None), 5: (30, 2, 1)}
+    assert "MapInArrow" in lexical.marker_search(docs, markers)._jdf.queryExecution().analyzed().toString()

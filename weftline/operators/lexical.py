@@ -16,7 +16,6 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ from weftline.operators.fusion import ranked
 #: Tokens of queries that are broadcast at once (about 100 bytes each), and bytes of folded text of a block.
 MAX_TOKENS = 500_000
 BLOCK_BYTES = 1_000_000
+#: Counts by marker and source that a task holds.
+MOST_COUNTS = 100_000
 #: Texts of a block at most, and distinct tokens of the queries that are scored at once.
 BLOCK = 1024
 WIDTH = 8192
@@ -369,20 +370,31 @@ def marker_search(docs: DataFrame, markers: DataFrame, most: int = 200_000) -> D
         raise ValueError(f"more than {most} markers")
     shared = docs.sparkSession.sparkContext.broadcast([m for m in wanted if m is not None])
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scan = _finder(shared.value)
-        for frame in frames:
-            pairs = [(m, s, d) for d, s, body in zip(frame["doc_id"], frame["source"], frame["body"], strict=True) for m in scan(body or "")]
-            found = pd.DataFrame(pairs, columns=["marker", "source", "doc_id"])
-            if len(found):
-                yield found.groupby(["marker", "source"], dropna=False, as_index=False).agg(n=("doc_id", "size"), doc=("doc_id", "min"))[["marker", "source", "n", "doc"]]
-
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "body").mapInPandas(work, "marker string, source string, n long, doc long")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan, found = _finder(shared.value), {}
+        for batch in batches:
+            for doc, source, body in zip(batch.column("doc_id").to_pylist(), batch.column("source").to_pylist(), batch.column("body"), strict=True):
+                for m in scan(body.as_py() or ""):
+                    n, first = found.get((m, source), (0, None))
+                    found[m, source] = n + 1, doc if first is None or (doc is not None and doc < first) else first
+                if len(found) > MOST_COUNTS:
+                    yield _counted(found)
+                    found.clear()
+        if found:
+            yield _counted(found)
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "body").mapInArrow(work, "marker string, source string, n long, doc long")
     counts = found.groupBy("marker").agg(F.sum("n").alias("n_docs"), F.countDistinct("source").alias("n_sources"), F.min("doc").alias("first_doc"))
     zero = F.lit(0).cast("long")
     return markers.join(counts, "marker", "left").select("item_id", "marker", F.coalesce("n_docs", zero).alias("n_docs"), F.coalesce("n_sources", zero).alias("n_sources"), "first_doc")
 
 
+def _counted(found: dict[tuple[str, str | None], tuple[int, int | None]]) -> pa.RecordBatch:
+    """Counts and first texts by marker and source as rows."""
+    columns = zip(*((m, s, n, doc) for (m, s), (n, doc) in found.items()), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["marker", "source", "n", "doc"])
+
+
 def _finder(markers: list[str]):
     """A function from a text to the markers in it."""
     everywhere = [m for m in markers if m == ""]
