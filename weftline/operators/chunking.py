@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Characters of texts whose rows a task holds at once.
+PARSED_CHARS = 1_000_000
+
+
 def fixed_windows(df: DataFrame, text: Column, size: int, overlap: int) -> DataFrame:
     """df with chunk_index and chunk: windows of size characters, each size - overlap after the one before."""
     step = max(1, size - overlap)
@@ -199,8 +203,15 @@ def without_lines(pages: DataFrame, lines: DataFrame) -> DataFrame:
 def _mapper(parse: Callable[[str], list[dict]], columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [{"doc_id": i, **r} for i, text in zip(frame["doc_id"], frame["text"], strict=True) for r in parse(text or "")]
-            yield pd.DataFrame(rows, columns=["doc_id", *columns])
+            held, size = [], 0
+            for i, text in zip(frame["doc_id"], frame["text"], strict=True):
+                held += [{"doc_id": i, **r} for r in parse(text or "")]
+                size += len(text or "")
+                if size >= PARSED_CHARS:
+                    yield pd.DataFrame(held, columns=["doc_id", *columns])
+                    held, size = [], 0
+            if held:
+                yield pd.DataFrame(held, columns=["doc_id", *columns])
 
     return work
 

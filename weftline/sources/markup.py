@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Pages that a task turns into text before it passes them on.
+PAGES = 128
 BLOCKS = {"p", "div", "br", "li", "tr", "section", "article", "table", "ul", "ol"}
 SKIP = {"script", "style", "nav", "footer", "noscript"}
 
@@ -56,12 +58,14 @@ def to_markdown(html: str | None) -> str:
 def page_text(pages: DataFrame) -> DataFrame:
     """page_id, markdown, n_chars."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            text = [to_markdown(h) for h in frame["html"]]
-            yield pd.DataFrame({"page_id": frame["page_id"], "markdown": text, "n_chars": [len(x) for x in text]})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES):
+                part = batch.slice(at, PAGES)
+                text = [to_markdown(h.as_py()) for h in part.column("html")]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], names=["page_id", "markdown", "n_chars"])
 
-    return pages.select("page_id", "html").mapInPandas(work, "page_id long, markdown string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(work, "page_id long, markdown string, n_chars long")
 
 
 def unescape(c: Column) -> Column:
