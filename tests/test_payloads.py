@@ -1,5 +1,7 @@
 """Payload and manifest operators on literals: odd cases that the oracle queries don't reach."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +40,21 @@ def test_contents_articles(spark):
     assert found == [("p", "JORFARTI9", "X", None, "JORFARTI9", ["JORFARTI9"]), ("p", "LEGIARTI0", "vigueur", "3", "LEGIARTI2", ["LEGIARTI0", "LEGIARTI1", "LEGIARTI2", "LEGIARTI4"])]
 
 
+def test_versions_of_an_article_leave_the_walk_as_one_row():
+    nodes = [{"id": f"LEGIARTI{i}", "cid": "LEGIARTI0", "etat": "VIGUEUR" if i in (700, 800) else "ABROGE", "num": i} for i in range(1, 1001)]
+    found = P._articles(json.dumps({"a": nodes[:400], "b": [{"c": nodes[400:]}]}), ("LEGIARTI",))
+    assert len(list(found)) == 1 and found["LEGIARTI0"][:5] == [True, 699, "LEGIARTI700", "VIGUEUR", "700"] and len(found["LEGIARTI0"][5]) == 1001
+
+
+def test_payloads_of_one_id_are_merged(spark):
+    article = lambda n, state, cid="LEGIARTI0": {"id": f"LEGIARTI{n}", "cid": cid, "etat": state, "num": n}
+    data = [("p", [article(3, "X"), article(4, "X")]), ("p", [article(5, "X"), article(6, "vigueur"), article(7, "VIGUEUR")]), ("p", [article(9, "X", "JORFARTI1")]), ("p", [article(8, "VIGUEUR")]), ("q", [article(1, "X"), article(2, "X")]), ("q", [article(3, "X")]), (None, [article(1, "X", "")]), (None, [article(1, "X", "")])]
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in data], "payload_id string, payload string").repartition(5)
+    found = {tuple(r[:5]) + (tuple(r.aliases),) for r in P.contents_articles(df).select("payload_id", "cid", "state", "number", "version_id", "aliases").collect()}
+    ids = lambda *n: tuple(f"LEGIARTI{i}" for i in n)
+    assert found == {("p", "LEGIARTI0", "VIGUEUR", "8", "LEGIARTI8", ids(0, 3, 4, 5, 6, 7, 8)), ("p", "JORFARTI1", "X", "9", "LEGIARTI9", ("JORFARTI1", "LEGIARTI9")), ("q", "LEGIARTI0", "X", "2", "LEGIARTI2", ids(0, 1, 2, 3)), (None, "LEGIARTI1", "X", "1", "LEGIARTI1", ids(1))}
+
+
 def test_manifest_rows(spark):
     data = [(1, "Main", "A", "", "k", ""), (2, " main ", "a", "t", "k", "NON"), (3, "main", "A ", "t", "k", "oui"), (4, "main", None, None, None, "x"), (5, "other", "q", "t", "k", ""), (6, None, "q", "t", "k", "")]
     df = spark.createDataFrame(data, "record_id int, source_corpus string, uid string, title string, storage_key string, repealed string")

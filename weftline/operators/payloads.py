@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,41 +72,67 @@ def batch_totals(payloads: DataFrame) -> DataFrame:
     return payloads.groupBy("document_id").agg(F.sum(F.coalesce(F.size("pages"), F.lit(0)).cast("long")).alias("n_pages"), F.sum(F.coalesce("pages_processed", F.lit(0)).cast("long")).alias("pages_processed"), F.max(F.coalesce("doc_size_bytes", F.lit(0)).cast("long")).alias("doc_size_bytes"))
 
 
-def _articles(payload: str | None, prefixes: tuple[str, ...]) -> Iterator[tuple[str, str, str, str | None]]:
-    """id, cid, state, number of article nodes, parents first and in the order of the text."""
+def _articles(payload: str | None, prefixes: tuple[str, ...]) -> dict[str, list]:
+    """Articles of a payload by cid, or id without one: [in force, place, id, state, number, names].
+
+    The node is the first one in force, else the last; nodes are met parents first and in the order of the text.
+    """
+    found: dict[str, list] = {}
     try:
         left = [json.loads(payload or "null")]
     except ValueError:
-        return
+        return found
+    place = 0
     while left:
         node = left.pop()
-        if isinstance(node, dict):
-            ident, chain = (str(node.get(k) or "") for k in ("id", "cid"))
+        if type(node) is dict:
+            ident, chain = str(node.get("id") or ""), str(node.get("cid") or "")
             if ident.startswith(prefixes) or chain.startswith(prefixes):
-                number = node.get("num")
-                yield ident, chain, str(node.get("etat") or ""), None if number is None else str(number)
-            node = list(node.values())
-        if isinstance(node, list):
-            left.extend(reversed(node))
+                state, number = str(node.get("etat") or ""), node.get("num")
+                in_force = state.upper() == "VIGUEUR"
+                known = found.get(chain or ident)
+                if known is None:
+                    known = found[chain or ident] = [False, None, None, None, None, set()]
+                if not known[0]:
+                    known[:5] = in_force, place, ident, state, None if number is None else str(number)
+                known[5].update((ident, chain))
+                place += 1
+            node = node.values()
+        elif type(node) is not list:
+            continue
+        inner = [v for v in node if type(v) is dict or type(v) is list]
+        inner.reverse()
+        left += inner
+    return found
 
 
 def contents_articles(payloads: DataFrame, prefixes: tuple[str, ...] = ("LEGIARTI", "JORFARTI")) -> DataFrame:
     """payload_id, cid, state, number, version_id, aliases (sorted): one row for each article of a nested table of contents.
 
     payloads: payload_id, payload (JSON). Nodes of any depth are grouped by cid, or id without one; the first one in force is
-    current, else the last. Malformed JSON has no article.
+    current, else the last. Malformed JSON has no article. A payload's nodes are grouped where it is read, those of several
+    payloads of one id by Spark.
     """
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(key, i, *node) for key, payload in zip(frame["payload_id"], frame["payload"], strict=True) for i, node in enumerate(_articles(payload, prefixes))]
-            yield pd.DataFrame(rows, columns=["payload_id", "place", "id", "chain", "state", "number"])
-
-    kind = payloads.schema["payload_id"].dataType.simpleString()
-    nodes = payloads.select("payload_id", "payload").mapInPandas(walk, f"payload_id {kind}, place long, id string, chain string, state string, number string")
-    key = F.when(F.col("chain") != "", F.col("chain")).otherwise(F.col("id"))
+    key = payloads.schema["payload_id"].dataType.simpleString()
+    names = ["in_force", "place", "id", "state", "number", "names"]
+    types = [pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, cids, found = [], [], []
+            for i, payload in enumerate(batch.column(1).to_pylist()):
+                for cid, node in _articles(payload, prefixes).items():
+                    rows.append(i)
+                    cids.append(cid)
+                    found.append(node)
+            keys = batch.column(0).take(pa.array(rows, pa.int64()))
+            columns = [pa.array([node[c] for node in found], kind) for c, kind in enumerate(types[:-1])]
+            idents = pa.array([sorted(filter(None, node[5])) for node in found], types[-1])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(cids, pa.string()), *columns, idents], ["payload_id", "cid", *names])
+
+    nodes = payloads.select("payload_id", "payload").mapInArrow(walk, f"payload_id {key}, cid string, in_force boolean, place long, id string, state string, number string, names array<string>")
     node = F.struct("place", "id", "state", "number")
-    current = F.coalesce(F.min(F.when(F.upper("state") == "VIGUEUR", node)), F.max(node))
-    found = nodes.groupBy("payload_id", key.alias("cid")).agg(current.alias("now"), F.collect_set(F.array("id", "chain")).alias("names"))
-    names = F.array_sort(F.filter(F.array_distinct(F.flatten("names")), lambda a: a != ""))
-    return found.select("payload_id", "cid", F.col("now.state").alias("state"), F.col("now.number").alias("number"), F.when(F.col("now.id") != "", F.col("now.id")).otherwise(F.col("cid")).alias("version_id"), names.alias("aliases"))
+    current = F.coalesce(F.min(F.when(F.col("in_force"), node)), F.max(node))
+    found = nodes.groupBy("payload_id", "cid").agg(current.alias("now"), F.collect_set("names").alias("names"))
+    aliases = F.when(F.size("names") == 1, F.get("names", F.lit(0))).otherwise(F.array_sort(F.array_distinct(F.flatten("names"))))
+    return found.select("payload_id", "cid", F.col("now.state").alias("state"), F.col("now.number").alias("number"), F.when(F.col("now.id") != "", F.col("now.id")).otherwise(F.col("cid")).alias("version_id"), aliases.alias("aliases"))

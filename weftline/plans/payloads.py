@@ -45,7 +45,9 @@ def page_batch_totals(t: Tables) -> DataFrame:
 @query("WITH n AS (SELECT l_orderkey AS payload_id, l_linenumber AS num, 'LEGIARTI' || l_partkey || '-' || l_linenumber AS id, 'LEGIARTI' || l_suppkey % 3 AS cid, CASE WHEN l_linestatus = 'O' THEN 'Vigueur' ELSE 'ABROGE' END AS state FROM lineitem), o AS (SELECT *, row_number() OVER (PARTITION BY payload_id ORDER BY num, id, cid, state) AS i FROM n), g AS (SELECT payload_id, cid, coalesce(min(i) FILTER (state = 'Vigueur'), max(i)) AS i, list(DISTINCT id) AS ids FROM o GROUP BY payload_id, cid) SELECT payload_id, cid, state, num::VARCHAR AS number, id AS version_id, array_to_string(list_sort(list_append(ids, cid)), ',') AS aliases FROM g JOIN o USING (payload_id, cid, i)")
 def contents_articles(t: Tables) -> DataFrame:
     node = F.struct(F.col("l_linenumber").alias("num"), F.concat(F.lit("LEGIARTI"), "l_partkey", F.lit("-"), "l_linenumber").alias("id"), F.concat(F.lit("LEGIARTI"), F.col("l_suppkey") % 3).alias("cid"), F.when(F.col("l_linestatus") == "O", "Vigueur").otherwise("ABROGE").alias("etat"))
-    nodes = t.lineitem.groupBy(F.col("l_orderkey").alias("payload_id")).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    # Lines of an order are seldom neighbours: lists are collected once these have met, not before the shuffle as well.
+    lines = t.lineitem.select(F.col("l_orderkey").alias("payload_id"), node.alias("node")).repartition("payload_id")
+    nodes = lines.groupBy("payload_id").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     tree = F.struct(F.struct(F.slice("nodes", 1, 2).alias("articles")).alias("section"), F.slice("nodes", F.lit(3), F.greatest(F.size("nodes") - 2, F.lit(0))).alias("articles"))
     found = P.contents_articles(nodes.select("payload_id", F.to_json(tree).alias("payload")))
     return found.withColumn("aliases", F.array_join("aliases", ","))
